@@ -1,10 +1,72 @@
-"""Corpus cleaning: stages run one after the other over ``documents``."""
+"""Corpus cleaning: stages run one after the other over ``documents``.
+
+Each stage reads all that its predecessor kept, from Parquet; all but the last return the columns
+of ``documents``. Toxic documents go; of near-duplicates the smallest doc_id stays; passages that a
+document with a smaller doc_id has are cut out; documents that hold a benchmark item go; what is
+left is encoded, and checked by decoding.
+
+Clean documents stay: a null or empty text has no evidence against it and passes every stage, and
+a document that loses a passage keeps the rest of its text.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgrid.llm import bpe, decontam, minhash, suffix_dedup, toxicity
+from loomgrid.llm.common import materialize, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select(*COLUMNS), model).where(F.col("score") < 0.3).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(docs.select("doc_id", "text"), width=5, threshold=0.8)
+    dropped = found.where(~F.col("kept")).select("doc_id")
+    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(docs.select(*COLUMNS), whole_characters=True)
+    text = F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))
+    cut = found.withColumn("text", text)
+    return cut.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    ids = bpe.encode(docs.select(*COLUMNS, F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256).alias("text_sha256")), "text", ranks, public_tokenizers.PATTERN)
+    both = bpe.decode(ids.withColumn("kept_ids", F.col("ids")), "ids", ranks)
+    return both.select("doc_id", "lang", "source", "n_chars", F.size("kept_ids").cast("long").alias("n_tokens"), F.col("kept_ids").alias("ids"), (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", reject_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", cut_repeats),
+    ("decontamination", decontaminate),
+    ("encoding", encode),
+]
+
+#: Learning, hashing and suffix arrays have no SQL here; tests/llm holds run() against brute force.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return docs

@@ -8,10 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import bpe, toxicity
+from loomgrid.llm import bpe, decontam, license_scan, minhash, suffix_dedup, toxicity
 from loomgrid.llm.common import table
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.remove_repeats(docs)
+    n_bytes = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    return found.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -20,6 +27,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(digests, "ids", ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, width=2, threshold=0.8)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -28,9 +40,40 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan(docs).drop("matches")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_bpe": op4_bpe,
+    "op5_minhash": op5_minhash,
     "op6_toxicity": op6_toxicity,
+    "op7_license_scan": op7_license_scan,
+    "op8_decontamination": op8_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"string_split(trim(regexp_replace(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": f"""
+        WITH iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        item AS (SELECT item_id, w, least(len(w), 5) AS k FROM iw WHERE w <> ['']),
+        ish AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+                FROM (SELECT item_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM item)),
+        n AS (SELECT item_id, count(*) AS n_item FROM ish GROUP BY item_id),
+        dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        dsh AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+                FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+                      FROM dw, (SELECT DISTINCT k FROM item) WHERE w <> [''] AND len(w) >= k))
+        SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item)::DOUBLE AS containment
+        FROM dsh JOIN ish USING (k, s) JOIN n USING (item_id)
+        GROUP BY doc_id, item_id HAVING 5 * count(*) >= 4 * any_value(n_item)
+    """,
+}

@@ -87,7 +87,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_neg
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "__label"), weight
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6_000, max_negative: int = 10_000, max_features: int = 20_000, alpha: float = 0.5, penalty: float = 0.02) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4_000, max_negative: int = 6_000, max_features: int = 12_000, alpha: float = 0.5, penalty: float = 0.02) -> Model:
     """The model. What reaches the driver is bounded by the four parameters."""
     rows, weight = training_rows(docs, labels, max_positive, max_negative)
 
@@ -137,11 +137,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6_000, max_negat
     y = np.array([r["label"] for r in sample], float)
     w = np.array([weight[r["label"]] for r in sample], float)
     sets = [np.frombuffer(r["features"], np.int32) for r in sample]
+    del sample
     if not len(y) or y.min() == y.max():
         share = float((w * y).sum() / w.sum()) if len(y) else 0.0
         return Model(np.zeros(0, np.int64), np.zeros(0), _logit(share))
-    column = np.searchsorted(feature, np.concatenate(sets)) if len(feature) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(y)), [len(s) for s in sets])
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(s) for s in sets])
+    column = np.searchsorted(feature.astype(np.int32), np.concatenate(sets)).astype(np.int32)
+    del sets
     coefficient, intercept = _logistic(row, column, ratio[feature], y, w, penalty)
     weights = coefficient * ratio[feature]
     held = np.abs(weights) > 1e-6
@@ -155,13 +157,13 @@ def _logit(p: float) -> float:
 
 def _logistic(row: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float, steps: int = 150) -> tuple[np.ndarray, float]:
     """Weighted logistic loss plus penalty / 2 times the squared norm, by L-BFGS with backtracking."""
-    value, n, d = scale[column], len(y), len(scale)
+    n, d = len(y), len(scale)
 
     def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, theta[column] * value, n) + theta[d]
+        z = np.bincount(row, (theta[:d] * scale)[column], n) + theta[d]
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         e = w * (p - y)
-        g = np.bincount(column, e[row] * value, d) + penalty * theta[:d]
+        g = np.bincount(column, e[row], d) * scale + penalty * theta[:d]
         return float((w * (np.logaddexp(0, z) - y * z)).sum() + penalty / 2 * (theta[:d] ** 2).sum()), np.append(g, e.sum())
 
     theta = np.append(np.zeros(d), _logit(float((w * y).sum() / w.sum())))
