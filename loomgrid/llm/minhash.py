@@ -6,8 +6,9 @@
 3. Links give components by alternating large-star and small-star.
 4. Buckets that still hold several components are compared in blocks of bounded size: pairs of
    different components whose signatures agree enough are verified on full sets, then joined.
-   Pairs inside one component can't change the result, so a group of copies is never expanded
-   into all its pairs.
+   Each document offers its partners from the best signature downwards, a window of ranks a round,
+   and a pair whose components have met is no longer offered, so a group of copies is never
+   expanded into all its pairs. The last window has no end: no pair is left out.
 
 With 45 bands of 6 minima a pair at the threshold of 0.8 misses every bucket with probability
 1.1e-6; step 4 drops a pair by its signature only at 5.5 standard errors below the threshold.
@@ -29,6 +30,10 @@ from loomgrid.llm.common import ascii_lower, materialize, mix64, slices, text_bu
 
 BANDS, ROWS = 45, 6
 _BLOCK = 2048
+#: Ranks of partners that the rounds of step 4 offer.
+_WINDOWS = ((0, 2), (2, 16), (16, 1 << 30))
+#: Up to so many ids are sent to the tasks instead of shuffling all texts to them: 8 MB.
+_SENT_IDS = 1_000_000
 _random = np.random.default_rng(20_240_501)
 _A = _random.integers(1 << 31, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -106,7 +111,10 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k for k, _ in found], pa.int64())), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["rep", "hashes"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, f"rep {kind}, hashes binary").dropDuplicates(["rep"])
+    wanted = ids.select(F.col("rep").alias("doc_id"))
+    if kind in ("bigint", "int") and ids.count() <= _SENT_IDS:
+        wanted = F.broadcast(wanted)
+    return docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, f"rep {kind}, hashes binary").dropDuplicates(["rep"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -158,8 +166,9 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"the components weren't stable after {most_rounds} rounds")
 
 
-def _unresolved_pairs(members: DataFrame, signs: DataFrame, component: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b) of different components in one bucket whose signatures agree nearly as often as the threshold asks."""
+def _unresolved_pairs(members: DataFrame, signs: DataFrame, component: DataFrame, threshold: float, window: tuple[int, int]) -> DataFrame:
+    """Distinct pairs (a, b) of different components in one bucket whose signatures agree nearly as often as
+    the threshold asks; b's rank among such partners of a in the block is in ``window``."""
     marked = members.join(component, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     open_ = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / _BLOCK).cast("int").alias("blocks"))
     rows = marked.join(open_, "key").join(signs, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -173,17 +182,17 @@ def _unresolved_pairs(members: DataFrame, signs: DataFrame, component: DataFrame
     def agree(group: pa.Table) -> pa.Table:
         rep, comp = (np.asarray(group[c].to_pylist(), dtype=object if kind == "string" else None) for c in ("rep", "component"))
         low = np.frombuffer(b"".join(group["low"].to_pylist()), np.uint8).reshape(len(rep), hashes)
-        order = np.argsort(comp, kind="stable")
+        order = np.argsort(rep, kind="stable")
         rep, comp, low = rep[order], comp[order], low[order]
         a, b = [], []
-        edges = np.append(np.flatnonzero(np.concatenate([[True], comp[1:] != comp[:-1]])), len(comp))
-        for start, stop in zip(edges[:-1], edges[1:], strict=True):
-            if stop == len(comp):
-                break
-            for x in range(start, stop):
-                hit = stop + np.flatnonzero((low[stop:] == low[x]).sum(1) >= least)
-                a += [rep[x]] * len(hit)
-                b += rep[hit].tolist()
+        for x in range(len(rep)):
+            agreed = (low == low[x]).sum(1)
+            agreed[x] = 0
+            near = np.flatnonzero(agreed >= least)
+            near = near[np.argsort(-agreed[near], kind="stable")][window[0] : window[1]]
+            near = near[comp[near] != comp[x]]
+            a += [rep[x]] * len(near)
+            b += rep[near].tolist()
         arrow = group.schema.field("rep").type
         return pa.table({"a": pa.array(a, arrow), "b": pa.array(b, arrow)})
 
@@ -211,8 +220,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, doc
     first = materialize(components(links), "components")
 
     signs = held.select(F.col("doc_id").alias("rep"), "low")
-    rest = materialize(_unresolved_pairs(members.select("key", "rep"), signs, first, threshold), "pairs")
-    if not rest.isEmpty():
+    for window in _WINDOWS:
+        rest = materialize(_unresolved_pairs(members.select("key", "rep"), signs, first, threshold, window), "pairs")
+        if rest.isEmpty():
+            continue
         missing = ids(rest).join(known.select("rep"), "rep", "left_anti")
         if not missing.isEmpty():
             known = known.unionByName(materialize(full_sets(source, missing, width), "sets"))
