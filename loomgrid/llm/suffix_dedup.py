@@ -40,8 +40,9 @@ GRAM = 16
 BUNDLE = 512
 #: Text per shard of anchors.
 SHARD_BYTES = 8 << 20
-_BLOCK_ROWS = 1 << 15
-_SLICE = 1 << 18
+#: Contexts of a block; a block ends with an anchor, but for anchors that fill more than one.
+_BLOCK_ROWS = 1 << 13
+_SLICE, _BATCH = 1 << 18, 8 << 20
 _PAD = 8
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
@@ -116,24 +117,24 @@ def suffix_array(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     count, columns = rows.shape
     inside = np.arange(columns) < sizes[:, None]
     padded = np.full((count, columns + _PAD), 255, np.uint8)
-    padded[:, :columns][inside] = rows[inside]
-    prefix = np.zeros((count, columns), np.uint64)
-    for k in range(_PAD):
-        prefix = (prefix << np.uint64(8)) | padded[:, k : k + columns]
+    np.copyto(padded[:, :columns], rows, where=inside)
     cell = np.flatnonzero(inside.ravel())
-    sa = cell[np.argsort(prefix.ravel()[cell], kind="stable")]
+    prefix = np.ndarray((count, columns), ">u8", padded, strides=(columns + _PAD, 1)).ravel()[cell].astype(np.uint64)
+    order = np.argsort(prefix)
+    sa = cell[order]
     rank = np.full(count * columns, -1, np.int64)
     # a suffix of fewer than eight bytes equals none of another length, since 0xFF is no byte of UTF-8
-    first = _runs(prefix.ravel()[sa])
-    rank[sa] = np.repeat(first[:-1], np.diff(first))
+    first = _runs(prefix[order])
+    size = np.diff(first)
+    rank[sa] = np.repeat(first[:-1], size)
     total, known = len(sa), _PAD
-    row_of, column_of, end_of = np.arange(count * columns) // columns, np.arange(count * columns) % columns, np.repeat(sizes, columns)
-    at = np.flatnonzero(np.repeat(np.diff(first) > 1, np.diff(first)))
+    at = np.flatnonzero(np.repeat(size > 1, size))
     while len(at):
         s = sa[at]
-        further = column_of[s] + known
-        second = np.where(further < end_of[s], rank[np.minimum(s + known, count * columns - 1)], total + row_of[s])
-        order = np.lexsort((second, rank[s]))
+        row = s // columns
+        further = s - row * columns + known
+        second = np.where(further < sizes[row], rank[np.minimum(s + known, count * columns - 1)], total + row)
+        order = np.argsort((rank[s] << 32) | second)
         s, second = s[order], second[order]
         sa[at] = s
         group = rank[s]
@@ -192,29 +193,46 @@ def window_classes(rows: np.ndarray, sizes: np.ndarray, owner: np.ndarray, lengt
     return cell, group, least
 
 
-def covered_windows(rows: np.ndarray, sizes: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
-    """For each row and column: does a row with a smaller owner hold the window that starts there?"""
+def _cuts(anchor: np.ndarray) -> list[tuple[int, int]]:
+    """Blocks of rows sorted by anchor."""
+    out, i, n = [], 0, len(anchor)
+    while i < n:
+        j = min(i + _BLOCK_ROWS, n)
+        if j < n and (k := int(np.searchsorted(anchor, anchor[j]))) > i:
+            j = k
+        out.append((i, j))
+        i = j
+    return out
+
+
+def covered_windows(rows: np.ndarray, sizes: np.ndarray, owner: np.ndarray, anchor: np.ndarray, length: int) -> np.ndarray:
+    """For each row and column: does a row with a smaller owner hold the window that starts there? Rows are sorted by anchor."""
     count, columns = rows.shape
     out = np.zeros((count, columns), bool)
     blocks = []
-    for i in range(0, count, _BLOCK_ROWS):
-        part = slice(i, i + _BLOCK_ROWS)
-        cell, group, least = window_classes(rows[part], sizes[part], owner[part], length)
-        first = np.full(len(least), -1)
-        first[group[::-1]] = cell[::-1]
-        window = rows[part].ravel()[first[:, None] + np.arange(length)]
-        blocks.append((i, cell, group, least, np.ascontiguousarray(window).view(f"S{length}").ravel()))
-    for x in range(len(blocks)):  # few blocks: only anchors that very many different contexts share fill more than one
+    for i, j in _cuts(anchor):
+        cell, group, least = window_classes(rows[i:j], sizes[i:j], owner[i:j], length)
+        if i and anchor[i] == anchor[i - 1] or j < count and anchor[j - 1] == anchor[j]:
+            first = np.full(len(least), -1)
+            first[group[::-1]] = cell[::-1]
+            window = rows[i:j].ravel()[first[:, None] + np.arange(length)]
+            window = np.ascontiguousarray(window).view(f"S{length}").ravel()
+        else:
+            window = None
+        blocks.append((i, j, cell, group, least, window))
+    for x in range(len(blocks)):  # an anchor of more contexts than a block holds: its blocks' windows are merged
         for y in range(x + 1, len(blocks)):
-            a, b = blocks[x][4], blocks[y][4]
+            if anchor[blocks[y][0]] != anchor[blocks[x][1] - 1]:
+                break
+            a, b = blocks[x][5], blocks[y][5]
             if not len(a) or not len(b):
                 continue
             at = np.minimum(np.searchsorted(a, b), len(a) - 1)
             same = np.flatnonzero(a[at] == b)
-            low = np.minimum(blocks[x][3][at[same]], blocks[y][3][same])
-            blocks[x][3][at[same]] = low
-            blocks[y][3][same] = low
-    for i, cell, group, least, _ in blocks:
+            low = np.minimum(blocks[x][4][at[same]], blocks[y][4][same])
+            blocks[x][4][at[same]] = low
+            blocks[y][4][same] = low
+    for i, _, cell, group, least, _ in blocks:
         row = cell // columns
         hit = least[group] < owner[i + row]
         out[i + row[hit], cell[hit] % columns] = True
@@ -224,34 +242,40 @@ def covered_windows(rows: np.ndarray, sizes: np.ndarray, owner: np.ndarray, leng
 # -- stages ----------------------------------------------------------------------------------
 
 
+def _asked(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int, shards: int) -> pa.RecordBatch | None:
+    bundles, place = np.unique(ids // BUNDLE, return_inverse=True)
+    found = []
+    for i, j in slices(offsets, _SLICE):
+        at, h, _ = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
+        doc = i + np.searchsorted(offsets[i : j + 1] - offsets[i], at, side="right") - 1
+        found.append((doc, _keys(h, shards)))
+    doc, key = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    if not len(doc):
+        return None
+    both = (place[doc].astype(np.uint64) << np.uint64(49)) | key
+    order = np.argsort(both)
+    both, doc = both[order], ids[doc[order]]
+    starts = _runs(both)[:-1]
+    least, most = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
+    both = both[starts]
+    cut = _runs(both >> np.uint64(32))
+    part = both[cut[:-1]]
+    low, off, many = both.astype(np.uint32), (least % BUNDLE).astype(np.uint16), (least != most)
+    packed = [(low[i:j].tobytes(), off[i:j].tobytes(), np.packbits(many[i:j]).tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    shard, bundle = ((part >> np.uint64(32)) & np.uint64((1 << 17) - 1)).astype(np.int32), bundles[(part >> np.uint64(49)).astype(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(bundle), *(pa.array(x, pa.binary()) for x in zip(*packed, strict=True))], names=["shard", "bundle", "low", "off", "many"])
+
+
 def _ask(length: int, shards: int):
     """Documents -> per (shard, bundle): its distinct anchors, least doc_id of each and whether others of the bundle have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
-            bundles, place = np.unique(ids // BUNDLE, return_inverse=True)
             data, offsets = text_buffer(b.column(1))
-            found = []
-            for i, j in slices(offsets, _SLICE):
-                at, h, _ = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
-                doc = i + np.searchsorted(offsets[i : j + 1] - offsets[i], at, side="right") - 1
-                found.append((doc, _keys(h, shards)))
-            doc, key = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-            if not len(doc):
-                continue
-            both = (place[doc].astype(np.uint64) << np.uint64(49)) | key
-            order = np.argsort(both, kind="stable")
-            both, doc = both[order], ids[doc[order]]
-            starts = _runs(both)[:-1]
-            least, most = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
-            both = both[starts]
-            cut = _runs(both >> np.uint64(32))
-            part = both[cut[:-1]]
-            low, off, many = both.astype(np.uint32), (least % BUNDLE).astype(np.uint16), (least != most)
-            packed = [(low[i:j].tobytes(), off[i:j].tobytes(), np.packbits(many[i:j]).tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            shard, bundle = ((part >> np.uint64(32)) & np.uint64((1 << 17) - 1)).astype(np.int32), bundles[(part >> np.uint64(49)).astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(bundle), *(pa.array(x, pa.binary()) for x in zip(*packed, strict=True))], names=["shard", "bundle", "low", "off", "many"])
+            ids = b.column(0).to_numpy()
+            for i, j in slices(offsets, _BATCH):
+                if (out := _asked(ids[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, shards)) is not None:
+                    yield out
 
     return run, "shard int, bundle long, low binary, off binary, many binary"
 
@@ -264,7 +288,7 @@ def _answer(key: tuple, group: pa.Table) -> pa.Table:
     doc = np.concatenate([np.frombuffer(x, np.uint16) for x in group["off"].to_pylist()]) + bundle * BUNDLE
     many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:k] for x, k in zip(group["many"].to_pylist(), n, strict=True)])
     low = np.concatenate(low)
-    order = np.argsort(low, kind="stable")
+    order = np.argsort(low)
     starts = _runs(low[order])
     first = starts[:-1]
     doc, many = doc[order], many[order]
@@ -364,7 +388,7 @@ def _cover(length: int):
         part = np.zeros((len(head), length - GRAM + 1), bool)
         if len(at):
             at = at[np.argsort(anchor[at], kind="stable")]
-            part[at] = covered_windows(rows[head[at]], more[head[at]] + length, doc[head[at]], length)[:, : part.shape[1]]
+            part[at] = covered_windows(rows[head[at]], more[head[at]] + length, doc[head[at]], anchor[at], length)[:, : part.shape[1]]
         bits = part[owner_of]
         bits[whole] = True
         bits &= np.arange(bits.shape[1]) <= more[:, None]
