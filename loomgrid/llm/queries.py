@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import bpe, decontam, license_scan, minhash, suffix_dedup, toxicity
+from loomgrid.llm import bpe, chat_format, decontam, html_extract, lang_id, license_scan, media, minhash, suffix_dedup, toxicity
 from loomgrid.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, docs = table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return lang_id.identify(pages, docs).drop("posterior")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = suffix_dedup.remove_repeats(docs)
@@ -19,6 +24,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds images, so each vector of ``embeddings`` is drawn as one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return media.copies(media.render_vectors(vectors)).withColumnRenamed("image_id", "vec_id")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -50,13 +61,26 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_media_copies": op3_media_copies,
     "op4_bpe": op4_bpe,
     "op5_minhash": op5_minhash,
     "op6_toxicity": op6_toxicity,
     "op7_license_scan": op7_license_scan,
     "op8_decontamination": op8_decontamination,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_chat_format": op10_chat_format,
 }
 
 _WORDS = r"string_split(trim(regexp_replace(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ')"
