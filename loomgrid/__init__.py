@@ -1,0 +1 @@
+"""Raster and graph analytics on Spark DataFrames, and operators for training-data corpora."""

@@ -1,0 +1 @@
+"""Column functions over vectors held as arrays of doubles."""

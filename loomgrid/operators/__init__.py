@@ -1,0 +1 @@
+"""Raster, segmentation and graph operators over DataFrames."""

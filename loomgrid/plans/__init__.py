@@ -1,0 +1 @@
+"""Whole pipelines, their configuration, and the catalogue of registered queries."""

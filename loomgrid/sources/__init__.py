@@ -1,0 +1 @@
+"""Readers that give raster tables."""

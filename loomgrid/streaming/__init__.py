@@ -1,0 +1 @@
+"""No streaming operators: the operators here are batch ones, over rasters and graphs that are read whole."""
