@@ -4,11 +4,11 @@
 2. Representatives that share a band of minima meet in buckets. Each is compared with the smallest
    members of its buckets (at most two, those it shares most bands with), on full sets.
 3. Links give components by alternating large-star and small-star.
-4. Buckets that still hold several components are compared in blocks of bounded size: pairs of
-   different components whose signatures agree enough are verified on full sets, then joined.
-   Each document offers its partners from the best signature downwards, a window of ranks a round,
-   and a pair whose components have met is no longer offered, so a group of copies is never
-   expanded into all its pairs. The last window has no end: no pair is left out.
+4. Buckets that still hold several components are compared in blocks of bounded rows and bytes:
+   first by signature, which finds the documents that have partners in other components, then these
+   alone on full sets. A pair is looked at in the bucket of its first common band only, and a block
+   returns no more links than join its components, so a group of copies is never expanded into all
+   its pairs; pairs inside one component can't change the result.
 
 With 45 bands of 6 minima a pair at the threshold of 0.8 misses every bucket with probability
 1.1e-6; step 4 drops a pair by its signature only at 5.5 standard errors below the threshold.
@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 from loomgrid.llm.common import ascii_lower, materialize, mix64, slices, text_buffer
 
 BANDS, ROWS = 45, 6
-_BLOCK = 2048
-#: Ranks of partners that the rounds of step 4 offer.
-_WINDOWS = ((0, 2), (2, 16), (16, 1 << 30))
+#: Rows and shingles of a block.
+_BLOCK, _BLOCK_SHINGLES = 2048, 2_000_000
 #: Up to so many ids are sent to the tasks instead of shuffling all texts to them: 8 MB.
 _SENT_IDS = 1_000_000
 _random = np.random.default_rng(20_240_501)
@@ -83,23 +82,23 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, band keys, one byte of each minimum); without words the last three are null."""
+    """(doc_id, n_shingles, digest of the set, band keys, 4 bytes of each band key, one byte of each minimum); without words all but n_shingles are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
         for b in batches:
-            n, digest, bands, low = np.zeros(b.num_rows, np.int64), [None] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
+            n, (digest, bands, marks, low) = np.zeros(b.num_rows, np.int64), ([None] * b.num_rows for _ in range(4))
             for k, s in shingle_sets(b.column(1), width):
                 n[k], digest[k] = len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 m = minima(s)
                 key = turn.copy()
                 for r in m.reshape(BANDS, ROWS).T:
                     key = mix64(key + r)
-                bands[k], low[k] = key.view(np.int64), (m >> np.uint32(7)).astype(np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "low"])
+                bands[k], marks[k], low[k] = key.view(np.int64), key.astype(np.uint32).tobytes(), (m >> np.uint32(7)).astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "marks", "low"])
 
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, low binary")
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, marks binary, low binary")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -130,10 +129,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 if 100 * least < percent * most:
                     ok.append(False)
                     continue
-                both = np.concatenate([p, q])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * same >= percent * (len(both) - same))
+                same = _same(p, q)
+                ok.append(100 * same >= percent * (least + most - same))
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
@@ -166,38 +163,86 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"the components weren't stable after {most_rounds} rounds")
 
 
-def _unresolved_pairs(members: DataFrame, signs: DataFrame, component: DataFrame, threshold: float, window: tuple[int, int]) -> DataFrame:
-    """Distinct pairs (a, b) of different components in one bucket whose signatures agree nearly as often as
-    the threshold asks; b's rank among such partners of a in the block is in ``window``."""
-    marked = members.join(component, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    open_ = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / _BLOCK).cast("int").alias("blocks"))
-    rows = marked.join(open_, "key").join(signs, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # each row goes to every pair of blocks that its own is part of; buckets of one block, nearly all, go once
+def _same(p: np.ndarray, q: np.ndarray) -> int:
+    both = np.concatenate([p, q])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _blocks(members: DataFrame, signs: DataFrame, component: DataFrame) -> DataFrame:
+    """(key, band, i, j, rep, component, marks, low): rows of buckets with several components, in pairs of blocks.
+    Buckets of one block, nearly all, come once; a row of a larger one comes with each other block."""
+    marked = members.join(component, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    counts = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    blocks = F.greatest(F.ceil(F.col("n") / _BLOCK), F.ceil(F.col("size") / _BLOCK_SHINGLES)).cast("int")
+    several = counts.where("lo <> hi").select("key", blocks.alias("blocks"))
+    rows = marked.join(several, "key").join(signs, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component", "low")
-    kind = dict(members.dtypes)["rep"]
+    return rows.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component", "marks", "low")
+
+
+def _near_pairs(group: pa.Table, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, later rows of other components whose signature agrees), each pair in the bucket of its first common band."""
+    marks = np.frombuffer(b"".join(group["marks"].to_pylist()), np.uint32).reshape(-1, BANDS)
+    low = np.frombuffer(b"".join(group["low"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    _, comp = np.unique(np.array(group["component"].to_pylist()), return_inverse=True)
+    band = group["band"][0].as_py()
+    largest = np.bincount(comp).argmax()
+    # a pair of two components has a row outside the largest one: those rows look at all others, and at one another once
+    outside = np.flatnonzero(comp != largest)
+    turn = np.full(len(comp), len(comp))
+    turn[outside] = np.arange(len(outside))
+    for n, x in enumerate(outside):
+        near = np.flatnonzero((comp != comp[x]) & (turn > n))
+        if len(near):
+            near = near[(low[near] == low[x]).sum(1) >= least]
+        if len(near) and band:
+            near = near[~(marks[near, :band] == marks[x, :band]).any(1)]
+        if len(near):
+            yield x, near
+
+
+def _least_agreeing(threshold: float) -> int:
     hashes = BANDS * ROWS
-    least = int(np.floor(hashes * (threshold - 5.5 * np.sqrt(threshold * (1 - threshold) / hashes))))
+    return int(np.floor(hashes * (threshold - 5.5 * np.sqrt(threshold * (1 - threshold) / hashes))))
+
+
+def _open_rows(blocks: DataFrame, threshold: float) -> DataFrame:
+    """The rows of ``blocks`` that have a partner of another component there."""
+    least, kind = _least_agreeing(threshold), dict(blocks.dtypes)["rep"]
+
+    def find(group: pa.Table) -> pa.Table:
+        hit = np.zeros(group.num_rows, bool)
+        for x, near in _near_pairs(group, least):
+            hit[x] = True
+            hit[near] = True
+        return group.select(["key", "i", "j", "rep"]).filter(pa.array(hit))
 
-    def agree(group: pa.Table) -> pa.Table:
-        rep, comp = (np.asarray(group[c].to_pylist(), dtype=object if kind == "string" else None) for c in ("rep", "component"))
-        low = np.frombuffer(b"".join(group["low"].to_pylist()), np.uint8).reshape(len(rep), hashes)
-        order = np.argsort(rep, kind="stable")
-        rep, comp, low = rep[order], comp[order], low[order]
+    return blocks.groupBy("key", "i", "j").applyInArrow(find, f"key long, i int, j int, rep {kind}")
+
+
+def _links(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between components, verified on full sets (``hashes``), as many as join the components of each block."""
+    least, percent, kind = _least_agreeing(threshold), round(threshold * 100), dict(rows.dtypes)["rep"]
+
+    def find(group: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint64) for x in group["hashes"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        parent = np.unique(np.array(group["component"].to_pylist()), return_inverse=True)[1]
         a, b = [], []
-        for x in range(len(rep)):
-            agreed = (low == low[x]).sum(1)
-            agreed[x] = 0
-            near = np.flatnonzero(agreed >= least)
-            near = near[np.argsort(-agreed[near], kind="stable")][window[0] : window[1]]
-            near = near[comp[near] != comp[x]]
-            a += [rep[x]] * len(near)
-            b += rep[near].tolist()
-        arrow = group.schema.field("rep").type
-        return pa.table({"a": pa.array(a, arrow), "b": pa.array(b, arrow)})
+        for x, near in _near_pairs(group, least):
+            near = near[100 * np.minimum(size[near], size[x]) >= percent * np.maximum(size[near], size[x])]
+            for y in near:
+                if parent[x] != parent[y]:
+                    same = _same(sets[x], sets[y])
+                    if 100 * same >= percent * (size[x] + size[y] - same):
+                        parent[parent == parent[y]] = parent[x]
+                        a.append(x)
+                        b.append(y)
+        take = lambda r: group["rep"].take(pa.array(r, pa.int64()))
+        return pa.table({"a": take(a), "b": take(b)})
 
-    found = rows.groupBy("key", "i", "j").applyInArrow(agree, f"a {kind}, b {kind}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    return rows.groupBy("key", "i", "j").applyInArrow(find, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -207,28 +252,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, doc
     sets = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     reps = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     held = sets.join(reps, (sets["digest"] == reps["digest"]) & (sets["doc_id"] == reps["rep"]), "left_semi").dropDuplicates(["doc_id"])
-    keys = materialize(held.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")), "bands")
+    keys = materialize(held.select(F.col("doc_id").alias("rep"), "n_shingles", F.posexplode("bands").alias("band", "key")), "bands")
     shared = keys.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(keys.join(shared, "key").select("key", "rep", "least"), "buckets")
+    members = materialize(keys.join(shared.select("key", "least"), "key"), "buckets")
 
     counted = members.where("rep <> least").groupBy(F.col("least").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     best = Window.partitionBy("b").orderBy(F.desc("n"), "a")  # a document has at most as many rows here as bands
     stars = materialize(counted.withColumn("k", F.row_number().over(best)).where("k <= 2").select("a", "b"), "stars")
     ids = lambda p: p.select(F.col("a").alias("rep")).unionByName(p.select(F.col("b").alias("rep"))).distinct()
-    known = materialize(full_sets(source, ids(stars), width), "sets")
-    links = verified(stars, known, threshold)
-    first = materialize(components(links), "components")
-
-    signs = held.select(F.col("doc_id").alias("rep"), "low")
-    for window in _WINDOWS:
-        rest = materialize(_unresolved_pairs(members.select("key", "rep"), signs, first, threshold, window), "pairs")
-        if rest.isEmpty():
-            continue
-        missing = ids(rest).join(known.select("rep"), "rep", "left_anti")
-        if not missing.isEmpty():
-            known = known.unionByName(materialize(full_sets(source, missing, width), "sets"))
+    known = full_sets(source, ids(stars), width)
+    first = materialize(components(verified(stars, materialize(known, "sets"), threshold)), "components")
+
+    signs = held.select(F.col("doc_id").alias("rep"), "marks", "low")
+    blocks = _blocks(members.select("key", "band", "rep", "n_shingles"), signs, first)
+    open_ = materialize(_open_rows(blocks, threshold), "open")
+    if not open_.isEmpty():
+        rest = full_sets(source, open_.select("rep").distinct(), width)
+        links = _links(blocks.join(open_, ["key", "i", "j", "rep"]).join(rest, "rep"), threshold)
         tree = first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        first = materialize(components(tree.unionByName(verified(rest, known, threshold))), "components")
+        first = materialize(components(tree.unionByName(links)), "components")
 
     group = sets.select("doc_id", "digest").join(reps, "digest").join(first, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).distinct()
     grouped = signed.select("doc_id", "n_shingles").join(group, "doc_id", "left")
