@@ -15,7 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 1 << 20
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than the session's defaults, since rows here are whole texts; a setting of the user's stays."""
+    for key, default, value in (("maxBytesPerBatch", "67108864b", "16m"), ("maxRecordsPerBatch", "10000", "4000")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", default) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +46,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     read one result without computing it again.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/loomgrid/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -39,7 +39,7 @@ GRAM = 16
 #: Documents of a bundle have doc_ids in a range of this many.
 BUNDLE = 512
 #: Text per shard of anchors.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Contexts of a block; a block ends with an anchor, but for anchors that fill more than one.
 _BLOCK_ROWS = 1 << 13
 _SLICE, _BATCH = 1 << 18, 8 << 20
@@ -215,8 +215,11 @@ def covered_windows(rows: np.ndarray, sizes: np.ndarray, owner: np.ndarray, anch
         if i and anchor[i] == anchor[i - 1] or j < count and anchor[j - 1] == anchor[j]:
             first = np.full(len(least), -1)
             first[group[::-1]] = cell[::-1]
-            window = rows[i:j].ravel()[first[:, None] + np.arange(length)]
-            window = np.ascontiguousarray(window).view(f"S{length}").ravel()
+            window = np.empty((len(first), length), np.uint8)
+            flat = rows[i:j].ravel()
+            for k in range(length):
+                window[:, k] = flat[first + k]
+            window = window.view(f"S{length}").ravel()
         else:
             window = None
         blocks.append((i, j, cell, group, least, window))
@@ -329,7 +332,7 @@ def _contexts(length: int, shards: int):
             same = (m[start] == h[:, None]) & (at[:, None] + np.arange(-reach, 1) >= 0)
             lo, hi = at - reach + same.argmax(1), at - same[:, ::-1].argmax(1)
             padded = np.concatenate([base, np.zeros(length + reach, np.uint8)])
-            bytes_ = padded[lo[:, None] + np.arange(length + reach)]
+            bytes_ = np.lib.stride_tricks.sliding_window_view(padded, length + reach)[lo]
             bytes_[np.arange(length + reach) >= (hi - lo + length)[:, None]] = 255
             doc = np.searchsorted(own, at, side="right") - 1
             parts.append((k, (ids[i + doc] % BUNDLE).astype(np.uint16), (lo - own[doc]).astype(np.uint32), (hi - lo).astype(np.uint8), bytes_))
