@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions import vectors as V
+from loomgrid.sources.stored import shared_dir, stored
 
 #: Nodes up to which a solver may run on the driver; beyond, fixed-point rounds over the edge table.
 DRIVER_NODES = 2_000
@@ -125,6 +126,7 @@ def degree(edges: DataFrame) -> DataFrame:
 
 def normalized(edges: DataFrame) -> DataFrame:
     """(s, t, w): w over the roots of both degrees; nodes of no degree have no edges."""
+    edges = stored(edges, "edges")  # read three times
     deg = degree(edges).where("deg > 0")
     a, b = deg.select("s", F.col("deg").alias("ds")), deg.select(F.col("s").alias("t"), F.col("deg").alias("dt"))
     return edges.join(a, "s").join(b, "t").select("s", "t", (F.col("w") / F.sqrt(F.col("ds") * F.col("dt"))).alias("w"))
@@ -137,8 +139,8 @@ def check_weights(edges: DataFrame) -> None:
 
 def propagate(s: DataFrame, labels: DataFrame, alpha: float, rounds: int) -> DataFrame:
     """(node, cls, f): ``rounds`` times f = alpha S f + (1 - alpha) y, from f = y. ``labels`` (node, cls, y)."""
-    s = s.persist()  # each round reads both
-    y = labels.select("node", "cls", F.col("y").cast("double").alias("y")).persist()
+    s = stored(s, "affinities")  # each round reads both
+    y = stored(labels.select("node", "cls", F.col("y").cast("double").alias("y")), "labels")
     f = y.select("node", "cls", F.col("y").alias("f"))
     own = y.select("node", "cls", ((1 - alpha) * F.col("y")).alias("f"))
     for _ in range(rounds):
@@ -173,24 +175,22 @@ def lgc(edges: DataFrame, labels: DataFrame, mu: float, tolerance: float = 1e-8,
     if edges.select("s").distinct().count() <= DRIVER_NODES:
         m, nodes, y, classes = _dense(s, labels)
         return _long(edges.sparkSession, nodes, classes, (1 - alpha) * np.linalg.solve(np.eye(len(nodes)) - alpha * m, y) if nodes else y)
-    s = s.persist()
-    y = labels.select("node", "cls", F.col("y").cast("double").alias("y"))
+    shared_dir(edges.sparkSession)
+    s = stored(s, "affinities")
+    y = stored(labels.select("node", "cls", F.col("y").cast("double").alias("y")), "labels")
     own = y.select("node", "cls", ((1 - alpha) * F.col("y")).alias("f"))
     f = y.select("node", "cls", F.col("y").alias("f"))
-    try:
-        for n in range(most_rounds):
-            spread = s.join(f.withColumnRenamed("node", "t"), "t").select(F.col("s").alias("node"), "cls", (alpha * F.col("w") * F.col("f")).alias("f"))
-            new = spread.unionByName(own).groupBy("node", "cls").agg(F.sum("f").alias("f"))
-            if n % every == every - 1:
-                new = new.checkpoint()
-                moved = new.join(f.withColumnRenamed("f", "g"), ["node", "cls"], "left").agg(F.max(F.abs(F.col("f") - F.coalesce("g", F.lit(0.0))))).first()[0]
-                f = new
-                if moved is None or moved <= tolerance:
-                    break
+    for n in range(most_rounds):
+        spread = s.join(f.withColumnRenamed("node", "t"), "t").select(F.col("s").alias("node"), "cls", (alpha * F.col("w") * F.col("f")).alias("f"))
+        new = spread.unionByName(own).groupBy("node", "cls").agg(F.sum("f").alias("f"))
+        if n % every == every - 1:
+            new = new.checkpoint()
+            moved = new.join(f.withColumnRenamed("f", "g"), ["node", "cls"], "left").agg(F.max(F.abs(F.col("f") - F.coalesce("g", F.lit(0.0))))).first()[0]
             f = new
-        return f
-    finally:
-        s.unpersist()
+            if moved is None or moved <= tolerance:
+                break
+        f = new
+    return f
 
 
 def label_solve(edges: DataFrame, labels: DataFrame, alpha: float) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions import vectors as V
 from loomgrid.operators import neighbourhood
+from loomgrid.sources.stored import stored
 
 #: A distance from here on can't win a pixel.
 FAR = 10000.0
@@ -238,7 +239,8 @@ def segment(pixels: DataFrame, k: int, compactness: float = 4.0, merging: bool =
     h, w = neighbourhood.extent(pixels)
     step = grid_step(h, w, k)
     area = neighbourhood.manifold_area(pixels, compactness, step)
-    pixels = pixels.join(area.select("p", "area"), "p").persist()
+    pixels = stored(pixels.join(area.select("p", "area"), "p"), "pixels").persist()
+    area = pixels.select("i", "j", "area")
     try:
         seed = move_seeds(seeds(pixels, step), neighbourhood.gradient(pixels))
         schema = "c int, i int, j int, area double, scale double, v array<double>, lcmr array<double>"
@@ -258,7 +260,7 @@ def segment(pixels: DataFrame, k: int, compactness: float = 4.0, merging: bool =
                 parts = split(clusters.select("c", "i", "j", "area", "scale"), step, lsr, h, w)
                 own = clusters.select(F.col("c").alias("old"), F.col("v").alias("v0"), F.col("lcmr").alias("l0"))
                 filled = parts.join(own, "old").join(at.drop("area"), ["i", "j"], "left")
-                changed = F.col("old").isin([]) | (F.count(F.lit(1)).over(Window.partitionBy("old")) > 1)
+                changed = F.count(F.lit(1)).over(Window.partitionBy("old")) > 1
                 filled = filled.withColumn("four", changed).select("c", "old", "child", "i", "j", "area", "scale", F.when(F.col("four"), F.col("v")).otherwise(F.col("v0")).alias("v"), F.when(F.col("four"), F.col("lcmr")).otherwise(F.col("l0")).alias("lcmr"))
                 rows = filled.collect()  # the cluster table
                 first = {r["old"]: r["c"] for r in rows if r["child"] == 0}
@@ -267,7 +269,7 @@ def segment(pixels: DataFrame, k: int, compactness: float = 4.0, merging: bool =
                     touching.setdefault(first.get(r["src"], -1), set()).add(first.get(r["dst"], -1))
                 merged = merge([Cluster(r["c"], r["i"], r["j"], r["area"], r["scale"], np.array(r["v"]), np.array(r["lcmr"])) for r in rows], touching, lsr)
                 clusters = spark.createDataFrame([(n, x.i, x.j, float(x.area), float(x.scale), x.v.tolist(), x.lcmr.tolist()) for n, x in enumerate(merged)], schema)
-            labels = assign(pixels, clusters, step, compactness).join(pixels.select("p", "i", "j"), "p").persist()
+            labels = stored(assign(pixels, clusters, step, compactness).join(pixels.select("p", "i", "j"), "p"), "labels")
             new = update(pixels, labels)
             err = residual(clusters, new).first()["err"]
             ratio = 1.0 if err == 0 else 0.0 if math.isinf(last) else err / last
@@ -277,6 +279,6 @@ def segment(pixels: DataFrame, k: int, compactness: float = 4.0, merging: bool =
             spot = lambda x, n: F.greatest(F.least(F.col(f"{x}0") + nudge, F.lit(n - 3)), F.lit(0))
             rows = fill.select("c", F.coalesce("i", spot("i", h)).alias("i"), F.coalesce("j", spot("j", w)).alias("j"), F.coalesce("area", F.lit(lsr / 4.5)).alias("area"), "scale", F.coalesce("v", "v0").alias("v"), F.coalesce("lcmr", "l0").alias("lcmr"))
             clusters = spark.createDataFrame(rows.orderBy("c").collect(), schema)
-        return enforce_connectivity(labels, h, w, count, least)
+        return stored(enforce_connectivity(labels, h, w, count, least), "superpixels")
     finally:
         pixels.unpersist()

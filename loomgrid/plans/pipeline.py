@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.operators import evaluate, features, graph, lcmr, reduce, segment, stats
 from loomgrid.sources.raster import bands, from_scene
+from loomgrid.sources.stored import stored
 
 #: Superpixels asked for, and the ranges of the feature mix and of the log10 spatial decay, by scene.
 SCENE_PARAMETERS = {
@@ -59,9 +60,10 @@ def describe(raster: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, D
 
 def classify(raster: DataFrame, config: Config) -> DataFrame:
     """(run, metric, cls, value): oa, kappa and recall by class of each run on a raster with ``gt`` and superpixels ``sp``."""
-    raster = raster.persist()
+    raster = stored(raster, "raster")
     mean, weighted, centroids = describe(raster, config)
-    edges = graph.fcf_graph(mean, weighted, centroids, config.sigma, config.sigma_l, config.mix, config.neighbours).persist()
+    edges = graph.fcf_graph(mean, weighted, centroids, config.sigma, config.sigma_l, config.mix, config.neighbours)
+    edges = stored(edges, "graph")
     nodes = raster.select(F.col("sp").alias("node")).distinct()
     out = None
     for run in range(config.runs):
@@ -80,7 +82,7 @@ def classify(raster: DataFrame, config: Config) -> DataFrame:
 
 def run_pipeline(raster: DataFrame, config: Config) -> DataFrame:
     """From a raster (p, i, j, gt, v) to the runs' metrics."""
-    pc = reduce.pca(raster, config.pca_variance).persist()
+    pc = stored(reduce.pca(raster, config.pca_variance), "components")
     logs = lcmr.log_matrices(reduce.mnf(raster, config.components), "mnf", config.window, config.window_neighbours)
     pixels = pc.select("p", "i", "j", F.col("pc").alias("v")).join(logs, "p")
     superpixels = segment.segment(pixels, config.superpixels, config.compactness, config.merging)
