@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgrid.sources.stored import shared_dir, stored  # noqa: F401
+
 #: Bytes of text that a numpy kernel works on at once; bounds temporary arrays whatever the batch holds.
 SLICE_BYTES = 1 << 20
 
@@ -27,39 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    found = "file://" + tempfile.mkdtemp(prefix="loomgrid-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage with files that survive lost executors, and lets several later plans
-    read one result without computing it again.
-    """
-    spark = df.sparkSession
-    bounded_batches(spark)
-    path = f"{shared_dir(spark)}/loomgrid/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete tables made by :func:`materialize` that no later plan reads."""
-    for df in frames:
-        jvm = df.sparkSession.sparkContext._jvm
-        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        for f in df.inputFiles():
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(conf).delete(path, False)
+    """:func:`loomgrid.sources.stored.stored`, in batches of bounded size."""
+    bounded_batches(df.sparkSession)
+    return stored(df, label)
 
 
 def null_to_empty(column: pa.Array) -> pa.Array:
