@@ -217,7 +217,8 @@ def fold_words_sql(word: Column, ranks: dict[bytes, int], buckets: int = 1 << 16
 
     def rank_of(piece: Column) -> Column:
         bucket = F.element_at(literal, (F.pmod(F.xxhash64(piece), F.lit(buckets)) + 1).cast("int"))
-        return F.regexp_extract(bucket, F.concat(F.lit("(?:^|;)"), F.hex(piece), F.lit(":([0-9]+)")), 1).cast("int")
+        entry = F.get(F.filter(F.split(bucket, ";"), lambda e: F.substring_index(e, ":", 1) == F.hex(piece)), F.lit(0))
+        return F.substring_index(entry, ":", -1).cast("int")
 
     def merge(parts: Column, _: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(rank_of(F.concat(F.element_at(parts, i), F.element_at(parts, i + 1))).alias("r"), i.alias("i")))

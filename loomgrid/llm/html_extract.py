@@ -13,8 +13,8 @@
 Pages whose article is explicit keep all its lines whatever the alignment says, so only the others
 are joined with their deletions and no page's text is shuffled in vain.
 
-Null or empty html has empty text. Null urls share one nameless host. Repeated rows stay, and pair
-with one another: only unmarked lines can then be deleted. Extra columns are dropped but ``keep``.
+Null or empty html has empty text. Null urls share one nameless host. A copy of a page says nothing
+about what belongs to its site, so pages of equal lines aren't paired. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -203,7 +203,7 @@ def parse(pages: DataFrame, url: str, body: str) -> DataFrame:
 
 def _aligned(before: tuple | None, this: tuple, after: tuple | None) -> list[int]:
     """Shared lines of ``this`` = (rid, host, path, hashes) with the nearer of its neighbours."""
-    near = [p for p in (before, after) if p is not None and p[1] == this[1]]
+    near = [p for p in (before, after) if p is not None and p[1] == this[1] and p[3] != this[3]]
     if not near:
         return []
     return shared_lines(this[3], max(near, key=lambda p: _prefix(p[2], this[2]))[3])
