@@ -134,17 +134,42 @@ class Encoder:
         return self.words.spell(first) + b"".join(map(self.words.__getitem__, rest))
 
 
+class Decoder:
+    """Concatenates the pieces of ids, cut from one buffer."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        ordered = [b""] * (max(ranks.values(), default=-1) + 1)
+        for piece, rank in ranks.items():
+            ordered[rank] = piece
+        self.size = np.array([len(p) for p in ordered], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(ordered), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        n = self.size[ids]
+        into = np.cumsum(n) - n
+        return self.data[np.repeat(self.start[ids] - into, n) + np.arange(n.sum())].tobytes()
+
+
 _encoders: dict[tuple, Encoder] = {}
-_pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+_decoders: dict[int, Decoder] = {}
+
+
+def _decoder(ranks: dict[bytes, int]) -> Decoder:
+    if id(ranks) not in _decoders:
+        _decoders.clear()
+        _decoders[id(ranks)] = Decoder(ranks)
+    return _decoders[id(ranks)]
 
 
-def encode(df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default: all but ``text``) and ``ids`` array<int>.
+def encode(df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, ids: str = "ids", keep: list[str] | None = None, verify: str | None = None) -> DataFrame:
+    """Columns ``keep`` (default: all but ``text``) and ``ids`` array<int>; with ``verify`` a column of that name
+    that says whether decoding the ids gives the text's bytes again.
 
     Null and empty texts have an empty array. Columns of ``df`` named like ``ids`` are replaced.
     Map-only: no shuffle, one pass, any row may be recomputed alone.
     """
-    keep = [c for c in (df.columns if keep is None else keep) if c not in (text, ids)]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (text, ids, verify)]
     shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,11 +180,16 @@ def encode(df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, ids:
         enc = _encoders[key]
         for b in batches:
             at = b.schema.get_field_index("__text")
-            rows = [np.frombuffer(enc(t) if t else b"", np.int32) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if i != at), _lists(rows)], names=[*keep, ids])
+            texts = b.column(at).to_pylist()
+            rows = [np.frombuffer(enc(t) if t else b"", np.int32) for t in texts]
+            made = [_lists(rows)]
+            if verify:
+                back = _decoder(shared.value[0])
+                made.append(pa.array([back(r) == (t or "").encode() for r, t in zip(rows, texts, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if i != at), *made], names=[*keep, ids, *[verify] * bool(verify)])
 
     held = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
-    return held.mapInArrow(run, _schema(df, keep) + f"`{ids}` array<int>")
+    return held.mapInArrow(run, _schema(df, keep) + f"`{ids}` array<int>" + (f", `{verify}` boolean" if verify else ""))
 
 
 def decode(df: DataFrame, ids: str, ranks: dict[bytes, int], out: str = "decoded") -> DataFrame:
@@ -168,23 +198,10 @@ def decode(df: DataFrame, ids: str, ranks: dict[bytes, int], out: str = "decoded
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(shared.value)
-        if key not in _pieces:
-            _pieces.clear()
-            ordered = [b""] * (max(shared.value.values(), default=-1) + 1)
-            for piece, rank in shared.value.items():
-                ordered[rank] = piece
-            ends = np.cumsum([len(p) for p in ordered])
-            _pieces[key] = np.frombuffer(b"".join(ordered), np.uint8), ends - [len(p) for p in ordered], np.array([len(p) for p in ordered])
-        data, start, size = _pieces[key]
+        back = _decoder(shared.value)
         for b in batches:
             at = b.schema.get_field_index("__ids")
-            rows = []
-            for row in b.column(at):
-                x = row.values.to_numpy(zero_copy_only=False) if row.is_valid else np.zeros(0, np.int64)
-                n = size[x]
-                into = np.cumsum(n) - n
-                rows.append(data[np.repeat(start[x] - into, n) + np.arange(n.sum())].tobytes())
+            rows = [back(row.values.to_numpy(zero_copy_only=False)) if row.is_valid else b"" for row in b.column(at)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if i != at), pa.array(rows, pa.binary())], names=[*keep, out])
 
     held = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{ids}`").alias("__ids"))
