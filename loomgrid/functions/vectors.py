@@ -44,3 +44,23 @@ def gaussian(d2: Column, sigma: float) -> Column:
 
 def decay(d: Column, sigma: float) -> Column:
     return F.exp(-d / F.lit(sigma))
+
+
+def logarithms(x: Column) -> Column:
+    """Natural logarithm of each element."""
+    return F.transform(x, lambda v: F.ln(v))
+
+
+def round_away(x: Column) -> Column:
+    """To the nearest integer, halves away from zero: places of updated clusters."""
+    return F.round(x).cast("int")
+
+
+def round_even(x: Column) -> Column:
+    """To the nearest integer, halves to the even one: offsets of split and merged clusters."""
+    return F.bround(x).cast("int")
+
+
+def truncated(x: Column) -> Column:
+    """Towards zero: grid steps and colours."""
+    return x.cast("int")

@@ -11,6 +11,12 @@ def tested(pixels: DataFrame, sample: DataFrame) -> DataFrame:
     return pixels.where("gt > 0").join(sample.select("p"), "p", "left_anti")
 
 
+def mask_sampled(raster: DataFrame, sample: DataFrame) -> DataFrame:
+    """The raster with sampled pixels as background."""
+    mark = sample.select("p", F.lit(True).alias("sampled"))
+    return raster.join(mark, "p", "left").withColumn("gt", F.when(F.col("sampled"), 0).otherwise(F.col("gt"))).drop("sampled")
+
+
 def back_project(raster: DataFrame, nodes: DataFrame, label: str = "sp", cls: str = "cls") -> DataFrame:
     """The raster with ``pred``, its superpixel's class; null where the superpixel has none."""
     own = nodes.select(F.col("sp").alias(label), F.col(cls).alias("pred"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +108,37 @@ def boundary(raster: DataFrame, label: str = "sp", wrap: bool = False) -> DataFr
     return near.join(other, ["ni", "nj"], "left").groupBy("p").agg(F.coalesce(F.max(F.col("dst") != F.col("own")), F.lit(False)).alias("edge"))
 
 
+def blur(raster: DataFrame, sigma: float = 0.1, truncate: float = 4.0) -> DataFrame:
+    """(p, i, j, v): Gaussian smoothing along rows, columns and bands with mirrored borders. The kernel reaches
+    int(truncate * sigma + 0.5) pixels, so the default sigma leaves the raster as it is."""
+    reach = int(truncate * sigma + 0.5)
+    if not reach:
+        return raster.select("p", "i", "j", "v")
+    h, w = extent(raster)
+    kernel = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
+    kernel = [k / sum(kernel) for k in kernel]
+    weights = F.array(*map(F.lit, kernel))
+    depth = F.size("v")
+    own = raster.select("p", "i", "j", F.transform("v", lambda x, k: F.aggregate(F.sequence(F.lit(-reach), F.lit(reach)), F.lit(0.0), lambda a, o: a + F.get(weights, o + reach) * F.get("v", F.when(k + o < 0, -1 - k - o).when(k + o >= depth, 2 * depth - 1 - k - o).otherwise(k + o)))).alias("v"))
+    for step, n, (a, b) in (("ni", h, (1, 0)), ("nj", w, (0, 1))):
+        near = offsets(own.select("p", "i", "j"), [(a * o, b * o) for o in range(-reach, reach + 1)]).withColumn(step, mirror(F.col(step), n))
+        other = own.select(F.col("i").alias("ni"), F.col("j").alias("nj"), "v")
+        each = near.join(other, ["ni", "nj"]).select("p", "i", "j", F.get(weights, F.col("o")).alias("g"), F.posexplode("v").alias("k", "x"))
+        summed = each.groupBy("p", "i", "j", "k").agg(F.sum(F.col("g") * F.col("x")).alias("x"))
+        own = summed.groupBy("p", "i", "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda y: y["x"]).alias("v"))
+    return own
+
+
+def window_vectors(raster: DataFrame, size: int) -> DataFrame:
+    """(p, off, q, v, u): the vectors of each pixel's mirrored window, column by column, as they are and at unit length."""
+    h, w = extent(raster)
+    half = size // 2
+    near = offsets(raster.select("p", "i", "j"), [(r - half, c - half) for c in range(size) for r in range(size)])
+    near = near.withColumn("ni", mirror(F.col("ni"), h)).withColumn("nj", mirror(F.col("nj"), w))
+    other = raster.select(F.col("i").alias("ni"), F.col("j").alias("nj"), F.col("p").alias("q"), "v", V.normalized(F.col("v")).alias("u"))
+    return near.join(other, ["ni", "nj"]).select("p", F.col("o").alias("off"), "q", "v", "u")
+
+
 def window_neighbours(raster: DataFrame, size: int, keep: int) -> DataFrame:
     """(p, rank, off, q, cor): of the mirrored size x size window around each pixel, column by column, the ``keep``
     pixels of largest cosine with the centre; ties go to the smaller offset. For small windows; the tiled kernel of

@@ -90,6 +90,12 @@ def split(clusters: DataFrame, step: int, lsr: float, height: int, width: int, m
     return out.select((F.col("base") + F.col("x.child")).cast("int").alias("c"), "old", "x.child", "x.i", "x.j", "x.area", "x.scale")
 
 
+def remap(labels: DataFrame, parts: DataFrame) -> DataFrame:
+    """(p, c) after a split: an old label becomes its cluster's first child."""
+    first = parts.where("child = 0").select(F.col("old").alias("c"), F.col("c").alias("new"))
+    return labels.join(first, "c").select("p", F.col("new").alias("c"))
+
+
 def assign(pixels: DataFrame, clusters: DataFrame, step: int, compactness: float, a1: float = 0.5, a2: float = 0.5) -> DataFrame:
     """(p, c, dist): the nearest of the clusters whose box holds the pixel, the lowest of equal ones; none at FAR or beyond.
 

@@ -195,6 +195,37 @@ def _(spark, raster):
     return stats.scale_features(features.mean_feature(bands(raster)), "mu").select("sp", "k", r6("f"))
 
 
+@query("natural_log", "SELECT p, k, round(ln(abs(x) + 1), 6) y FROM bands")
+def _(spark, raster):
+    return raster.select("p", F.posexplode(V.logarithms(F.transform("v", lambda x: F.abs(x) + 1))).alias("k", "y")).select("p", "k", r6("y"))
+
+
+@query("rounding_modes", "SELECT p, cast(round(p / 2.0 - 3.5) AS int) away, cast(round_even(p / 2.0 - 3.5, 0) AS int) even, cast(trunc(p / 2.0 - 3.5) AS int) cut FROM raster")
+def _(spark, raster):
+    x = F.col("p") / 2.0 - 3.5
+    return raster.select("p", V.round_away(x).alias("away"), V.round_even(x).alias("even"), V.truncated(x).alias("cut"))
+
+
+@query("gaussian_blur", "SELECT p, k, round(x, 6) x FROM bands")
+def _(spark, raster):
+    return bands(neighbourhood.blur(raster)).select("p", "k", r6("x"))
+
+
+@query("window_vectors", "SELECT q.p, q.off, b.p q, list_transform(b.u[1:4], lambda x: round(x, 6)) u FROM win q JOIN unit b ON b.p = q.q")
+def _(spark, raster):
+    return neighbourhood.window_vectors(raster, 3).select("p", "off", "q", F.transform(F.slice("u", 1, 4), lambda x: F.round(x, 6)).alias("u"))
+
+
+@query("band_selection", "SELECT p, round(v[20], 6) b0, round(v[16], 6) b1, round(v[13], 6) b2 FROM raster")
+def _(spark, raster):
+    return raster.select("p", *(r6(f"b{n}", F.element_at("v", k + 1)) for n, k in enumerate((19, 15, 12))))
+
+
+@query("rgb_stretch", "SELECT p, r, g, b FROM rgb")
+def _(spark, raster):
+    return render.stretch(raster, (19, 15, 12)).select("p", "r", "g", "b")
+
+
 # -- segmentation ---------------------------------------------------------------------------------
 
 
@@ -300,6 +331,19 @@ def _(spark, raster):
     return segment.residual(*_updated(raster)).select(r6("err"))
 
 
+@query("cluster_lookup", "SELECT c, list_transform(v, lambda x: round(x, 6)) v FROM seeds")
+def _(spark, raster):
+    return segment.seeds(raster, STEP).select("c", "i", "j").join(raster.select("i", "j", "v"), ["i", "j"]).select("c", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+
+
+@query("split_remap", "SELECT p, cast(c + 3 * ((c + 2) // 3) AS int) c FROM assigned WHERE c IS NOT NULL")
+def _(spark, raster):
+    """Every third cluster, from the first on, is split."""
+    _, clusters, labels = _assigned(raster)
+    marked = clusters.select("c", "i", "j", F.lit(9.0).alias("area"), F.when(F.col("c") % 3 == 0, 0.1).otherwise(0.9).alias("scale"))
+    return segment.remap(labels.select("p", "c"), segment.split(marked, STEP, 4.0, *neighbourhood.extent(raster)))
+
+
 @query("compaction", "SELECT c, cast(row_number() OVER (ORDER BY c) - 1 AS int) AS new FROM seeds WHERE c % 3 <> 1")
 def _(spark, raster):
     return segment.compact(segment.seeds(raster, STEP).withColumn("alive", F.col("c") % 3 != 1))
@@ -482,6 +526,16 @@ def _(spark, raster):
     return _pred(raster).select("p", "gt", "pred")
 
 
+@query("test_pixels", "SELECT p, gt, pred FROM tested")
+def _(spark, raster):
+    return _tested(raster).select("p", "gt", "pred")
+
+
+@query("mask_training", "SELECT p, CASE WHEN p IN (SELECT p FROM sample) THEN 0 ELSE gt END gt FROM raster")
+def _(spark, raster):
+    return evaluate.mask_sampled(raster, _sample(raster)).select("p", "gt")
+
+
 @query(
     "accuracy_coverage",
     """SELECT o count_out, n count_in, round(hit / n, 6) accuracy, round(n / o, 6) coverage FROM (SELECT count(*) FILTER (gt <> 0) o, count(*) FILTER (gt <> 0 AND pred <> 0) n,
