@@ -2,7 +2,7 @@
 
 1. Each page becomes text lines, one per block, with what its markup says of them: boilerplate
    (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles), inside
-   an explicit article, or unmarked.
+   an explicit article (else the main element), or unmarked.
 2. Pages are range-sorted by host and URL path, so a host of any size is spread over many tasks.
    Each page is paired with the neighbour of its host whose path shares the longer prefix, and the
    two pages' lines are aligned by longest common subsequence, over 64-bit hashes of the lines.
@@ -52,19 +52,27 @@ _MARKS = {
     "toolbar", "comment", "comments", "disqus", "respond", "reply", "replies", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe",
     "subscription", "signup", "login", "search", "form", "widget", "pagination", "pager", "copyright", "legal", "disclaimer", "skip", "toc",
 }
-_HEADER_MARKS = {"header", "siteheader", "pageheader"}
+#: Whole names of a site's header, those of a comment that is an article element, and beginnings of names that speak of a layout.
+_HEADER_MARKS = {"header", "siteheader", "pageheader", "mainheader", "globalheader", "topheader"}
+_ASIDE_ARTICLES = {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo", "related"}
+_LAYOUT = ("no-", "has-", "with-", "without-", "layout-", "is-")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 
-BOILERPLATE, UNMARKED, ARTICLE = 0, 1, 2
+#: What the markup says of a line; in a header inside main or article the kind is negative, and only headings count.
+BOILERPLATE, UNMARKED, MAIN, ARTICLE = 0, 1, 2, 3
 
 
-def _marks(attributes: str) -> set[str]:
-    if not attributes:
-        return set()
+def _marks(attributes: str) -> tuple[set[str], set[str]]:
+    """(words, whole names) of class, id and role."""
     words: set[str] = set()
-    for _, a, b, c in _ATTR.findall(attributes):
-        for name in re.split(r"\s+", (a or b or c).lower()):
-            words |= {name.replace("-", "").replace("_", ""), *re.split(r"[-_:]+", name)}
-    return words
+    names: set[str] = set()
+    for _, a, b, c in _ATTR.findall(attributes) if attributes else ():
+        for name in (a or b or c).split():
+            name = re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()
+            if not name.startswith(_LAYOUT):
+                names.add(re.sub(r"[-_]", "", name))
+                words |= {*names, *re.split(r"[-_:]+", name)}
+    return words, names
 
 
 def page_lines(page: str) -> list[tuple[str, int]]:
@@ -76,7 +84,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
 
     def flush() -> None:
         if held and (line := " ".join(html.unescape("".join(held)).split())):
-            out.append((line, held_kind))
+            out.append((line, max(held_kind, BOILERPLATE)))
         held.clear()
 
     def text(t: str) -> None:
@@ -122,15 +130,18 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             stack.pop()  # a block ends an open paragraph
             kind = stack[-1][1] if stack else UNMARKED
         new = kind
-        marks = _marks(attributes)
-        if kind != BOILERPLATE:
-            inside = kind == ARTICLE
-            if name in _SKIP or marks & _MARKS and name not in ("html", "body", "article", "main"):
+        words, names = _marks(attributes)
+        if name == "main" or words & {"main"} and "role" in attributes:
+            new = MAIN if kind != ARTICLE else kind
+        elif kind < 0:
+            new = -kind if name in _HEADINGS else kind
+        elif kind != BOILERPLATE:
+            if name == "article" or "articlebody" in names:
+                new = BOILERPLATE if words & _ASIDE_ARTICLES else ARTICLE
+            elif name in _SKIP or name not in ("html", "body") and words & _MARKS or attributes and _HIDDEN.search(attributes):
                 new = BOILERPLATE
-            elif name == "header" or marks & _HEADER_MARKS and name not in ("html", "body", "article", "main"):
-                new = BOILERPLATE if not inside else kind
-            elif name in ("article", "main") or "main" in marks and "role" in attributes or "articlebody" in marks:
-                new = ARTICLE
+            elif name == "header" or name not in ("html", "body") and names & _HEADER_MARKS:
+                new = -kind if kind in (MAIN, ARTICLE) else BOILERPLATE
         kind = new
         stack.append((name, kind))
     if at < len(page):
@@ -189,8 +200,9 @@ def parse(pages: DataFrame, url: str, body: str) -> DataFrame:
             rows = []
             for u, page in zip(b.column(at).to_pylist(), b.column(len(keep)).to_pylist(), strict=True):
                 lines = page_lines(page or "")
-                final = any(k == ARTICLE for _, k in lines)
-                text = "\n".join(t for t, k in lines if k == ARTICLE) if final else None
+                best = max((k for _, k in lines), default=UNMARKED)
+                final = best in (MAIN, ARTICLE)
+                text = "\n".join(t for t, k in lines if k == best) if final else None
                 rows.append((*_place(u), [line_hash(t) for t, _ in lines], text, None if final else [t for t, _ in lines], None if final else [k for _, k in lines]))
             host, path, hashes, text, lines, kinds = ([r[i] for r in rows] for i in range(6))
             made = [pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(text, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32()))]

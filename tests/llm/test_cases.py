@@ -184,6 +184,17 @@ def test_html_cases(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+def test_html_kinds():
+    def text(page):
+        lines = html_extract.page_lines(page)
+        return [t for t, k in lines if k == max(x for _, x in lines)]
+
+    assert text("<main><p>crumb<article><header><h1>T</h1><p>by me</header><p>x<section class='comments'><article class='comment'>c</article></section></article></main>") == ["T", "x"]
+    assert text("<div class='content no-sidebar'><p>a</p></div><div class='rightSidebar'>b</div><div id='site-footer'>c</div><div style='display: none'>d</div>") == ["a"]
+    assert text("<div class='postHeader'><h1>T</h1></div><div class='header'>site</div><p>x</p><div class='user-comments'>y</div>") == ["T", "x"]
+    assert text("<div class=wrapper-form><main><p>kept</main></div>") == ["kept"]
+
+
 def test_alignment_does_not_hang_on_partitions(spark):
     r = random.Random(3)
     rows = [(i, "h" if i % 3 else "g", f"/{r.randrange(30)}", [r.randrange(4) for _ in range(r.randrange(6))]) for i in range(80)]
