@@ -133,7 +133,8 @@ def identify(pages: DataFrame, docs: DataFrame, page_id: str = "page_id", url: s
     kinds = confusion.count() + 1
 
     own = [F.element_at("post", i + 1) for i in range(n)]
-    joined = rows.join(by_host, "host").join(by_suffix, "suffix").join(confusion, "declared", "left")
+    # a declared language has two or three letters, so its table has at most 18,252 rows
+    joined = rows.join(by_host, "host").join(by_suffix, "suffix").join(F.broadcast(confusion), "declared", "left")
     s_total = sum((F.col(f"s{i}") - own[i] for i in range(n)), F.lit(0.0))
     h_total = sum((F.col(f"h{i}") - own[i] for i in range(n)), F.lit(0.0))
     log_post = []

@@ -13,6 +13,8 @@ Postings and templates are literals of fixed size; only those are broadcast.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,15 +87,14 @@ def scan(docs: DataFrame, text: str = "text", rare_words: int = 8, min_votes: in
     found = narrow.select("row", "rid", "n_words", "known", F.when(F.col("words").isNotNull(), F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(vocabulary))).alias("at"), *(_starts(F.col("words"), p).alias(f"p{k}") for k, p in enumerate(phrases)))
     files = materialize(found, "licence-words")
 
-    total = F.broadcast(files.agg(F.count(F.lit(1)).alias("total")))
-    counted = files.select(F.explode("known").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    idf = counted.crossJoin(total).select("w", F.log((F.col("total") + 1) / (F.col("n") + 0.5)).alias("idf"))
-    ranked = idf.agg(F.sort_array(F.collect_list(F.struct((-F.col("idf")).alias("k"), "w"))).alias("by_idf"))  # a row; at most the templates' vocabulary
+    # at most a row for each word of the templates
+    total, counted = files.count(), files.select(F.explode("known").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()
+    by_idf = [w for _, w in sorted((-math.log((total + 1) / (r["n"] + 0.5)), r["w"]) for r in counted)]
     postings = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({t}, {_quoted(w)}, {k})" for t, (_, text_, _) in enumerate(TEMPLATES) for k, w in enumerate(text_.split(" "))) + " AS p(template, w, place)")
 
-    hit = files.where(F.col("at").isNotNull()).crossJoin(F.broadcast(ranked))
-    looked_up = F.slice(F.filter("by_idf", lambda x: F.array_contains("known", x["w"])), 1, rare_words)
-    rare = hit.select("rid", "at", F.transform(looked_up, lambda x: x["w"]).alias("rare"))
+    hit = files.where(F.col("at").isNotNull())
+    looked_up = F.slice(F.filter(F.array(*map(F.lit, by_idf)).cast("array<string>"), lambda w: F.array_contains("known", w)), 1, rare_words)
+    rare = hit.select("rid", "at", looked_up.alias("rare"))
     rare = rare.select("rid", "rare", F.explode(F.filter("at", lambda x: F.array_contains("rare", x["w"]))).alias("x"))
     votes = rare.join(F.broadcast(postings), F.col("x")["w"] == F.col("w")).groupBy("rid", "template", (F.col("x")["i"] - F.col("place")).alias("offset"))
     votes = votes.agg(F.countDistinct("place").alias("votes"), F.first("rare").alias("rare"))
