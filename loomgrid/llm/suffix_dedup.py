@@ -37,7 +37,8 @@ from loomgrid.llm.common import slices, text_buffer
 
 GRAM = 16
 #: Documents of a bundle have doc_ids in a range of this many.
-BUNDLE = 512
+BUNDLE_BITS = 9
+BUNDLE = 1 << BUNDLE_BITS
 #: Text per shard of anchors.
 SHARD_BYTES = 4 << 20
 #: Contexts of a block; a block ends with an anchor, but for anchors that fill more than one.
@@ -446,7 +447,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     shards = int(min(max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // SHARD_BYTES)), 1 << 17))
     source = docs.select(key.alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"), *(F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(rest)))
     usable = source.where("doc_id IS NOT NULL")
-    bundled = usable.withColumn("bundle", F.floor(F.col("doc_id") / F.lit(BUNDLE)).cast("long"))
+    bundled = usable.withColumn("bundle", F.shiftright("doc_id", BUNDLE_BITS))
 
     ask, asked = _ask(length, shards)
     anchored = usable.select("doc_id", "text").mapInArrow(ask, asked)

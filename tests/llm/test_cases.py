@@ -95,6 +95,13 @@ def test_suffix_dedup_cases(spark, odd, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_of_far_ids(spark):
+    text = "a passage that is certainly longer than fifty bytes in all its documents"
+    df = spark.createDataFrame([(-(1 << 60), text), ((1 << 60) + 1, "x" + text), ((1 << 60) + 2, text + "y")], SCHEMA)
+    got = {r["doc_id"]: bytes(r["kept"]).decode() for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == {-(1 << 60): text, (1 << 60) + 1: "x", (1 << 60) + 2: "y"}
+
+
 def test_cut_keeps_whole_characters(spark):
     shared = "é" * 30
     df = spark.createDataFrame([(1, "a" + shared + "b"), (2, "ü" + shared[:25] + "zz" + "é" * 3)], SCHEMA)
