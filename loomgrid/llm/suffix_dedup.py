@@ -26,8 +26,6 @@ part and come back whole. Repeated rows of one doc_id don't remove one another.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -271,15 +269,14 @@ def _asked(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int,
 
 
 def _ask(length: int, shards: int):
-    """Documents -> per (shard, bundle): its distinct anchors, least doc_id of each and whether others of the bundle have it."""
+    """A bundle's documents -> per shard: its distinct anchors, least doc_id of each and whether others of the bundle have it."""
+    names, types = ["shard", "bundle", "low", "off", "many"], [pa.int32(), pa.int64(), *[pa.binary()] * 3]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = text_buffer(b.column(1))
-            ids = b.column(0).to_numpy()
-            for i, j in slices(offsets, _BATCH):
-                if (out := _asked(ids[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, shards)) is not None:
-                    yield out
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
+        ids = docs["doc_id"].to_numpy()
+        data, offsets = text_buffer(docs["text"].combine_chunks())
+        parts = (_asked(ids[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, shards) for i, j in slices(offsets, _BATCH))
+        return pa.Table.from_batches([p for p in parts if p is not None], pa.schema(list(zip(names, types, strict=True))))
 
     return run, "shard int, bundle long, low binary, off binary, many binary"
 
@@ -450,7 +447,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     bundled = usable.withColumn("bundle", F.shiftright("doc_id", BUNDLE_BITS))
 
     ask, asked = _ask(length, shards)
-    anchored = usable.select("doc_id", "text").mapInArrow(ask, asked)
+    anchored = bundled.groupBy("bundle").applyInArrow(ask, asked)  # the same exchange as below, read again
     answers = anchored.groupBy("shard").applyInArrow(_answer, "bundle long, shard int, low binary")
     contexts, sent = _contexts(length, shards)
     dealt = bundled.groupBy("bundle").cogroup(answers.groupBy("bundle")).applyInArrow(contexts, sent)
