@@ -16,6 +16,7 @@ from loomgrid.functions import vectors as V
 from loomgrid.operators import evaluate, features, graph, lcmr, neighbourhood, reduce, render, segment, stats
 from loomgrid.plans.pipeline import Config, classify, run_pipeline
 from loomgrid.sources.raster import bands, from_embeddings
+from loomgrid.sources.stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -453,6 +454,7 @@ def _(spark, raster):
 
 
 def _fcf(raster):
+    raster = stored(raster, "raster")  # read by means, adjacency and centroids
     return graph.fcf_graph(*_nodes(raster), features.centroids(raster), SIGMA, SIGMA_L, MIX)
 
 
