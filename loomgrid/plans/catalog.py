@@ -117,9 +117,11 @@ def _sql(text: str) -> str:
     return f"WITH {views} {text}" if views else text
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, view: Callable[[DataFrame], DataFrame] = from_embeddings):
+    """Registers f(spark, view of ``embeddings``)."""
+
     def register(f: Callable[[SparkSession, DataFrame], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(spark, from_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+        QUERIES[name] = lambda spark, sf_dir: f(spark, view(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
         if sql:
             ORACLE_SQL[name] = _sql(sql)
         return f
@@ -471,12 +473,10 @@ def _(spark, raster):
         list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) d2
         FROM (SELECT vec_id, cast(embedding AS double[]) e FROM embeddings) a JOIN (SELECT vec_id, cast(embedding AS double[]) e FROM embeddings) b ON a.vec_id <> b.vec_id)) WHERE r <= 8)""",
     ),
+    view=lambda embeddings: embeddings,
 )
-def _(spark, raster):
-    raise NotImplementedError  # registered below, over the vectors themselves
-
-
-QUERIES["fcf_m_graph"] = lambda spark, sf_dir: graph.fcf_m_graph(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), SIGMA, 8).select("s", "t", r6("w"))
+def _(spark, embeddings):
+    return graph.fcf_m_graph(embeddings, SIGMA, 8).select("s", "t", r6("w"))
 
 
 @query("degree", "SELECT s, round(deg, 6) deg FROM deg")

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.operators import evaluate, features, graph, lcmr, reduce, segment, stats
+from loomgrid.operators import evaluate, features, graph, lcmr, neighbourhood, reduce, segment, stats
 from loomgrid.sources.raster import bands, from_scene
 from loomgrid.sources.stored import stored
 
@@ -50,10 +50,8 @@ class Config:
 
 def describe(raster: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(means, weighted features, centroids) of the superpixels ``sp`` of a raster with bands ``v``, both scaled to [-1, 1]."""
-    from loomgrid.operators.neighbourhood import adjacency
-
     mean = features.mean_feature(bands(raster.select("p", "sp", "v")))
-    weights = features.neighbour_weights(mean, adjacency(raster), config.h)
+    weights = features.neighbour_weights(mean, neighbourhood.adjacency(raster), config.h)
     weighted = features.weighted_feature(mean, weights)
     return graph.packed(stats.scale_features(mean, "mu"), "f"), graph.packed(stats.scale_features(weighted, "wmu"), "f"), features.centroids(raster)
 
