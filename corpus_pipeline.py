@@ -23,6 +23,18 @@ from loomgrid.llm.common import materialize, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Up to so many ids are sent to the tasks, 8 MB; beyond, documents and ids meet by shuffle.
+SENT_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose doc_id isn't in ``ids``; those with a null doc_id stay."""
+    ids = materialize(ids.select("doc_id").distinct(), "dropped")
+    if ids.count() <= SENT_IDS:
+        ids = F.broadcast(ids)
+    return docs.select(*COLUMNS).join(ids, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(*COLUMNS), model).where(F.col("score") < 0.3).select(*COLUMNS)
@@ -30,8 +42,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(docs.select("doc_id", "text"), width=5, threshold=0.8)
-    dropped = found.where(~F.col("kept")).select("doc_id")
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    return without(docs, found.where(~F.col("kept")))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +54,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    return without(docs, found)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
