@@ -1,10 +1,13 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
 Each text becomes the sequence of its words. The words of the licence templates are counted over
-all documents; per file, its licence words of highest inverse document frequency are looked up in
-the templates' postings, and postings vote for (template, file position less template position).
-A template holds where at least ``min_votes`` words (all, if the template looks up fewer) agree
-on the relative position and each of its mandatory key phrases stands at its aligned place.
+all documents; per file and template, the template's words of highest inverse document frequency
+that the file holds, and all words of its key phrases, are looked up in the template's postings,
+and postings vote for (template, file position less template position). A template holds where at
+least ``min_votes`` words (all of its key phrases, if those have fewer) agree on the relative
+position and each of its mandatory key phrases stands at its aligned place. So no template takes
+look-ups from another, and words that stand elsewhere in the file take no label away. Templates
+without one of their key phrases anywhere in the file can't hold and aren't looked up.
 
 Base phrases are found everywhere as consecutive words. Null and empty texts have no words.
 Rows are told apart by a number of their own, so null or repeated doc_ids are kept as they are.
@@ -92,15 +95,24 @@ def scan(docs: DataFrame, text: str = "text", rare_words: int = 8, min_votes: in
     by_idf = [w for _, w in sorted((-math.log((total + 1) / (r["n"] + 0.5)), r["w"]) for r in counted)]
     postings = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({t}, {_quoted(w)}, {k})" for t, (_, text_, _) in enumerate(TEMPLATES) for k, w in enumerate(text_.split(" "))) + " AS p(template, w, place)")
 
+    def looked_up(t: int) -> Column:
+        """The template and its look-up words in a file; null if a key phrase is nowhere in it."""
+        _, text_, keys = TEMPLATES[t]
+        own, in_keys = text_.split(" "), {w for k in keys for w in k.split(" ")}
+        rare = F.slice(F.filter(F.array(*(F.lit(w) for w in by_idf if w in own)).cast("array<string>"), lambda w: F.array_contains("known", w)), 1, rare_words)
+        found_all = F.lit(True)
+        for k in keys:
+            found_all &= F.size(f"p{phrases.index(k)}") > 0
+        return F.when(found_all, F.struct(F.lit(t).alias("template"), F.array_union(rare, F.array(*map(F.lit, sorted(in_keys)))).alias("rare")))
+
     hit = files.where(F.col("at").isNotNull())
-    looked_up = F.slice(F.filter(F.array(*map(F.lit, by_idf)).cast("array<string>"), lambda w: F.array_contains("known", w)), 1, rare_words)
-    rare = hit.select("rid", "at", looked_up.alias("rare"))
-    rare = rare.select("rid", "rare", F.explode(F.filter("at", lambda x: F.array_contains("rare", x["w"]))).alias("x"))
-    votes = rare.join(F.broadcast(postings), F.col("x")["w"] == F.col("w")).groupBy("rid", "template", (F.col("x")["i"] - F.col("place")).alias("offset"))
+    rare = hit.select("rid", "at", F.explode(F.array_compact(F.array(*map(looked_up, range(len(TEMPLATES)))))).alias("u")).select("rid", "at", "u.template", "u.rare")
+    rare = rare.select("rid", "template", "rare", F.explode(F.filter("at", lambda x: F.array_contains("rare", x["w"]))).alias("x"))
+    votes = rare.withColumn("w", F.col("x")["w"]).join(F.broadcast(postings), ["template", "w"]).groupBy("rid", "template", (F.col("x")["i"] - F.col("place")).alias("offset"))
     votes = votes.agg(F.countDistinct("place").alias("votes"), F.first("rare").alias("rare"))
-    sizes = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({t}, {_quoted(name)}, split({_quoted(text_)}, ' '))" for t, (name, text_, _) in enumerate(TEMPLATES)) + " AS s(template, label, template_words)")
+    sizes = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({t}, {_quoted(name)}, split({_quoted(text_)}, ' '), {sum(len(k.split(' ')) for k in keys)})" for t, (name, text_, keys) in enumerate(TEMPLATES)) + " AS s(template, label, template_words, key_words)")
     expected = F.size(F.filter("template_words", lambda w: F.array_contains("rare", w)))
-    aligned = votes.join(F.broadcast(sizes), "template").select("rid", "template", "offset", "label", (F.col("votes") / expected).alias("share"), (F.col("votes") >= F.least(F.lit(min_votes), expected)).alias("enough")).where("enough")
+    aligned = votes.join(F.broadcast(sizes), "template").select("rid", "template", "offset", "label", (F.col("votes") / expected).alias("share"), (F.col("votes") >= F.least(F.lit(min_votes), "key_words")).alias("enough")).where("enough")
 
     verified = F.lit(False)
     for t, (_, text_, keys) in enumerate(TEMPLATES):

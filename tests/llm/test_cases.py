@@ -167,6 +167,18 @@ def test_license_cases(spark, odd, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_licenses_of_one_file_do_not_crowd_each_other_out(spark):
+    texts = {label: [t for name, t, _ in license_scan.TEMPLATES if name == label] for label, _, _ in license_scan.TEMPLATES}
+    prose = "the software and any files of this project are distributed to every person in a form that is free of restriction"
+    three = " . ".join([texts["apache-2.0"][0], texts["mit"][1], texts["bsd"][0]])
+    # rare words of the Apache notice stand elsewhere; of its aligned words only the key phrase is there
+    scattered = "copy obtain apache http www org licenses file may not use it except in compliance with the license"
+    rows = [(1, three), (2, " x ".join(t for _, t, _ in license_scan.TEMPLATES)), (3, f"{prose} {three} {prose}"), (4, scattered), (5, "mit license of the software released under it"), (6, prose)]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in license_scan.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1] == got[3] == {"apache-2.0", "mit", "bsd"} and got[2] == set(texts)
+    assert got[4] == {"apache-2.0"} and got[5] == {"mit"} and got[6] == {""}
+
+
 def test_decontamination_cases(spark, odd, empty):
     items = spark.createDataFrame([(1, "one two three"), (2, None), (3, ""), (4, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (5, "word0 filler0 word1 filler1 word2 filler2")], "item_id long, text string")
     more = odd.unionByName(spark.createDataFrame([(30, "x ALPHA beta, gamma delta epsilon zeta eta theta iota kappa y"), (31, "alpha beta gamma delta epsilon zeta eta theta other iota kappa")], SCHEMA))
