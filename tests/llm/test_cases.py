@@ -298,6 +298,21 @@ def test_media_finds_edited_copies(spark):
     assert media.copies(df.limit(0)).count() == 0
 
 
+def test_media_copies_behind_an_unrelated_head(spark, monkeypatch):
+    """Image 1 has the descriptors of 2 and 3 at other places and heads all their buckets; 3 is 2, shifted."""
+    rng = np.random.default_rng(17)
+    bits, at = rng.integers(-(1 << 60), 1 << 60, (12, 4)), rng.integers(10, 200, (12, 2))
+    places = {1: rng.permutation(at[:, ::-1] * 3 % 211), 2: at, 3: at + (20, 7)}
+    rows = [(i, bytes([i]), 220, [(int(x), int(y), 0, 0, *map(int, d)) for (x, y), d in zip(p, bits, strict=True)], [[int(d[0]) % 1_000_003 for d in bits]] * 8) for i, p in places.items()]
+    corner = "struct<x:int,y:int,scale:int,turn:int,d0:bigint,d1:bigint,d2:bigint,d3:bigint>"
+    described = spark.createDataFrame(rows, f"image_id long, digest binary, side int, corners array<{corner}>, keys array<array<int>>")
+    monkeypatch.setattr(media, "describe", lambda *_: described)
+    for block in (1024, 1):
+        monkeypatch.setattr(media, "_BLOCK", block, raising=False)
+        got = {r["image_id"]: (r["class_id"], r["n_links"]) for r in media.copies(described).collect()}
+        assert got == {1: (1, 0), 2: (2, 1), 3: (2, 1)}
+
+
 def test_png_decoding():
     import struct
     import zlib
