@@ -298,6 +298,29 @@ def test_media_finds_edited_copies(spark):
     assert media.copies(df.limit(0)).count() == 0
 
 
+def _resized(x, f):
+    for axis in (0, 1):
+        at = np.clip((np.arange(int(x.shape[axis] * f)) + 0.5) / f - 0.5, 0, x.shape[axis] - 1.001)
+        low, part = at.astype(int), at % 1
+        part = part[:, None] if axis == 0 else part
+        x = np.take(x, low, axis) * (1 - part) + np.take(x, low + 1, axis) * part
+    return x
+
+
+def test_media_recall_of_edits(spark):
+    """Edits of several strengths of larger images: copy e of image i has the id 100 (e + 1) + i."""
+    rng = np.random.default_rng(3)
+    n = 8
+    images = [np.clip(128 + 55 * (v @ media._waves(128, 64)) / np.linalg.norm(v), 0, 255).reshape(128, 128) for v in rng.normal(size=(n, 64))]
+    edits = [lambda x: x + rng.normal(0, 10, x.shape), lambda x: media._blur(media._blur(media._blur(x))), lambda x: x[20:84, 50:114], lambda x: _resized(x, 0.75), lambda x: np.rot90(x)]
+    rows = [(i, x) for i, x in enumerate(images)] + [(100 * (e + 1) + i, f(x)) for e, f in enumerate(edits) for i, x in enumerate(images)]
+    df = spark.createDataFrame([(i, media.write_pgm(np.clip(x, 0, 255).round())) for i, x in rows], "image_id long, image binary")
+    got = {r["image_id"]: r["class_id"] for r in media.copies(df).collect()}
+    assert all(got[i] == i for i in range(n))
+    for e in range(len(edits)):
+        assert sum(got[100 * (e + 1) + i] == i for i in range(n)) >= n - 1, e
+
+
 def test_media_copies_behind_an_unrelated_head(spark, monkeypatch):
     """Image 1 has the descriptors of 2 and 3 at other places and heads all their buckets; 3 is 2, shifted."""
     rng = np.random.default_rng(17)
