@@ -4,17 +4,18 @@
    (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles), inside
    an explicit article (else the main element), or unmarked.
 2. Pages are range-sorted by host and URL path, so a host of any size is spread over many tasks.
-   Each page is paired with the neighbour of its host whose path shares the longer prefix, and the
-   two pages' lines are aligned by longest common subsequence, over 64-bit hashes of the lines.
+   Each page is paired with the nearest page of other lines, before or after it, of its host, whose
+   path shares the longer prefix, and the two pages' lines are aligned by longest common subsequence, over 64-bit hashes of the lines.
 3. Lines shared with that page are deleted, but for those inside an explicit article: articles
    repeat whole sentences across pages, and those belong to the text. Marked boilerplate goes in
    any case; it often differs from page to page.
 
-Pages whose article is explicit keep all its lines whatever the alignment says, so only the others
-are joined with their deletions and no page's text is shuffled in vain.
+An explicit article keeps all its lines whatever the alignment says; of all others that aren't
+boilerplate, those in a main element too, the alignment decides. Only pages that have such lines
+are joined with their deletions, so no page's text is shuffled in vain.
 
 Null or empty html has empty text. Null urls share one nameless host. A copy of a page says nothing
-about what belongs to its site, so pages of equal lines aren't paired. Extra columns are dropped.
+about what belongs to its site, so pages of equal lines aren't paired but looked past. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -200,9 +201,8 @@ def parse(pages: DataFrame, url: str, body: str) -> DataFrame:
             rows = []
             for u, page in zip(b.column(at).to_pylist(), b.column(len(keep)).to_pylist(), strict=True):
                 lines = page_lines(page or "")
-                best = max((k for _, k in lines), default=UNMARKED)
-                final = best in (MAIN, ARTICLE)
-                text = "\n".join(t for t, k in lines if k == best) if final else None
+                final = not any(k in (UNMARKED, MAIN) for _, k in lines)
+                text = "\n".join(t for t, k in lines if k == ARTICLE) if final else None
                 rows.append((*_place(u), [line_hash(t) for t, _ in lines], text, None if final else [t for t, _ in lines], None if final else [k for _, k in lines]))
             host, path, hashes, text, lines, kinds = ([r[i] for r in rows] for i in range(6))
             made = [pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(text, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32()))]
@@ -221,62 +221,85 @@ def _aligned(before: tuple | None, this: tuple, after: tuple | None) -> list[int
     return shared_lines(this[3], max(near, key=lambda p: _prefix(p[2], this[2]))[3])
 
 
+def _nearest_outside(line: list[tuple], pid: int, side: int) -> tuple[tuple | None, tuple | None]:
+    """The nearest different rows (rid, host, path, hashes) before and after the first (0) or last (1) run of a partition, from ``line`` = (pid, n, row)."""
+    own = next(row for p, n, row in line if p == pid and n == 4 * side)
+    other = lambda x: x[2][1] != own[1] or x[2][3] != own[3]
+    before = next((x[2] for x in reversed(line) if x[:2] < (pid, 4 * side) and other(x)), None)
+    after = next((x[2] for x in line if x[:2] > (pid, 1 + 4 * side) and other(x)), None)
+    return before, after
+
+
 def shared_with_nearest(rows: DataFrame) -> DataFrame:
-    """(rid, shared) of rows (rid, host, path, hashes): the lines that the nearest page of the host has in the same order.
+    """(rid, shared) of rows (rid, host, path, hashes): the lines that the nearest different page of the host has in the same order.
 
-    Rows at a partition's edges are aligned on the driver: two rows a partition, hashes only.
+    Pages of equal lines in a row are a run and have the same neighbours. For the runs at a partition's edges the driver
+    finds these, from at most six rows a partition, hashes only.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "host", "path", "rid").sortWithinPartitions("host", "path", "rid").withColumn("pid", F.spark_partition_id())
+    types = {"rid": pa.int64(), "shared": pa.list_(pa.int32()), "pid": pa.int32(), "n": pa.int32(), "host": pa.string(), "path": pa.string(), "hashes": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = this = None
-        first, out = True, []
-
-        def emit(before, row, after):
-            out.append((row[0], _aligned(before, row, after) if before and after else None, row[4], *((row[1], row[2], row[3]) if not (before and after) else (None, None, None))))
+        out: list[tuple] = []
+        current: list[tuple[int, str]] = []  # (rid, path) of a run; host and hashes are the same
+        host = hashes = last = pid = None
+        runs = 0
 
         def batch():
-            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64())))], names=["rid", "shared", "pid", "host", "path", "hashes"])
+            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types.values())], names=list(types))
             out.clear()
             return made
 
-        two: list[tuple] = []
+        def note(n, row):
+            out.append((None, None, pid, n, *row[1:]))  # a row without rid serves as a neighbour only
+
+        def close(after):
+            nonlocal last
+            first, end = ((rid, host, path, hashes) for rid, path in (current[0], current[-1]))
+            if runs and after:
+                out.extend((rid, _aligned(last, (rid, host, path, hashes), after), *[None] * 5) for rid, path in current)
+            else:
+                side = 1 if runs else 0
+                out.extend((rid, None, pid, side, host, path, hashes) for rid, path in current)
+                note(4 * side, first)
+                note(4 * side + 1, end)
+                if side:
+                    note(3, last)
+                elif after:
+                    note(2, after)
+            last = end
+
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                two.append(row)
-                if len(two) == 2 and first:
-                    emit(None, two[0], None)  # an edge: its neighbour before is in another partition
-                    edge_next = two[1]
-                    out.append((edge_next[0], None, -1 - edge_next[4], edge_next[1], edge_next[2], edge_next[3]))  # what the edge needs of this side
-                    first = False
-                elif len(two) == 3:
-                    emit(*two)
-                    two.pop(0)
-            if out:
+            for rid, h, path, x, pid in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):  # noqa: B007
+                if current and (h != host or x != hashes):
+                    close((rid, h, path, x))
+                    runs += 1
+                    current = []
+                if not current:
+                    host, hashes = h, x
+                current.append((rid, path))
+            if len(out):
                 yield batch()
-        if two:
-            if len(two) == 2:
-                out.append((two[0][0], None, -1 - two[0][4], two[0][1], two[0][2], two[0][3]))
-            emit(None, two[-1], None)
+        if current:
+            close(None)
             yield batch()
 
-    found = materialize(ordered.select("rid", "host", "path", "hashes", "pid").mapInArrow(run, "rid long, shared array<int>, pid int, host string, path string, hashes array<bigint>"), "alignments")
-    edges = found.where("shared IS NULL").collect()
-    # order of the edge rows: partitions in order, rows by their sort key; copies that only serve as neighbours have a negative pid
-    known: dict[int, tuple] = {}
-    asked = set()
-    for r in edges:
-        pid = r["pid"] if r["pid"] >= 0 else -1 - r["pid"]
-        known[r["rid"]] = (pid, (r["host"].encode(), r["path"].encode(), r["rid"]), (r["rid"], r["host"], r["path"], list(r["hashes"])))
-        if r["pid"] >= 0:
-            asked.add(r["rid"])
-    line = [x[2] for x in sorted(known.values(), key=lambda x: x[:2])]
-    solved = [(x[0], _aligned(line[i - 1] if i else None, x, line[i + 1] if i + 1 < len(line) else None)) for i, x in enumerate(line) if x[0] in asked]
-    inner = found.where("shared IS NOT NULL").select("rid", "shared")
-    if not solved:
-        return inner
-    return inner.unionByName(rows.sparkSession.createDataFrame(solved, "rid long, shared array<int>"))
+    found = materialize(ordered.select("rid", "host", "path", "hashes", "pid").mapInArrow(run, "rid long, shared array<int>, pid int, n int, host string, path string, hashes array<bigint>"), "alignments")
+    notes = found.where("rid IS NULL").collect()
+    line = sorted(((r["pid"], r["n"], (None, r["host"], r["path"], list(r["hashes"]))) for r in notes), key=lambda x: x[:2])
+    around = {(p, n // 4): _nearest_outside(line, p, n // 4) for p, n, _ in line if n in (0, 4)}
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shared = []
+            for rid, pid, side, *row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                before, after = around[pid, side]
+                shared.append(_aligned(before, (rid, *row), after))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared, pa.list_(pa.int32()))], names=["rid", "shared"])
+
+    edges = found.where("rid IS NOT NULL AND shared IS NULL").select("rid", "pid", "n", "host", "path", "hashes")
+    return found.where("shared IS NOT NULL").select("rid", "shared").unionByName(edges.mapInArrow(solve, "rid long, shared array<int>"))
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html", out: str = "text") -> DataFrame:
@@ -286,6 +309,6 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", body
     shared = shared_with_nearest(parsed.select(F.col("__rid").alias("rid"), F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__hashes").alias("hashes")))
     final = parsed.where(F.col("__text").isNotNull()).select("page_id", "url", F.col("__text").alias(out))
     rest = parsed.where(F.col("__text").isNull()).join(shared.withColumnRenamed("rid", "__rid"), "__rid", "left")
-    marked = F.transform("__lines", lambda t, i: F.when((F.get("__kinds", i) == UNMARKED) & ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), i), t))
+    marked = F.transform("__lines", lambda t, i: F.when((F.get("__kinds", i) == ARTICLE) | (F.get("__kinds", i) > BOILERPLATE) & ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), i), t))
     text = F.coalesce(F.array_join(F.array_compact(marked), "\n"), F.lit(""))
     return final.unionByName(rest.select("page_id", "url", text.alias(out)))

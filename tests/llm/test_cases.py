@@ -203,6 +203,19 @@ def test_html_cases(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+def test_html_differencing_decides_outside_articles(spark):
+    page = "<div>site line</div><main><h2>Menu of all</h2><p>{0} lead</p><article>{0} body. <p>said by all</p></article></main><div>{0} beside</div>"
+    rows = [(1, "http://m/a", page.format("one")), (2, "http://m/b", page.format("two")), (3, "http://m/c", page.format("two")), (4, "http://m/d", page.format("two"))]
+    rows += [(5, "http://n/a", "<main><p>shared</p><p>own</p></main>"), (6, "http://n/b", "<main><p>shared</p><p>other</p></main>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"{w} lead\n{w} body.\nsaid by all\n{w} beside" for i, w in ((1, "one"), (2, "two"), (3, "two"), (4, "two"))} | {5: "own", 6: "other"}
+    for parts in ("1", "3", "6"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r["page_id"]: r["text"] for r in html_extract.main_text(df).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert got == want
+
+
 def test_html_kinds():
     def text(page):
         lines = html_extract.page_lines(page)
