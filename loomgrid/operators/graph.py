@@ -101,14 +101,16 @@ def nearest(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embe
         t, y = t[order], y[order]
         d2 = (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T
         d2[s[:, None] == t] = np.inf
-        few = min(k + 4, len(t))  # a few more than k: the expanded form rounds, the exact distances decide
-        pick = np.argpartition(d2, few - 1, axis=1)[:, :few]
-        exact = ((x[:, None, :] - y[pick]) ** 2).sum(2)
-        exact[s[:, None] == t[pick]] = np.inf
-        best = np.lexsort((t[pick], exact), axis=1)[:, :k]
-        pick, exact = np.take_along_axis(pick, best, 1), np.take_along_axis(exact, best, 1)
-        ok = np.isfinite(exact)
-        return pa.table({"s": pa.array(np.repeat(s, ok.sum(1)).tolist(), arrow), "t": pa.array(t[pick][ok].tolist(), arrow), "d2": pa.array(exact[ok])})
+        # the expanded form rounds: all within its bound of the k-th stay candidates, and the exact distances and keys decide
+        bound = 8 * (x.shape[1] + 8) * np.finfo(float).eps * ((x * x).sum(1) + (y * y).sum(1).max())
+        last = min(k, len(t)) - 1
+        row, pick = np.nonzero((d2 <= (np.partition(d2, last, axis=1)[:, last] + bound)[:, None]) & np.isfinite(d2))
+        exact = np.concatenate([np.zeros(0), *(((x[row[i : i + 65_536]] - y[pick[i : i + 65_536]]) ** 2).sum(1) for i in range(0, len(row), 65_536))])
+        order = np.lexsort((pick, exact, row))  # t is ascending
+        row, pick, exact = row[order], pick[order], exact[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, pick, exact = row[first], pick[first], exact[first]
+        return pa.table({"s": pa.array(s[row].tolist(), arrow), "t": pa.array(t[pick].tolist(), arrow), "d2": pa.array(exact)})
 
     found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(solve, f"s {kind}, t {kind}, d2 double")
     return top(found, k, F.col("d2").asc(), ties=False)

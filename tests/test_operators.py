@@ -94,6 +94,21 @@ def test_isolated_nodes_get_the_default_class(spark):
     assert sorted(map(tuple, graph.classify(scores, nodes, unreached=0).collect())) == [(0, 1), (1, 0), (2, 0)]
 
 
+def test_nearest_of_many_equal_vectors(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(400, 64))
+    x[r.permutation(400)[:40]] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for block in (2048, 50):
+        got = {}
+        for e in graph.nearest(df, 8, block=block).collect():
+            got.setdefault(e["s"], set()).add(e["t"])
+        for i, v in enumerate(x):
+            d = ((v - x) ** 2).sum(1)
+            d[i] = np.inf
+            assert got[i] == set(np.lexsort((np.arange(400), d))[:8].tolist())
+
+
 def test_nearest_is_exact_with_several_blocks(spark):
     rng = np.random.default_rng(3)
     x = rng.integers(0, 3, (60, 4)).astype(float)
