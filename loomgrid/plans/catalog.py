@@ -98,6 +98,8 @@ _VIEWS = {
     "edge": """SELECT a.p, coalesce(bool_or(b.sp <> a.sp), false) edge FROM raster a, four f LEFT JOIN raster b ON b.i = a.i + f.a AND b.j = a.j + f.b GROUP BY a.p""",
     "pal": "SELECT * FROM (VALUES " + ", ".join(f"({c}, {r}, {g}, {b})" for c, (r, g, b) in enumerate(render.PALETTE_17)) + ") t(cls, r, g, b)",
 }
+# whole vectors in place of the four bands
+_VIEWS["assigned_whole"] = _VIEWS["assigned"].replace("[1:4]", "")
 
 
 def _needs(text: str, seen: dict[str, None]) -> None:
@@ -219,6 +221,11 @@ def _(spark, raster):
     return neighbourhood.window_vectors(raster, 3).select("p", "off", "q", F.transform(F.slice("u", 1, 4), lambda x: F.round(x, 6)).alias("u"))
 
 
+@query("window_vectors_whole", "SELECT q.p, q.off, b.p q, list_transform(b.u, lambda x: round(x, 6)) u FROM win q JOIN unit b ON b.p = q.q")
+def _(spark, raster):
+    return neighbourhood.window_vectors(raster, 3).select("p", "off", "q", F.transform("u", lambda x: F.round(x, 6)).alias("u"))
+
+
 @query("band_selection", "SELECT p, round(v[20], 6) b0, round(v[16], 6) b1, round(v[13], 6) b2 FROM raster")
 def _(spark, raster):
     return raster.select("p", *(r6(f"b{n}", F.element_at("v", k + 1)) for n, k in enumerate((19, 15, 12))))
@@ -290,13 +297,13 @@ def _(spark, raster):
     return parts.select("c", "old", "child", "i", "j", r6("area"), r6("scale"))
 
 
-def _pixels(raster):
-    """The first four bands stand in for a log-matrix."""
-    return raster.select("p", "i", "j", "v", F.slice("v", 1, 4).alias("lcmr"))
+def _pixels(raster, whole=False):
+    """The first four bands stand in for a log-matrix, or all."""
+    return raster.select("p", "i", "j", "v", (F.col("v") if whole else F.slice("v", 1, 4)).alias("lcmr"))
 
 
-def _assigned(raster):
-    px = _pixels(raster)
+def _assigned(raster, whole=False):
+    px = _pixels(raster, whole)
     clusters = segment.seeds(raster, STEP).select("c", "p").join(px, "p").select("c", "i", "j", "v", "lcmr", F.lit(5 / 6).alias("scale"))
     return px, clusters, segment.assign(px, clusters, STEP, COMPACT)
 
@@ -306,8 +313,13 @@ def _(spark, raster):
     return _assigned(raster)[2].select("p", "c", r6("dist"))
 
 
-def _updated(raster):
-    px, clusters, labels = _assigned(raster)
+@query("assign_nearest_whole", "SELECT p, c, round(dist, 6) dist FROM assigned_whole")
+def _(spark, raster):
+    return _assigned(raster, whole=True)[2].select("p", "c", r6("dist"))
+
+
+def _updated(raster, whole=False):
+    px, clusters, labels = _assigned(raster, whole)
     area = neighbourhood.manifold_area(raster, COMPACT, STEP).select("p", "area")
     return clusters, segment.update(px.join(area, "p"), labels)
 
@@ -334,6 +346,28 @@ def _(spark, raster):
     return segment.residual(*_updated(raster)).select(r6("err"))
 
 
+_UPDATED_WHOLE = _UPDATED.replace("assigned", "assigned_whole")
+
+
+@query(
+    "update_clusters_whole",
+    f"""SELECT u.c, u.i, u.j, u.n, round(u.area, 6) area, list_transform(m.v, lambda x: round(x, 6)) v FROM {_UPDATED_WHOLE} u JOIN
+    (SELECT c, list(x ORDER BY k) v FROM (SELECT c, k, avg(x) x FROM assigned_whole JOIN bands USING (p) GROUP BY c, k) GROUP BY c) m USING (c)""",
+)
+def _(spark, raster):
+    return _updated(raster, whole=True)[1].select("c", "i", "j", "n", r6("area"), F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+
+
+@query(
+    "residual_whole",
+    f"""SELECT round(sum(pow(u.i - s.i, 2) + pow(u.j - s.j, 2) + m.d + sqrt(m.l)), 6) err FROM {_UPDATED_WHOLE} u JOIN seeds s USING (c) JOIN
+    (SELECT c, sum(pow(x - s.v[k + 1], 2)) d, sum(pow(x - s.v[k + 1], 2)) l FROM
+    (SELECT c, k, avg(x) x FROM assigned_whole JOIN bands USING (p) GROUP BY c, k) JOIN seeds s USING (c) GROUP BY c) m USING (c)""",
+)
+def _(spark, raster):
+    return segment.residual(*_updated(raster, whole=True)).select(r6("err"))
+
+
 @query("cluster_lookup", "SELECT c, list_transform(v, lambda x: round(x, 6)) v FROM seeds")
 def _(spark, raster):
     return segment.seeds(raster, STEP).select("c", "i", "j").join(raster.select("i", "j", "v"), ["i", "j"]).select("c", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
@@ -640,6 +674,21 @@ def _(spark, raster):
     return neighbourhood.window_covariance(chosen, raster.withColumn("v", F.slice("v", 1, 6))).select("p", "a", "b", r6("c"))
 
 
+@query(
+    "window_covariance_whole",
+    """WITH u AS (SELECT p, k, (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) x FROM bands WINDOW w AS (PARTITION BY p)),
+    s AS (SELECT t.p, t.rank, k, x FROM wtop t JOIN u ON u.p = t.q),
+    c AS (SELECT a.p, a.k a, b.k b, covar_samp(a.x, b.x) c FROM s a JOIN s b ON a.p = b.p AND a.rank = b.rank GROUP BY a.p, a.k, b.k),
+    r AS (SELECT p, a, b, round(c + CASE WHEN a = b THEN 0.001 * sum(CASE WHEN a = b THEN c ELSE 0 END) OVER (PARTITION BY p) ELSE 0 END, 6) c FROM c)
+    SELECT p, a, list(c ORDER BY b) c FROM r GROUP BY p, a""",
+)
+def _(spark, raster):
+    """Of all bands, a matrix row a row."""
+    chosen = neighbourhood.window_neighbours(raster, 3, 5)
+    cells = neighbourhood.window_covariance(chosen, raster).select("p", "a", "b", r6("c"))
+    return cells.groupBy("p", "a").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "c"))), lambda x: x["c"]).alias("c"))
+
+
 @query("mean_color", "SELECT a.i, a.j, m.r, m.g, m.b FROM rgb a JOIN (SELECT sp, cast(floor(avg(r)) AS int) r, cast(floor(avg(g)) AS int) g, cast(floor(avg(b)) AS int) b FROM rgb GROUP BY sp) m USING (sp)")
 def _(spark, raster):
     return render.mean_colours(render.stretch(raster, (19, 15, 12)))
@@ -707,7 +756,7 @@ def _(spark, raster):
 @query("hms")
 def _(spark, raster):
     pixels = reduce.pca(raster, 0.5).select("p", "i", "j", F.col("pc").alias("v")).join(_logs(raster), "p")
-    return segment.segment(pixels, 20, most_rounds=4)
+    return segment.segment(pixels, 20)
 
 
 @query("lgc")
