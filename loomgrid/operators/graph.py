@@ -169,8 +169,8 @@ def _long(spark, nodes: list, classes: list[int], f: np.ndarray) -> DataFrame:
 
 
 def lgc(edges: DataFrame, labels: DataFrame, mu: float, tolerance: float = 1e-8, most_rounds: int = 400, every: int = 10) -> DataFrame:
-    """(node, cls, f) of local and global consistency: f = a S f + (1 - a) y with a = 1 / (1 + mu), solved on the driver for a
-    small graph, else in rounds, checkpointed, until no value moves by more than the tolerance."""
+    """(node, cls, f) of local and global consistency: f = a S f + (1 - a) y with a = 1 / (1 + mu), of every node and class, solved
+    on the driver for a small graph, else in rounds, checkpointed, until no value moves by more than the tolerance; an error if they don't get there."""
     check_weights(edges)
     alpha = 1 / (1 + mu)
     s = normalized(edges)
@@ -185,14 +185,18 @@ def lgc(edges: DataFrame, labels: DataFrame, mu: float, tolerance: float = 1e-8,
     for n in range(most_rounds):
         spread = s.join(f.withColumnRenamed("node", "t"), "t").select(F.col("s").alias("node"), "cls", (alpha * F.col("w") * F.col("f")).alias("f"))
         new = spread.unionByName(own).groupBy("node", "cls").agg(F.sum("f").alias("f"))
-        if n % every == every - 1:
+        if n % every == every - 1 or n == most_rounds - 1:
             new = new.checkpoint()
             moved = new.join(f.withColumnRenamed("f", "g"), ["node", "cls"], "left").agg(F.max(F.abs(F.col("f") - F.coalesce("g", F.lit(0.0))))).first()[0]
             f = new
             if moved is None or moved <= tolerance:
                 break
         f = new
-    return f
+    else:
+        raise RuntimeError(f"values still moved by more than {tolerance} after {most_rounds} rounds")
+    nodes = s.select(F.col("s").alias("node")).unionByName(s.select(F.col("t").alias("node"))).unionByName(y.select("node")).distinct()
+    pairs = nodes.crossJoin(F.broadcast(y.select("cls").distinct()))
+    return pairs.join(f, ["node", "cls"], "left").select("node", "cls", F.coalesce("f", F.lit(0.0)).alias("f"))
 
 
 def label_solve(edges: DataFrame, labels: DataFrame, alpha: float) -> DataFrame:

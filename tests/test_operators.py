@@ -81,6 +81,17 @@ def test_lgc_solves_its_equation_both_ways(spark, raster, monkeypatch):
     assert all(abs(ls[k] * (1 - 1 / 1.125) - far.get(k, 0.0)) < 1e-6 for k in ls)
 
 
+def test_lgc_rows_and_rounds_do_not_hang_on_size(spark, monkeypatch):
+    edges = spark.createDataFrame([(a, b, 1.0) for x, y in ((0, 1), (1, 2), (5, 6)) for a, b in ((x, y), (y, x))], "s long, t long, w double")
+    labels = spark.createDataFrame([(0, 1, 1), (2, 3, 1)], "node long, cls int, y int")
+    near = {(r["node"], r["cls"]): r["f"] for r in graph.lgc(edges, labels, 0.125).collect()}
+    monkeypatch.setattr(graph, "DRIVER_NODES", 0)
+    far = {(r["node"], r["cls"]): r["f"] for r in graph.lgc(edges, labels, 0.125, tolerance=1e-3).collect()}
+    assert far.keys() == near.keys() and len(near) == 10 and all(abs(near[k] - far[k]) < 0.05 for k in near)
+    with pytest.raises(RuntimeError):
+        graph.lgc(edges, labels, 1e-6, most_rounds=3)
+
+
 def test_negative_weights_are_an_error(spark):
     edges = spark.createDataFrame([(0, 1, -1.0)], "s int, t int, w double")
     with pytest.raises(ValueError):
