@@ -9,8 +9,8 @@ The log posterior of a page's languages adds
 The tables are grouped sums of the text's posteriors over all pages; hosts are joined by shuffle,
 in rows of a few numbers, and their sums are pre-aggregated, so a frequent host is no large group.
 
-The n-gram models are fitted on at most ``train_rows`` labelled texts, those of the smallest hash
-of their id. Pages without text are decided by the rest; null urls share one nameless host, null
+The languages are those of all labelled texts. Their n-gram models are fitted on about ``train_rows``
+texts, shared evenly among the languages, of each those of the smallest hash of their id. Pages without text are decided by the rest; null urls share one nameless host, null
 html declares nothing. Without labelled texts every language is null.
 """
 
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.llm.common import ascii_lower, materialize, slices, text_buffer
@@ -51,7 +51,18 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def fit(docs: DataFrame, train_rows: int = 6_000, alpha: float = 0.5) -> tuple[list[str], np.ndarray]:
     """(languages, log probability of each feature by language)."""
-    ids = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    labelled = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
+    counts = sorted(map(tuple, labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda r: (r[1], r[0]))
+    if not counts:
+        return [], np.zeros((0, 1 << BITS))
+    # rare languages give all their texts, the others share the rest evenly; each gives one at least
+    quotas, left = [], train_rows
+    for k, (lang, n) in enumerate(counts):
+        quotas.append((lang, max(1, min(n, left // (len(counts) - k)))))
+        left -= quotas[-1][1]
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    most = docs.sparkSession.createDataFrame(quotas, "lang string, quota long")
+    ids = labelled.withColumn("rank", rank).where(F.col("rank") <= max(q for _, q in quotas)).join(F.broadcast(most), "lang").where("rank <= quota").select("doc_id").distinct()
     rows = docs.join(F.broadcast(ids), "doc_id").where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

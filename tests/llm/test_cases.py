@@ -295,6 +295,12 @@ def test_language_cases(spark):
     assert {r["lang"] for r in lang_id.identify(df, docs.limit(0)).collect()} == {None} and lang_id.identify(df.limit(0), docs).count() == 0
 
 
+def test_rare_languages_are_in_the_sample(spark):
+    rows = [(i, "the cat and the dog", "en") for i in range(300)] + [(300, "der hund und die katze", "de"), (301, "le chat et le chien", "fr")]
+    langs, model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_rows=10)
+    assert langs == ["de", "en", "fr"] and model.shape[0] == 3
+
+
 def _texture(v):
     return np.clip(128 + 55 * (v @ media._waves(96, 64)) / np.linalg.norm(v), 0, 255).round().reshape(96, 96).astype(np.uint8)
 
