@@ -15,7 +15,10 @@ boilerplate, those in a main element too, the alignment decides. Only pages that
 are joined with their deletions, so no page's text is shuffled in vain.
 
 Null or empty html has empty text. Null urls share one nameless host. A copy of a page says nothing
-about what belongs to its site, so pages of equal lines aren't paired but looked past. Extra columns are dropped.
+about what belongs to its site, so pages of equal lines aren't paired but looked past. Repeated rows and
+page_ids are pages of their own, told apart by a number given once and stored. Ties of two neighbours go to the one before.
+An empty table gives no rows. Extra columns, whatever their names, are dropped. Pages of any length and however
+broken their markup are read in one pass; aligning two pages holds at most ``_TABLE_BITS`` bits of their table.
 """
 
 from __future__ import annotations
@@ -26,14 +29,17 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.llm.common import materialize
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
-_ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: One step within a tag: white space and slashes, then its end, or an attribute's name with what stands before its value.
+_STEP = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*)?)")
+_BARE = re.compile(r"[^\s>]*")
 
 #: Fixed values of HTML: elements whose content is not text of the page, elements without content, elements that break lines.
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -45,35 +51,124 @@ _BLOCK = {
 }
 _SKIP = {"head", "nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "svg", "canvas", "object", "audio", "video", "map", "search"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
-#: Words of class, id and role that mark boilerplate.
+#: Words that mark boilerplate wherever they stand in a class, id or role.
 _MARKS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner",
-    "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "notification", "popup", "modal", "overlay", "nav", "navbar", "navigation",
-    "menu", "menubar", "breadcrumb", "breadcrumbs", "sidebar", "aside", "complementary", "contentinfo", "footer", "foot", "masthead", "topbar",
-    "toolbar", "comment", "comments", "disqus", "respond", "reply", "replies", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe",
-    "subscription", "signup", "login", "search", "form", "widget", "pagination", "pager", "copyright", "legal", "disclaimer", "skip", "toc",
+    "advert", "adverts", "advertisement", "advertising", "adbox", "adsense", "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "gdpr",
+    "popup", "navbar", "navigation", "menubar", "breadcrumb", "breadcrumbs", "sidebar", "contentinfo", "footer", "masthead", "topbar",
+    "comments", "disqus", "newsletter", "pagination", "signup",
 }
+#: Words that mark it only as the whole name, its last word, or with nothing but words of the third list: "form" and "user-form" do, "form-factor" doesn't.
+_WHOLE = {
+    "ad", "ads", "banner", "notice", "notices", "alert", "notification", "modal", "overlay", "nav", "menu", "aside", "complementary", "foot", "toolbar",
+    "comment", "respond", "reply", "replies", "share", "sharing", "social", "related", "recommended", "subscribe", "subscription", "login",
+    "search", "form", "widget", "pager", "copyright", "legal", "disclaimer", "promotion",
+}
+_CONTAINERS = {"area", "bar", "block", "bottom", "box", "buttons", "column", "container", "holder", "inner", "left", "links", "panel", "right", "section", "slot", "thread", "top", "unit", "wrap", "wrapper"}
 #: Whole names of a site's header, those of a comment that is an article element, and beginnings of names that speak of a layout.
 _HEADER_MARKS = {"header", "siteheader", "pageheader", "mainheader", "globalheader", "topheader"}
 _ASIDE_ARTICLES = {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo", "related"}
 _LAYOUT = ("no-", "has-", "with-", "without-", "layout-", "is-")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+_CAMEL, _PARTS, _JOINTS = re.compile(r"([a-z])([A-Z])"), re.compile(r"[-_:]+"), re.compile(r"[-_]")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 
 #: What the markup says of a line; in a header inside main or article the kind is negative, and only headings count.
 BOILERPLATE, UNMARKED, MAIN, ARTICLE = 0, 1, 2, 3
-
-
-def _marks(attributes: str) -> tuple[set[str], set[str]]:
-    """(words, whole names) of class, id and role."""
+#: Bits of a table of two pages' lines held at once: 16 MB.
+_TABLE_BITS = 1 << 27
+#: Rows of a task that aligns pages.
+_TASK_ROWS = 50_000
+
+
+class Markup:
+    """Tokens of a page in one pass, each character read a bounded number of times, however broken the page is."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.quotes = True  # False once a tag didn't end because of its quotes: later ones end at the first >
+
+    def tag(self, at: int) -> tuple[str, dict[str, str], bool, int] | None:
+        """(name, attributes, does it close itself, end) of the tag whose name starts at ``at``."""
+        page = self.page
+        if at > self.last[">"] or not (found := _NAME.match(page, at)):
+            return None
+        name, k, attributes = found[0].lower(), found.end(), {}
+        while self.quotes:
+            step = _STEP.match(page, k)
+            if not step:
+                self.quotes = False
+                break
+            k = step.end()
+            if step[1]:
+                return name, attributes, page[k - 2] == "/", k
+            value = ""
+            if step[0].rstrip().endswith("="):
+                quote = page[k : k + 1]
+                if quote in ('"', "'") and k < self.last[quote]:
+                    end = page.index(quote, k + 1)
+                    value, k = page[k + 1 : end], end + 1
+                else:
+                    bare = _BARE.match(page, k)
+                    value, k = bare[0], bare.end()
+            attributes.setdefault(step[2].lower(), value)
+        if found.end() > self.last[">"]:
+            return None
+        end = page.index(">", found.end())
+        return name, attributes, page[end - 1] == "/", end + 1
+
+    def tokens(self) -> Iterator[tuple[str, str, bool, dict[str, str], bool]]:
+        """(text before, tag's name, is it an end tag, attributes, does it close itself); the last has no name."""
+        page, at, n = self.page, 0, len(self.page)
+        begun = 0  # of the text
+        while (k := page.find("<", at)) >= 0:
+            if page.startswith("<!--", k):
+                end = page.find("-->", k + 2)
+                at = n if end < 0 else end + 3
+                yield page[begun:k], "", False, {}, False
+                begun = at
+                continue
+            if page[k + 1 : k + 2] in ("!", "?") and k < self.last[">"]:
+                at = page.index(">", k) + 1
+                yield page[begun:k], "", False, {}, False
+                begun = at
+                continue
+            closing = page.startswith("/", k + 1)
+            found = self.tag(k + 1 + closing)
+            if not found:
+                at = k + 1
+                continue
+            name, attributes, alone, at = found
+            yield page[begun:k], name, closing, attributes, alone
+            if not closing and name in _RAW:
+                end = _END_OF[name].search(page, at)
+                at = n if not end or end.end() > self.last[">"] else page.index(">", end.end()) + 1
+            begun = at
+        yield page[begun:], "", False, {}, False
+
+
+_END_OF = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in _RAW}
+
+
+def _marks(attributes: dict[str, str]) -> tuple[set[str], set[str], bool]:
+    """(words, whole names, do they mark boilerplate) of class, id and role."""
     words: set[str] = set()
     names: set[str] = set()
-    for _, a, b, c in _ATTR.findall(attributes) if attributes else ():
-        for name in (a or b or c).split():
-            name = re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()
-            if not name.startswith(_LAYOUT):
-                names.add(re.sub(r"[-_]", "", name))
-                words |= {*names, *re.split(r"[-_:]+", name)}
-    return words, names
+    marked = False
+    for name in (x for key in ("class", "id", "role") if key in attributes for x in attributes[key].split()):
+        name = _CAMEL.sub(r"\1-\2", name).lower()
+        if name.startswith(_LAYOUT):
+            continue
+        parts = [x for x in _PARTS.split(name) if x]
+        whole = _JOINTS.sub("", name)
+        names.add(whole)
+        words |= {whole, *parts}
+        kept = [x for x in parts if x not in _CONTAINERS]
+        marked |= not _MARKS.isdisjoint(parts) or whole in _MARKS or whole in _WHOLE or bool(kept) and kept[-1] in _WHOLE and (len(kept) == len(parts) or len(kept) == 1)
+    return words, names, marked
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or _NO_DISPLAY.search(attributes.get("style", "")) is not None
 
 
 def page_lines(page: str) -> list[tuple[str, int]]:
@@ -81,7 +176,8 @@ def page_lines(page: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     held: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements, with the kind of text in them
-    kind, held_kind, raw = UNMARKED, UNMARKED, ""
+    open_at: dict[str, list[int]] = {}  # places of each name in the stack
+    kind, held_kind = UNMARKED, UNMARKED
 
     def flush() -> None:
         if held and (line := " ".join(html.unescape("".join(held)).split())):
@@ -90,63 +186,54 @@ def page_lines(page: str) -> list[tuple[str, int]]:
 
     def text(t: str) -> None:
         nonlocal held_kind
-        if not t or raw:
+        if not t:
             return
         if held and kind != held_kind:
             flush()
         held_kind = kind
         held.append(t)
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    def pop(size: int) -> None:
+        nonlocal kind
+        while len(stack) > size:
+            open_at[stack.pop()[0]].pop()
+        kind = stack[-1][1] if stack else UNMARKED
+
+    for before, name, closing, attributes, alone in Markup(page).tokens():
+        text(before)
         if not name:
             continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if name in _BLOCK:
             flush()
         elif name in ("br", "td", "th"):
             text(" ")
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("article", "main", "body") and name not in ("article", "main", "body", "html"):
-                    break  # a stray end tag closes nothing outside
-            kind = stack[-1][1] if stack else UNMARKED
-            continue
-        if name in _RAW:
-            stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-            at = stop.end() if stop else len(page)
+            if places := open_at.get(name):
+                # a stray end tag closes nothing outside the nearest article, main or body
+                walls = () if name in ("article", "main", "body", "html") else ("article", "main", "body")
+                if all(not open_at.get(w) or open_at[w][-1] < places[-1] for w in walls):
+                    pop(places[-1])
             continue
-        if name in _VOID or attributes.endswith("/") and name in ("svg", "path"):
+        if name in _RAW or name in _VOID or alone and name in ("svg", "path"):
             continue
         if name in _BLOCK and stack and stack[-1][0] == "p":
-            stack.pop()  # a block ends an open paragraph
-            kind = stack[-1][1] if stack else UNMARKED
+            pop(len(stack) - 1)  # a block ends an open paragraph
         new = kind
-        words, names = _marks(attributes)
-        if name == "main" or words & {"main"} and "role" in attributes:
+        words, names, marked = _marks(attributes) if attributes else (set(), set(), False)
+        if name == "main" or "main" in words and "role" in attributes:
             new = MAIN if kind != ARTICLE else kind
         elif kind < 0:
             new = -kind if name in _HEADINGS else kind
         elif kind != BOILERPLATE:
             if name == "article" or "articlebody" in names:
                 new = BOILERPLATE if words & _ASIDE_ARTICLES else ARTICLE
-            elif name in _SKIP or name not in ("html", "body") and words & _MARKS or attributes and _HIDDEN.search(attributes):
+            elif name in _SKIP or name not in ("html", "body") and marked or attributes and _hidden(attributes):
                 new = BOILERPLATE
             elif name == "header" or name not in ("html", "body") and names & _HEADER_MARKS:
                 new = -kind if kind in (MAIN, ARTICLE) else BOILERPLATE
         kind = new
+        open_at.setdefault(name, []).append(len(stack))
         stack.append((name, kind))
-    if at < len(page):
-        text(page[at:])
     flush()
     return out
 
@@ -155,17 +242,64 @@ def line_hash(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def shared_lines(a: list[int], b: list[int]) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b``, by bit-parallel dynamic programming."""
-    places: dict[int, int] = {}
-    for j, x in enumerate(b):
-        places[x] = places.get(x, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    rows, v = [full], full
+class _Places:
+    """Masks of the places of each line in ``b``. Only those of frequent lines are held, at most len(b) / 64 masks."""
+
+    def __init__(self, b: list[int]):
+        self.size, self.at, self.held = len(b), {}, {}
+        for j, x in enumerate(b):
+            self.at.setdefault(x, []).append(j)
+
+    def __getitem__(self, x: int) -> int:
+        places = self.at.get(x, ())
+        if len(places) < 64:
+            mask = 0
+            for j in places:
+                mask |= 1 << j
+            return mask
+        if x not in self.held:
+            bits = np.zeros(self.size, np.uint8)
+            bits[places] = 1
+            self.held[x] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        return self.held[x]
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """Rows of the bit-parallel table of ``a`` against ``b``: bit j is unset where the common subsequence grows at b[j]."""
+    places = _Places(b)
+    v = full = (1 << len(b)) - 1
+    yield v
     for x in a:
-        u = v & places.get(x, 0)
+        u = v & places[x]
         v = ((v + u) | (v - u)) & full
-        rows.append(v)
+        yield v
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` with b[:j], for each j from 0 on."""
+    for last in _rows(a, b):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(last.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def shared_lines(a: list[int], b: list[int]) -> list[int]:
+    """Positions in ``a`` of a longest common subsequence with ``b``: bit-parallel dynamic programming over tables of at most
+    ``_TABLE_BITS`` bits; longer pages are halved first where the lengths of both halves add up to the most (Hirschberg)."""
+    known = set(b)
+    at = [i for i, x in enumerate(a) if x in known]
+    known = {a[i] for i in at}
+    return [at[i] for i in _shared([a[i] for i in at], [x for x in b if x in known])]
+
+
+def _shared(a: list[int], b: list[int]) -> list[int]:
+    if not a or not b:
+        return []
+    if len(a) * len(b) > _TABLE_BITS and len(a) > 1:
+        half = len(a) // 2
+        cut = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+        return _shared(a[:half], b[:cut]) + [half + i for i in _shared(a[half:], b[cut:])]
+    rows = list(_rows(a, b))
     out, i, j = [], len(a), len(b)
     while i and j:
         if rows[i] >> (j - 1) & 1:
@@ -236,7 +370,7 @@ def shared_with_nearest(rows: DataFrame) -> DataFrame:
     Pages of equal lines in a row are a run and have the same neighbours. For the runs at a partition's edges the driver
     finds these, from at most six rows a partition, hashes only.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // _TASK_ROWS))
     ordered = rows.repartitionByRange(parts, "host", "path", "rid").sortWithinPartitions("host", "path", "rid").withColumn("pid", F.spark_partition_id())
     types = {"rid": pa.int64(), "shared": pa.list_(pa.int32()), "pid": pa.int32(), "n": pa.int32(), "host": pa.string(), "path": pa.string(), "hashes": pa.list_(pa.int64())}
 

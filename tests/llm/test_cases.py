@@ -1,7 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns; kernels against plain versions."""
 
 import itertools
+import os
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -227,6 +229,60 @@ def test_html_kinds():
     assert text("<div class=wrapper-form><main><p>kept</main></div>") == ["kept"]
 
 
+def test_broken_markup_is_read_in_one_pass():
+    begun = time.process_time()
+    for page in ("<a" * 300_000, '<a x=">" ' * 60_000, "<div>" * 50_000 + "</x>" * 50_000, "<a b='c " * 100_000, "<script></script" * 30_000, "<p class='" + "form-factor " * 50_000 + "'>x", "</" * 100_000 + ">", "<!" * 100_000):
+        html_extract.page_lines(page)
+    assert time.process_time() - begun < 20
+    assert html_extract.page_lines("<p it's>one</p> <b a=\"x>y\">two</b> 3 < 4 <5 a<b c") == [("one", 1), ("two 3 < 4 <5 a<b c", 1)]
+    assert html_extract.page_lines("<p>a<p title='never closed>b</p><p>c") == [("a", 1), ("b", 1), ("c", 1)]
+
+
+def test_names_that_only_contain_a_mark_keep_their_text():
+    page = "<article><p>a</p><div class='form-factor'>b</div><div class='legal-history'>c</div><div class='toc-list'>d</div><div class='ad-box'>x</div><div class='share-buttons'>y</div><div class='userForm'>z</div></article>"
+    assert [t for t, k in html_extract.page_lines(page) if k] == ["a", "b", "c", "d"]
+    page = "<main><p>the story</p><article class='card'>teaser</article><p>goes on</p></main>"
+    assert [t for t, k in html_extract.page_lines(page) if k] == ["the story", "teaser", "goes on"]
+
+
+def _longest(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+    return t[-1][-1]
+
+
+def test_shared_lines_are_a_longest_common_subsequence(monkeypatch):
+    r = random.Random(1)
+    for bits in (1 << 27, 20):
+        monkeypatch.setattr(html_extract, "_TABLE_BITS", bits)
+        for _ in range(150):
+            a, b = ([r.randrange(r.choice((2, 6, 40))) for _ in range(r.randrange(30))] for _ in "ab")
+            found, rest = html_extract.shared_lines(a, b), iter(b)
+            assert len(found) == _longest(a, b) and found == sorted(set(found)) and all(any(y == a[i] for y in rest) for i in found)
+    frequent = [0, 1] * 200
+    assert len(html_extract.shared_lines(frequent, frequent[1:])) == 399
+
+
+def test_differencing_against_plain_pairs(spark):
+    """Pages without any marked element: each is paired with the nearest different one of its host, and loses a longest common subsequence."""
+    r = random.Random(6)
+    rows = [(i, f"http://{r.choice('gh')}.example/{r.choice(['a', 'ab', 'b'])}/{r.randrange(40)}", [f"line {r.randrange(7)}" for _ in range(r.randrange(9))]) for i in range(90)]
+    df = spark.createDataFrame([(i, u, "".join(f"<p>{x}</p>" for x in lines)) for i, u, lines in rows], "page_id long, url string, html string").coalesce(1)
+    got = {x["page_id"]: x["text"].split("\n") if x["text"] else [] for x in html_extract.main_text(df).collect()}
+    place = lambda u: (u.split("/")[2], u.split("/", 3)[3])
+    ordered = sorted(rows, key=lambda x: (*place(x[1]), x[0]))
+    for n, (i, u, lines) in enumerate(ordered):
+        other = lambda x, u=u, lines=lines: place(x[1])[0] == place(u)[0] and x[2] != lines
+        before, after = next(filter(other, ordered[:n][::-1]), None), next(filter(other, ordered[n + 1 :]), None)
+        shared = lambda x, u=u: len(os.path.commonprefix([place(x[1])[1], place(u)[1]]))
+        near = max((x for x in (before, after) if x), key=shared, default=None)
+        assert len(lines) - len(got[i]) == (_longest(lines, near[2]) if near else 0), i
+        rest = iter(lines)
+        assert all(x in rest for x in got[i])
+
+
 def test_alignment_does_not_hang_on_partitions(spark):
     r = random.Random(3)
     rows = [(i, "h" if i % 3 else "g", f"/{r.randrange(30)}", [r.randrange(4) for _ in range(r.randrange(6))]) for i in range(80)]
