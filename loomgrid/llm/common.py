@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgrid.sources.stored import shared_dir, stored  # noqa: F401
 
@@ -33,6 +34,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return stored(df, label)
 
 
+def join_spread(rows: DataFrame, table: DataFrame, key: str, weight: str, most: int = 10_000) -> DataFrame:
+    """``rows`` inner-joined with ``table``, which has one row a key and in ``weight`` how many rows have it.
+
+    The ``most`` keys of largest weight are sent to the tasks, so of those that are shuffled none holds more than one row
+    in ``most``, however frequent a key is. ``rows`` and ``table`` are read several times and should be stored.
+    """
+    hot = materialize(table.orderBy(F.desc(weight), key).limit(most), "frequent").drop(weight)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.drop(weight), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def null_to_empty(column: pa.Array) -> pa.Array:
     """Strings or binaries as large_binary; null becomes empty."""
     column = column.cast(pa.large_binary())

@@ -4,16 +4,21 @@
 2. Representatives that share a band of minima meet in buckets. Each is compared with the smallest
    members of its buckets (at most two, those it shares most bands with), on full sets.
 3. Links give components by alternating large-star and small-star.
-4. Buckets that still hold several components are compared in blocks of bounded rows and bytes:
-   first by signature, which finds the documents that have partners in other components, then these
-   alone on full sets. A pair is looked at in the bucket of its first common band only, and a block
-   returns no more links than join its components, so a group of copies is never expanded into all
-   its pairs; pairs inside one component can't change the result.
+4. In buckets that still hold several components, the rows outside the bucket's largest component meet
+   all others, in blocks of bounded rows and bytes on either side: first by signature, which finds the
+   documents that have partners in other components, then these alone on full sets. A pair is looked at
+   in the bucket of its first common band only, and a block returns no more links than join its
+   components, so a group of copies is never expanded into all its pairs; pairs inside one component
+   can't change the result. A bucket of n rows, m of them outside, sends n * ceil(m / 2048) +
+   m * ceil(n / 2048) rows, at most 2 n while m is at most 2048.
 
 With 45 bands of 6 minima a pair at the threshold of 0.8 misses every bucket with probability
 1.1e-6; step 4 drops a pair by its signature only at 5.5 standard errors below the threshold.
-Buckets have no cap. Texts without words have an empty set and are linked with nothing; rows with
-a null doc_id are scored alone. Repeated rows of one doc_id count as one document.
+Buckets have no cap. Null texts and texts without words have an empty set and are linked with nothing;
+rows with a null doc_id are scored alone. Repeated rows of one doc_id count as one document; if their
+texts differ, the set of least digest stands for it, and each row keeps its own n_shingles. Very long
+texts are whole sets. Ties of equal sets go to the smallest doc_id. An empty table gives no rows, and
+columns other than doc_id and text, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import ascii_lower, materialize, mix64, slices, text_buffer
+from loomgrid.llm.common import ascii_lower, join_spread, materialize, mix64, slices, text_buffer
 
 BANDS, ROWS = 45, 6
 #: Rows and shingles of a block.
@@ -82,38 +87,43 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, band keys, 4 bytes of each band key, one byte of each minimum); without words all but n_shingles are null."""
+    """(doc_id, n_shingles, digest of the set, band keys, one byte of each minimum); without words all but n_shingles are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
         for b in batches:
-            n, (digest, bands, marks, low) = np.zeros(b.num_rows, np.int64), ([None] * b.num_rows for _ in range(4))
+            n, (digest, bands, low) = np.zeros(b.num_rows, np.int64), ([None] * b.num_rows for _ in range(3))
             for k, s in shingle_sets(b.column(1), width):
-                n[k], digest[k] = len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                n[k], digest[k] = len(s), _digest(s)
                 m = minima(s)
                 key = turn.copy()
                 for r in m.reshape(BANDS, ROWS).T:
                     key = mix64(key + r)
-                bands[k], marks[k], low[k] = key.view(np.int64), key.astype(np.uint32).tobytes(), (m >> np.uint32(7)).astype(np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "marks", "low"])
+                bands[k], low[k] = key.view(np.int64), (m >> np.uint32(7)).astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "low"])
 
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, marks binary, low binary")
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, low binary")
+
+
+def _digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(rep, hashes) of the documents whose id is in ``ids``."""
+    """(rep, hashes) of the documents whose id is in ``ids``; of several texts of one id that of least digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = list(shingle_sets(b.column(1), width))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k for k, _ in found], pa.int64())), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["rep", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k for k, _ in found], pa.int64())), pa.array([_digest(s) for _, s in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["rep", "digest", "hashes"])
 
     kind = dict(docs.dtypes)["doc_id"]
     wanted = ids.select(F.col("rep").alias("doc_id"))
     if kind in ("bigint", "int") and ids.count() <= _SENT_IDS:
         wanted = F.broadcast(wanted)
-    return docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, f"rep {kind}, hashes binary").dropDuplicates(["rep"])
+    sets = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, f"rep {kind}, digest binary, hashes binary")
+    return sets.groupBy("rep").agg(F.min_by("hashes", "digest").alias("hashes"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -170,34 +180,43 @@ def _same(p: np.ndarray, q: np.ndarray) -> int:
 
 
 def _blocks(members: DataFrame, signs: DataFrame, component: DataFrame) -> DataFrame:
-    """(key, band, i, j, rep, component, marks, low): rows of buckets with several components, in pairs of blocks.
-    Buckets of one block, nearly all, come once; a row of a larger one comes with each other block."""
+    """(key, band, i, j, seeks, rep, component, bands, low): of buckets with several components, the rows outside the largest
+    one in blocks i, once for each block j of all the bucket's rows, and those once for each i."""
     marked = members.join(component, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    counts = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
-    blocks = F.greatest(F.ceil(F.col("n") / _BLOCK), F.ceil(F.col("size") / _BLOCK_SHINGLES)).cast("int")
-    several = counts.where("lo <> hi").select("key", blocks.alias("blocks"))
-    rows = marked.join(several, "key").join(signs, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component", "marks", "low")
+    several = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    held = materialize(marked.join(several, "key"), "open-buckets")
+    parts = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    whole = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "size", "component")).alias("main"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / _BLOCK), F.ceil(size / _BLOCK_SHINGLES)).cast("int")
+    counts = whole.select("key", F.col("main.component").alias("main"), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("outer"), blocks(F.col("n"), F.col("size")).alias("blocks"))
+    rows = held.join(counts, "key").join(signs, "rep")
+    own = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    seeking = rows.where("component <> main").withColumn("i", own("outer", 1)).withColumn("j", every("blocks")).withColumn("seeks", F.lit(True))
+    met = rows.withColumn("i", every("outer")).withColumn("j", own("blocks", 2)).withColumn("seeks", F.lit(False))
+    columns = ["key", "band", "i", "j", "seeks", "rep", "component", (F.col("component") == F.col("main")).alias("inside"), "bands", "low"]
+    return seeking.select(*columns).unionByName(met.select(*columns))
 
 
 def _near_pairs(group: pa.Table, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, later rows of other components whose signature agrees), each pair in the bucket of its first common band."""
-    marks = np.frombuffer(b"".join(group["marks"].to_pylist()), np.uint32).reshape(-1, BANDS)
+    """(seeking row, rows met of other components whose signature agrees), each pair in the bucket of its first common band."""
+    seeks = np.array(group["seeks"].to_pylist(), bool)
+    if seeks.all() or not seeks.any():
+        return
+    bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
     low = np.frombuffer(b"".join(group["low"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
     _, comp = np.unique(np.array(group["component"].to_pylist()), return_inverse=True)
+    _, rank = np.unique(np.array(group["rep"].to_pylist()), return_inverse=True)
+    inside = np.array(group["inside"].to_pylist(), bool)
     band = group["band"][0].as_py()
-    largest = np.bincount(comp).argmax()
-    # a pair of two components has a row outside the largest one: those rows look at all others, and at one another once
-    outside = np.flatnonzero(comp != largest)
-    turn = np.full(len(comp), len(comp))
-    turn[outside] = np.arange(len(outside))
-    for n, x in enumerate(outside):
-        near = np.flatnonzero((comp != comp[x]) & (turn > n))
+    met = np.flatnonzero(~seeks)
+    for x in np.flatnonzero(seeks):
+        # two rows outside the largest component seek one another: the lower one looks
+        near = met[(comp[met] != comp[x]) & (inside[met] | (rank[met] > rank[x]))]
         if len(near):
             near = near[(low[near] == low[x]).sum(1) >= least]
         if len(near) and band:
-            near = near[~(marks[near, :band] == marks[x, :band]).any(1)]
+            near = near[~(bands[near, :band] == bands[x, :band]).any(1)]
         if len(near):
             yield x, near
 
@@ -216,9 +235,9 @@ def _open_rows(blocks: DataFrame, threshold: float) -> DataFrame:
         for x, near in _near_pairs(group, least):
             hit[x] = True
             hit[near] = True
-        return group.select(["key", "i", "j", "rep"]).filter(pa.array(hit))
+        return group.select(["key", "i", "j", "seeks", "rep"]).filter(pa.array(hit))
 
-    return blocks.groupBy("key", "i", "j").applyInArrow(find, f"key long, i int, j int, rep {kind}")
+    return blocks.groupBy("key", "i", "j").applyInArrow(find, f"key long, i int, j int, seeks boolean, rep {kind}")
 
 
 def _links(rows: DataFrame, threshold: float) -> DataFrame:
@@ -250,8 +269,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, doc
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed = materialize(signatures(source, "doc_id", "text", width), "signatures")
     sets = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    reps = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    held = sets.join(reps, (sets["digest"] == reps["digest"]) & (sets["doc_id"] == reps["rep"]), "left_semi").dropDuplicates(["doc_id"])
+    one = materialize(sets.groupBy("doc_id").agg(F.min("digest").alias("digest")), "documents")
+    reps = materialize(one.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "sets")
+    held = sets.join(reps, (sets["digest"] == reps["digest"]) & (sets["doc_id"] == reps["rep"]), "left_semi").dropDuplicates(["digest", "doc_id"])
     keys = materialize(held.select(F.col("doc_id").alias("rep"), "n_shingles", F.posexplode("bands").alias("band", "key")), "bands")
     shared = keys.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(keys.join(shared.select("key", "least"), "key"), "buckets")
@@ -263,15 +283,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, doc
     known = full_sets(source, ids(stars), width)
     first = materialize(components(verified(stars, materialize(known, "sets"), threshold)), "components")
 
-    signs = held.select(F.col("doc_id").alias("rep"), "marks", "low")
+    signs = held.select(F.col("doc_id").alias("rep"), "bands", "low")
     blocks = _blocks(members.select("key", "band", "rep", "n_shingles"), signs, first)
     open_ = materialize(_open_rows(blocks, threshold), "open")
     if not open_.isEmpty():
         rest = full_sets(source, open_.select("rep").distinct(), width)
-        links = _links(blocks.join(open_, ["key", "i", "j", "rep"]).join(rest, "rep"), threshold)
+        links = _links(blocks.join(open_, ["key", "i", "j", "seeks", "rep"]).join(rest, "rep"), threshold)
         tree = first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         first = materialize(components(tree.unionByName(links)), "components")
 
-    group = sets.select("doc_id", "digest").join(reps, "digest").join(first, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).distinct()
+    of_set = materialize(reps.join(first, F.col("rep") == F.col("node"), "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id")), "set-components")
+    group = join_spread(one, of_set, "digest", "n").select("doc_id", "component_id")
     grouped = signed.select("doc_id", "n_shingles").join(group, "doc_id", "left")
     return grouped.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -47,7 +47,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model).select("doc_id", "score")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
@@ -101,6 +101,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id, d.doc_id = min(c) AS kept
         FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
     """,
+    "op7_license_scan": license_scan.scan_sql(),
     "op8_decontamination": f"""
         WITH iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
         item AS (SELECT item_id, w, least(len(w), 5) AS k FROM iw WHERE w <> ['']),

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgrid.llm import bpe, chat_format, decontam, html_extract, lang_id, license_scan, media, minhash, suffix_dedup, toxicity
+from loomgrid.llm.common import join_spread
 
 SCHEMA = "doc_id long, text string"
 LONG = " ".join(f"word{i % 977} filler{i % 31}" for i in range(20_000))
@@ -139,6 +140,35 @@ def test_open_buckets_in_several_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 2, 0.8).collect()} == label
 
 
+def test_repeated_ids_with_different_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(5, one), (5, two), (5, one), (6, one), (7, two), (8, two + " c")], SCHEMA).withColumn("component_id", F.lit("x"))
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(df, 2, 0.8).collect()}
+    digests = {t: minhash._digest(s) for t in (one, two) for _, s in minhash.shingle_sets(pa.array([t]), 2)}
+    chosen = min(digests, key=digests.get)  # its set stands for document 5
+    assert got == ({(5, 5), (6, 5), (7, 7), (8, 7)} if chosen == one else {(5, 5), (6, 6), (7, 5), (8, 5)})
+
+
+def test_a_large_bucket_sends_few_rows(spark, monkeypatch):
+    """One bucket of many copies and a few rows outside: rows grow with the bucket, not with its square."""
+    monkeypatch.setattr(minhash, "_BLOCK", 8)
+    n = 400
+    members = spark.range(n).select(F.lit(9).cast("long").alias("key"), F.lit(0).alias("band"), F.col("id").alias("rep"), F.lit(10).cast("long").alias("n_shingles"))
+    signs = spark.range(n).select(F.col("id").alias("rep"), F.array(F.lit(1).cast("long")).alias("bands"), F.lit(b"x").alias("low"))
+    component = spark.range(n).where("id >= 8").select(F.col("id").alias("node"), F.lit(8).cast("long").alias("component"))
+    blocks = minhash._blocks(members, signs, component)
+    assert blocks.count() <= n + 8 * (n // 8) + 8
+    met = blocks.where("seeks").select("i", "j", F.col("rep").alias("a")).join(blocks.where("NOT seeks").select("i", "j", F.col("rep").alias("b")), ["i", "j"])
+    assert met.where("a <> b").select("a", "b").distinct().count() == met.where("a <> b").count() == 8 * (n - 1)
+
+
+def test_join_spread(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(20)] + [("b", 1), ("c", 2), ("z", 3)], "k string, v int")
+    table = spark.createDataFrame([("a", 10, 20), ("b", 20, 1), ("c", 30, 1), ("d", 40, 0)], "k string, x int, n int")
+    for most in (0, 1, 2, 10):
+        assert sorted(map(tuple, join_spread(rows, table, "k", "n", most).select("k", "v", "x").collect())) == sorted([("a", i, 10) for i in range(20)] + [("b", 1, 20), ("c", 2, 30)])
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = dict(map(tuple, minhash.components(edges).collect()))
@@ -181,6 +211,14 @@ def test_licenses_of_one_file_do_not_crowd_each_other_out(spark):
     assert got[4] == {"apache-2.0"} and got[5] == {"mit"} and got[6] == {""}
 
 
+def test_a_whole_licence_with_a_holder_in_it(spark):
+    body = [t for name, t, _ in license_scan.TEMPLATES if name == "mit"]
+    text = f"Copyright (c) 2020 Someone Else. {body[0]}: {body[1]}. THE SOFTWARE IS PROVIDED AS IS"
+    rows = [(1, text), (2, text.replace("free of charge", "for a fee")), (3, text.replace("substantial portions", "some portions").replace("free of charge", "for a fee"))]
+    got = {r["doc_id"]: (r["labels"], [m["share"] for m in r["matches"]]) for r in license_scan.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1] == ("mit", [1.0, 1.0]) and got[2] == ("mit", [1.0]) and got[3] == ("", [])
+
+
 def test_decontamination_cases(spark, odd, empty):
     items = spark.createDataFrame([(1, "one two three"), (2, None), (3, ""), (4, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (5, "word0 filler0 word1 filler1 word2 filler2")], "item_id long, text string")
     more = odd.unionByName(spark.createDataFrame([(30, "x ALPHA beta, gamma delta epsilon zeta eta theta iota kappa y"), (31, "alpha beta gamma delta epsilon zeta eta theta other iota kappa")], SCHEMA))

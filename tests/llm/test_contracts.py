@@ -98,8 +98,9 @@ def test_license_scan_base(spark, sf_dir, texts):
     assert len(got) == len(texts)
 
 
-def test_decontamination(spark, sf_dir):
-    same(spark, "op8_decontamination", queries.op8_decontamination, queries.ORACLE_SQL["op8_decontamination"], sf_dir)
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_matches_sql(spark, sf_dir, name):
+    same(spark, name, queries.QUERIES[name], queries.ORACLE_SQL[name], sf_dir)
 
 
 def test_toxicity_held_out(spark):
