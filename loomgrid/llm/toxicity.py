@@ -2,152 +2,140 @@
 
 Presence of each hashed n-gram of bytes (A-Z lower-cased, texts framed by spaces) is scaled by
 r = log((p + a) / |p|) - log((q + a) / |q|), p and q being how many toxic and other training
-texts hold it, and a logistic regression with an L2 penalty is fitted on the scaled features.
-
-The fit reads at most ``max_positive`` + ``max_negative`` labelled texts, taken by the smallest
-hash of their id; class weights undo that choice, so scores stay probabilities. Scoring is
-map-only over whole texts. Labels, language, source and id are never inputs of a score.
-
-Null and empty texts hold no n-gram and get the model's base score. Repeated rows count as often
-as they are there. Without labelled rows of both classes the score is the share of toxic ones (0
-without any).
+texts hold it; ratios of weak evidence shrink towards zero, since a rare n-gram's ratio is mostly
+chance. A logistic regression with an L2 penalty is fitted on the scaled features. All 2 ** 20 take
+part; none is left out for being rare or weak.
+
+The fit reads a bounded sample of labelled texts: at most ``max_positive`` + ``max_negative``, taken by
+the smallest hash of their id, and of these as many as hold ``max_entries`` features together, which
+bounds what the driver holds however long the texts are. Class weights undo the choice, so scores stay
+probabilities. Scoring is map-only over whole texts. Labels, language, source and id are never inputs of a score.
+
+Null and empty texts hold no n-gram and get the model's base score. Very long texts are read in pieces
+and scored whole. Repeated rows, and rows of null or repeated ids, are scored each; in the sample they
+count as often as they are there. Ties of the ids' hashes go to the smaller id. Null labels and ids
+aren't learned from. Without labelled rows of both classes the score is the share of toxic ones (0 without
+any). An empty table gives no rows. Extra columns stay; one named like the score is replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import ascii_lower, slices, text_buffer
+from loomgrid.llm.common import ascii_lower, materialize, text_buffer
 
 #: Lengths of the n-grams in bytes, and bits of a feature's number.
 SIZES, BITS = (3, 4, 6, 8), 20
 _ODD = {3: 0x9E3779B97F4A7C15, 4: 0xC2B2AE3D27D4EB4F, 6: 0x165667B19E3779F9, 8: 0xD6E8FEB86659FD93}
-_CHUNKS = 64
+#: Bytes of a text that are read at once, rows of the sample that the fit works on at once.
+_PIECE, _ROWS = 1 << 18, 256
 
 
 @dataclass
 class Model:
-    """Features of weight other than zero, in order, with their weights (ratio times coefficient)."""
+    """Weight (ratio times coefficient) of each feature, and the intercept."""
 
-    features: np.ndarray
     weights: np.ndarray
     intercept: float
-    seen: np.ndarray = field(init=False)
-    weight_of: np.ndarray = field(init=False)
 
-    def __post_init__(self) -> None:
-        self.seen = np.zeros(1 << BITS, bool)
-        self.seen[self.features] = True
-        self.weight_of = np.zeros(1 << BITS)
-        self.weight_of[self.features] = self.weights
+
+def _hashed(framed: np.ndarray) -> np.ndarray:
+    """Feature of each n-gram of a framed text or piece of one."""
+    n = len(framed)
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = framed
+    words = np.ndarray((n,), "<u8", padded, strides=(1,))
+    out = []
+    for size in SIZES:
+        x = words[: max(n - size + 1, 0)]
+        if size < 8:
+            x = x & np.uint64((1 << 8 * size) - 1)
+        out.append((((x ^ (x >> np.uint64(29))) * np.uint64(_ODD[size])) >> np.uint64(64 - BITS)).astype(np.int32))
+    return np.concatenate(out)
 
 
-def grams(column: pa.Array, seen: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, row of each distinct feature less the first, feature), slice by slice; ``seen``: only these."""
+def hash_of(gram: bytes) -> int:
+    """Feature of one n-gram, for tests and reports."""
+    x = int.from_bytes(gram, "little")
+    return ((x ^ x >> 29) * _ODD[len(gram)] & (1 << 64) - 1) >> 64 - BITS
+
+
+def grams(column: pa.Array) -> Iterator[np.ndarray]:
+    """The distinct features of each text, in no order; nothing for an empty one."""
     data, offsets = text_buffer(column)
-    for i, j in slices(offsets, 1 << 18):
-        n = np.diff(offsets[i : j + 1])
-        start = np.concatenate([[0], np.cumsum(n + 2)])  # each text between two spaces
-        framed = np.full(start[-1] + 8, 32, np.uint8)
-        row = np.repeat(np.arange(j - i), n)
-        framed[np.arange(len(row)) + 2 * row + 1] = ascii_lower(data[offsets[i] : offsets[j]])
-        words = np.ndarray((start[-1],), "<u8", framed, strides=(1,))
-        stop = np.repeat(start[1:], n + 2) - np.arange(start[-1])  # bytes left in the text
-        owner = np.repeat(np.arange(j - i), n + 2)
-        found = []
-        for size in SIZES:
-            x = words if size == 8 else words & np.uint64((1 << 8 * size) - 1)
-            h = ((x ^ (x >> np.uint64(29))) * np.uint64(_ODD[size])) >> np.uint64(64 - BITS)
-            h = h.astype(np.int64)
-            ok = stop >= size
-            if seen is not None:
-                ok &= seen[h]
-            at = np.flatnonzero(ok)
-            found.append((owner[at] << BITS) | h[at])
-        both = np.unique(np.concatenate(found))
-        yield i, both >> BITS, both & ((1 << BITS) - 1)
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_negative: int) -> tuple[DataFrame, dict[int, float]]:
-    """(text, label) of the sample, and the weight of a row of each label. The sample's ids are at most
-    ``max_positive`` + ``max_negative`` rows of two numbers, so they are broadcast."""
+    last = np.zeros(1 << BITS, np.int32)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        if a == b:
+            yield np.zeros(0, np.int32)
+        elif b - a <= _PIECE:
+            framed = np.full(b - a + 2, 32, np.uint8)
+            framed[1:-1] = ascii_lower(data[a:b])
+            h = _hashed(framed)
+            at = np.arange(len(h), dtype=np.int32)
+            last[h] = at
+            yield h[last[h] == at]  # each feature where it stands last
+        else:
+            held = np.zeros(1 << BITS, bool)
+            for k in range(a, b, _PIECE):
+                piece = ascii_lower(data[k : min(k + _PIECE + max(SIZES) - 1, b)])
+                ends = [np.full(1, 32, np.uint8)] * (k == a), [np.full(1, 32, np.uint8)] * (k + _PIECE + max(SIZES) - 1 >= b)
+                held[_hashed(np.concatenate([*ends[0], piece, *ends[1]]))] = True
+            yield np.flatnonzero(held).astype(np.int32)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_negative: int) -> tuple[DataFrame, dict[int, int]]:
+    """(text, label, turn) of the sample, to be read in the order of ``turn``, and how many labelled rows each class has.
+    The sample's ids are at most ``max_positive`` + ``max_negative`` rows of two numbers, so they are broadcast."""
     at = F.col("doc_id").cast("string")
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (F.crc32(at) % 4 != 2)).select("doc_id", F.col("toxic").cast("int").alias("__label"))
     counts = {r["__label"]: r["n"] for r in usable.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()}
     bound = {0: max_negative, 1: max_positive}
     parts = [usable.where(F.col("__label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound[k]) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
-    weight = {k: max(1.0, counts.get(k, 0) / bound[k]) for k in (0, 1)}
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "__label"), weight
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "__label", F.xxhash64("doc_id").alias("__turn")), counts
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4_000, max_negative: int = 6_000, max_features: int = 12_000, alpha: float = 0.5, penalty: float = 0.02) -> Model:
-    """The model. What reaches the driver is bounded by the four parameters."""
-    rows, weight = training_rows(docs, labels, max_positive, max_negative)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
-        for b in batches:
-            label = b.column(1).to_numpy()
-            n += np.bincount(label, minlength=2)
-            for i, row, feature in grams(b.column(0)):
-                for k in (0, 1):
-                    held[k] += np.bincount(feature[label[i + row] == k], minlength=1 << BITS).astype(np.int32)
-        if n.sum():
-            parts = held.reshape(2, _CHUNKS, -1).transpose(1, 0, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([n[0]] * _CHUNKS), pa.array([n[1]] * _CHUNKS)], names=["chunk", "counts", "n0", "n1"])
-
-    def choose(key: tuple, group: pa.Table) -> pa.Table:
-        held = sum(np.frombuffer(x, np.int32).reshape(2, -1).astype(np.int64) for x in group["counts"].to_pylist())
-        n = np.array([sum(group["n0"].to_pylist()), sum(group["n1"].to_pylist())], float)
-        rate = (held + alpha) / (n[:, None] + 2 * alpha)
-        ratio = np.log(rate[1] / rate[0])
-        strength = np.abs(ratio) / np.sqrt((1 / (held + alpha)).sum(0))  # in standard errors
-        top = np.argsort(-strength, kind="stable")[: max_features // _CHUNKS * 4]
-        top = top[(strength[top] > 2.5) & (held[:, top].sum(0) >= 3)]
-        feature = top + key[0].as_py() * held.shape[1]
-        return pa.table({"feature": pa.array(feature, pa.int64()), "ratio": pa.array(ratio[top], pa.float64()), "strength": pa.array(strength[top], pa.float64())})
-
-    counted = rows.mapInArrow(count, "chunk int, counts binary, n0 long, n1 long")
-    chosen = counted.groupBy("chunk").applyInArrow(choose, "feature long, ratio double, strength double").orderBy(F.desc("strength"), "feature").limit(max_features).collect()
-    feature = np.array(sorted(r["feature"] for r in chosen), np.int64)
-    ratio = np.zeros(1 << BITS)
-    for r in chosen:
-        ratio[r["feature"]] = r["ratio"]
-    seen = np.zeros(1 << BITS, bool)
-    seen[feature] = True
-    shared = rows.sparkSession.sparkContext.broadcast(seen)
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 2_000, max_negative: int = 3_000, max_entries: int = 50_000_000, alpha: float = 0.5, doubt: float = 10.0, penalty: float = 0.02) -> Model:
+    """The model. What reaches the driver is bounded by ``max_entries`` features of four bytes. Ratios of weak evidence shrink
+    smoothly towards zero, by half where their square is about 2.4 times ``doubt`` squared standard errors."""
+    rows, counts = training_rows(docs, labels, max_positive, max_negative)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [b""] * b.num_rows
-            for i, row, found in grams(b.column(0), shared.value):
-                for k, part in zip(np.unique(row), np.split(found, np.flatnonzero(np.diff(row)) + 1), strict=True) if len(row) else ():
-                    out[i + k] = part.astype(np.int32).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), b.column(1)], names=["features", "label"])
-
-    sample = rows.mapInArrow(gather, "features binary, label int").collect()
-    sample.sort(key=lambda r: (r["label"], bytes(r["features"])))  # the fit doesn't depend on the order of tasks
-    y = np.array([r["label"] for r in sample], float)
-    w = np.array([weight[r["label"]] for r in sample], float)
-    sets = [np.frombuffer(r["features"], np.int32) for r in sample]
-    del sample
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in grams(b.column(0))], pa.binary()), b.column(1), b.column(2)], names=["features", "label", "turn"])
+
+    sample = materialize(rows.mapInArrow(gather, "features binary, label int, turn long"), "toxicity-sample")
+    column, sizes, y, total = [], [], [], 0
+    # a part at a time, of 25 MB at most; the order doesn't hang on the tasks
+    for r in sample.repartitionByRange(8, "turn").sortWithinPartitions("turn", "label", "features").toLocalIterator():
+        found = np.frombuffer(r["features"], np.int32)
+        if total + len(found) > max_entries and len(set(y)) == 2:
+            break
+        column.append(found)
+        sizes.append(len(found))
+        y.append(r["label"])
+        total += len(found)
+    y = np.array(y, float)
     if not len(y) or y.min() == y.max():
-        share = float((w * y).sum() / w.sum()) if len(y) else 0.0
-        return Model(np.zeros(0, np.int64), np.zeros(0), _logit(share))
-    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(s) for s in sets])
-    column = np.searchsorted(feature.astype(np.int32), np.concatenate(sets)).astype(np.int32)
-    del sets
-    coefficient, intercept = _logistic(row, column, ratio[feature], y, w, penalty)
-    weights = coefficient * ratio[feature]
-    held = np.abs(weights) > 1e-6
-    return Model(feature[held], weights[held], intercept)
+        return Model(np.zeros(1 << BITS, np.float32), _logit(float(y[0]) if len(y) else 0.0))
+    n = np.array([(y == k).sum() for k in (0, 1)], float)
+    weight = np.array([max(1.0, counts[k] / n[k]) for k in (0, 1)])[y.astype(int)]
+    column, ends = np.concatenate(column), np.concatenate([[0], np.cumsum(sizes)])
+    held = np.zeros((2, 1 << BITS))
+    for i in range(len(y)):
+        held[int(y[i]), column[ends[i] : ends[i + 1]]] += 1  # a text's features are distinct
+    rate = (held + alpha) / (n[:, None] + 2 * alpha)
+    ratio = np.log(rate[1] / rate[0])
+    evidence = ratio**2 / (1 / (held + alpha)).sum(0)  # in squared standard errors
+    ratio *= (evidence / (evidence + doubt)) ** 2
+    coefficient, intercept = _logistic(column, ends, ratio, y, weight, penalty)
+    return Model((coefficient * ratio).astype(np.float32), intercept)
 
 
 def _logit(p: float) -> float:
@@ -155,15 +143,23 @@ def _logit(p: float) -> float:
     return float(np.log(p / (1 - p)))
 
 
-def _logistic(row: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Weighted logistic loss plus penalty / 2 times the squared norm, by L-BFGS with backtracking."""
+def _logistic(column: np.ndarray, ends: np.ndarray, scale: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float, steps: int = 40) -> tuple[np.ndarray, float]:
+    """Weighted logistic loss plus penalty / 2 times the squared norm, by L-BFGS with backtracking. Row i holds the features column[ends[i] : ends[i + 1]]."""
     n, d = len(y), len(scale)
 
     def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, (theta[:d] * scale)[column], n) + theta[d]
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        e = w * (p - y)
-        g = np.bincount(column, e[row], d) * scale + penalty * theta[:d]
+        value, z, g = theta[:d] * scale, np.empty(n), np.zeros(d)
+        for i in range(0, n, _ROWS):  # bounds the arrays held at once
+            j = min(i + _ROWS, n)
+            full = np.flatnonzero(np.diff(ends[i : j + 1]))
+            z[i:j] = theta[d]
+            if len(full):
+                z[i + full] += np.add.reduceat(value[column[ends[i] : ends[j]]], ends[i + full] - ends[i])
+        e = w * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
+        for i in range(0, n, _ROWS):
+            j = min(i + _ROWS, n)
+            g += np.bincount(column[ends[i] : ends[j]], np.repeat(e[i:j], np.diff(ends[i : j + 1])), d)
+        g = g * scale + penalty * theta[:d]
         return float((w * (np.logaddexp(0, z) - y * z)).sum() + penalty / 2 * (theta[:d] ** 2).sum()), np.append(g, e.sum())
 
     theta = np.append(np.zeros(d), _logit(float((w * y).sum() / w.sum())))
@@ -192,7 +188,7 @@ def _logistic(row: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.ndar
         s, t = new - theta, g2 - g
         if s @ t > 1e-12:
             past = [*past[-9:], (s, t)]
-        done = abs(f - f2) <= 1e-9 * max(1.0, abs(f))
+        done = abs(f - f2) <= 1e-6 * max(1.0, abs(f))
         theta, f, g = new, f2, g2
         if done:
             break
@@ -208,12 +204,9 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            z = np.full(b.num_rows, m.intercept)
-            for i, row, feature in grams(b.column(at), m.seen):
-                add = np.bincount(row, m.weight_of[feature])
-                z[i : i + len(add)] += add
+            z = np.array([m.weights[f].sum(dtype=float) for f in grams(b.column(at))]) + m.intercept
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*keep, out])
 
     kinds = dict(df.dtypes)
     return df.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in keep) + f"`{out}` double")

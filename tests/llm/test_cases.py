@@ -186,6 +186,27 @@ def test_toxicity_cases(spark, odd, empty):
     assert toxicity.score(odd, none).agg(F.max("score")).first()[0] < 0.01 and toxicity.score(empty, none).count() == 0
 
 
+def test_features_are_whole_and_distinct(monkeypatch):
+    texts = ["Ab çd " * 700, None, "", "aaaa", "x"]
+    plain = []
+    for t in texts:
+        b = b" " + t.encode().lower().replace("ç".encode(), "ç".encode()) + b" " if t else b""
+        plain.append({toxicity.hash_of(b[i : i + n]) for n in toxicity.SIZES for i in range(len(b) - n + 1)})
+    for piece in (1 << 18, 1000):
+        monkeypatch.setattr(toxicity, "_PIECE", piece)
+        got = [x.tolist() for x in toxicity.grams(pa.array(texts))]
+        assert [set(x) for x in got] == plain and all(len(x) == len(set(x)) for x in got)
+
+
+def test_sample_bounds(spark):
+    docs = spark.createDataFrame([(i, ("vile words " if i % 4 == 0 else "kind words ") * 9 + str(i)) for i in range(400)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    texts = docs.limit(0).unionByName(spark.createDataFrame([(1, "vile"), (2, "kind")], SCHEMA))
+    for bounds in ({}, {"max_positive": 5, "max_negative": 9}, {"max_entries": 900}):
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(texts, toxicity.fit(docs, labels, **bounds)).collect()}
+        assert got[1] > got[2], bounds
+
+
 def test_license_cases(spark, odd, empty):
     more = odd.unionByName(spark.createDataFrame([(20, "Licensed under the Apache License, Version 2.0 -- All Rights\nReserved"), (21, "cc by cc-by CC BY"), (22, "apache license version"), (22, "GNU general public license")], SCHEMA))
     rows = license_scan.scan(more.withColumn("labels", F.lit(1)).withColumn("extra", F.lit(2))).collect()
