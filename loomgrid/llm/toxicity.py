@@ -7,7 +7,7 @@ chance. A logistic regression with an L2 penalty is fitted on the scaled feature
 part; none is left out for being rare or weak.
 
 The fit reads a bounded sample of labelled texts: at most ``max_positive`` + ``max_negative``, taken by
-the smallest hash of their id, and of these as many as hold ``max_entries`` features together, which
+the smallest hash of their id, and of these, in that order, as many as hold ``max_entries`` features together, which
 bounds what the driver holds however long the texts are. Class weights undo the choice, so scores stay
 probabilities. Scoring is map-only over whole texts. Labels, language, source and id are never inputs of a score.
 
@@ -101,7 +101,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_neg
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "__label", F.xxhash64("doc_id").alias("__turn")), counts
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 2_000, max_negative: int = 3_000, max_entries: int = 50_000_000, alpha: float = 0.5, doubt: float = 10.0, penalty: float = 0.02) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 1_500, max_negative: int = 2_500, max_entries: int = 50_000_000, alpha: float = 0.5, doubt: float = 10.0, penalty: float = 0.02) -> Model:
     """The model. What reaches the driver is bounded by ``max_entries`` features of four bytes. Ratios of weak evidence shrink
     smoothly towards zero, by half where their square is about 2.4 times ``doubt`` squared standard errors."""
     rows, counts = training_rows(docs, labels, max_positive, max_negative)
@@ -111,22 +111,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 2_000, max_negat
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in grams(b.column(0))], pa.binary()), b.column(1), b.column(2)], names=["features", "label", "turn"])
 
     sample = materialize(rows.mapInArrow(gather, "features binary, label int, turn long"), "toxicity-sample")
-    column, sizes, y, total = [], [], [], 0
-    # a part at a time, of 25 MB at most; the order doesn't hang on the tasks
-    for r in sample.repartitionByRange(8, "turn").sortWithinPartitions("turn", "label", "features").toLocalIterator():
+    column, sizes, y, total = np.empty(max_entries, np.int32), [], [], 0  # pages of it are used as they fill
+    # a part at a time, of a few MB; the order doesn't hang on the tasks
+    for r in sample.repartitionByRange(32, "turn").sortWithinPartitions("turn", "label", "features").toLocalIterator():
         found = np.frombuffer(r["features"], np.int32)
-        if total + len(found) > max_entries and len(set(y)) == 2:
+        if total + len(found) > max_entries:
             break
-        column.append(found)
+        column[total : total + len(found)] = found
         sizes.append(len(found))
         y.append(r["label"])
         total += len(found)
     y = np.array(y, float)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(1 << BITS, np.float32), _logit(float(y[0]) if len(y) else 0.0))
+        return Model(np.zeros(1 << BITS, np.float32), _logit(counts.get(1, 0) / max(sum(counts.values()), 1)))
     n = np.array([(y == k).sum() for k in (0, 1)], float)
     weight = np.array([max(1.0, counts[k] / n[k]) for k in (0, 1)])[y.astype(int)]
-    column, ends = np.concatenate(column), np.concatenate([[0], np.cumsum(sizes)])
+    column, ends = column[:total], np.concatenate([[0], np.cumsum(sizes)])
     held = np.zeros((2, 1 << BITS))
     for i in range(len(y)):
         held[int(y[i]), column[ends[i] : ends[i + 1]]] += 1  # a text's features are distinct
