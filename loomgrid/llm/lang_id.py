@@ -6,30 +6,35 @@ The log posterior of a page's languages adds
 - the likelihood of the language its markup declares, by a confusion table;
 - the prior of its host, smoothed towards that of its address suffix, smoothed towards the whole:
   (count + k * parent) / (total + k) at each level, without the page's own share.
-The tables are grouped sums of the text's posteriors over all pages; hosts are joined by shuffle,
-in rows of a few numbers, and their sums are pre-aggregated, so a frequent host is no large group.
+The tables are grouped sums of the text's posteriors over all pages, pre-aggregated before they are
+shuffled. The most frequent hosts and suffixes are sent to the tasks, all others are joined by shuffle,
+so a frequent one is no large group. Sums and posteriors are arrays, however many languages there are.
 
 The languages are those of all labelled texts. Their n-gram models are fitted on about ``train_rows``
-texts, shared evenly among the languages, of each those of the smallest hash of their id. Pages without text are decided by the rest; null urls share one nameless host, null
-html declares nothing. Without labelled texts every language is null.
+texts, shared evenly among the languages, of each those of the smallest hash of their id. Pages without
+text are decided by the rest; null urls share one nameless host, null html declares nothing and has no
+text. Very long pages count whole. Repeated pages and page_ids, and null ones, are rows of their own. Ties
+go to the language first by name. Without labelled texts every language is null; an empty table gives no
+rows. Columns other than id, url and html, whatever their names, are dropped.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import ascii_lower, materialize, slices, text_buffer
+from loomgrid.llm.common import ascii_lower, join_spread, materialize, slices, text_buffer
 from loomgrid.llm.html_extract import BOILERPLATE, page_lines
 
 SIZES, BITS = (1, 2, 3, 4), 16
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _DECLARED = re.compile(r"<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.IGNORECASE)
+_SUFFIX = r"([^.]*)$"
 _META = re.compile(r"<meta\b[^>]*content-language[^>]*?content\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.IGNORECASE)
 
 
@@ -68,13 +73,13 @@ def fit(docs: DataFrame, train_rows: int = 6_000, alpha: float = 0.5) -> tuple[l
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for b in batches:
-            names = b.column(0).to_pylist()
+            names, code = np.unique(np.array(b.column(0).to_pylist(), object).astype(str), return_inverse=True)
             data, offsets = text_buffer(b.column(1))
             for i, j in slices(offsets):
                 owner, feature = _features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                for k in range(i, j):
-                    part = feature[owner == k - i]
-                    held[names[k]] = held.get(names[k], 0) + np.bincount(part, minlength=1 << BITS)
+                for k in np.unique(code[i:j]):
+                    part = feature[code[i:j][owner] == k]
+                    held[str(names[k])] = held.get(str(names[k]), 0) + np.bincount(part, minlength=1 << BITS)
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([x.astype(np.int64).tobytes() for x in held.values()], pa.binary())], names=["lang", "counts"])
 
@@ -91,7 +96,7 @@ def fit(docs: DataFrame, train_rows: int = 6_000, alpha: float = 0.5) -> tuple[l
 
 
 def evidence(pages: DataFrame, langs: list[str], model: np.ndarray, page_id: str, url: str, body: str, temper: float) -> DataFrame:
-    """(page_id, host, suffix, declared, ll): ll are the tempered log likelihoods of the text by language."""
+    """(page_id, host, suffix, declared, ll, post): ll are the tempered log likelihoods of the text by language, post their shares."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,22 +112,38 @@ def evidence(pages: DataFrame, langs: list[str], model: np.ndarray, page_id: str
                 for k in range(len(langs)):
                     ll[i:j, k] = np.bincount(owner, m[k][feature], j - i)
             ll *= temper
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(declared, pa.string()), pa.array(ll.tolist(), pa.list_(pa.float64()))], names=["page", "declared", "ll"])
+            post = np.exp(ll - ll.max(1, keepdims=True))
+            post /= post.sum(1, keepdims=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(declared, pa.string()), *(pa.array(x.tolist(), pa.list_(pa.float64())) for x in (ll, post))], names=["page", "declared", "ll", "post"])
 
     host = F.lower(F.coalesce(F.regexp_extract(F.col(f"`{url}`"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
     kind = dict(pages.dtypes)[page_id]
     read = pages.select(F.struct(F.col(f"`{page_id}`").alias("page_id"), host.alias("host")).alias("page"), F.col(f"`{body}`").alias("html"))
-    out = read.mapInArrow(run, f"page struct<page_id:{kind},host:string>, declared string, ll array<double>")
-    return out.select(F.col("page.page_id").alias("page_id"), F.col("page.host").alias("host"), F.regexp_extract("page.host", r"([^.]*)$", 1).alias("suffix"), "declared", "ll")
+    out = read.mapInArrow(run, f"page struct<page_id:{kind},host:string>, declared string, ll array<double>, post array<double>")
+    return out.select(F.col("page.page_id").alias("page_id"), F.col("page.host").alias("host"), F.regexp_extract("page.host", _SUFFIX, 1).alias("suffix"), "declared", "ll", "post")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it stands there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _softmax(x: Column) -> Column:
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    raised = _let(F.struct(x.alias("x"), F.array_max(x).alias("m")), lambda s: F.transform(s["x"], lambda v: F.exp(v - s["m"])))
+    return _let(raised, lambda e: _let(F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, y: a + y).alias("t")), lambda s: F.transform(s["e"], lambda v: v / s["t"])))
+
+
+def _sums(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name, weight): sums of the posteriors by language, and the number of rows."""
+    each = rows.select(key, F.posexplode("post").alias("k", "x")).groupBy(key, "k").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias(name), F.max("n").alias("weight"))
 
 
-def _sums(name: str, n: int) -> list[Column]:
-    return [F.sum(F.element_at("post", i + 1)).alias(f"{name}{i}") for i in range(n)]
+def _smoothed(sums: Column, own: Column, parent: Column, weight: float) -> Column:
+    """(sums - own + weight * parent) / (total of sums - own + weight), by language."""
+    rest = F.zip_with(sums, own, lambda s, p: F.greatest(s - p, F.lit(0.0)))
+    bound = _let(F.struct(rest.alias("r"), F.aggregate(rest, F.lit(0.0), lambda a, y: a + y).alias("t")), lambda s: F.zip_with(s["r"], parent, lambda r, q: (r + weight * q) / (s["t"] + weight)))
+    return bound
 
 
 def identify(pages: DataFrame, docs: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html", temper: float = 0.05, host_weight: float = 5.0, suffix_weight: float = 20.0, train_rows: int = 6_000) -> DataFrame:
@@ -132,30 +153,29 @@ def identify(pages: DataFrame, docs: DataFrame, page_id: str = "page_id", url: s
     if not n:
         host = F.lit(None).cast("string")
         return pages.select(F.col(f"`{page_id}`").alias("page_id"), host.alias("lang"), F.lit(0.0).alias("confidence"), host.alias("text_lang"), host.alias("declared"), host.alias("host"), F.array().cast("array<double>").alias("posterior"))
-    rows = evidence(pages, langs, model, page_id, url, body, temper).withColumn("post", _softmax(F.col("ll")))
-    rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "evidence")
-    tables = [rows.agg(*_sums("g", n)).first()]
-    by_suffix = rows.groupBy("suffix").agg(*_sums("s", n))
-    by_host = rows.groupBy("host").agg(*_sums("h", n))
-    confusion = rows.where("declared IS NOT NULL").groupBy("declared").agg(*_sums("d", n))
-    total = [float(tables[0][f"g{i}"] or 0.0) for i in range(n)]
-    everything = sum(total) or 1.0
-    seen = rows.where("declared IS NOT NULL").agg(*_sums("t", n)).first()
-    kinds = confusion.count() + 1
-
-    own = [F.element_at("post", i + 1) for i in range(n)]
+    rows = materialize(evidence(pages, langs, model, page_id, url, body, temper), "evidence")
+    by_host = materialize(_sums(rows, "host", "of_host").withColumn("suffix", F.regexp_extract("host", _SUFFIX, 1)), "hosts")
+    of_suffix = by_host.select("suffix", F.posexplode("of_host").alias("k", "x"), "weight").groupBy("suffix", "k").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    by_suffix = materialize(of_suffix.groupBy("suffix").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("of_suffix"), F.max("n").alias("weight")), "suffixes")
+    whole = np.zeros(n)
+    for r in by_suffix.select(F.posexplode("of_suffix").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():
+        whole[r["k"]] = r["x"]
+    parent = (whole + 1) / (whole.sum() + n)
     # a declared language has two or three letters, so its table has at most 18,252 rows
-    joined = rows.join(by_host, "host").join(by_suffix, "suffix").join(F.broadcast(confusion), "declared", "left")
-    s_total = sum((F.col(f"s{i}") - own[i] for i in range(n)), F.lit(0.0))
-    h_total = sum((F.col(f"h{i}") - own[i] for i in range(n)), F.lit(0.0))
-    log_post = []
-    for i in range(n):
-        whole = (total[i] + 1) / (everything + n)
-        at_suffix = (F.greatest(F.col(f"s{i}") - own[i], F.lit(0.0)) + suffix_weight * whole) / (s_total + suffix_weight)
-        at_host = (F.greatest(F.col(f"h{i}") - own[i], F.lit(0.0)) + host_weight * at_suffix) / (h_total + host_weight)
-        says = (F.greatest(F.col(f"d{i}") - own[i], F.lit(0.0)) + 0.5) / (float(seen[f"t{i}"] or 0.0) + 0.5 * kinds)
-        log_post.append(F.element_at("ll", i + 1) + F.log(at_host) + F.when(F.col("declared").isNotNull(), F.log(says)).otherwise(0.0))
+    confusion = materialize(_sums(rows.where("declared IS NOT NULL"), "declared", "of_declared").drop("weight"), "declared")
+    seen, kinds = np.zeros(n), confusion.count() + 1
+    for r in confusion.select(F.posexplode("of_declared").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():
+        seen[r["k"]] = r["x"]
+
+    literal = lambda x: F.array(*(F.lit(float(v)) for v in x))
+    hosts = materialize(join_spread(by_host.withColumnRenamed("weight", "pages"), by_suffix, "suffix", "weight"), "hosts")
+    joined = join_spread(rows.drop("suffix"), hosts.drop("suffix"), "host", "pages").join(F.broadcast(confusion), "declared", "left")
+    at_suffix = _smoothed(F.col("of_suffix"), F.col("post"), literal(parent), suffix_weight)
+    at_host = _smoothed(F.col("of_host"), F.col("post"), at_suffix, host_weight)
+    says = F.zip_with(F.zip_with("of_declared", "post", lambda d, p: F.greatest(d - p, F.lit(0.0)) + 0.5), literal(seen + 0.5 * kinds), lambda d, t: F.log(d / t))
+    prior = F.zip_with("ll", at_host, lambda x, p: x + F.log(p))
+    fused = _softmax(F.when(F.col("declared").isNotNull(), F.zip_with(prior, says, lambda x, y: x + y)).otherwise(prior))
     names = F.array(*map(F.lit, langs))
     best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
-    fused = joined.select("page_id", "declared", "host", "post", _softmax(F.array(*log_post)).alias("posterior"))
-    return fused.select("page_id", best(F.col("posterior")).alias("lang"), F.array_max("posterior").alias("confidence"), best(F.col("post")).alias("text_lang"), "declared", "host", "posterior")
+    out = joined.select("page_id", "declared", "host", "post", fused.alias("posterior"))
+    return out.select("page_id", best(F.col("posterior")).alias("lang"), F.array_max("posterior").alias("confidence"), best(F.col("post")).alias("text_lang"), "declared", "host", "posterior")

@@ -410,6 +410,31 @@ def test_language_cases(spark):
     assert {r["lang"] for r in lang_id.identify(df, docs.limit(0)).collect()} == {None} and lang_id.identify(df.limit(0), docs).count() == 0
 
 
+def test_posteriors_against_a_plain_fusion(spark):
+    r = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(r.choice({"en": ["the", "and", "with"], "de": ["der", "und", "mit"], "xx": ["q", "zz", "und"]}[x]) for _ in range(12)), x) for i, x in enumerate(["en", "de", "xx"] * 8)], "doc_id long, text string, lang string")
+    texts = ["the and with the", "der und mit der", "", "q zz und", "und und", "the mit q"]
+    pages = [(i % 50, f"http://{r.choice('abc')}.{r.choice(['de', 'com'])}/{i}" if i % 9 else None, f"<html{r.choice([' lang=de', ' lang=en', ' lang=ru', ''])}><p>{r.choice(texts)}" if i % 11 else None) for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("lang", F.lit("clash"))
+    langs, model = lang_id.fit(docs)
+    rows = lang_id.evidence(df, langs, model, "page_id", "url", "html", 0.05).collect()
+    post = np.array([x["post"] for x in rows])
+    of = lambda c: {k: sum(p for p, x in zip(post, rows, strict=True) if x[c] == k) for k in {x[c] for x in rows}}
+    host, suffix, declared = of("host"), of("suffix"), of("declared")
+    declared.pop(None)
+    whole = (post.sum(0) + 1) / (post.sum() + len(langs))
+    want = []
+    for p, x in zip(post, rows, strict=True):
+        s = (suffix[x["suffix"]] - p + 20 * whole) / ((suffix[x["suffix"]] - p).sum() + 20)
+        z = np.array(x["ll"]) + np.log((np.maximum(host[x["host"]] - p, 0) + 5 * s) / (np.maximum(host[x["host"]] - p, 0).sum() + 5))
+        if x["declared"]:
+            z += np.log((np.maximum(declared[x["declared"]] - p, 0) + 0.5) / (sum(declared.values()) + 0.5 * (len(declared) + 1)))
+        e = np.exp(z - z.max())
+        want.append((x["page_id"], x["host"], tuple(np.round(e / e.sum(), 9))))
+    got = [(x["page_id"], x["host"], tuple(np.round(x["posterior"], 9))) for x in lang_id.identify(df, docs).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_rare_languages_are_in_the_sample(spark):
     rows = [(i, "the cat and the dog", "en") for i in range(300)] + [(300, "der hund und die katze", "de"), (301, "le chat et le chien", "fr")]
     langs, model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_rows=10)
