@@ -102,6 +102,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
     """,
     "op7_license_scan": license_scan.scan_sql(),
+    "op10_chat_format": chat_format.repair_sql(),
     "op8_decontamination": f"""
         WITH iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
         item AS (SELECT item_id, w, least(len(w), 5) AS k FROM iw WHERE w <> ['']),

@@ -375,16 +375,23 @@ def test_chat_repairs(spark):
 
 def test_chat_cost_is_least():
     r = random.Random(1)
-    for _ in range(60):
+    for _ in range(80):
         roles = [r.randrange(4) for _ in range(r.randint(1, 5))]
-        costs = chat_format.forward(roles, chat_format._START_COSTS)
-        path = chat_format.backward(roles, costs, end := chat_format.best_end(costs[-1]))
-        price = sum(chat_format.STEPS[x][path[k]][path[k + 1]][0] for k, x in enumerate(roles))
-        best = min(
-            sum(chat_format.STEPS[x][p[k]][p[k + 1]][0] for k, x in enumerate(roles)) + chat_format.INSERT * len(chat_format._ENDS[p[-1]])
-            for p in ((0, *q) for q in itertools.product(range(4), repeat=len(roles)))
-        )
-        assert price + chat_format.INSERT * len(chat_format._ENDS[end]) == best
+        price = lambda p, roles=roles: sum(chat_format.STEPS[x][s][t][0] for x, s, t in zip(roles, p[:-1], p[1:], strict=True)) + chat_format.END_COSTS[p[-1]]
+        best = min((price((0, *q)), q) for q in itertools.product(range(4), repeat=len(roles)))  # of equal costs the lowest states, the first turn first
+        assert (price((0, *chat_format.solve(roles))), tuple(chat_format.solve(roles))) == best
+
+
+def test_chat_edge_cases(spark):
+    rows = [("None", 1, "user", "a"), (None, 1, "assistant", "b"), ("x", 1, "user", "long " * 400_000), ("x", 2, None, None)]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").withColumn("rendered", F.lit("clash")).withColumn("n", F.lit(1))
+    for parts in ("1", "4"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {(r["conv_id"], r["turn"]): r["rendered"] for r in chat_format.repair(df).collect()}
+        assert got["None", 1] == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
+        assert got[None, 1] == "<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n"
+        assert got["x", 1].startswith("<|im_start|>user\nlong ") and got["x", 2] == "<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_long_conversation_over_partitions(spark):
@@ -396,6 +403,9 @@ def test_long_conversation_over_partitions(spark):
         results.append(sorted((tuple(x) for x in _repaired(spark, rows).collect()), key=str))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert results[0] == results[1] == results[2]
+    one = [x for x in results[0] if x[0] == 7]
+    turns = [chat_format.role_of(x[2]) for x in sorted(one, key=lambda x: x[1])]
+    assert [x[3] for x in sorted(one, key=lambda x: x[1])] == [chat_format.NAMES[s] for s in chat_format.solve(turns)]
 
 
 def test_language_cases(spark):
