@@ -49,14 +49,13 @@ def centroids(raster: DataFrame, label: str = "sp") -> DataFrame:
 
 
 def stratified_sample(raster: DataFrame, n: int, seed: int, truth: str = "gt", keep_small: bool = False) -> DataFrame:
-    """(p, cls): n pixels of each class, in an order that only the seed and p decide. A class of n pixels or
-    fewer loses all of them, or keeps them if ``keep_small``."""
-    turn = F.pmod(F.col("p").cast("long") * 7919 + seed, F.lit(10007))
-    own = Window.partitionBy(truth)
-    px = raster.where(F.col(truth) > 0).select("p", truth, turn.alias("turn"))
-    ranked = px.withColumn("rn", F.row_number().over(own.orderBy("turn", "p"))).withColumn("size", F.count(F.lit(1)).over(own))
-    enough = F.col("rn") <= n
-    return ranked.where(enough if keep_small else enough & (F.col("size") > n)).select("p", F.col(truth).alias("cls"))
+    """(p, cls): n pixels of each class, by the smallest digest of p and the seed, so that draws of different seeds are
+    independent. A class of n pixels or fewer loses all of them, or keeps them if ``keep_small``."""
+    px = raster.where(F.col(truth) > 0).select("p", F.col(truth).alias("cls"), F.md5(F.concat_ws(":", F.col("p").cast("string"), F.lit(str(seed)))).alias("turn"))
+    chosen = px.withColumn("rn", F.row_number().over(Window.partitionBy("cls").orderBy("turn", "p"))).where(F.col("rn") <= n)
+    if not keep_small:
+        chosen = chosen.join(px.groupBy("cls").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > n), "cls")
+    return chosen.select("p", "cls")
 
 
 def node_labels(raster: DataFrame, sample: DataFrame, label: str = "sp") -> DataFrame:

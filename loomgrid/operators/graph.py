@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +21,50 @@ def packed(features: DataFrame, value: str, key: str = "sp") -> DataFrame:
     return features.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", value))), lambda x: x[value]).alias("x"))
 
 
+def block_pairs(nodes: DataFrame, cost: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int | None, key: str, vector: str, out: str, block: int = 2048) -> DataFrame:
+    """(s, t, out): of each node the k others of least cost, all equal to the k-th too; every other node if k is None. A pair of cost inf is none.
+
+    Vectors are packed into blocks; each pair of blocks is one call of ``cost`` on slices of bounded size, and only what is
+    asked for leaves it, so the quadratic part never becomes rows. Costs of a pair must not depend on the block it is in.
+    """
+    parts = max(1, -(-nodes.count() // block))
+    kind = dict(nodes.dtypes)[key]
+    dealt = nodes.select(F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("x"))
+    other = F.sequence(F.lit(0), F.lit(parts - 1))
+    left = dealt.withColumn("b", F.explode(other)).select(F.col("part").alias("a"), "b", "key", "x")
+    right = dealt.withColumn("a", F.explode(other)).select("a", F.col("part").alias("b"), F.col("key").alias("key"), F.col("x").alias("x"))
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        arrow = (left if left.num_rows else right).schema.field("key").type
+        empty = pa.table({"s": pa.array([], arrow), "t": pa.array([], arrow), out: pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
+            return empty
+        s, t = (np.array(x["key"].to_pylist()) for x in (left, right))
+        x, y = (np.array(v["x"].to_pylist(), float) for v in (left, right))
+        made, step = [empty], max(1, (1 << 22) // max(y.size, 1))
+        for i in range(0, len(x), step):
+            c = cost(x[i : i + step], y)
+            c[s[i : i + step, None] == t] = np.inf
+            ok = np.isfinite(c)
+            if k is not None and k < len(t):
+                ok &= c <= np.partition(c, k - 1, axis=1)[:, k - 1 : k]
+            row, pick = np.nonzero(ok)
+            made.append(pa.table({"s": pa.array(s[i + row].tolist(), arrow), "t": pa.array(t[pick].tolist(), arrow), out: pa.array(c[row, pick])}))
+        return pa.concat_tables(made)
+
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(solve, f"s {kind}, t {kind}, {out} double")
+    return found if k is None else top(found, k, F.col(out).asc())
+
+
+def _squared(x: np.ndarray, y: np.ndarray, shares: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances, each dimension by its share."""
+    d = (x[:, None] - y) ** 2
+    return d.sum(2) if shares is None else d @ shares
+
+
 def pairwise(nodes: DataFrame, key: str = "sp", value: str = "x") -> DataFrame:
     """(s, t, d2) of every ordered pair of different nodes. All pairs are the result; for the nearest ones of many vectors use :func:`nearest`."""
-    a = nodes.select(F.col(key).alias("s"), F.col(value).alias("a"))
-    b = nodes.select(F.col(key).alias("t"), F.col(value).alias("b"))
-    return a.crossJoin(b).where("s <> t").select("s", "t", V.squared_distance(F.col("a"), F.col("b")).alias("d2"))
+    return block_pairs(nodes, _squared, None, key, value, "d2")
 
 
 def pairwise_centroids(centroids: DataFrame) -> DataFrame:
@@ -36,12 +75,20 @@ def pairwise_centroids(centroids: DataFrame) -> DataFrame:
     return a.join(b, F.col("s") < F.col("t")).select("s", "t", d.alias("d"))
 
 
-def combined(mean: DataFrame, weighted: DataFrame, b: float) -> DataFrame:
-    """(s, t, d): b times the squared distance of the weighted features plus 1 - b times that of the means."""
-    x = mean.select("sp", F.col("x").alias("m")).join(weighted.select("sp", F.col("x").alias("w")), "sp")
-    one, two = x.select(F.col("sp").alias("s"), F.col("m").alias("m1"), F.col("w").alias("w1")), x.select(F.col("sp").alias("t"), F.col("m").alias("m2"), F.col("w").alias("w2"))
-    d = b * V.squared_distance(F.col("w1"), F.col("w2")) + (1 - b) * V.squared_distance(F.col("m1"), F.col("m2"))
-    return one.crossJoin(two).where("s <> t").select("s", "t", d.alias("d"))
+def _mixed(x: np.ndarray, y: np.ndarray, b: float) -> np.ndarray:
+    """b times the squared distance of the second halves, the weighted features, plus 1 - b times that of the first, the means."""
+    half = x.shape[1] // 2
+    return _squared(x, y, np.repeat([1 - b, b], half))
+
+
+def _both(mean: DataFrame, weighted: DataFrame) -> DataFrame:
+    return mean.select("sp", F.col("x").alias("m")).join(weighted.select("sp", F.col("x").alias("w")), "sp").select("sp", F.concat("m", "w").alias("x"))
+
+
+def combined(mean: DataFrame, weighted: DataFrame, b: float, neighbours: int | None = None) -> DataFrame:
+    """(s, t, d): b times the squared distance of the weighted features plus 1 - b times that of the means; of each node
+    its ``neighbours`` nearest, ties kept, or all others."""
+    return block_pairs(_both(mean, weighted), lambda x, y: _mixed(x, y, b), neighbours, "sp", "x", "d")
 
 
 def affinity(distances: DataFrame, sigma: float, column: str = "d") -> DataFrame:
@@ -68,13 +115,16 @@ def affinity_knn(distances: DataFrame, sigma: float, neighbours: int) -> DataFra
 
 
 def fcf_graph(mean: DataFrame, weighted: DataFrame, centroids: DataFrame, sigma: float, sigma_l: float, b: float, k: int = 8) -> DataFrame:
-    """Feature affinity times spatial decay, each node's k largest, made symmetric."""
-    close = affinity(combined(mean, weighted, b), sigma).where("w <> 1")
-    a = centroids.select(F.col("sp").alias("s"), F.col("ci").alias("ai"), F.col("cj").alias("aj"))
-    c = centroids.select(F.col("sp").alias("t"), F.col("ci").alias("bi"), F.col("cj").alias("bj"))
-    d = F.sqrt(F.pow(F.col("ai") - F.col("bi"), 2) + F.pow(F.col("aj") - F.col("bj"), 2))
-    w = close.join(a, "s").join(c, "t").select("s", "t", (F.col("w") * V.decay(d, sigma_l)).alias("w"))
-    return symmetric(top(w, k, F.col("w").desc()))
+    """Feature affinity times spatial decay, each node's k largest, made symmetric. Pairs of equal features have no edge."""
+    places = centroids.select("sp", F.array("ci", "cj").alias("at"))
+    nodes = _both(mean, weighted).join(places, "sp").select("sp", F.concat("x", "at").alias("x"))
+
+    def cost(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        w = np.exp(-_mixed(x[:, :-2], y[:, :-2], b) / (sigma * sigma))
+        return np.where(w == 1, np.inf, -w * np.exp(-np.sqrt(_squared(x[:, -2:], y[:, -2:])) / sigma_l))
+
+    near = block_pairs(nodes, cost, k, "sp", "x", "c")
+    return symmetric(near.select("s", "t", (-F.col("c")).alias("w")))
 
 
 def nearest(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
@@ -217,9 +267,13 @@ def class_probabilities(scores: DataFrame) -> DataFrame:
     return scores.select("node", "cls", F.when(s == 0, F.lit(float("nan"))).otherwise(F.col("f") / s).alias("prob"))
 
 
-def graph_mbo(edges: DataFrame, labels: DataFrame, mu: float, steps: int = 20, dt: float = 0.01, by_class: bool = False) -> DataFrame:
-    """(node, cls): diffusion in the Laplacian's eigenbasis and thresholding in turn. For graphs the driver holds.
-    ``by_class``: the pull towards the labels is indexed by class instead of by node."""
+def graph_mbo(edges: DataFrame, labels: DataFrame, mu: float, steps: int = 20, dt: float = 0.01, by_class: bool = False, most_nodes: int = 5_000) -> DataFrame:
+    """(node, cls): an explicit step of diffusion in the Laplacian's eigenbasis, less the pull towards the labels found in the
+    step before, and a threshold, in turn. For graphs of up to ``most_nodes`` nodes, whose full eigenbasis the driver holds.
+    ``by_class``: the pull is indexed by class instead of by node."""
+    count = edges.select("s").unionByName(edges.select(F.col("t").alias("s"))).unionByName(labels.select(F.col("node").alias("s"))).distinct().count()
+    if count > most_nodes:
+        raise ValueError(f"{count} nodes are more than the {most_nodes} of a full eigenbasis")
     w, nodes, y, classes = _dense(edges, labels)
     if not nodes:
         return edges.sparkSession.createDataFrame([], "node long, cls int")
@@ -228,15 +282,11 @@ def graph_mbo(edges: DataFrame, labels: DataFrame, mu: float, steps: int = 20, d
     values, basis = np.linalg.eigh(np.eye(len(w)) - root[:, None] * w * root)
     held = (y.max(1) > 0).astype(float)
     pull = np.tile(held[: len(classes)], (len(w), 1)) if by_class else held[:, None]
-    start = (y > 0) / np.maximum((y > 0).sum(1, keepdims=True), 1)
-    u = start.copy()
+    hot, u, shift = np.eye(len(classes)), y, np.zeros_like(y)
     for _ in range(steps):
-        a = basis.T @ u
-        d = np.zeros_like(a)
-        for _ in range(3):
-            a = (a - dt * d) / (1 + dt * values[:, None])
-            d = basis.T @ (mu * pull * (basis @ a - start))
-        u = np.eye(len(classes))[(basis @ a).argmax(1)]
+        spread = basis @ ((1 - dt * values[:, None]) * (basis.T @ u) - dt * shift)
+        shift = basis.T @ (mu * pull * (spread - y))
+        u = hot[spread.round(12).argmax(1)]  # nodes that nothing reaches yet hold rounding errors only: the lowest class
     return edges.sparkSession.createDataFrame([(n, classes[int(c)]) for n, c in zip(nodes, u.argmax(1), strict=True)], "node long, cls int")
 
 

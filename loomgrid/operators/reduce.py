@@ -38,9 +38,8 @@ def project(raster: DataFrame, basis: np.ndarray, out: str, centre: np.ndarray |
 def pca(raster: DataFrame, target: float = 0.998, most: int = 100, out: str = "pc") -> DataFrame:
     """``raster`` with the principal components of its standardised bands, as many as first pass ``target`` of the
     variance. None if it is never passed; an error if ``most`` components hold less than the target."""
-    n, s, g = stats.moments(raster)
-    mean = s / n
-    cov = g / n - np.outer(mean, mean)
+    n, mean, g = stats.centred_moments(raster)
+    cov = g / n
     sd = np.sqrt(np.maximum(np.diag(cov), 0))
     sd[sd <= 1e-12 * np.maximum(1, np.abs(mean))] = 1.0
     values, basis = np.linalg.eigh(cov / np.outer(sd, sd))

@@ -6,7 +6,9 @@ by :func:`check_contraction`), is the only thing the driver walks, where the gre
 
 from __future__ import annotations
 
+import itertools
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -124,8 +126,11 @@ def mean_vector(df: DataFrame, key: str, column: str) -> DataFrame:
     return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda x: x["x"]).alias(column))
 
 
-def update(pixels: DataFrame, labels: DataFrame) -> DataFrame:
-    """(c, i, j, n, area, v, lcmr) of ``pixels`` (p, i, j, v, lcmr, area): rounded mean places (halves away from zero), mean vectors, summed areas."""
+def update(pixels: DataFrame, labels: DataFrame, unassigned: int | None = None) -> DataFrame:
+    """(c, i, j, n, area, v, lcmr) of ``pixels`` (p, i, j, v, lcmr, area): rounded mean places (halves away from zero), mean
+    vectors, summed areas. Pixels without a cluster take no part, or count for the cluster ``unassigned``."""
+    if unassigned is not None:
+        labels = labels.withColumn("c", F.coalesce("c", F.lit(unassigned)))
     own = pixels.join(labels.where("c IS NOT NULL").select("p", "c"), "p")
     base = own.groupBy("c").agg(F.round(F.avg("i")).cast("int").alias("i"), F.round(F.avg("j")).cast("int").alias("j"), F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"))
     return base.join(mean_vector(own, "c", "v"), "c").join(mean_vector(own, "c", "lcmr"), "c")
@@ -238,9 +243,10 @@ def enforce_connectivity(labels: DataFrame, height: int, width: int, clusters: i
     return labels.select("p", "i", "j", F.coalesce("c", F.lit(-1)).alias("c"), F.lit(0).alias("one")).groupBy("one").applyInPandas(solve, "p int, i int, j int, sp int")
 
 
-def segment(pixels: DataFrame, k: int, compactness: float = 4.0, merging: bool = True, most_rounds: int = 20, least: int = 8) -> DataFrame:
+def segment(pixels: DataFrame, k: int, compactness: float = 4.0, merging: bool = True, most_rounds: int | None = 20, least: int = 8, wrap_unassigned: bool = False) -> DataFrame:
     """(p, i, j, sp): superpixels of ``pixels`` (p, i, j, v, lcmr). Each round scales boxes, splits and merges (from the second
-    on), assigns and updates, until the residual stops falling."""
+    on), assigns and updates, until the residual stops falling; a warning if that takes more than ``most_rounds`` (None: no
+    bound). ``wrap_unassigned``: pixels that no box reaches count for the last cluster in the update."""
     spark = pixels.sparkSession
     h, w = neighbourhood.extent(pixels)
     step = grid_step(h, w, k)
@@ -252,14 +258,18 @@ def segment(pixels: DataFrame, k: int, compactness: float = 4.0, merging: bool =
         schema = "c int, i int, j int, area double, scale double, v array<double>, lcmr array<double>"
         at = pixels.select("i", "j", "v", "lcmr", "area")
         held = seed.join(at, ["i", "j"]).select("c", "i", "j", "area", F.lit(1.0).alias("scale"), "v", "lcmr")
-        clusters = spark.createDataFrame(held.orderBy("c").collect(), schema)
-        count = clusters.count()
+        held_rows = held.orderBy("c").collect()
+        clusters = spark.createDataFrame(held_rows, schema)
+        count = len(held_rows)
         check_contraction(h, w, count)
         lsr = 4 * pixels.agg(F.sum("area")).first()[0] / count
         labels, last, ratio = None, math.inf, 0.0
-        for turn in range(most_rounds):
+        for turn in itertools.count():
             if not (ratio < 0.99 or ratio > 1 and turn < 2):
                 break
+            if turn == most_rounds:
+                warnings.warn(f"the residual still fell, to {ratio:.4f} of itself, after {most_rounds} rounds", stacklevel=2)
+                break
             scale = adaptive_scale(clusters, area, step, lsr).select("c", F.col("scale").alias("s"))
             clusters = clusters.join(scale, "c").withColumn("scale", F.col("s")).drop("s")
             if turn and merging:
@@ -274,9 +284,10 @@ def segment(pixels: DataFrame, k: int, compactness: float = 4.0, merging: bool =
                 for r in neighbourhood.adjacency(labels, "c").collect():
                     touching.setdefault(first.get(r["src"], -1), set()).add(first.get(r["dst"], -1))
                 merged = merge([Cluster(r["c"], r["i"], r["j"], r["area"], r["scale"], np.array(r["v"]), np.array(r["lcmr"])) for r in rows], touching, lsr)
-                clusters = spark.createDataFrame([(n, x.i, x.j, float(x.area), float(x.scale), x.v.tolist(), x.lcmr.tolist()) for n, x in enumerate(merged)], schema)
+                held_rows = [(n, x.i, x.j, float(x.area), float(x.scale), x.v.tolist(), x.lcmr.tolist()) for n, x in enumerate(merged)]
+                clusters = spark.createDataFrame(held_rows, schema)
             labels = stored(assign(pixels, clusters, step, compactness).join(pixels.select("p", "i", "j"), "p"), "labels")
-            new = update(pixels, labels)
+            new = update(pixels, labels, len(held_rows) - 1 if wrap_unassigned else None)
             err = residual(clusters, new).first()["err"]
             ratio = 1.0 if err == 0 else 0.0 if math.isinf(last) else err / last
             last = err

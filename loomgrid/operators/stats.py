@@ -17,17 +17,19 @@ def standardize(bands: DataFrame, key: str = "p") -> DataFrame:
     return bands.join(F.broadcast(stat), "k").select(key, "k", z.alias("z"))
 
 
-def moments(vectors: DataFrame, vector: str = "v") -> tuple[int, np.ndarray, np.ndarray]:
-    """(rows, sums, Gram matrix): one pass, a partial of d x d numbers a partition, summed before the driver gets one."""
+def moments(vectors: DataFrame, vector: str = "v", centre: np.ndarray | None = None, products: bool = True) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, sums, Gram matrix) of the vectors less ``centre``: one pass, a partial of d x d numbers a partition, summed
+    before the driver gets one. Without ``products`` the matrix is 0 x 0."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, g = 0, 0.0, 0.0
         for b in batches:
             x = np.array(b.column(0).to_pylist(), float)
             if len(x):
-                n, s, g = n + len(x), s + x.sum(0), g + x.T @ x
+                x = x if centre is None else x - centre
+                n, s, g = n + len(x), s + x.sum(0), g + (x.T @ x if products else 0.0)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([n]), pa.array([s.tolist()]), pa.array([g.ravel().tolist()])], names=["one", "n", "s", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([n]), pa.array([s.tolist()]), pa.array([np.ravel(g).tolist() if products else []], pa.list_(pa.float64()))], names=["one", "n", "s", "g"])
 
     parts = vectors.select(vector).mapInArrow(part, "one long, n long, s array<double>, g array<double>")
     add = lambda c: parts.select(F.posexplode(c).alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at")
@@ -35,16 +37,25 @@ def moments(vectors: DataFrame, vector: str = "v") -> tuple[int, np.ndarray, np.
     try:
         n = parts.agg(F.sum("n")).first()[0] or 0
         s = np.array([r["x"] for r in add("s").collect()])
-        g = np.array([r["x"] for r in add("g").collect()]).reshape(len(s), len(s))
+        g = np.array([r["x"] for r in add("g").collect()]).reshape((len(s), len(s)) if products else (0, 0))
     finally:
         parts.unpersist()
     return n, s, g
 
 
 def covariance_matrix(vectors: DataFrame, vector: str = "v") -> np.ndarray:
-    """Covariance of the vector's elements, over n - 1. Centred about the first moments in floating point."""
-    n, s, g = moments(vectors, vector)
-    return (g - np.outer(s, s) / n) / (n - 1)
+    """Covariance of the vector's elements, over n - 1."""
+    n, _, g = centred_moments(vectors, vector)
+    return g / (n - 1)
+
+
+def centred_moments(vectors: DataFrame, vector: str = "v") -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, means, Gram matrix of the vectors less their means), in two passes: sums first, then products of what is left
+    once the mean is taken off, so bands of large values and small variance don't cancel."""
+    n, s, _ = moments(vectors, vector, products=False)
+    mean = s / max(n, 1)
+    _, rest, g = moments(vectors, vector, centre=mean)
+    return n, mean + rest / max(n, 1), g - np.outer(rest, rest) / max(n, 1)
 
 
 def covariance_pairs(bands: DataFrame, key: str = "p", value: str = "x") -> DataFrame:

@@ -43,7 +43,7 @@ _VIEWS = {
     "cent": "SELECT sp, avg(i) ci, avg(j) cj FROM raster GROUP BY sp",
     "counts": "SELECT sp, gt cls, count(*) n FROM raster GROUP BY sp, gt",
     "major": "SELECT sp, cls, n FROM (SELECT *, row_number() OVER (PARTITION BY sp ORDER BY n DESC, cls) r FROM counts) WHERE r = 1",
-    "sample": """SELECT p, gt cls FROM (SELECT p, gt, row_number() OVER (PARTITION BY gt ORDER BY (cast(p AS bigint) * 7919 + 7) % 10007, p) rn,
+    "sample": """SELECT p, gt cls FROM (SELECT p, gt, row_number() OVER (PARTITION BY gt ORDER BY md5(p || ':7'), p) rn,
         count(*) OVER (PARTITION BY gt) size FROM raster WHERE gt > 0) WHERE rn <= 5 AND size > 5""",
     "nodelab": "SELECT sp, cls, count(*) n FROM raster JOIN sample USING (p) GROUP BY sp, cls",
     "pred": "SELECT r.p, r.i, r.j, r.gt, r.sp, m.cls pred FROM raster r JOIN major m USING (sp)",
@@ -65,6 +65,13 @@ _VIEWS = {
         SELECT node, cls, (1 - 1 / 1.125) * y FROM y) GROUP BY node, cls""",
     "f3": """SELECT node, cls, sum(f) f FROM (SELECT s node, cls, w * f / 1.125 f FROM norm JOIN f2 ON node = t UNION ALL
         SELECT node, cls, (1 - 1 / 1.125) * y FROM y) GROUP BY node, cls""",
+    # (1 - a)(y + a S y + (a S)^2 y + ...): each step doubles the number of terms
+    "lp0": "SELECT s, t, w / 1.125 w FROM norm",
+    "lf0": """SELECT n.node, c.cls, (1 - 1 / 1.125) * coalesce(y.y, 0) f FROM (SELECT s node FROM norm UNION SELECT node FROM y) n, (SELECT DISTINCT cls FROM y) c
+        LEFT JOIN y ON y.node = n.node AND y.cls = c.cls""",
+    **{f"lf{j + 1}": f"""SELECT node, cls, sum(f) f FROM (SELECT node, cls, f FROM lf{j} UNION ALL SELECT p.s, q.cls, p.w * q.f FROM lp{j} p JOIN lf{j} q ON q.node = p.t)
+        GROUP BY node, cls""" for j in range(9)},
+    **{f"lp{j + 1}": f"SELECT a.s, b.t, sum(a.w * b.w) w FROM lp{j} a JOIN lp{j} b ON b.s = a.t GROUP BY a.s, b.t" for j in range(8)},
     "seeds": "SELECT cast(row_number() OVER (ORDER BY i, j) - 1 AS int) c, p, i, j, v FROM raster WHERE i >= 2 AND j >= 2 AND (i - 2) % 5 = 0 AND (j - 2) % 5 = 0",
     "grad": """SELECT r.p, r.i, r.j, sqrt(pow(list_distance(d.v, u.v), 2) + pow(list_distance(e.v, l.v), 2)) g FROM raster r, dim
         JOIN raster d ON d.i = CASE WHEN r.i + 1 >= h THEN h - 2 ELSE r.i + 1 END AND d.j = r.j
@@ -96,6 +103,9 @@ _VIEWS = {
     "ends": "SELECT min(least(r, g, b)) lo, max(greatest(r, g, b)) hi FROM rgb0",
     "rgb": "SELECT p, i, j, sp, cast(floor(255 * (r - lo) / (hi - lo)) AS int) r, cast(floor(255 * (g - lo) / (hi - lo)) AS int) g, cast(floor(255 * (b - lo) / (hi - lo)) AS int) b FROM rgb0, ends",
     "edge": """SELECT a.p, coalesce(bool_or(b.sp <> a.sp), false) edge FROM raster a, four f LEFT JOIN raster b ON b.i = a.i + f.a AND b.j = a.j + f.b GROUP BY a.p""",
+    "wedge": """SELECT a.p, coalesce(bool_or(b.sp <> a.sp), false) edge FROM raster a, four f, dim LEFT JOIN raster b ON b.i = CASE WHEN a.i + f.a < 0 THEN h - 1 ELSE a.i + f.a END
+        AND b.j = CASE WHEN a.j + f.b < 0 THEN w - 1 ELSE a.j + f.b END GROUP BY a.p""",
+    "pal10": "SELECT * FROM (VALUES " + ", ".join(f"({c}, {r}, {g}, {b})" for c, (r, g, b) in enumerate(render.PALETTE_10)) + ") t(cls, r, g, b)",
     "pal": "SELECT * FROM (VALUES " + ", ".join(f"({c}, {r}, {g}, {b})" for c, (r, g, b) in enumerate(render.PALETTE_17)) + ") t(cls, r, g, b)",
 }
 # whole vectors in place of the four bands
@@ -113,7 +123,8 @@ def _needs(text: str, seen: dict[str, None]) -> None:
 def _sql(text: str) -> str:
     seen: dict[str, None] = {}
     _needs(text, seen)
-    views = ", ".join(f"{n} AS ({_VIEWS[n]})" for n in seen)
+    kept = lambda n: " MATERIALIZED" if n[:2] in ("lp", "lf") else ""  # noqa: E731  # else each step would repeat all before it twice
+    views = ", ".join(f"{n} AS{kept(n)} ({_VIEWS[n]})" for n in seen)
     if text.startswith("WITH "):
         return f"WITH {views}, {text[5:]}"
     return f"WITH {views} {text}" if views else text
@@ -244,6 +255,38 @@ def _(spark, raster):
     return segment.seeds(raster, STEP)
 
 
+def _blurred(sigma: float) -> str:
+    """SQL of the blur: one axis after the other, each mirrored at its ends."""
+    reach = int(4 * sigma + 0.5)
+    total = f"(SELECT sum(exp(-0.5 * pow(x / {sigma}, 2))) FROM (SELECT unnest(generate_series(-{reach}, {reach})) x))"
+    kernel = f"kern AS (SELECT o, exp(-0.5 * pow(o / {sigma}, 2)) / {total} g FROM (SELECT unnest(generate_series(-{reach}, {reach})) o))"
+    steps, last = [kernel, "size AS (SELECT h, w, (SELECT max(k) + 1 FROM bands) d FROM dim)"], "bands"
+    for axis, n in (("k", "d"), ("i", "h"), ("j", "w")):
+        at = f"a.{axis} + o"
+        mirrored = f"CASE WHEN {at} < 0 THEN -1 - ({at}) WHEN {at} >= {n} THEN 2 * {n} - 1 - ({at}) ELSE {at} END"
+        on = " AND ".join(f"b.{x} = " + (mirrored if x == axis else f"a.{x}") for x in "ijk")
+        steps.append(f"blur_{axis} AS (SELECT a.p, a.i, a.j, a.k, sum(g * b.x) x FROM {last} a, kern, size JOIN {last} b ON {on} GROUP BY a.p, a.i, a.j, a.k)")
+        last = f"blur_{axis}"
+    return f"WITH {', '.join(steps)} SELECT p, k, round(x, 6) x FROM {last}"
+
+
+@query("gaussian_blur_wide", _blurred(1.0))
+def _(spark, raster):
+    blurred = neighbourhood.blur(raster, 1.0)
+    return blurred.select("p", F.posexplode("v").alias("k", "x")).select("p", "k", r6("x"))
+
+
+@query(
+    "gradient_wrapped",
+    """WITH rm AS MATERIALIZED (SELECT p, i, j, v FROM raster), n AS MATERIALIZED (SELECT p, i, j, CASE WHEN i + 1 >= h THEN h - 2 ELSE i + 1 END dn,
+    CASE WHEN i = 0 THEN h - 1 ELSE i - 1 END up, CASE WHEN j + 1 >= w THEN w - 2 ELSE j + 1 END rt, CASE WHEN j = 0 THEN w - 1 ELSE j - 1 END lf FROM raster, dim)
+    SELECT n.p, round(sqrt(pow(list_distance(d.v, u.v), 2) + pow(list_distance(e.v, l.v), 2)), 6) g FROM n JOIN rm d ON d.i = n.dn AND d.j = n.j
+    JOIN rm u ON u.i = n.up AND u.j = n.j JOIN rm e ON e.i = n.i AND e.j = n.rt JOIN rm l ON l.i = n.i AND l.j = n.lf""",
+)
+def _(spark, raster):
+    return neighbourhood.gradient(raster, wrap=True).select("p", r6("g"))
+
+
 @query("gradient", "SELECT p, round(g, 6) g FROM grad")
 def _(spark, raster):
     return neighbourhood.gradient(raster).select("p", r6("g"))
@@ -486,7 +529,7 @@ def _(spark, raster):
     UNION ALL SELECT t, s, d FROM (SELECT *, rank() OVER (PARTITION BY s ORDER BY d) r FROM comb) WHERE r <= 6) GROUP BY s, t HAVING exp(-max(d) / 4.0) <> 1""",
 )
 def _(spark, raster):
-    return graph.affinity_knn(graph.combined(*_nodes(raster), MIX), SIGMA, 6).select("s", "t", r6("w"))
+    return graph.affinity_knn(graph.combined(*_nodes(raster), MIX, 6), SIGMA, 6).select("s", "t", r6("w"))
 
 
 def _fcf(raster):
@@ -536,6 +579,16 @@ def _(spark, raster):
     return _three(raster).select("node", "cls", r6("f"))
 
 
+@query("lgc", "SELECT node, cls, round(f, 6) f FROM lf9")
+def _(spark, raster):
+    return graph.lgc(_fcf(raster), _labels(raster), 0.125).select("node", "cls", r6("f"))
+
+
+@query("ls", "SELECT node, cls, round(f / (1 - 1 / 1.125), 6) f FROM lf9")
+def _(spark, raster):
+    return graph.label_solve(_fcf(raster), _labels(raster), ALPHA).select("node", "cls", r6("f"))
+
+
 @query("classify_argmax", "SELECT node, cls FROM (SELECT node, cls, row_number() OVER (PARTITION BY node ORDER BY round(f, 9) DESC, cls) r FROM f3) WHERE r = 1")
 def _(spark, raster):
     return graph.classify(_three(raster).withColumn("f", F.round("f", 9)))
@@ -689,6 +742,17 @@ def _(spark, raster):
     return cells.groupBy("p", "a").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "c"))), lambda x: x["c"]).alias("c"))
 
 
+@query("boundary_wrapped", "SELECT p, edge FROM wedge")
+def _(spark, raster):
+    return neighbourhood.boundary(raster, wrap=True)
+
+
+@query("class_map_paviau", "SELECT i, j, q.r, q.g, q.b FROM (SELECT i, j, pred % 10 cls FROM pred) JOIN pal10 q USING (cls)")
+def _(spark, raster):
+    """Classes 1 to 9 and background, as in that scene."""
+    return render.class_map(_pred(raster).withColumn("pred", F.col("pred") % 10), render.palette(spark, "PaviaU"))
+
+
 @query("mean_color", "SELECT a.i, a.j, m.r, m.g, m.b FROM rgb a JOIN (SELECT sp, cast(floor(avg(r)) AS int) r, cast(floor(avg(g)) AS int) g, cast(floor(avg(b)) AS int) b FROM rgb GROUP BY sp) m USING (sp)")
 def _(spark, raster):
     return render.mean_colours(render.stretch(raster, (19, 15, 12)))
@@ -759,16 +823,6 @@ def _(spark, raster):
     return segment.segment(pixels, 20)
 
 
-@query("lgc")
-def _(spark, raster):
-    return graph.lgc(_fcf(raster), _labels(raster), 0.125)
-
-
-@query("ls")
-def _(spark, raster):
-    return graph.label_solve(_fcf(raster), _labels(raster), ALPHA)
-
-
 @query("graph_mbo")
 def _(spark, raster):
     return graph.graph_mbo(_fcf(raster), _labels(raster), 0.125)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import logging
+import random
+import time
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +21,13 @@ SCENE_PARAMETERS = {
     "PaviaU": (2400, (0.09, 0.1), (2.5, 3.0)),
     "Salinas": (1500, (0.89, 0.9), (0.8, 1.3)),
 }
+#: Ranges that a run's kernel width and label pull are drawn from.
+SIGMAS, MUS = (0.19, 0.20), (0.1, 0.15)
 
 
 @dataclass(frozen=True)
 class Config:
-    """Midpoints of the ranges are the defaults; nothing is drawn at random but the sample, by its seed."""
+    """Midpoints of the ranges are the defaults. The sample of each run is drawn by the seed and the run; so are ``sigma`` and ``mu`` if ``draw``."""
 
     superpixels: int = 1200
     pca_variance: float = 0.998
@@ -41,11 +46,19 @@ class Config:
     h: float = 15.0
     seed: int = 7
     keep_small: bool = False
+    draw: bool = False
 
     @classmethod
-    def of_scene(cls, name: str) -> Config:
+    def of_scene(cls, name: str, seed: int = 7, draw: bool = False) -> Config:
+        """The scene's parameters: midpoints of their ranges, or drawn from them by the seed."""
         k, mix, decay = SCENE_PARAMETERS[name]
-        return cls(superpixels=k, mix=sum(mix) / 2, sigma_l=10 ** (sum(decay) / 2))
+        pick = random.Random(seed).uniform if draw else lambda low, high: (low + high) / 2
+        return cls(superpixels=k, mix=pick(*mix), sigma_l=10 ** pick(*decay), seed=seed, draw=draw)
+
+    def of_run(self, run: int) -> tuple[float, float]:
+        """(sigma, mu) of a run."""
+        r = random.Random(f"{self.seed}:{run}")
+        return (r.uniform(*SIGMAS), r.uniform(*MUS)) if self.draw else (self.sigma, self.mu)
 
 
 def describe(raster: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -59,15 +72,17 @@ def describe(raster: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, D
 def classify(raster: DataFrame, config: Config) -> DataFrame:
     """(run, metric, cls, value): oa, kappa and recall by class of each run on a raster with ``gt`` and superpixels ``sp``."""
     raster = stored(raster, "raster")
-    mean, weighted, centroids = describe(raster, config)
-    edges = graph.fcf_graph(mean, weighted, centroids, config.sigma, config.sigma_l, config.mix, config.neighbours)
-    edges = stored(edges, "graph")
+    mean, weighted, centroids = (stored(x, "features") for x in describe(raster, config))
+    edges, built = None, None
     nodes = raster.select(F.col("sp").alias("node")).distinct()
     out = None
     for run in range(config.runs):
+        sigma, mu = config.of_run(run)
+        if sigma != built:
+            edges, built = stored(graph.fcf_graph(mean, weighted, centroids, sigma, config.sigma_l, config.mix, config.neighbours), "graph"), sigma
         sample = features.stratified_sample(raster, config.labelled, config.seed + run, keep_small=config.keep_small)
         labels = features.node_labels(raster, sample).select(F.col("sp").alias("node"), "cls", F.col("n").alias("y"))
-        cls = graph.classify(graph.lgc(edges, labels, config.mu), nodes).withColumnRenamed("node", "sp")
+        cls = graph.classify(graph.lgc(edges, labels, mu), nodes).withColumnRenamed("node", "sp")
         pixels = evaluate.tested(evaluate.back_project(raster.select("p", "gt", "sp"), cls), sample)
         none = F.lit(None).cast("int")
         rows = evaluate.overall_accuracy(pixels).select(F.lit("oa").alias("metric"), none.alias("cls"), F.col("oa").alias("value"))
@@ -79,13 +94,24 @@ def classify(raster: DataFrame, config: Config) -> DataFrame:
 
 
 def run_pipeline(raster: DataFrame, config: Config) -> DataFrame:
-    """From a raster (p, i, j, gt, v) to the runs' metrics."""
+    """From a raster (p, i, j, gt, v) to the runs' metrics. The seconds of each step go to this module's log."""
+    began = [time.time()]
+
+    def log(step: str) -> None:
+        began.append(time.time())
+        logging.getLogger(__name__).info("%s: %.1f s", step, began[-1] - began[-2])
+
     pc = stored(reduce.pca(raster, config.pca_variance), "components")
-    logs = lcmr.log_matrices(reduce.mnf(raster, config.components), "mnf", config.window, config.window_neighbours)
+    log("components")
+    logs = stored(lcmr.log_matrices(reduce.mnf(raster, config.components), "mnf", config.window, config.window_neighbours), "log-matrices")
+    log("covariance matrices")
     pixels = pc.select("p", "i", "j", F.col("pc").alias("v")).join(logs, "p")
     superpixels = segment.segment(pixels, config.superpixels, config.compactness, config.merging)
+    log("segmentation")
     labelled = pc.select("p", "i", "j", "gt", F.col("pc").alias("v")).join(superpixels.select("p", "sp"), "p")
-    return classify(labelled, config)
+    metrics = stored(classify(labelled, config), "metrics")
+    log("graph and classification")
+    return metrics
 
 
 def main(argv: list[str] | None = None) -> DataFrame:
@@ -99,10 +125,14 @@ def main(argv: list[str] | None = None) -> DataFrame:
     a.add_argument("--cm-nn", dest="window_neighbours", type=int, default=400)
     a.add_argument("--run-n", dest="runs", type=int, default=1)
     a.add_argument("--num-labeled", dest="labelled", type=int, default=15)
+    a.add_argument("--draw", action="store_true", help="draw the parameters from their ranges by the seed, instead of the midpoints")
+    a.add_argument("--seed", type=int, default=7)
     args = vars(a.parse_args(argv))
-    name, folder = args.pop("dataset"), args.pop("folder")
+    logging.basicConfig(level=logging.WARNING)
+    logging.getLogger(__name__).setLevel(logging.INFO)
+    name, folder, draw, seed = (args.pop(x) for x in ("dataset", "folder", "draw", "seed"))
     spark = SparkSession.builder.getOrCreate()
-    summary = evaluate.run_summary(run_pipeline(from_scene(spark, folder, name), replace(Config.of_scene(name), **args)))
+    summary = evaluate.run_summary(run_pipeline(from_scene(spark, folder, name), replace(Config.of_scene(name, seed, draw), **args)))
     for r in summary.orderBy("metric").collect():
         print(f"{r['metric']}: {r['mean']:,.2f} ± {r['std']:,.2f}")
     return summary

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions import vectors as V
 from loomgrid.operators import evaluate, features, graph, lcmr, neighbourhood, reduce, render, segment, stats
 from loomgrid.plans import catalog
+from loomgrid.plans.pipeline import Config
 from loomgrid.sources import raster as source
 
 
@@ -257,3 +258,85 @@ def test_png(spark, raster, tmp_path):
     image = render.boundary_overlay(render.stretch(raster, (19, 15, 12)), neighbourhood.boundary(raster))
     render.write_png(image, str(tmp_path / "x.png"))
     assert (tmp_path / "x.png").read_bytes()[:8] == b"\x89PNG\r\n\x1a\n"
+
+
+def test_draws_of_two_seeds_are_independent(spark):
+    df = spark.range(10_000).select(F.col("id").cast("int").alias("p"), F.lit(1).alias("gt"))
+    drawn = {seed: {r["p"] for r in features.stratified_sample(df, 500, seed).collect()} for seed in (7, 8, 12)}
+    for a, b in ((7, 8), (7, 12), (8, 12)):
+        assert len(drawn[a]) == 500 and 10 <= len(drawn[a] & drawn[b]) <= 45  # 25 by chance
+
+
+def test_drawn_parameters():
+    one, other, mid = Config.of_scene("Indiana", 1, True), Config.of_scene("Indiana", 2, True), Config.of_scene("Indiana")
+    assert one != other and one == Config.of_scene("Indiana", 1, True) and 0.89 <= one.mix <= 0.9
+    assert one.of_run(0) != one.of_run(1) and mid.of_run(0) == mid.of_run(1) == (0.195, 0.125)
+    assert 0.19 <= one.of_run(3)[0] <= 0.2 and 0.1 <= one.of_run(3)[1] <= 0.15
+
+
+def test_block_pairs_in_several_blocks(spark):
+    r = np.random.default_rng(3)
+    x = r.integers(0, 3, (60, 2)).astype(float)  # many ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "sp int, x array<double>")
+    d = ((x[:, None] - x) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    for k in (4, None):
+        want = {(s, t) for s in range(60) for t in range(60) if s != t and (k is None or d[s, t] <= np.sort(d[s])[k - 1])}
+        for block in (7, 2048):
+            got = {(e["s"], e["t"]): e["c"] for e in graph.block_pairs(df, graph._squared, k, "sp", "x", "c", block).collect()}
+            assert set(got) == want and all(got[s, t] == d[s, t] for s, t in want)
+
+
+def test_blocked_graphs_have_no_cross_join(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "sp int, x array<double>")
+    at = df.select("sp", F.col("sp").cast("double").alias("ci"), F.lit(0.0).alias("cj"))
+    for out in (graph.pairwise(df), graph.combined(df, df, 0.5, 3), graph.fcf_graph(df, df, at, 1.0, 1.0, 0.5, 3)):
+        plan = out._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_covariance_of_large_values(spark):
+    x = 1e8 + np.random.default_rng(1).normal(size=(400, 3))
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>")
+    assert np.allclose(stats.covariance_matrix(df), np.cov(x.T), rtol=1e-6)
+
+
+def test_mbo_against_a_plain_loop(spark):
+    r = np.random.default_rng(5)
+    n = 24
+    w = np.triu(r.random((n, n)) * (r.random((n, n)) < 0.3), 1)
+    w += w.T
+    w[np.arange(n), (np.arange(n) + 1) % n] = w[(np.arange(n) + 1) % n, np.arange(n)] = 0.5
+    y = np.zeros((n, 3))
+    y[[0, 1, 2, 9], [0, 1, 2, 1]] = [2, 1, 3, 1]
+    edges = spark.createDataFrame([(i, j, float(w[i, j])) for i in range(n) for j in range(n) if w[i, j]], "s long, t long, w double")
+    labels = spark.createDataFrame([(int(i), int(c) + 1, float(y[i, c])) for i, c in np.argwhere(y)], "node long, cls int, y double")
+    got = dict(map(tuple, graph.graph_mbo(edges, labels, 30.0).collect()))
+    values, basis = np.linalg.eigh(np.eye(n) - w / np.sqrt(np.outer(w.sum(1), w.sum(1))))
+    u, d = y.copy(), np.zeros((n, 3))
+    for _ in range(20):
+        a = basis.T @ u
+        for k in range(n):
+            a[k] = a[k] * (1 - 0.01 * values[k]) - 0.01 * d[k]
+        u = basis @ a
+        d = basis.T @ (30.0 * (y.max(1) > 0)[:, None] * (u - y))
+        u = np.eye(3)[u.argmax(1)]
+    assert got == {i: int(u[i].argmax()) + 1 for i in range(n)}
+    with pytest.raises(ValueError, match="more than the 5"):
+        graph.graph_mbo(edges, labels, 30.0, most_nodes=5)
+
+
+def test_rounds_without_bound_and_a_warning_at_one(raster, spark):
+    from loomgrid.operators import lcmr, reduce
+
+    pixels = raster.select("p", "i", "j", "v").join(lcmr.log_matrices(reduce.mnf(raster, 3), "mnf", 3, 5), "p")
+    assert segment.segment(pixels, 20, most_rounds=None).count() == raster.count()
+    with pytest.warns(UserWarning, match="still fell"):
+        segment.segment(pixels, 20, most_rounds=1, wrap_unassigned=True).count()
+
+
+def test_unassigned_pixels_count_for_the_last_cluster(spark):
+    px = spark.createDataFrame([(0, 0, 0, [1.0], [0.0], 1.0), (1, 0, 1, [3.0], [0.0], 1.0)], "p int, i int, j int, v array<double>, lcmr array<double>, area double")
+    labels = spark.createDataFrame([(0, 4), (1, None)], "p int, c int")
+    assert [tuple(r["v"]) for r in segment.update(px, labels).collect()] == [(1.0,)]
+    assert [tuple(r["v"]) for r in segment.update(px, labels, 4).collect()] == [(2.0,)]
