@@ -180,8 +180,8 @@ def _same(p: np.ndarray, q: np.ndarray) -> int:
 
 
 def _blocks(members: DataFrame, signs: DataFrame, component: DataFrame) -> DataFrame:
-    """(key, band, i, j, seeks, rep, component, bands, low): of buckets with several components, the rows outside the largest
-    one in blocks i, once for each block j of all the bucket's rows, and those once for each i."""
+    """(key, band, i, j, seeks, met, rep, component, inside, bands, low): of buckets with several components, the rows outside
+    the largest one in blocks i, once for each block j of all the bucket's rows, and those once for each i."""
     marked = members.join(component, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
     several = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     held = materialize(marked.join(several, "key"), "open-buckets")
@@ -191,32 +191,36 @@ def _blocks(members: DataFrame, signs: DataFrame, component: DataFrame) -> DataF
     counts = whole.select("key", F.col("main.component").alias("main"), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("outer"), blocks(F.col("n"), F.col("size")).alias("blocks"))
     rows = held.join(counts, "key").join(signs, "rep")
     own = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    seeking = rows.where("component <> main").withColumn("i", own("outer", 1)).withColumn("j", every("blocks")).withColumn("seeks", F.lit(True))
-    met = rows.withColumn("i", every("outer")).withColumn("j", own("blocks", 2)).withColumn("seeks", F.lit(False))
-    columns = ["key", "band", "i", "j", "seeks", "rep", "component", (F.col("component") == F.col("main")).alias("inside"), "bands", "low"]
-    return seeking.select(*columns).unionByName(met.select(*columns))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda i, j, seeks, met: F.struct(i.alias("i"), j.alias("j"), seeks.alias("seeks"), met.alias("met"))
+    yes, no, outside = F.lit(True), F.lit(False), F.col("component") != F.col("main")
+    members = F.transform(every("outer"), lambda i: place(i, own("blocks", 2), no, yes))
+    seekers = F.transform(F.when(outside, every("blocks")).otherwise(F.array().cast("array<int>")), lambda j: place(own("outer", 1), j, yes, no))
+    one = F.array(place(F.lit(0), F.lit(0), outside, yes))  # nearly all buckets: a row comes once and does both
+    places = F.when((F.col("outer") == 1) & (F.col("blocks") == 1), one).otherwise(F.concat(members, seekers))
+    # of the band keys those before the bucket's own decide whether a pair met earlier
+    return rows.select("key", "band", "rep", "component", (~outside).alias("inside"), F.slice("bands", F.lit(1), F.col("band")).alias("bands"), "low", F.explode(places).alias("at")).select("key", "band", "at.*", "rep", "component", "inside", "bands", "low")
 
 
 def _near_pairs(group: pa.Table, least: int) -> Iterator[tuple[int, np.ndarray]]:
     """(seeking row, rows met of other components whose signature agrees), each pair in the bucket of its first common band."""
     seeks = np.array(group["seeks"].to_pylist(), bool)
-    if seeks.all() or not seeks.any():
+    met = np.flatnonzero(group["met"].to_pylist())
+    if not len(met) or not seeks.any():
         return
-    bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    band = group["band"][0].as_py()
+    bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(group.num_rows, band)
     low = np.frombuffer(b"".join(group["low"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
     _, comp = np.unique(np.array(group["component"].to_pylist()), return_inverse=True)
     _, rank = np.unique(np.array(group["rep"].to_pylist()), return_inverse=True)
     inside = np.array(group["inside"].to_pylist(), bool)
-    band = group["band"][0].as_py()
-    met = np.flatnonzero(~seeks)
     for x in np.flatnonzero(seeks):
         # two rows outside the largest component seek one another: the lower one looks
         near = met[(comp[met] != comp[x]) & (inside[met] | (rank[met] > rank[x]))]
         if len(near):
             near = near[(low[near] == low[x]).sum(1) >= least]
         if len(near) and band:
-            near = near[~(bands[near, :band] == bands[x, :band]).any(1)]
+            near = near[~(bands[near] == bands[x]).any(1)]
         if len(near):
             yield x, near
 
