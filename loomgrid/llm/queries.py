@@ -89,6 +89,22 @@ _WHITE = r"[\x20\x09-\x0D]+"
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS s
+              FROM (SELECT doc_id, h, unnest(generate_series(0, strlen(h) // 2 - 50)) AS k FROM d WHERE strlen(h) >= 100)),
+        c AS (SELECT doc_id, k FROM (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY s) AS least FROM w) WHERE least < doc_id),
+        e AS (SELECT doc_id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 50 THEN 0 ELSE 1 END AS new FROM c),
+        r AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS b
+              FROM (SELECT doc_id, k, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM e) GROUP BY doc_id, run),
+        kept AS (SELECT doc_id, any_value(h) AS h, sum(b - a) AS gone, count(a) AS spans, coalesce(max(b), 0) AS tail,
+                        coalesce(string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a), '') AS head
+                 FROM (SELECT d.doc_id, h, a, b, coalesce(lag(b) OVER (PARTITION BY d.doc_id ORDER BY a), 0) AS before
+                       FROM d LEFT JOIN r ON r.doc_id = d.doc_id) GROUP BY doc_id)
+        SELECT doc_id, strlen(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, spans AS n_spans,
+               sha256(unhex(head || substr(h, 2 * tail + 1))) AS kept_sha256
+        FROM kept
+    """,
     "op5_minhash": f"""
         WITH RECURSIVE dw AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWERED}, '{_WHITE}'), lambda x: x <> '') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s

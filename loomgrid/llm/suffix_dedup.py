@@ -8,26 +8,30 @@ so suffixes are first dealt by content:
    have equal anchors. Anchors are about a twentieth of the positions. Each shard of anchor hashes
    finds those that occur in several documents and answers the bundles of documents they came from.
 2. Around the anchors that occur elsewhere, documents send contexts: the bytes of the windows that
-   share the anchor. A shard holds all contexts of its anchors, equal ones collapsed to the smallest
-   doc_id that has them.
+   share the anchor. Equal contexts of a bundle go as one, that of its smallest doc_id; the others are
+   covered as they stand. A shard holds all contexts sent of its anchors, again equal ones as one.
 3. Contexts are indexed in blocks of bounded size: a suffix array by Larsson-Sadakane refinement,
    common prefixes by Kasai's method in step for all contexts, and so the classes of equal windows.
    The sorted windows of the blocks are merged by binary search; a window is covered if a smaller
    doc_id holds it.
 4. Covered windows return to their bundles, where the spans are joined.
 
-Memory: a bundle is at most ``BUNDLE`` documents, a shard about ``SHARD_BYTES`` of text's anchors.
+Memory: a bundle is at most ``BUNDLE`` doc_ids with texts of ``LONG_BYTES`` at most each, or one longer
+document; rows that repeat a doc_id add to its bundle. A shard is the anchors of about ``SHARD_BYTES`` of
+text, however many shards that makes, and the distinct contexts of a bundle for each.
 Rows travel as packed binaries of many anchors, so the JVM handles few rows. Everything after the
 scan is deterministic, so lost tasks can run again.
 
 Null texts are empty; texts under ``length`` bytes lose nothing. Rows with a null doc_id take no
-part and come back whole. Repeated rows of one doc_id don't remove one another.
+part and come back whole. Repeated rows of one doc_id, equal or not, don't remove one another, and each
+loses what smaller doc_ids hold. Columns named ``removed`` or ``kept`` are replaced, others pass.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +41,8 @@ GRAM = 16
 #: Documents of a bundle have doc_ids in a range of this many.
 BUNDLE_BITS = 9
 BUNDLE = 1 << BUNDLE_BITS
+#: A longer text is a bundle of its own.
+LONG_BYTES = 1 << 18
 #: Text per shard of anchors.
 SHARD_BYTES = 4 << 20
 #: Contexts of a block; a block ends with an anchor, but for anchors that fill more than one.
@@ -244,28 +250,64 @@ def covered_windows(rows: np.ndarray, sizes: np.ndarray, owner: np.ndarray, anch
 # -- stages ----------------------------------------------------------------------------------
 
 
-def _asked(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int, shards: int) -> pa.RecordBatch | None:
-    bundles, place = np.unique(ids // BUNDLE, return_inverse=True)
+def _bases(bundle: np.ndarray) -> np.ndarray:
+    """Least doc_id that each bundle can hold: odd ones are of one long document."""
+    return np.where(bundle & 1, bundle >> 1, (bundle >> 1) << BUNDLE_BITS)
+
+
+def _ranks(docs: pa.Table) -> np.ndarray:
+    """A number for each row of a bundle that every task gives it, whatever the order of the rows."""
+    ids = docs["doc_id"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    if (np.diff(ids[order]) == 0).any():
+        order = pc.sort_indices(docs.select(["doc_id", "text"]), [("doc_id", "ascending"), ("text", "ascending")]).to_numpy()
+    out = np.empty(len(ids), np.uint32)
+    out[order] = np.arange(len(ids))
+    return out
+
+
+def _equal(key: np.ndarray, more: np.ndarray, rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal contexts as one: (rows that stand for them, the place there of each row's, is its doc_id larger than that one's?)."""
+    columns = rows.shape[1]
+    wide = np.zeros((len(rows), -(-columns // 8) * 8), np.uint8)
+    wide[:, :columns] = rows
+    digest = key.astype(np.uint64) * _C1 + more.astype(np.uint64)
+    for w in wide.view(np.uint64).T:
+        digest = (digest ^ w) * _C2
+        digest ^= digest >> np.uint64(32)
+    order = np.lexsort((doc, digest))
+    starts = _runs(digest[order])
+    size = np.diff(starts)
+    head = order[starts[:-1]]
+    # the digest deals; the anchor, the windows and the bytes decide
+    first = np.repeat(head, size)
+    equal = (rows[order] == rows[first]).all(1) & (key[order] == key[first]) & (more[order] == more[first])
+    alone = order[~equal]
+    place = np.empty(len(rows), np.int64)
+    place[order] = np.repeat(np.arange(len(head)), size)
+    place[alone] = len(head) + np.arange(len(alone))
+    head = np.concatenate([head, alone])
+    return head, place, doc > doc[head[place]]
+
+
+def _asked(base: int, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int, shards: int) -> list[tuple]:
     found = []
     for i, j in slices(offsets, _SLICE):
         at, h, _ = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
         doc = i + np.searchsorted(offsets[i : j + 1] - offsets[i], at, side="right") - 1
         found.append((doc, _keys(h, shards)))
     doc, key = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    if not len(doc):
-        return None
-    both = (place[doc].astype(np.uint64) << np.uint64(49)) | key
-    order = np.argsort(both)
-    both, doc = both[order], ids[doc[order]]
-    starts = _runs(both)[:-1]
+    order = np.argsort(key)
+    key, doc = key[order], ids[doc[order]]
+    starts = _runs(key)[:-1]
+    if not len(starts):
+        return []
     least, most = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
-    both = both[starts]
-    cut = _runs(both >> np.uint64(32))
-    part = both[cut[:-1]]
-    low, off, many = both.astype(np.uint32), (least % BUNDLE).astype(np.uint16), (least != most)
-    packed = [(low[i:j].tobytes(), off[i:j].tobytes(), np.packbits(many[i:j]).tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-    shard, bundle = ((part >> np.uint64(32)) & np.uint64((1 << 17) - 1)).astype(np.int32), bundles[(part >> np.uint64(49)).astype(np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(bundle), *(pa.array(x, pa.binary()) for x in zip(*packed, strict=True))], names=["shard", "bundle", "low", "off", "many"])
+    key = key[starts]
+    shard = (key >> np.uint64(32)).astype(np.int32)
+    cut = _runs(shard)
+    low, off, many = key.astype(np.uint32), (least - base).astype(np.uint16), (least != most)
+    return [(shard[i], low[i:j].tobytes(), off[i:j].tobytes(), np.packbits(many[i:j]).tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _ask(length: int, shards: int):
@@ -273,10 +315,12 @@ def _ask(length: int, shards: int):
     names, types = ["shard", "bundle", "low", "off", "many"], [pa.int32(), pa.int64(), *[pa.binary()] * 3]
 
     def run(key: tuple, docs: pa.Table) -> pa.Table:
-        ids = docs["doc_id"].to_numpy()
+        ids, bundle = docs["doc_id"].to_numpy(), key[0].as_py()
+        base = int(_bases(np.array([bundle]))[0])
         data, offsets = text_buffer(docs["text"].combine_chunks())
-        parts = (_asked(ids[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, shards) for i, j in slices(offsets, _BATCH))
-        return pa.Table.from_batches([p for p in parts if p is not None], pa.schema(list(zip(names, types, strict=True))))
+        rows = [r for i, j in slices(offsets, _BATCH) for r in _asked(base, ids[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, shards)]
+        shard, *packed = zip(*rows, strict=True) if rows else ((),) * 4
+        return pa.table([pa.array(x, t) for x, t in zip([shard, [bundle] * len(rows), *packed], types, strict=True)], names=names)
 
     return run, "shard int, bundle long, low binary, off binary, many binary"
 
@@ -286,7 +330,7 @@ def _answer(key: tuple, group: pa.Table) -> pa.Table:
     low = [np.frombuffer(x, np.uint32) for x in group["low"].to_pylist()]
     n = [len(x) for x in low]
     bundle = np.repeat(group["bundle"].to_numpy(), n)
-    doc = np.concatenate([np.frombuffer(x, np.uint16) for x in group["off"].to_pylist()]) + bundle * BUNDLE
+    doc = np.concatenate([np.frombuffer(x, np.uint16) for x in group["off"].to_pylist()]) + _bases(bundle)
     many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:k] for x, k in zip(group["many"].to_pylist(), n, strict=True)])
     low = np.concatenate(low)
     order = np.argsort(low)
@@ -305,14 +349,19 @@ def _answer(key: tuple, group: pa.Table) -> pa.Table:
 
 
 def _contexts(length: int, shards: int):
-    """A bundle's documents and shared anchors -> per shard: anchor, document, first window, windows less one, bytes."""
+    """A bundle's documents and shared anchors -> per shard: anchor, document, row, first window, windows less one, bytes.
+
+    One row of each bundle has ``runs`` instead: windows that equal contexts of its smaller doc_ids cover.
+    """
     reach = length - GRAM
 
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
-        names = ["shard", "bundle", "low", "off", "first", "more", "bytes"]
-        types = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+        names = ["shard", "bundle", "low", "off", "row", "first", "more", "bytes", "runs"]
+        types = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
         if not docs.num_rows or not found.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
+        bundle = key[0].as_py()
+        base_id, rank = int(_bases(np.array([bundle]))[0]), _ranks(docs)
         known = np.concatenate([(np.uint64(s) << np.uint64(32)) | np.frombuffer(x, np.uint32) for s, x in zip(found["shard"].to_pylist(), found["low"].to_pylist(), strict=True)])
         known.sort()
         ids = docs["doc_id"].to_numpy()
@@ -333,52 +382,43 @@ def _contexts(length: int, shards: int):
             bytes_ = np.lib.stride_tricks.sliding_window_view(padded, length + reach)[lo]
             bytes_[np.arange(length + reach) >= (hi - lo + length)[:, None]] = 255
             doc = np.searchsorted(own, at, side="right") - 1
-            parts.append((k, (ids[i + doc] % BUNDLE).astype(np.uint16), (lo - own[doc]).astype(np.uint32), (hi - lo).astype(np.uint8), bytes_))
+            parts.append((k, (ids[i + doc] - base_id).astype(np.uint16), rank[i + doc], (lo - own[doc]).astype(np.uint32), (hi - lo).astype(np.uint8), bytes_))
         if not parts:
             return pa.table([pa.array([], t) for t in types], names=names)
-        k, off, first, more, bytes_ = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(k, kind="stable")
-        k, off, first, more, bytes_ = k[order], off[order], first[order], more[order], bytes_[order]
+        k, off, row, first, more, bytes_ = (np.concatenate(x) for x in zip(*parts, strict=True))
+        whole = _equal(k, more, bytes_, off)[2]
+        ready = np.stack([row[whole], first[whole], first[whole] + more[whole]], 1).astype(np.int64)
+        order = np.flatnonzero(~whole)
+        order = order[np.argsort(k[order], kind="stable")]
+        k, off, row, first, more, bytes_ = k[order], off[order], row[order], first[order], more[order], bytes_[order]
         shard = (k >> np.uint64(32)).astype(np.int32)
         cut = _runs(shard)
-        low = k.astype(np.uint32)
-        packed = [[x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)] for x in (low, off, first, more, bytes_)]
-        bundle = ids[0] // BUNDLE
-        return pa.table([pa.array(shard[cut[:-1]]), pa.array([bundle] * (len(cut) - 1), pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], names=names)
+        packed = [[x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)] for x in (k.astype(np.uint32), off, row, first, more, bytes_)]
+        n = len(cut) - 1
+        out = [[*shard[cut[:-1]]], [bundle] * n, *packed, [None] * n]
+        if len(ready):
+            for column, x in zip(out, [bundle % shards, bundle, *[None] * 6, ready.tobytes()], strict=True):
+                column.append(x)
+        return pa.table([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
 
-    return run, "shard int, bundle long, low binary, off binary, first binary, more binary, bytes binary"
+    return run, "shard int, bundle long, low binary, off binary, row binary, first binary, more binary, bytes binary, runs binary"
 
 
 def _cover(length: int):
-    """A shard's contexts -> per bundle: runs of covered windows (document, first, last)."""
+    """A shard's contexts -> per bundle: runs of covered windows (row, first, last)."""
     columns = 2 * length - GRAM
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
+        ready = group.filter(pc.is_valid(group["runs"])).select(["bundle", "runs"])
+        group = group.filter(pc.is_null(group["runs"]))
+        if not group.num_rows:
+            return ready
         low = [np.frombuffer(x, np.uint32) for x in group["low"].to_pylist()]
         bundle = np.repeat(group["bundle"].to_numpy(), [len(x) for x in low])
         read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in group[c].to_pylist()])
         low, first, more = np.concatenate(low), read("first", np.uint32).astype(np.int64), read("more", np.uint8).astype(np.int64)
-        doc, rows = read("off", np.uint16) + bundle * BUNDLE, read("bytes", np.uint8).reshape(-1, columns)
-        # equal contexts: a digest of the anchor, the number of windows and all bytes
-        wide = np.zeros((len(rows), -(-columns // 8) * 8), np.uint8)
-        wide[:, :columns] = rows
-        digest = low.astype(np.uint64) * _C1 + more.astype(np.uint64)
-        for w in wide.view(np.uint64).T:
-            digest = (digest ^ w) * _C2
-            digest ^= digest >> np.uint64(32)
-        order = np.lexsort((doc, digest))
-        starts = _runs(digest[order])
-        size = np.diff(starts)
-        head = order[starts[:-1]]
-        # the digest deals; the bytes decide
-        equal = (rows[order] == rows[np.repeat(head, size)]).all(1)
-        alone = order[~equal]
-        owner_of = np.empty(len(rows), np.int64)
-        owner_of[order] = np.repeat(np.arange(len(head)), size)
-        owner_of[alone] = len(head) + np.arange(len(alone))
-        head = np.concatenate([head, alone])
-        whole = doc > doc[head[owner_of]]
-        whole[alone] = False
+        row, doc, rows = read("row", np.uint32).astype(np.int64), read("off", np.uint16) + _bases(bundle), read("bytes", np.uint8).reshape(-1, columns)
+        head, owner_of, whole = _equal(low, more, rows, doc)
         # contexts of anchors that have more than one
         anchor = low[head]
         by = np.argsort(anchor, kind="stable")
@@ -396,11 +436,12 @@ def _cover(length: int):
         edge = np.diff(bits.astype(np.int8), axis=1, prepend=0, append=0)
         r, begin = np.nonzero(edge == 1)
         _, end = np.nonzero(edge == -1)
-        out = np.stack([doc[r], first[r] + begin, first[r] + end - 1], 1).astype(np.int64)
+        out = np.stack([row[r], first[r] + begin, first[r] + end - 1], 1).astype(np.int64)
         order = np.argsort(bundle[r], kind="stable")
         out, cut_by = out[order], bundle[r][order]
         cut = _runs(cut_by)
-        return pa.table({"bundle": pa.array(cut_by[cut[:-1]], pa.int64()), "runs": pa.array([out[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+        found = pa.table({"bundle": pa.array(cut_by[cut[:-1]], pa.int64()), "runs": pa.array([out[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+        return pa.concat_tables([ready.cast(found.schema), found])
 
     return run, "bundle long, runs binary"
 
@@ -412,7 +453,7 @@ def _spans(length: int, whole_characters: bool):
         found = np.concatenate([np.zeros((0, 3), np.int64), *(np.frombuffer(x, np.int64).reshape(-1, 3) for x in runs["runs"].to_pylist())])
         found = found[np.lexsort((found[:, 1], found[:, 0]))]
         spans, kept = [], []
-        for i, t in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
+        for i, t in zip(_ranks(docs).tolist(), docs["text"].to_pylist(), strict=True):
             t = t or b""
             a, b = np.searchsorted(found[:, 0], i), np.searchsorted(found[:, 0], i, side="right")
             mark = np.zeros(len(t) + 1, np.int64)
@@ -441,10 +482,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     rest = [c for c in docs.columns if c not in (doc_id, text, "removed", "kept")]
     key = F.col(f"`{doc_id}`").cast("long")
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("n")).first()["n"] or 0
-    shards = int(min(max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // SHARD_BYTES)), 1 << 17))
+    shards = int(max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // SHARD_BYTES)))
     source = docs.select(key.alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"), *(F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(rest)))
     usable = source.where("doc_id IS NOT NULL")
-    bundled = usable.withColumn("bundle", F.shiftright("doc_id", BUNDLE_BITS))
+    alone = (F.octet_length("text") > LONG_BYTES) & F.col("doc_id").between(-(1 << 61), 1 << 61)  # larger ids have no double
+    bundled = usable.withColumn("bundle", F.when(alone, F.col("doc_id") * 2 + 1).otherwise(F.shiftright("doc_id", BUNDLE_BITS) * 2))
 
     ask, asked = _ask(length, shards)
     anchored = bundled.groupBy("bundle").applyInArrow(ask, asked)  # the same exchange as below, read again

@@ -105,6 +105,30 @@ def test_suffix_dedup_of_far_ids(spark):
     assert got == {-(1 << 60): text, (1 << 60) + 1: "x", (1 << 60) + 2: "y"}
 
 
+def without_earlier(rows, n=50):
+    """(doc_id, kept) of each row, every window looked up among those of smaller ids."""
+    least = {}
+    for i, t in rows:
+        for k in range(len(t) - n + 1):
+            least[t[k : k + n]] = min(least.get(t[k : k + n], i), i)
+    out = []
+    for i, t in rows:
+        gone = {k + d for k in range(len(t) - n + 1) if least[t[k : k + n]] < i for d in range(n)}
+        out.append((i, "".join(c for k, c in enumerate(t) if k not in gone)))
+    return sorted(out)
+
+
+def test_suffix_dedup_of_hot_passages_repeated_ids_and_bundles_of_one(spark, monkeypatch):
+    r = random.Random(11)
+    words = lambda n: " ".join("".join(r.choices("abcdef", k=r.randint(2, 6))) for _ in range(n))
+    hot, others = words(25), [words(20) for _ in range(6)]
+    rows = [(r.choice([i, i, 700 * i - 9_000]), " ".join(r.sample([hot, *others, words(15)], 3) + [hot] * (i % 2))) for i in range(60)]
+    rows += [(5, hot), (5, ""), (5, words(4)), (6, others[0] + " " + words(60) + hot), (6, hot + words(3))]
+    monkeypatch.setattr(suffix_dedup, "LONG_BYTES", 330)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(7)).collect()
+    assert sorted((x["doc_id"], bytes(x["kept"]).decode()) for x in got) == without_earlier(rows)
+
+
 def test_cut_keeps_whole_characters(spark):
     shared = "é" * 30
     df = spark.createDataFrame([(1, "a" + shared + "b"), (2, "ü" + shared[:25] + "zz" + "é" * 3)], SCHEMA)
