@@ -255,14 +255,14 @@ def _bases(bundle: np.ndarray) -> np.ndarray:
     return np.where(bundle & 1, bundle >> 1, (bundle >> 1) << BUNDLE_BITS)
 
 
-def _ranks(docs: pa.Table) -> np.ndarray:
-    """A number for each row of a bundle that every task gives it, whatever the order of the rows."""
+def _numbers(docs: pa.Table, base: int) -> np.ndarray:
+    """A number for each row of a bundle that every task gives it: its doc_id less ``base``, plus ``BUNDLE`` for each row of that doc_id before it."""
     ids = docs["doc_id"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    if (np.diff(ids[order]) == 0).any():
+    out = (ids - base).astype(np.uint32)
+    if len(np.unique(ids)) < len(ids):
         order = pc.sort_indices(docs.select(["doc_id", "text"]), [("doc_id", "ascending"), ("text", "ascending")]).to_numpy()
-    out = np.empty(len(ids), np.uint32)
-    out[order] = np.arange(len(ids))
+        starts = _runs(ids[order])
+        out[order] += ((np.arange(len(ids)) - np.repeat(starts[:-1], np.diff(starts))) * BUNDLE).astype(np.uint32)
     return out
 
 
@@ -349,22 +349,21 @@ def _answer(key: tuple, group: pa.Table) -> pa.Table:
 
 
 def _contexts(length: int, shards: int):
-    """A bundle's documents and shared anchors -> per shard: anchor, document, row, first window, windows less one, bytes.
+    """A bundle's documents and shared anchors -> per shard: anchor, row, first window, windows less one, bytes.
 
     One row of each bundle has ``runs`` instead: windows that equal contexts of its smaller doc_ids cover.
     """
     reach = length - GRAM
 
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
-        names = ["shard", "bundle", "low", "off", "row", "first", "more", "bytes", "runs"]
-        types = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
+        names = ["shard", "bundle", "low", "row", "first", "more", "bytes", "runs"]
+        types = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
         if not docs.num_rows or not found.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
         bundle = key[0].as_py()
-        base_id, rank = int(_bases(np.array([bundle]))[0]), _ranks(docs)
+        number = _numbers(docs, int(_bases(np.array([bundle]))[0]))
         known = np.concatenate([(np.uint64(s) << np.uint64(32)) | np.frombuffer(x, np.uint32) for s, x in zip(found["shard"].to_pylist(), found["low"].to_pylist(), strict=True)])
         known.sort()
-        ids = docs["doc_id"].to_numpy()
         data, offsets = text_buffer(docs["text"].combine_chunks())
         parts = []
         for i, j in slices(offsets, _SLICE):
@@ -382,26 +381,26 @@ def _contexts(length: int, shards: int):
             bytes_ = np.lib.stride_tricks.sliding_window_view(padded, length + reach)[lo]
             bytes_[np.arange(length + reach) >= (hi - lo + length)[:, None]] = 255
             doc = np.searchsorted(own, at, side="right") - 1
-            parts.append((k, (ids[i + doc] - base_id).astype(np.uint16), rank[i + doc], (lo - own[doc]).astype(np.uint32), (hi - lo).astype(np.uint8), bytes_))
+            parts.append((k, number[i + doc], (lo - own[doc]).astype(np.uint32), (hi - lo).astype(np.uint8), bytes_))
         if not parts:
             return pa.table([pa.array([], t) for t in types], names=names)
-        k, off, row, first, more, bytes_ = (np.concatenate(x) for x in zip(*parts, strict=True))
-        whole = _equal(k, more, bytes_, off)[2]
+        k, row, first, more, bytes_ = (np.concatenate(x) for x in zip(*parts, strict=True))
+        whole = _equal(k, more, bytes_, row % BUNDLE)[2]
         ready = np.stack([row[whole], first[whole], first[whole] + more[whole]], 1).astype(np.int64)
         order = np.flatnonzero(~whole)
         order = order[np.argsort(k[order], kind="stable")]
-        k, off, row, first, more, bytes_ = k[order], off[order], row[order], first[order], more[order], bytes_[order]
+        k, row, first, more, bytes_ = k[order], row[order], first[order], more[order], bytes_[order]
         shard = (k >> np.uint64(32)).astype(np.int32)
         cut = _runs(shard)
-        packed = [[x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)] for x in (k.astype(np.uint32), off, row, first, more, bytes_)]
+        packed = [[x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)] for x in (k.astype(np.uint32), row, first, more, bytes_)]
         n = len(cut) - 1
         out = [[*shard[cut[:-1]]], [bundle] * n, *packed, [None] * n]
         if len(ready):
-            for column, x in zip(out, [bundle % shards, bundle, *[None] * 6, ready.tobytes()], strict=True):
+            for column, x in zip(out, [bundle % shards, bundle, *[None] * 5, ready.tobytes()], strict=True):
                 column.append(x)
         return pa.table([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
 
-    return run, "shard int, bundle long, low binary, off binary, row binary, first binary, more binary, bytes binary, runs binary"
+    return run, "shard int, bundle long, low binary, row binary, first binary, more binary, bytes binary, runs binary"
 
 
 def _cover(length: int):
@@ -417,7 +416,8 @@ def _cover(length: int):
         bundle = np.repeat(group["bundle"].to_numpy(), [len(x) for x in low])
         read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in group[c].to_pylist()])
         low, first, more = np.concatenate(low), read("first", np.uint32).astype(np.int64), read("more", np.uint8).astype(np.int64)
-        row, doc, rows = read("row", np.uint32).astype(np.int64), read("off", np.uint16) + _bases(bundle), read("bytes", np.uint8).reshape(-1, columns)
+        row, rows = read("row", np.uint32).astype(np.int64), read("bytes", np.uint8).reshape(-1, columns)
+        doc = row % BUNDLE + _bases(bundle)
         head, owner_of, whole = _equal(low, more, rows, doc)
         # contexts of anchors that have more than one
         anchor = low[head]
@@ -453,7 +453,7 @@ def _spans(length: int, whole_characters: bool):
         found = np.concatenate([np.zeros((0, 3), np.int64), *(np.frombuffer(x, np.int64).reshape(-1, 3) for x in runs["runs"].to_pylist())])
         found = found[np.lexsort((found[:, 1], found[:, 0]))]
         spans, kept = [], []
-        for i, t in zip(_ranks(docs).tolist(), docs["text"].to_pylist(), strict=True):
+        for i, t in zip(_numbers(docs, int(_bases(np.array([key[0].as_py()]))[0])).tolist(), docs["text"].to_pylist(), strict=True):
             t = t or b""
             a, b = np.searchsorted(found[:, 0], i), np.searchsorted(found[:, 0], i, side="right")
             mark = np.zeros(len(t) + 1, np.int64)
