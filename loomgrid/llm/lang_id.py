@@ -65,9 +65,13 @@ def fit(docs: DataFrame, train_rows: int = 6_000, alpha: float = 0.5) -> tuple[l
     for k, (lang, n) in enumerate(counts):
         quotas.append((lang, max(1, min(n, left // (len(counts) - k)))))
         left -= quotas[-1][1]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    top = max(q for _, q in quotas)
+    # the first of a language are among the first of its parts; so many parts that neither rank reads many rows in a task
+    parts = max(int((n / top) ** 0.5) for _, n in counts) + 1
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    first = labelled.withColumn("part", F.spark_partition_id() % parts).withColumn("rank", rank("lang", "part")).where(F.col("rank") <= top)
     most = docs.sparkSession.createDataFrame(quotas, "lang string, quota long")
-    ids = labelled.withColumn("rank", rank).where(F.col("rank") <= max(q for _, q in quotas)).join(F.broadcast(most), "lang").where("rank <= quota").select("doc_id").distinct()
+    ids = first.withColumn("rank", rank("lang")).where(F.col("rank") <= top).join(F.broadcast(most), "lang").where("rank <= quota").select("doc_id").distinct()
     rows = docs.join(F.broadcast(ids), "doc_id").where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
