@@ -20,7 +20,7 @@ any). An empty table gives no rows. Extra columns stay; one named like the score
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,8 +33,8 @@ from loomgrid.llm.common import ascii_lower, materialize, text_buffer
 #: Lengths of the n-grams in bytes, and bits of a feature's number.
 SIZES, BITS = (3, 4, 6, 8), 20
 _ODD = {3: 0x9E3779B97F4A7C15, 4: 0xC2B2AE3D27D4EB4F, 6: 0x165667B19E3779F9, 8: 0xD6E8FEB86659FD93}
-#: Bytes of a text that are read at once, rows of the sample that the fit works on at once.
-_PIECE, _ROWS = 1 << 18, 256
+#: Bytes of a text that are read at once, features of the sample that the fit works on at once.
+_PIECE, _ENTRIES = 1 << 18, 1 << 20
 
 
 @dataclass
@@ -102,7 +102,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_neg
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 1_500, max_negative: int = 2_500, max_entries: int = 50_000_000, alpha: float = 0.5, doubt: float = 10.0, penalty: float = 0.02) -> Model:
-    """The model. What reaches the driver is bounded by ``max_entries`` features of four bytes. Ratios of weak evidence shrink
+    """The model. What reaches the driver is bounded by ``max_entries`` features of three bytes. Ratios of weak evidence shrink
     smoothly towards zero, by half where their square is about 2.4 times ``doubt`` squared standard errors."""
     rows, counts = training_rows(docs, labels, max_positive, max_negative)
 
@@ -111,13 +111,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 1_500, max_negat
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in grams(b.column(0))], pa.binary()), b.column(1), b.column(2)], names=["features", "label", "turn"])
 
     sample = materialize(rows.mapInArrow(gather, "features binary, label int, turn long"), "toxicity-sample")
-    column, sizes, y, total = np.empty(max_entries, np.int32), [], [], 0  # pages of it are used as they fill
+    # three bytes a feature, in two columns; their pages are used as they fill
+    low, high, sizes, y, total = np.empty(max_entries, np.uint16), np.empty(max_entries, np.uint8), [], [], 0
     # a part at a time, of a few MB; the order doesn't hang on the tasks
     for r in sample.repartitionByRange(32, "turn").sortWithinPartitions("turn", "label", "features").toLocalIterator():
         found = np.frombuffer(r["features"], np.int32)
         if total + len(found) > max_entries:
             break
-        column[total : total + len(found)] = found
+        low[total : total + len(found)] = found & 0xFFFF
+        high[total : total + len(found)] = found >> 16
         sizes.append(len(found))
         y.append(r["label"])
         total += len(found)
@@ -126,10 +128,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 1_500, max_negat
         return Model(np.zeros(1 << BITS, np.float32), _logit(counts.get(1, 0) / max(sum(counts.values()), 1)))
     n = np.array([(y == k).sum() for k in (0, 1)], float)
     weight = np.array([max(1.0, counts[k] / n[k]) for k in (0, 1)])[y.astype(int)]
-    column, ends = column[:total], np.concatenate([[0], np.cumsum(sizes)])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+
+    def column(a: int, b: int) -> np.ndarray:
+        return high[a:b].astype(np.int32) << 16 | low[a:b]
+
     held = np.zeros((2, 1 << BITS))
     for i in range(len(y)):
-        held[int(y[i]), column[ends[i] : ends[i + 1]]] += 1  # a text's features are distinct
+        held[int(y[i]), column(ends[i], ends[i + 1])] += 1  # a text's features are distinct
     rate = (held + alpha) / (n[:, None] + 2 * alpha)
     ratio = np.log(rate[1] / rate[0])
     evidence = ratio**2 / (1 / (held + alpha)).sum(0)  # in squared standard errors
@@ -143,42 +149,45 @@ def _logit(p: float) -> float:
     return float(np.log(p / (1 - p)))
 
 
-def _logistic(column: np.ndarray, ends: np.ndarray, scale: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float, steps: int = 10) -> tuple[np.ndarray, float]:
+def _logistic(column: Callable[[int, int], np.ndarray], ends: np.ndarray, scale: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float, steps: int = 10) -> tuple[np.ndarray, float]:
     """Weighted logistic loss plus penalty / 2 times the squared norm, by L-BFGS with backtracking, stopped after
-    ``steps``, where log loss was least in a validation on training folds. Row i holds the features column[ends[i] : ends[i + 1]]."""
+    ``steps``, where log loss was least in a validation on training folds. Row i holds the features column(ends[i], ends[i + 1])."""
     n, d = len(y), len(scale)
+    cuts = [0]  # blocks of rows, of so many features or one row each
+    for i in range(1, n):
+        if ends[i + 1] - ends[cuts[-1]] > _ENTRIES:
+            cuts.append(i)
+    blocks = list(zip(cuts, [*cuts[1:], n], strict=True))
 
     def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
         value, z, g = theta[:d] * scale, np.empty(n), np.zeros(d)
-        for i in range(0, n, _ROWS):  # bounds the arrays held at once
-            j = min(i + _ROWS, n)
+        for i, j in blocks:
             full = np.flatnonzero(np.diff(ends[i : j + 1]))
             z[i:j] = theta[d]
             if len(full):
-                z[i + full] += np.add.reduceat(value[column[ends[i] : ends[j]]], ends[i + full] - ends[i])
+                z[i + full] += np.add.reduceat(value[column(ends[i], ends[j])], ends[i + full] - ends[i])
         e = w * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        for i in range(0, n, _ROWS):
-            j = min(i + _ROWS, n)
-            g += np.bincount(column[ends[i] : ends[j]], np.repeat(e[i:j], np.diff(ends[i : j + 1])), d)
+        for i, j in blocks:
+            g += np.bincount(column(ends[i], ends[j]), np.repeat(e[i:j], np.diff(ends[i : j + 1])), d)
         g = g * scale + penalty * theta[:d]
         return float((w * (np.logaddexp(0, z) - y * z)).sum() + penalty / 2 * (theta[:d] ** 2).sum()), np.append(g, e.sum())
 
     theta = np.append(np.zeros(d), _logit(float((w * y).sum() / w.sum())))
     f, g = loss(theta)
-    past: list[tuple[np.ndarray, np.ndarray]] = []
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []  # the last steps, in half the bytes, with their product
     for _ in range(steps):
         q, keep = g.copy(), []
-        for s, t in reversed(past):
-            a = s @ q / (s @ t)
+        for s, t, st in reversed(past):
+            a = s @ q / st
             q -= a * t
             keep.append(a)
         if past:
-            s, t = past[-1]
-            q *= s @ t / (t @ t)
+            _, t, st = past[-1]
+            q *= st / float(t @ t)
         else:
             q /= max(1.0, np.abs(g).max())
-        for (s, t), a in zip(past, reversed(keep), strict=True):
-            q += s * (a - t @ q / (s @ t))
+        for (s, t, st), a in zip(past, reversed(keep), strict=True):
+            q += s * (a - t @ q / st)
         step, slope = 1.0, -(g @ q)
         while True:
             new = theta - step * q
@@ -188,7 +197,7 @@ def _logistic(column: np.ndarray, ends: np.ndarray, scale: np.ndarray, y: np.nda
             step /= 2
         s, t = new - theta, g2 - g
         if s @ t > 1e-12:
-            past = [*past[-9:], (s, t)]
+            past = [*past[-9:], (s.astype(np.float32), t.astype(np.float32), float(s @ t))]
         done = abs(f - f2) <= 1e-6 * max(1.0, abs(f))
         theta, f, g = new, f2, g2
         if done:
