@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from loomgrid.operators.neighbourhood import extent
 
 
-def window_logm(cube: np.ndarray, own: tuple[slice, slice], size: int, keep: int, shrink: float = 0.001) -> np.ndarray:
-    """Log-matrices of the ``own`` cells of a cube that holds their whole windows."""
+def window_logm(cube: np.ndarray, own: tuple[slice, slice], size: int, keep: int, shrink: float = 0.001, above: int = 0) -> np.ndarray:
+    """Log-matrices of the ``own`` cells of a cube that holds their whole windows; neighbours are those of the pixel ``above`` rows higher."""
     half, d = size // 2, cube.shape[2]
     rows, columns = range(own[0].start, own[0].stop), range(own[1].start, own[1].stop)
     norm = np.linalg.norm(cube, axis=2, keepdims=True)
@@ -29,7 +29,7 @@ def window_logm(cube: np.ndarray, own: tuple[slice, slice], size: int, keep: int
             window = np.s_[i - half : i + half + 1, j - half : j + half + 1]
             # column by column, so that the offset of (row, column) is row + size * column
             u = unit[window].transpose(1, 0, 2).reshape(-1, d)
-            cor = np.round(u @ unit[i, j], 10)
+            cor = np.round(u @ unit[i - above, j], 10)
             top = np.argsort(-cor, kind="stable")[:keep]
             held[b] = cube[window].transpose(1, 0, 2).reshape(-1, d)[top]
         low, high = held.min(2, keepdims=True), held.max(2, keepdims=True)
@@ -45,8 +45,8 @@ def window_logm(cube: np.ndarray, own: tuple[slice, slice], size: int, keep: int
     return out
 
 
-def log_matrices(raster: DataFrame, vector: str = "mnf", size: int = 25, keep: int = 400, tile: int = 32, out: str = "lcmr") -> DataFrame:
-    """(p, out): the row-major d x d log-matrix of each pixel's window."""
+def log_matrices(raster: DataFrame, vector: str = "mnf", size: int = 25, keep: int = 400, tile: int = 32, out: str = "lcmr", above: int = 0) -> DataFrame:
+    """(p, out): the row-major d x d log-matrix of each pixel's window. ``above=1`` takes the window's centre one place early, column by column."""
     h, w = extent(raster)
     half = size // 2
 
@@ -72,7 +72,7 @@ def log_matrices(raster: DataFrame, vector: str = "mnf", size: int = 25, keep: i
         cube[a, b] = np.stack(t["v"].to_numpy())
         own = (t["pi"] == t["i"]) & (t["pj"] == t["j"])
         where[a[own], b[own]] = t["p"].to_numpy()[own]
-        m = window_logm(cube, (slice(half, half + i1 - i0), slice(half, half + j1 - j0)), size, keep)
+        m = window_logm(cube, (slice(half, half + i1 - i0), slice(half, half + j1 - j0)), size, keep, above=above)
         p = where[half : half + i1 - i0, half : half + j1 - j0]
         return pd.DataFrame({"p": p.ravel(), out: list(m.reshape(p.size, d * d))})
 

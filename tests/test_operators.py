@@ -340,3 +340,19 @@ def test_unassigned_pixels_count_for_the_last_cluster(spark):
     labels = spark.createDataFrame([(0, 4), (1, None)], "p int, c int")
     assert [tuple(r["v"]) for r in segment.update(px, labels).collect()] == [(1.0,)]
     assert [tuple(r["v"]) for r in segment.update(px, labels, 4).collect()] == [(2.0,)]
+
+
+def test_log_matrices_around_the_pixel_above():
+    from loomgrid.operators.lcmr import window_logm
+
+    cube = np.random.default_rng(3).random((9, 9, 3)) + 0.1
+    own = slice(2, 7), slice(2, 7)
+    got, whole = window_logm(cube, own, 5, 9, above=1), window_logm(cube, own, 5, 25)
+    assert not np.allclose(got, window_logm(cube, own, 5, 9)) and np.allclose(whole, window_logm(cube, own, 5, 25, above=1))
+    window = cube[1:6, 2:7].transpose(1, 0, 2).reshape(-1, 3)  # of the pixel (3, 4)
+    unit = window / np.linalg.norm(window, axis=1, keepdims=True)
+    held = window[np.argsort(-np.round(unit @ unit[5 * 5 // 2 - 1], 10), kind="stable")[:9]]
+    held = (held - held.min(1, keepdims=True)) / np.ptp(held, axis=1, keepdims=True)
+    cov = np.cov(held.T)
+    values, vectors = np.linalg.eigh(cov + 0.001 * np.trace(cov) * np.eye(3))
+    assert np.allclose(got[1, 2], vectors @ np.diag(np.log(values)) @ vectors.T)
