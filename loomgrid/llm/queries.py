@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import bpe, chat_format, decontam, html_extract, lang_id, license_scan, media, minhash, suffix_dedup, toxicity
+from loomgrid.llm import bpe, chat_format, decontam, html_extract, importance, lang_id, license_scan, media, minhash, suffix_dedup, toxicity
 from loomgrid.llm.common import table
 
 
@@ -70,6 +70,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.repair(table(spark, sf_dir, "conversations"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=10, least_words=20, seed=2024, buckets=10_000, longest=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_html_extraction": op9_html_extraction,
     "op10_chat_format": op10_chat_format,
+    "op11_importance": op11_importance,
 }
 
 _WORDS = r"string_split(trim(regexp_replace(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ')"
@@ -119,6 +124,7 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op7_license_scan": license_scan.scan_sql(),
     "op10_chat_format": chat_format.repair_sql(),
+    "op11_importance": importance.resample_sql(),
     "op8_decontamination": f"""
         WITH iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
         item AS (SELECT item_id, w, least(len(w), 5) AS k FROM iw WHERE w <> ['']),
