@@ -45,6 +45,21 @@ def join_spread(rows: DataFrame, table: DataFrame, key: str, weight: str, most:
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
+def ranked(rows: DataFrame, order: list, label: str) -> DataFrame:
+    """``rows`` with ``place``: their number from 0 in the order, over all of them. Rows are sorted by ranges, so no task holds them all,
+    and only the size of each range comes to the driver. Rows equal in the whole order are numbered in any way."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    placed = materialize(placed, label)
+    sizes = placed.groupBy(F.shiftright("place", 33).alias("range")).count().orderBy("range").collect()
+    starts, before = [], 0
+    for r in sizes:
+        starts.append((r["range"], before))
+        before += r["count"]
+    starts = placed.sparkSession.createDataFrame(starts, "range long, before long").select(F.col("range").alias("__range"), F.col("before").alias("__before"))
+    met = placed.join(F.broadcast(starts), F.shiftright("place", 33) == F.col("__range"))
+    return met.withColumn("place", F.col("__before") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("__range", "__before")
+
+
 def null_to_empty(column: pa.Array) -> pa.Array:
     """Strings or binaries as large_binary; null becomes empty."""
     column = column.cast(pa.large_binary())

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import ascii_lower, bounded_batches, materialize, slices, text_buffer
+from loomgrid.llm.common import ascii_lower, bounded_batches, materialize, ranked, slices, text_buffer
 
 #: Bytes up to which words are hashed side by side; longer ones go one at a time.
 SIDE_BY_SIDE = 64
@@ -136,15 +136,8 @@ def drawn(scored: DataFrame, share: int, least_words: int) -> DataFrame:
     scored = scored.withColumn("late", (F.col("n_words") < least_words).cast("int"))
     many = scored.where("late = 0").count() * share // 100
     order = ["late", F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "n_features", "n_words", "weight"]
-    placed = scored.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
-    placed = materialize(placed, "ranked")
-    part = F.shiftright("place", 33)
-    sizes = placed.groupBy(part.alias("part")).count().orderBy("part").collect()
-    before = np.cumsum([0, *(r["count"] for r in sizes)]).tolist()
-    starts = placed.sparkSession.createDataFrame([(r["part"], n) for r, n in zip(sizes, before, strict=False)], "part long, before long")
-    rank = F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1) + 1
-    out = placed.withColumn("part", part).join(F.broadcast(starts), "part")
-    return out.withColumn("rank", F.when(rank <= many, rank))
+    rank = F.col("place") + 1
+    return ranked(scored, order, "ranked").withColumn("rank", F.when(rank <= many, rank))
 
 
 def resample(docs: DataFrame, target: DataFrame, share: int = 10, least_words: int = 20, seed: int = 2024, buckets: int = 10_000, longest: int = 1) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import bpe, chat_format, decontam, html_extract, importance, lang_id, license_scan, line_dedup, media, minhash, suffix_dedup, toxicity
+from loomgrid.llm import bpe, chat_format, decontam, html_extract, importance, lang_id, license_scan, line_dedup, media, minhash, negatives, suffix_dedup, toxicity
 from loomgrid.llm.common import table
 
 
@@ -74,6 +74,13 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=10, least_words=20, seed=2024, buckets=10_000, longest=1)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One label in seven is moved on by one, as noise."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0, scale=256, positives=5, negatives=10, low=30, high=90)
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), least_chars=20, least_docs=3)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_chat_format": op10_chat_format,
     "op11_importance": op11_importance,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -131,6 +139,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_license_scan": license_scan.scan_sql(),
     "op10_chat_format": chat_format.repair_sql(),
     "op11_importance": importance.resample_sql(),
+    "op12_hard_negatives": negatives.mine_sql(),
     "op13_line_dedup": line_dedup.drop_repeated_lines_sql(),
     "op8_decontamination": f"""
         WITH iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
