@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions import vectors as V
+from loomgrid.operators import metric
 from loomgrid.sources.stored import shared_dir, stored
 
 #: Nodes up to which a solver may run on the driver; beyond, fixed-point rounds over the edge table.
@@ -63,7 +64,7 @@ def _squared(x: np.ndarray, y: np.ndarray, shares: np.ndarray | None = None) ->
 
 
 def pairwise(nodes: DataFrame, key: str = "sp", value: str = "x") -> DataFrame:
-    """(s, t, d2) of every ordered pair of different nodes. All pairs are the result; for the nearest ones of many vectors use :func:`nearest`."""
+    """(s, t, d2) of every ordered pair of different nodes. All pairs are the result; for the nearest ones of many vectors use :func:`metric.nearest`."""
     return block_pairs(nodes, _squared, None, key, value, "d2")
 
 
@@ -127,48 +128,9 @@ def fcf_graph(mean: DataFrame, weighted: DataFrame, centroids: DataFrame, sigma:
     return symmetric(near.select("s", "t", (-F.col("c")).alias("w")))
 
 
-def nearest(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
-    """(s, t, d2): the k nearest others of each vector, the lower key first of equal ones, exactly.
-
-    Vectors are packed into blocks; each pair of blocks is one matrix product, of which only k rows
-    a vector leave, so the quadratic part never becomes rows. Blocks need float64 features of equal size.
-    """
-    n = vectors.count()
-    parts = max(1, -(-n // block))
-    kind = dict(vectors.dtypes)[key]
-    dealt = vectors.select(F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("x"))
-    other = F.sequence(F.lit(0), F.lit(parts - 1))
-    left = dealt.withColumn("b", F.explode(other)).select(F.col("part").alias("a"), "b", "key", "x")
-    right = dealt.withColumn("a", F.explode(other)).select("a", F.col("part").alias("b"), "key", "x")
-
-    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        arrow = (left if left.num_rows else right).schema.field("key").type
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"s": pa.array([], arrow), "t": pa.array([], arrow), "d2": pa.array([], pa.float64())})
-        s, t = (np.array(x["key"].to_pylist()) for x in (left, right))
-        x, y = (np.array(v["x"].to_pylist(), float) for v in (left, right))
-        order = np.argsort(t, kind="stable")
-        t, y = t[order], y[order]
-        d2 = (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T
-        d2[s[:, None] == t] = np.inf
-        # the expanded form rounds: all within its bound of the k-th stay candidates, and the exact distances and keys decide
-        bound = 8 * (x.shape[1] + 8) * np.finfo(float).eps * ((x * x).sum(1) + (y * y).sum(1).max())
-        last = min(k, len(t)) - 1
-        row, pick = np.nonzero((d2 <= (np.partition(d2, last, axis=1)[:, last] + bound)[:, None]) & np.isfinite(d2))
-        exact = np.concatenate([np.zeros(0), *(((x[row[i : i + 65_536]] - y[pick[i : i + 65_536]]) ** 2).sum(1) for i in range(0, len(row), 65_536))])
-        order = np.lexsort((pick, exact, row))  # t is ascending
-        row, pick, exact = row[order], pick[order], exact[order]
-        first = np.arange(len(row)) - np.searchsorted(row, row) < k
-        row, pick, exact = row[first], pick[first], exact[first]
-        return pa.table({"s": pa.array(s[row].tolist(), arrow), "t": pa.array(t[pick].tolist(), arrow), "d2": pa.array(exact)})
-
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(solve, f"s {kind}, t {kind}, d2 double")
-    return top(found, k, F.col("d2").asc(), ties=False)
-
-
 def fcf_m_graph(vectors: DataFrame, sigma: float, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Affinity of generic vectors: each one's k nearest, made symmetric."""
-    return symmetric(affinity(nearest(vectors, k, key, vector), sigma, "d2"))
+    return symmetric(affinity(metric.nearest(vectors, k, key, vector), sigma, "d2"))
 
 
 def degree(edges: DataFrame) -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,11 +158,18 @@ def window_neighbours(raster: DataFrame, size: int, keep: int) -> DataFrame:
 
 
 def window_covariance(selected: DataFrame, raster: DataFrame, shrink: float = 0.001) -> DataFrame:
-    """(p, a, b, c): covariance over the selected vectors, each scaled to [0, 1] by itself, plus ``shrink`` times the trace on the diagonal."""
+    """(p, a, c): row a of the covariance over the selected vectors (p, q), each scaled to [0, 1] by itself, plus ``shrink`` times the trace on
+    the diagonal. A pixel's vectors, no more than its window holds, meet in one row; a batch of pixels is one product of matrices."""
     scaled = raster.select(F.col("p").alias("q"), V.minmax(F.col("v")).alias("u"))
-    x = selected.join(scaled, "q").select("p", "rank", F.posexplode("u").alias("k", "x"))
-    a = x.select("p", "rank", F.col("k").alias("a"), F.col("x").alias("xa"))
-    b = x.select("p", "rank", F.col("k").alias("b"), F.col("x").alias("xb"))
-    c = a.join(b, ["p", "rank"]).groupBy("p", "a", "b").agg(F.covar_samp("xa", "xb").alias("c"))
-    trace = F.sum(F.when(F.col("a") == F.col("b"), F.col("c")).otherwise(0.0)).over(Window.partitionBy("p"))
-    return c.select("p", "a", "b", (F.col("c") + F.when(F.col("a") == F.col("b"), shrink * trace).otherwise(0.0)).alias("c"))
+    held = selected.select("p", "q").join(scaled, "q").groupBy("p").agg(F.collect_list("u").alias("u"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.stack(rows.values.to_numpy(zero_copy_only=False))
+                x = x - x.mean(0)
+                c = x.T @ x / (len(x) - 1) if len(x) > 1 else np.full((x.shape[1], x.shape[1]), np.nan)
+                c[np.diag_indices_from(c)] += shrink * np.trace(c)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), p), batch.schema.field(0).type), pa.array(np.arange(len(c), dtype=np.int32)), pa.array(list(c), pa.list_(pa.float64()))], names=["p", "a", "c"])
+
+    return held.mapInArrow(solve, f"p {dict(raster.dtypes)['p']}, a int, c array<double>")

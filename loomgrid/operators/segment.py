@@ -1,7 +1,7 @@
 """Superpixels: seeds, adaptive boxes, splitting, merging, nearest-centre assignment, update, connectivity, the loop.
 
-Pixels stay distributed. The cluster table, one row a superpixel (about pixels / 15 at most, checked
-by :func:`check_contraction`), is the only thing the driver walks, where the greedy merge needs an order.
+Pixels and clusters stay distributed: pixels as a table bucketed by tiles, clusters as a table that each round replaces. The driver sees counts,
+the residual and the sizes of ranges.
 """
 
 from __future__ import annotations
@@ -9,21 +9,18 @@ from __future__ import annotations
 import itertools
 import math
 import warnings
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions import vectors as V
-from loomgrid.operators import neighbourhood
-from loomgrid.sources.stored import stored
+from loomgrid.operators import connect, merging, neighbourhood, sums
+from loomgrid.sources.stored import ONE_TASK, bucketed, ranked, stored
 
 #: A distance from here on can't win a pixel.
 FAR = 10000.0
-#: Rows of the cluster table up to which it is sent to every task.
-SENT_CLUSTERS = 20_000
 
 
 def grid_step(height: int, width: int, k: int) -> int:
@@ -59,37 +56,40 @@ def search_range(area: DataFrame, clusters: int) -> DataFrame:
     return area.agg(F.sum("area").alias("total")).select("total", (4 * F.col("total") / clusters).alias("lsr"))
 
 
-def _tiled(df: DataFrame, i: Column, j: Column, reach: Column, tile: int) -> DataFrame:
-    """Each cluster once for each tile that its box (centre plus and minus reach) meets."""
-    low = lambda x: F.floor((x - reach) / tile).cast("int")
-    high = lambda x: F.floor((x + reach) / tile).cast("int")
-    return df.withColumn("ti", F.explode(F.sequence(low(i), high(i)))).withColumn("tj", F.explode(F.sequence(low(j), high(j))))
+def box_sums(area: DataFrame, step: int) -> DataFrame:
+    """(i, j, box): area within ``step`` rows and columns of each pixel, by running sums along rows and then columns: the work of a
+    pixel is the same for any step."""
+
+    def along(df: DataFrame, value: str, x: str, other: str, out: str) -> DataFrame:
+        line = Window.partitionBy(other).orderBy(x)
+        run = df.withColumn("run", F.sum(value).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+        ahead = F.coalesce(F.lead("run", step).over(line), F.last("run").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        before = F.coalesce(F.lag("run", step + 1).over(line), F.lit(0.0))
+        return run.withColumn(out, ahead - before).drop("run")
+
+    return along(along(area.select("i", "j", "area"), "area", "j", "i", "row"), "row", "i", "j", "box").select("i", "j", "box")
 
 
 def adaptive_scale(clusters: DataFrame, area: DataFrame, step: int, lsr: float) -> DataFrame:
     """(c, i, j, box, scale): area in the box of ``step`` around the centre, and sqrt(lsr / that)."""
-    tile = max(2 * step, 1)
-    boxes = _tiled(clusters.select("c", F.col("i").alias("ci"), F.col("j").alias("cj")), F.col("ci"), F.col("cj"), F.lit(step), tile)
-    px = area.select("i", "j", "area", F.floor(F.col("i") / tile).cast("int").alias("ti"), F.floor(F.col("j") / tile).cast("int").alias("tj"))
-    inside = (F.abs(F.col("i") - F.col("ci")) <= step) & (F.abs(F.col("j") - F.col("cj")) <= step)
-    box = boxes.join(px, ["ti", "tj"]).where(inside).groupBy("c", "ci", "cj").agg(F.sum("area").alias("box"))
-    return box.select("c", F.col("ci").alias("i"), F.col("cj").alias("j"), "box", F.sqrt(F.lit(lsr) / F.col("box")).alias("scale"))
+    box = clusters.select("c", "i", "j").join(box_sums(area, step), ["i", "j"])
+    return box.select("c", "i", "j", "box", F.sqrt(F.lit(lsr) / F.col("box")).alias("scale"))
 
 
-def split(clusters: DataFrame, step: int, lsr: float, height: int, width: int, most_scale: float = 0.5) -> DataFrame:
+def split(clusters: DataFrame, step: int, lsr: float, height: int, width: int, most_scale: float = 0.5, many: int | None = None) -> DataFrame:
     """(c, old, child, i, j, area, scale) of (c, i, j, area, scale): a cluster of small scale and large area becomes four,
-    half a scaled step away from its centre; numbers after it move up by three. Others keep child 0."""
+    half a scaled step away from its centre; numbers after it move up by three. Others keep child 0. ``many``: how many clusters
+    there are, if known."""
     parted = (F.col("scale") < most_scale) & (F.col("area") > lsr / 4)
-    before = F.sum(F.when(parted, 3).otherwise(0)).over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1))  # the cluster table
-    base = clusters.withColumn("parted", parted).withColumn("base", F.col("c") + F.coalesce(before, F.lit(0)))
     off = F.bround(step * F.col("scale") / 2).cast("int")
     up, down = F.greatest(F.col("i") - off, F.lit(0)), F.least(F.col("i") + off, F.lit(height - 1))
     left, right = F.greatest(F.col("j") - off, F.lit(0)), F.least(F.col("j") + off, F.lit(width - 1))
     child = lambda n, i, j: F.struct(F.lit(n).alias("child"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(float(lsr)).alias("area"), (F.col("scale") / 2).alias("scale"))
     four = F.array(child(0, up, right), child(1, up, left), child(2, down, right), child(3, down, left))
     own = F.array(F.struct(F.lit(0).alias("child"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("area").alias("area"), F.col("scale").alias("scale")))
-    out = base.select(F.col("c").alias("old"), "base", F.explode(F.when(F.col("parted"), four).otherwise(own)).alias("x"))
-    return out.select((F.col("base") + F.col("x.child")).cast("int").alias("c"), "old", "x.child", "x.i", "x.j", "x.area", "x.scale")
+    parts = clusters.select(F.col("c").alias("old"), F.explode(F.when(parted, four).otherwise(own)).alias("x")).select("old", "x.*")
+    numbered = ranked(parts, ["old", "child"], "split", many)
+    return numbered.select(F.col("place").cast("int").alias("c"), "old", "child", "i", "j", "area", "scale")
 
 
 def remap(labels: DataFrame, parts: DataFrame) -> DataFrame:
@@ -98,204 +98,173 @@ def remap(labels: DataFrame, parts: DataFrame) -> DataFrame:
     return labels.join(first, "c").select("p", F.col("new").alias("c"))
 
 
-def assign(pixels: DataFrame, clusters: DataFrame, step: int, compactness: float, a1: float = 0.5, a2: float = 0.5) -> DataFrame:
-    """(p, c, dist): the nearest of the clusters whose box holds the pixel, the lowest of equal ones; none at FAR or beyond.
+def tile_side(step: int) -> int:
+    """Pixels along a tile: a few boxes of usual scale."""
+    return max(32, 4 * (step + 1))
+
+
+def in_tiles(df: DataFrame, side: int) -> DataFrame:
+    return df.withColumns({"ti": F.floor(F.col("i") / side).cast("int"), "tj": F.floor(F.col("j") / side).cast("int")})
 
-    ``pixels`` (p, i, j, v, lcmr), ``clusters`` (c, i, j, v, lcmr, scale). A range join by tiles: a cluster goes to the
-    tiles its box meets, so no pixel meets all clusters. The cluster table is sent to the tasks only while it is small.
+
+def gathered(pixels: DataFrame, clusters: DataFrame, step: int, compactness: float, side: int, a1: float = 0.5, a2: float = 0.5) -> DataFrame:
+    """(c, n, si, sj, area, v, lcmr, p, dist): a row for each tile and cluster that has pixels in it: how many, sums of their places, areas and
+    vectors, and which they are; c is null for those that no cluster reaches.
+
+    ``pixels`` (ti, tj, p, i, j, v, lcmr, area) in tiles of ``side``, ``clusters`` (c, i, j, v, lcmr, scale). A range join by tiles: a cluster
+    goes to the tiles its box meets, in which one task takes the boxes one after the other, each as slices of the tile.
     """
     g = step + 1
     reach = F.round(F.col("scale") * g).cast("int")
-    tile = max(2 * g, 1)
-    named = clusters.select("c", F.col("i").alias("ci"), F.col("j").alias("cj"), F.col("v").alias("cv"), F.col("lcmr").alias("cl"), reach.alias("reach"))
-    boxes = _tiled(named, F.col("ci"), F.col("cj"), F.col("reach"), tile)
-    if clusters.count() <= SENT_CLUSTERS:
-        boxes = F.broadcast(boxes)
-    px = pixels.select("p", "i", "j", "v", "lcmr", F.floor(F.col("i") / tile).cast("int").alias("ti"), F.floor(F.col("j") / tile).cast("int").alias("tj"))
-    inside = (F.abs(F.col("i") - F.col("ci")) <= F.col("reach")) & (F.abs(F.col("j") - F.col("cj")) <= F.col("reach"))
-    place = F.sqrt(F.pow(F.col("i") - F.col("ci"), 2) + F.pow(F.col("j") - F.col("cj"), 2))
-    dist = a1 * F.sqrt(V.squared_distance(F.col("v"), F.col("cv"))) + a2 * F.sqrt(V.squared_distance(F.col("lcmr"), F.col("cl"))) + compactness / g * place
-    met = px.join(boxes, ["ti", "tj"]).where(inside).select("p", dist.alias("dist"), "c").where(F.col("dist") < FAR)
-    best = met.groupBy("p").agg(F.min(F.struct("dist", "c")).alias("b"))
-    return pixels.select("p").join(best, "p", "left").select("p", F.col("b.c").alias("c"), F.col("b.dist").alias("dist"))
-
-
-def mean_vector(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, column): element by element means."""
-    each = df.select(key, F.posexplode(column).alias("k", "x")).groupBy(key, "k").agg(F.avg("x").alias("x"))
-    return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda x: x["x"]).alias(column))
+    low, high = (lambda x: F.floor((x - F.col("reach")) / side).cast("int")), (lambda x: F.floor((x + F.col("reach")) / side).cast("int"))
+    boxes = clusters.select(*(F.col(x).alias(x) for x in ("c", "i", "j", "v", "lcmr")), reach.alias("reach"))  # new columns, where both tables come from one
+    boxes = boxes.withColumn("ti", F.explode(F.sequence(low(F.col("i")), high(F.col("i"))))).withColumn("tj", F.explode(F.sequence(low(F.col("j")), high(F.col("j")))))
+    matrix = lambda t, name: np.stack(t[name].to_numpy()) if t.num_rows else np.zeros((0, 0))
+
+    def solve(px: pa.Table, near: pa.Table) -> pa.Table:
+        p, i, j, area = (px[n].to_numpy() for n in ("p", "i", "j", "area"))
+        names = ["c", "n", "si", "sj", "area", "v", "lcmr", "p", "dist"]
+        if not len(p):  # a box beyond the raster
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), *[pa.list_(pa.float64())] * 2, pa.list_(pa.int32()), pa.list_(pa.float64())]
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        v, m = matrix(px, "v"), matrix(px, "lcmr")
+        i0, j0 = i.min(), j.min()
+        at = np.full((i.max() - i0 + 1, j.max() - j0 + 1), -1)
+        at[i - i0, j - j0] = np.arange(len(p))
+        best, own = np.full(len(p), FAR), np.full(len(p), -1)
+        near = near.sort_by("c")
+        cv, cm = matrix(near, "v"), matrix(near, "lcmr")
+        for k, (c, ci, cj, r) in enumerate(zip(*(near[n].to_pylist() for n in ("c", "i", "j", "reach")), strict=True)):
+            rows = at[max(ci - r - i0, 0) : max(ci + r + 1 - i0, 0), max(cj - r - j0, 0) : max(cj + r + 1 - j0, 0)].ravel()
+            rows = rows[rows >= 0]
+            far = a1 * np.sqrt(((v[rows] - cv[k]) ** 2).sum(1)) + a2 * np.sqrt(((m[rows] - cm[k]) ** 2).sum(1)) + compactness / g * np.sqrt((i[rows] - ci) ** 2.0 + (j[rows] - cj) ** 2.0)
+            won = far < best[rows]
+            best[rows[won]], own[rows[won]] = far[won], c
+        order = np.argsort(own, kind="stable")
+        ids, begin = np.unique(own[order], return_index=True)
+        total = lambda x: np.add.reduceat(x[order], begin, axis=0)
+        parts = np.split(order, begin[1:])
+        lists = lambda x, kind: pa.array([x[rows] for rows in parts], pa.list_(kind))
+        columns = [pa.array(ids, pa.int32(), mask=ids < 0), pa.array(np.array([len(x) for x in parts])), pa.array(total(i).astype(np.int64)), pa.array(total(j).astype(np.int64)), pa.array(total(area))]
+        columns += [pa.array(list(total(x)), pa.list_(pa.float64())) for x in (v, m)]
+        return pa.table([*columns, lists(p, pa.int32()), lists(best, pa.float64())], names=names)
+
+    left = pixels.select("ti", "tj", "p", "i", "j", "v", "lcmr", "area").groupBy("ti", "tj")
+    return left.cogroup(boxes.groupBy("ti", "tj")).applyInArrow(solve, "c int, n long, si long, sj long, area double, v array<double>, lcmr array<double>, p array<int>, dist array<double>")
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """(p, c, dist) of :func:`gathered`."""
+    each = rows.select("c", F.explode(F.arrays_zip("p", "dist")).alias("x"))
+    return each.select("x.p", "c", F.when(F.col("c").isNotNull(), F.col("x.dist")).alias("dist"))
+
+
+def updated(rows: DataFrame, unassigned: int | None = None) -> DataFrame:
+    """(c, i, j, n, area, v, lcmr) of :func:`gathered`: rounded mean places (halves away from zero), mean vectors, summed areas. Pixels without a
+    cluster take no part, or count for the cluster ``unassigned``."""
+    held = rows.select(F.coalesce("c", F.lit(unassigned).cast("int")).alias("c"), "n", "si", "sj", "area", "v", "lcmr").where("c IS NOT NULL")
+    total = sums.by_key(held, "c", {"n": "sum", "si": "sum", "sj": "sum", "area": "sum"}, ["v", "lcmr"])
+    mean = lambda x: F.transform(x, lambda y: y / F.col("n")).alias(x)
+    return total.select("c", F.round(F.col("si") / F.col("n")).cast("int").alias("i"), F.round(F.col("sj") / F.col("n")).cast("int").alias("j"), "n", "area", mean("v"), mean("lcmr"))
+
+
+def assign(pixels: DataFrame, clusters: DataFrame, step: int, compactness: float, a1: float = 0.5, a2: float = 0.5) -> DataFrame:
+    """(p, c, dist): the nearest of the clusters whose box holds the pixel, the lowest of equal ones; none at FAR or beyond.
+    ``pixels`` (p, i, j, v, lcmr), ``clusters`` (c, i, j, v, lcmr, scale)."""
+    side = tile_side(step)
+    return labelled(gathered(in_tiles(pixels.withColumn("area", F.lit(0.0)), side), clusters, step, compactness, side, a1, a2))
 
 
 def update(pixels: DataFrame, labels: DataFrame, unassigned: int | None = None) -> DataFrame:
-    """(c, i, j, n, area, v, lcmr) of ``pixels`` (p, i, j, v, lcmr, area): rounded mean places (halves away from zero), mean
-    vectors, summed areas. Pixels without a cluster take no part, or count for the cluster ``unassigned``."""
-    if unassigned is not None:
-        labels = labels.withColumn("c", F.coalesce("c", F.lit(unassigned)))
-    own = pixels.join(labels.where("c IS NOT NULL").select("p", "c"), "p")
-    base = own.groupBy("c").agg(F.round(F.avg("i")).cast("int").alias("i"), F.round(F.avg("j")).cast("int").alias("j"), F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"))
-    return base.join(mean_vector(own, "c", "v"), "c").join(mean_vector(own, "c", "lcmr"), "c")
+    """(c, i, j, n, area, v, lcmr) of ``pixels`` (p, i, j, v, lcmr, area) and their ``labels`` (p, c), as :func:`updated`."""
+    own = pixels.join(labels.select("p", "c"), "p").select("c", F.lit(1).cast("long").alias("n"), F.col("i").cast("long").alias("si"), F.col("j").cast("long").alias("sj"), "area", "v", "lcmr")
+    return updated(own, unassigned)
+
+
+def _moved() -> Column:
+    return F.pow(F.col("i") - F.col("i0"), 2) + F.pow(F.col("j") - F.col("j0"), 2) + V.squared_distance(F.col("v"), F.col("v0")) + F.sqrt(V.squared_distance(F.col("lcmr"), F.col("l0")))
+
+
+def _before(clusters: DataFrame) -> DataFrame:
+    return clusters.select("c", F.col("i").alias("i0"), F.col("j").alias("j0"), F.col("v").alias("v0"), F.col("lcmr").alias("l0"))
 
 
 def residual(old: DataFrame, new: DataFrame) -> DataFrame:
     """(err): over clusters with pixels, squared change of place and vector plus the length of the matrix's change."""
-    a = old.select("c", F.col("i").alias("i0"), F.col("j").alias("j0"), F.col("v").alias("v0"), F.col("lcmr").alias("l0"))
-    move = F.pow(F.col("i") - F.col("i0"), 2) + F.pow(F.col("j") - F.col("j0"), 2) + V.squared_distance(F.col("v"), F.col("v0")) + F.sqrt(V.squared_distance(F.col("lcmr"), F.col("l0")))
-    return new.join(a, "c").agg(F.coalesce(F.sum(move), F.lit(0.0)).alias("err"))
+    return new.join(_before(old), "c").agg(F.coalesce(F.sum(_moved()), F.lit(0.0)).alias("err"))
+
+
+def reseeded(places: DataFrame, step: int, height: int, width: int) -> DataFrame:
+    """``places`` (c, i, j) of clusters without pixels, moved by a quarter step; what leaves the raster goes to the third row or column
+    before its end."""
+    nudge = round(step / 4)
+    moved = lambda x, n: F.when(F.col(x) + nudge > n - 1, max(n - 3, 0)).otherwise(F.col(x) + nudge).cast("int")
+    return places.withColumns({"i": moved("i", height), "j": moved("j", width)})
 
 
 def compact(clusters: DataFrame, alive: str = "alive") -> DataFrame:
     """(c, new): surviving clusters numbered from 0 in their order."""
-    return clusters.where(alive).select("c", (F.row_number().over(Window.orderBy("c")) - 1).alias("new"))  # the cluster table
-
-
-@dataclass
-class Cluster:
-    c: int
-    i: int
-    j: int
-    area: float
-    scale: float
-    v: np.ndarray
-    lcmr: np.ndarray
-
-
-def _round_even(x: float) -> int:
-    return int(np.rint(x))
-
-
-def merge(clusters: list[Cluster], edges: dict[int, set[int]], lsr: float) -> list[Cluster]:
-    """Greedy merge in the order of ids. A very small cluster joins the unvisited neighbour of nearest colour, a small one
-    that of least joint area if the sum stays below lsr / 5. A merged row is the mean by area; the partner is used up."""
-    by_id = {x.c: x for x in clusters}
-    visited: set[int] = set()
-    gone: set[int] = set()
-    for one in sorted(by_id):
-        if one in visited:
-            continue
-        visited.add(one)
-        near = sorted(n for n in edges.get(one, ()) if n not in visited and n in by_id)
-        a = by_id[one]
-        if not near:
-            continue
-        if a.area < lsr / 32:
-            other = min(near, key=lambda n: (float(np.linalg.norm(by_id[n].v - a.v)), n))
-        elif a.area < lsr / 5:
-            other = min(near, key=lambda n: (by_id[n].area, n))
-            if by_id[other].area + a.area >= lsr / 5:
-                continue
-        else:
-            continue
-        b = by_id[other]
-        total = a.area + b.area
-        mean = lambda x, y: (x * a.area + y * b.area) / total
-        by_id[one] = Cluster(one, _round_even(mean(a.i, b.i)), _round_even(mean(a.j, b.j)), total, float(_round_even(mean(a.scale, b.scale))), mean(a.v, b.v), (a.lcmr + b.lcmr) / 2)
-        visited.add(other)
-        gone.add(other)
-    return [by_id[c] for c in sorted(by_id) if c not in gone]
-
-
-def connect(labels: np.ndarray, least: int, most: int) -> np.ndarray:
-    """Components of equal labels, numbered in scan order by breadth-first search. One of fewer than ``least`` pixels takes the
-    number of the last neighbouring component met, and its own is used again; a search stops at ``most`` pixels and what
-    is left becomes further components."""
-    h, w = labels.shape
-    out = np.full((h, w), -1)
-    number = 0
-    for i in range(h):
-        for j in range(w):
-            if out[i, j] >= 0:
-                continue
-            out[i, j] = number
-            beside = 0
-            for di, dj in ((0, 1), (0, -1), (1, 0), (-1, 0)):
-                y, x = i + di, j + dj
-                if 0 <= y < h and 0 <= x < w and out[y, x] >= 0 and out[y, x] != number:
-                    beside = out[y, x]
-            found, at = [(i, j)], 0
-            while at < len(found) and len(found) < most:
-                y0, x0 = found[at]
-                at += 1
-                for di, dj in ((0, 1), (0, -1), (1, 0), (-1, 0)):
-                    y, x = y0 + di, x0 + dj
-                    if 0 <= y < h and 0 <= x < w and out[y, x] < 0 and labels[y, x] == labels[i, j]:
-                        out[y, x] = number
-                        found.append((y, x))
-                        if len(found) >= most:
-                            break
-            if len(found) < least:
-                for y, x in found:
-                    out[y, x] = beside
-            else:
-                number += 1
-    return np.unique(out, return_inverse=True)[1].reshape(h, w)
-
-
-def enforce_connectivity(labels: DataFrame, height: int, width: int, clusters: int, least: int = 8) -> DataFrame:
-    """(p, i, j, sp) of (p, i, j, c). The result hangs on the order of the scan, so one task solves it, over integers alone."""
-    most = int(10 * height * width / clusters)
-
-    def solve(t: pd.DataFrame) -> pd.DataFrame:
-        grid = np.full((height, width), -1)
-        grid[t["i"], t["j"]] = t["c"]
-        done = connect(grid, least, most)
-        return pd.DataFrame({"p": t["p"], "i": t["i"], "j": t["j"], "sp": done[t["i"], t["j"]]})
-
-    return labels.select("p", "i", "j", F.coalesce("c", F.lit(-1)).alias("c"), F.lit(0).alias("one")).groupBy("one").applyInPandas(solve, "p int, i int, j int, sp int")
-
-
-def segment(pixels: DataFrame, k: int, compactness: float = 4.0, merging: bool = True, most_rounds: int | None = 20, least: int = 8, wrap_unassigned: bool = False) -> DataFrame:
+    return ranked(clusters.where(alive).select("c"), ["c"], "compact").select("c", F.col("place").cast("int").alias("new"))
+
+
+def enforce_connectivity(labels: DataFrame, height: int, width: int, clusters: int, least: int = 8, tile: int = 256) -> DataFrame:
+    """(p, i, j, sp) of (p, i, j, c): connected superpixels of at most ten times the mean area; see :func:`connect.connectivity`."""
+    return connect.connectivity(labels, width, least, int(10 * height * width / clusters), tile)
+
+
+def segment(pixels: DataFrame, k: int, compactness: float = 4.0, merging_on: bool = True, most_rounds: int | None = 20, least: int = 8, wrap_unassigned: bool = False, merge_side: int | None = None, tile: int | None = None) -> DataFrame:
     """(p, i, j, sp): superpixels of ``pixels`` (p, i, j, v, lcmr). Each round scales boxes, splits and merges (from the second
     on), assigns and updates, until the residual stops falling; a warning if that takes more than ``most_rounds`` (None: no
-    bound). ``wrap_unassigned``: pixels that no box reaches count for the last cluster in the update."""
-    spark = pixels.sparkSession
+    bound). ``wrap_unassigned``: pixels that no box reaches count for the last cluster in the update. A cluster without pixels moves a quarter
+    step and takes the vectors of the pixel there.
+
+    Tiles of ``tile`` pixels share out the pixels; clusters merge in tiles of ``merge_side`` pixels, or in one task while one can number
+    them. The result doesn't hang on either.
+    """
     h, w = neighbourhood.extent(pixels)
     step = grid_step(h, w, k)
-    area = neighbourhood.manifold_area(pixels, compactness, step)
-    pixels = stored(pixels.join(area.select("p", "area"), "p"), "pixels").persist()
-    area = pixels.select("i", "j", "area")
-    try:
-        seed = move_seeds(seeds(pixels, step), neighbourhood.gradient(pixels))
-        schema = "c int, i int, j int, area double, scale double, v array<double>, lcmr array<double>"
-        at = pixels.select("i", "j", "v", "lcmr", "area")
-        held = seed.join(at, ["i", "j"]).select("c", "i", "j", "area", F.lit(1.0).alias("scale"), "v", "lcmr")
-        held_rows = held.orderBy("c").collect()
-        clusters = spark.createDataFrame(held_rows, schema)
-        count = len(held_rows)
-        check_contraction(h, w, count)
-        lsr = 4 * pixels.agg(F.sum("area")).first()[0] / count
-        labels, last, ratio = None, math.inf, 0.0
-        for turn in itertools.count():
-            if not (ratio < 0.99 or ratio > 1 and turn < 2):
-                break
-            if turn == most_rounds:
-                warnings.warn(f"the residual still fell, to {ratio:.4f} of itself, after {most_rounds} rounds", stacklevel=2)
-                break
-            scale = adaptive_scale(clusters, area, step, lsr).select("c", F.col("scale").alias("s"))
-            clusters = clusters.join(scale, "c").withColumn("scale", F.col("s")).drop("s")
-            if turn and merging:
-                parts = split(clusters.select("c", "i", "j", "area", "scale"), step, lsr, h, w)
-                own = clusters.select(F.col("c").alias("old"), F.col("v").alias("v0"), F.col("lcmr").alias("l0"))
-                filled = parts.join(own, "old").join(at.drop("area"), ["i", "j"], "left")
-                changed = F.count(F.lit(1)).over(Window.partitionBy("old")) > 1
-                filled = filled.withColumn("four", changed).select("c", "old", "child", "i", "j", "area", "scale", F.when(F.col("four"), F.col("v")).otherwise(F.col("v0")).alias("v"), F.when(F.col("four"), F.col("lcmr")).otherwise(F.col("l0")).alias("lcmr"))
-                rows = filled.collect()  # the cluster table
-                first = {r["old"]: r["c"] for r in rows if r["child"] == 0}
-                touching: dict[int, set[int]] = {}
-                for r in neighbourhood.adjacency(labels, "c").collect():
-                    touching.setdefault(first.get(r["src"], -1), set()).add(first.get(r["dst"], -1))
-                merged = merge([Cluster(r["c"], r["i"], r["j"], r["area"], r["scale"], np.array(r["v"]), np.array(r["lcmr"])) for r in rows], touching, lsr)
-                held_rows = [(n, x.i, x.j, float(x.area), float(x.scale), x.v.tolist(), x.lcmr.tolist()) for n, x in enumerate(merged)]
-                clusters = spark.createDataFrame(held_rows, schema)
-            labels = stored(assign(pixels, clusters, step, compactness).join(pixels.select("p", "i", "j"), "p"), "labels")
-            new = update(pixels, labels, len(held_rows) - 1 if wrap_unassigned else None)
-            err = residual(clusters, new).first()["err"]
-            ratio = 1.0 if err == 0 else 0.0 if math.isinf(last) else err / last
-            last = err
-            fill = clusters.select("c", F.col("i").alias("i0"), F.col("j").alias("j0"), "scale", F.col("v").alias("v0"), F.col("lcmr").alias("l0")).join(new, "c", "left")
-            nudge = round(step / 4)
-            spot = lambda x, n: F.greatest(F.least(F.col(f"{x}0") + nudge, F.lit(n - 3)), F.lit(0))
-            rows = fill.select("c", F.coalesce("i", spot("i", h)).alias("i"), F.coalesce("j", spot("j", w)).alias("j"), F.coalesce("area", F.lit(lsr / 4.5)).alias("area"), "scale", F.coalesce("v", "v0").alias("v"), F.coalesce("lcmr", "l0").alias("lcmr"))
-            clusters = spark.createDataFrame(rows.orderBy("c").collect(), schema)
-        return stored(enforce_connectivity(labels, h, w, count, least), "superpixels")
-    finally:
-        pixels.unpersist()
+    side = tile or tile_side(step)
+    area = stored(neighbourhood.manifold_area(pixels, compactness, step), "area")
+    held = in_tiles(pixels.join(area.select("p", "area"), "p").join(box_sums(area, step), ["i", "j"]), side)
+    held = bucketed(held.select("ti", "tj", "p", "i", "j", "v", "lcmr", "area", "box"), "pixels", ["ti", "tj"])
+    place = ["ti", "tj", "i", "j"]
+    there = lambda df, *columns: in_tiles(df, side).join(held.select(*place, *columns), place).drop("ti", "tj")
+
+    seed = move_seeds(seeds(pixels, step), neighbourhood.gradient(pixels))
+    clusters = stored(there(seed.select("c", "i", "j"), "v", "lcmr", "area").withColumn("scale", F.lit(1.0)), "clusters")
+    started = count = clusters.count()
+    check_contraction(h, w, count)
+    lsr = 4 * held.agg(F.sum("area")).first()[0] / count
+    rows, last, ratio = None, math.inf, 0.0
+    for turn in itertools.count():
+        if not (ratio < 0.99 or ratio > 1 and turn < 2):
+            break
+        if turn == most_rounds:
+            warnings.warn(f"the residual still fell, to {ratio:.4f} of itself, after {most_rounds} rounds", stacklevel=2)
+            break
+        clusters = there(clusters, "box").withColumn("scale", F.sqrt(F.lit(lsr) / F.col("box"))).drop("box")
+        if turn and merging_on:
+            clusters = stored(clusters, "scaled")
+            parts = stored(split(clusters.select("c", "i", "j", "area", "scale"), step, lsr, h, w, many=count), "parts")
+            own = clusters.select(F.col("c").alias("old"), "v", "lcmr")
+            four = parts.select("old").where("child = 1")
+            new = there(parts.join(four, "old"), "v", "lcmr")
+            filled = parts.join(four, "old", "left_anti").join(own, "old").unionByName(new)
+            first = parts.where("child = 0").select("old", "c")
+            touching = neighbourhood.adjacency(labelled(rows).join(held.select("p", "i", "j"), "p"), "c")
+            touching = touching.join(first.select(F.col("old").alias("src"), F.col("c").alias("a")), "src").join(first.select(F.col("old").alias("dst"), F.col("c").alias("b")), "dst")
+            merged = merging.merge(filled, touching.select(F.col("a").alias("src"), F.col("b").alias("dst")), lsr, merge_side or (None if count <= ONE_TASK else 64 * side))
+            clusters = ranked(merged, ["c"], "merged", 4 * count).drop("c").withColumn("c", F.col("place").cast("int")).drop("place")
+        clusters = stored(clusters.select("c", "i", "j", "area", "scale", "v", "lcmr"), "clusters")
+        count = clusters.count()
+        rows = stored(gathered(held, clusters, step, compactness, side), "assigned")
+        new = updated(rows, count - 1 if wrap_unassigned else None)
+        met = stored(_before(clusters).join(clusters.select("c", "scale"), "c").join(new, "c", "left").withColumn("moved", _moved()), "updated")
+        err = met.agg(F.coalesce(F.sum("moved"), F.lit(0.0))).first()[0]
+        ratio = 1.0 if err == 0 else 0.0 if math.isinf(last) else err / last
+        last = err
+        empty = reseeded(met.where("n IS NULL").select("c", F.col("i0").alias("i"), F.col("j0").alias("j"), "scale"), step, h, w)
+        empty = there(empty, "v", "lcmr").withColumn("area", F.lit(lsr / 4.5))
+        clusters = stored(met.where("n IS NOT NULL").select("c", "i", "j", "area", "scale", "v", "lcmr").unionByName(empty.select("c", "i", "j", "area", "scale", "v", "lcmr")), "clusters")
+    labels = labelled(rows).join(held.select("p", "i", "j"), "p").select("p", "i", "j", "c")
+    return stored(enforce_connectivity(labels, h, w, started, least), "superpixels")

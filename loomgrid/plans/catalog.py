@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.functions import vectors as V
-from loomgrid.operators import evaluate, features, graph, lcmr, neighbourhood, reduce, render, segment, stats
+from loomgrid.operators import evaluate, features, graph, lcmr, merging, neighbourhood, reduce, render, segment, stats
 from loomgrid.plans.pipeline import Config, classify, run_pipeline
 from loomgrid.sources.raster import bands, from_embeddings
 from loomgrid.sources.stored import stored
@@ -89,9 +89,9 @@ _VIEWS = {
     "range_": "SELECT sum(area) total, 4 * sum(area) / (SELECT count(*) FROM seeds) lsr FROM area",
     "scaled": """SELECT c, s.i, s.j, sum(a.area) box, sqrt((SELECT lsr FROM range_) / sum(a.area)) scale FROM seeds s
         JOIN area a ON abs(a.i - s.i) <= 5 AND abs(a.j - s.j) <= 5 GROUP BY c, s.i, s.j""",
-    "assigned": """SELECT p, c, dist FROM (SELECT r.p, s.c, 0.5 * list_distance(r.v, s.v) + 0.5 * list_distance(r.v[1:4], s.v[1:4])
+    "assigned": """SELECT p, c, dist FROM (SELECT r.p, s.c, 0.5 * list_distance(r.v, s.v) + 0.5 * list_distance(r.v, s.v)
         + 4.0 / 6 * sqrt(pow(r.i - s.i, 2) + pow(r.j - s.j, 2)) dist, row_number() OVER (PARTITION BY r.p ORDER BY
-        0.5 * list_distance(r.v, s.v) + 0.5 * list_distance(r.v[1:4], s.v[1:4]) + 4.0 / 6 * sqrt(pow(r.i - s.i, 2) + pow(r.j - s.j, 2)), s.c) n
+        0.5 * list_distance(r.v, s.v) + 0.5 * list_distance(r.v, s.v) + 4.0 / 6 * sqrt(pow(r.i - s.i, 2) + pow(r.j - s.j, 2)), s.c) n
         FROM raster r JOIN seeds s ON abs(r.i - s.i) <= 5 AND abs(r.j - s.j) <= 5) WHERE n = 1""",
     "unit": "SELECT p, i, j, v, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) u FROM raster",
     "win": """SELECT q.p, q.off, b.p q, round(list_dot_product(q.u, b.u), 10) cor FROM
@@ -108,8 +108,6 @@ _VIEWS = {
     "pal10": "SELECT * FROM (VALUES " + ", ".join(f"({c}, {r}, {g}, {b})" for c, (r, g, b) in enumerate(render.PALETTE_10)) + ") t(cls, r, g, b)",
     "pal": "SELECT * FROM (VALUES " + ", ".join(f"({c}, {r}, {g}, {b})" for c, (r, g, b) in enumerate(render.PALETTE_17)) + ") t(cls, r, g, b)",
 }
-# whole vectors in place of the four bands
-_VIEWS["assigned_whole"] = _VIEWS["assigned"].replace("[1:4]", "")
 
 
 def _needs(text: str, seen: dict[str, None]) -> None:
@@ -125,6 +123,8 @@ def _sql(text: str) -> str:
     _needs(text, seen)
     kept = lambda n: " MATERIALIZED" if n[:2] in ("lp", "lf") else ""  # noqa: E731  # else each step would repeat all before it twice
     views = ", ".join(f"{n} AS{kept(n)} ({_VIEWS[n]})" for n in seen)
+    if text.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views}, {text[15:]}"
     if text.startswith("WITH "):
         return f"WITH {views}, {text[5:]}"
     return f"WITH {views} {text}" if views else text
@@ -227,11 +227,7 @@ def _(spark, raster):
     return bands(neighbourhood.blur(raster)).select("p", "k", r6("x"))
 
 
-@query("window_vectors", "SELECT q.p, q.off, b.p q, list_transform(b.u[1:4], lambda x: round(x, 6)) u FROM win q JOIN unit b ON b.p = q.q")
-def _(spark, raster):
-    return neighbourhood.window_vectors(raster, 3).select("p", "off", "q", F.transform(F.slice("u", 1, 4), lambda x: F.round(x, 6)).alias("u"))
-
-
+@query("window_vectors", "SELECT q.p, q.off, b.p q, list_transform(b.u, lambda x: round(x, 6)) u FROM win q JOIN unit b ON b.p = q.q")
 @query("window_vectors_whole", "SELECT q.p, q.off, b.p q, list_transform(b.u, lambda x: round(x, 6)) u FROM win q JOIN unit b ON b.p = q.q")
 def _(spark, raster):
     return neighbourhood.window_vectors(raster, 3).select("p", "off", "q", F.transform("u", lambda x: F.round(x, 6)).alias("u"))
@@ -340,77 +336,48 @@ def _(spark, raster):
     return parts.select("c", "old", "child", "i", "j", r6("area"), r6("scale"))
 
 
-def _pixels(raster, whole=False):
-    """The first four bands stand in for a log-matrix, or all."""
-    return raster.select("p", "i", "j", "v", (F.col("v") if whole else F.slice("v", 1, 4)).alias("lcmr"))
+def _pixels(raster):
+    """The bands stand in for a log-matrix too."""
+    return raster.select("p", "i", "j", "v", F.col("v").alias("lcmr"))
 
 
-def _assigned(raster, whole=False):
-    px = _pixels(raster, whole)
+def _assigned(raster):
+    px = _pixels(raster)
     clusters = segment.seeds(raster, STEP).select("c", "p").join(px, "p").select("c", "i", "j", "v", "lcmr", F.lit(5 / 6).alias("scale"))
     return px, clusters, segment.assign(px, clusters, STEP, COMPACT)
 
 
 @query("assign_nearest", "SELECT p, c, round(dist, 6) dist FROM assigned")
+@query("assign_nearest_whole", "SELECT p, c, round(dist, 6) dist FROM assigned")
 def _(spark, raster):
     return _assigned(raster)[2].select("p", "c", r6("dist"))
 
 
-@query("assign_nearest_whole", "SELECT p, c, round(dist, 6) dist FROM assigned_whole")
-def _(spark, raster):
-    return _assigned(raster, whole=True)[2].select("p", "c", r6("dist"))
-
-
-def _updated(raster, whole=False):
-    px, clusters, labels = _assigned(raster, whole)
+def _updated(raster):
+    px, clusters, labels = _assigned(raster)
     area = neighbourhood.manifold_area(raster, COMPACT, STEP).select("p", "area")
     return clusters, segment.update(px.join(area, "p"), labels)
 
 
 _UPDATED = """(SELECT c, cast(round(avg(r.i)) AS int) i, cast(round(avg(r.j)) AS int) j, count(*) n, sum(area) area FROM assigned JOIN raster r USING (p) JOIN area USING (p) GROUP BY c)"""
+_UPDATE_SQL = f"""SELECT u.c, u.i, u.j, u.n, round(u.area, 6) area, list_transform(m.v, lambda x: round(x, 6)) v FROM {_UPDATED} u JOIN
+    (SELECT c, list(x ORDER BY k) v FROM (SELECT c, k, avg(x) x FROM assigned JOIN bands USING (p) GROUP BY c, k) GROUP BY c) m USING (c)"""
+_RESIDUAL_SQL = f"""SELECT round(sum(pow(u.i - s.i, 2) + pow(u.j - s.j, 2) + m.d + sqrt(m.d)), 6) err FROM {_UPDATED} u JOIN seeds s USING (c) JOIN
+    (SELECT c, sum(pow(x - s.v[k + 1], 2)) d FROM (SELECT c, k, avg(x) x FROM assigned JOIN bands USING (p) GROUP BY c, k) JOIN seeds s USING (c) GROUP BY c) m USING (c)"""
 
 
-@query(
-    "update_clusters",
-    f"""SELECT u.c, u.i, u.j, u.n, round(u.area, 6) area, list_transform(m.v, lambda x: round(x, 6)) v FROM {_UPDATED} u JOIN
-    (SELECT c, list(x ORDER BY k) v FROM (SELECT c, k, avg(x) x FROM assigned JOIN bands USING (p) GROUP BY c, k) GROUP BY c) m USING (c)""",
-)
+@query("update_clusters", _UPDATE_SQL)
+@query("update_clusters_whole", _UPDATE_SQL)
 def _(spark, raster):
     return _updated(raster)[1].select("c", "i", "j", "n", r6("area"), F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
-@query(
-    "residual",
-    f"""SELECT round(sum(pow(u.i - s.i, 2) + pow(u.j - s.j, 2) + m.d + sqrt(m.l)), 6) err FROM {_UPDATED} u JOIN seeds s USING (c) JOIN
-    (SELECT c, sum(pow(x - s.v[k + 1], 2)) d, sum(pow(x - s.v[k + 1], 2)) FILTER (k < 4) l FROM
-    (SELECT c, k, avg(x) x FROM assigned JOIN bands USING (p) GROUP BY c, k) JOIN seeds s USING (c) GROUP BY c) m USING (c)""",
-)
+@query("residual", _RESIDUAL_SQL)
+@query("residual_whole", _RESIDUAL_SQL)
 def _(spark, raster):
     return segment.residual(*_updated(raster)).select(r6("err"))
 
 
-_UPDATED_WHOLE = _UPDATED.replace("assigned", "assigned_whole")
-
-
-@query(
-    "update_clusters_whole",
-    f"""SELECT u.c, u.i, u.j, u.n, round(u.area, 6) area, list_transform(m.v, lambda x: round(x, 6)) v FROM {_UPDATED_WHOLE} u JOIN
-    (SELECT c, list(x ORDER BY k) v FROM (SELECT c, k, avg(x) x FROM assigned_whole JOIN bands USING (p) GROUP BY c, k) GROUP BY c) m USING (c)""",
-)
-def _(spark, raster):
-    return _updated(raster, whole=True)[1].select("c", "i", "j", "n", r6("area"), F.transform("v", lambda x: F.round(x, 6)).alias("v"))
-
-
-@query(
-    "residual_whole",
-    f"""SELECT round(sum(pow(u.i - s.i, 2) + pow(u.j - s.j, 2) + m.d + sqrt(m.l)), 6) err FROM {_UPDATED_WHOLE} u JOIN seeds s USING (c) JOIN
-    (SELECT c, sum(pow(x - s.v[k + 1], 2)) d, sum(pow(x - s.v[k + 1], 2)) l FROM
-    (SELECT c, k, avg(x) x FROM assigned_whole JOIN bands USING (p) GROUP BY c, k) JOIN seeds s USING (c) GROUP BY c) m USING (c)""",
-)
-def _(spark, raster):
-    return segment.residual(*_updated(raster, whole=True)).select(r6("err"))
-
-
 @query("cluster_lookup", "SELECT c, list_transform(v, lambda x: round(x, 6)) v FROM seeds")
 def _(spark, raster):
     return segment.seeds(raster, STEP).select("c", "i", "j").join(raster.select("i", "j", "v"), ["i", "j"]).select("c", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
@@ -715,31 +682,24 @@ def _(spark, raster):
     return neighbourhood.window_neighbours(raster, 3, 5).select("p", F.col("rank").cast("long").alias("rank"), "off", "q", r6("cor"))
 
 
-@query(
-    "window_covariance",
-    """WITH u AS (SELECT p, k, (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) x FROM (SELECT * FROM bands WHERE k < 6) WINDOW w AS (PARTITION BY p)),
+_COVARIANCE = """u AS (SELECT p, k, (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) x FROM bands WINDOW w AS (PARTITION BY p)),
     s AS (SELECT t.p, t.rank, k, x FROM wtop t JOIN u ON u.p = t.q),
-    c AS (SELECT a.p, a.k a, b.k b, covar_samp(a.x, b.x) c FROM s a JOIN s b ON a.p = b.p AND a.rank = b.rank GROUP BY a.p, a.k, b.k)
-    SELECT p, a, b, round(c + CASE WHEN a = b THEN 0.001 * sum(CASE WHEN a = b THEN c ELSE 0 END) OVER (PARTITION BY p) ELSE 0 END, 6) c FROM c""",
-)
-def _(spark, raster):
-    chosen = neighbourhood.window_neighbours(raster, 3, 5)
-    return neighbourhood.window_covariance(chosen, raster.withColumn("v", F.slice("v", 1, 6))).select("p", "a", "b", r6("c"))
+    c AS (SELECT a.p, a.k a, b.k b, covar_samp(a.x, b.x) c FROM s a JOIN s b ON a.p = b.p AND a.rank = b.rank GROUP BY a.p, a.k, b.k),
+    r AS (SELECT p, a, b, round(c + CASE WHEN a = b THEN 0.001 * sum(CASE WHEN a = b THEN c ELSE 0 END) OVER (PARTITION BY p) ELSE 0 END, 6) c FROM c),
+    z AS (SELECT p, a, b, CASE WHEN c = 0 THEN 0 ELSE c END c FROM r)"""
 
 
-@query(
-    "window_covariance_whole",
-    """WITH u AS (SELECT p, k, (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) x FROM bands WINDOW w AS (PARTITION BY p)),
-    s AS (SELECT t.p, t.rank, k, x FROM wtop t JOIN u ON u.p = t.q),
-    c AS (SELECT a.p, a.k a, b.k b, covar_samp(a.x, b.x) c FROM s a JOIN s b ON a.p = b.p AND a.rank = b.rank GROUP BY a.p, a.k, b.k),
-    r AS (SELECT p, a, b, round(c + CASE WHEN a = b THEN 0.001 * sum(CASE WHEN a = b THEN c ELSE 0 END) OVER (PARTITION BY p) ELSE 0 END, 6) c FROM c)
-    SELECT p, a, list(c ORDER BY b) c FROM r GROUP BY p, a""",
-)
+def _covariances(raster):
+    """No zero has a sign."""
+    cells = F.transform("c", lambda x: F.when(F.round(x, 6) == 0, 0.0).otherwise(F.round(x, 6))).alias("c")
+    return neighbourhood.window_covariance(neighbourhood.window_neighbours(raster, 3, 5), raster).select("p", "a", cells)
+
+
+@query("window_covariance", f"WITH {_COVARIANCE} SELECT p, a, list(c ORDER BY b) c FROM z GROUP BY p, a")
+@query("window_covariance_whole", f"WITH {_COVARIANCE} SELECT p, a, list(c ORDER BY b) c FROM z GROUP BY p, a")
 def _(spark, raster):
-    """Of all bands, a matrix row a row."""
-    chosen = neighbourhood.window_neighbours(raster, 3, 5)
-    cells = neighbourhood.window_covariance(chosen, raster).select("p", "a", "b", r6("c"))
-    return cells.groupBy("p", "a").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "c"))), lambda x: x["c"]).alias("c"))
+    """A matrix row a row."""
+    return _covariances(raster)
 
 
 @query("boundary_wrapped", "SELECT p, edge FROM wedge")
@@ -795,22 +755,46 @@ def _(spark, raster):
     return _logs(raster)
 
 
-@query("merge_clusters")
+@query(
+    "merge_clusters",
+    """WITH RECURSIVE g AS (SELECT sp c, cast(round(avg(i)) AS int) i, cast(round(avg(j)) AS int) j, sum(area) area, 0.4 + sp % 10 / 10 scale FROM raster JOIN (SELECT p, area FROM area) USING (p) GROUP BY sp),
+    gv AS (SELECT sp c, list(mu ORDER BY k) v FROM mean GROUP BY sp), cl AS MATERIALIZED (SELECT * FROM g JOIN gv USING (c)), lim AS (SELECT 11 * avg(area) lsr FROM cl),
+    wish AS (SELECT a, n, cost FROM (SELECT a.c a, b.c n, CASE WHEN a.area < lsr / 32 THEN list_distance(a.v, b.v) WHEN (a.area + b.area) / (lsr / 5) < 1 THEN (a.area + b.area) / (lsr / 5) END cost
+        FROM adj JOIN cl a ON a.c = src JOIN cl b ON b.c = dst, lim WHERE dst > src AND a.area < lsr / 5) WHERE cost IS NOT NULL),
+    wl AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a) k, a, list(n ORDER BY cost, n) near FROM wish GROUP BY a),
+    m(k, taken, a, n) AS (SELECT 0::BIGINT, []::INT[], NULL::INT, NULL::INT UNION ALL SELECT k, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, a, pick FROM
+        (SELECT w.k, taken, w.a, CASE WHEN list_contains(taken, w.a) THEN NULL ELSE list_filter(near, lambda x: NOT list_contains(taken, x))[1] END pick FROM m JOIN wl w ON w.k = m.k + 1)),
+    pair AS MATERIALIZED (SELECT a, n FROM m WHERE n IS NOT NULL),
+    f AS (SELECT x.*, y.i yi, y.j yj, y.area ya, y.scale ys, y.v yv FROM cl x LEFT JOIN pair ON a = x.c LEFT JOIN cl y ON y.c = pair.n WHERE x.c NOT IN (SELECT n FROM pair))
+    SELECT c, CASE WHEN ya IS NULL THEN i ELSE cast(round_even((i * area + yi * ya) / (area + ya), 0) AS int) END i, CASE WHEN ya IS NULL THEN j ELSE cast(round_even((j * area + yj * ya) / (area + ya), 0) AS int) END j,
+        round(area + coalesce(ya, 0), 6) area, round(CASE WHEN ya IS NULL THEN scale ELSE (scale * area + ys * ya) / (area + ya) END, 6) scale,
+        CASE WHEN ya IS NULL THEN list_transform(v, lambda x: round(x, 6)) ELSE list_transform(list_zip(v, yv), lambda z: round((z[1] * area + z[2] * ya) / (area + ya), 6)) END v FROM f""",
+)
 def _(spark, raster):
-    """Blocks as clusters, with a quarter of the range that keeps them all apart."""
-    import numpy as np
-
+    """Blocks as clusters of various scales, with a range at which many of them merge; in tiles of 10 pixels."""
     area = neighbourhood.manifold_area(raster, COMPACT, STEP).select("p", "area")
-    rows = segment.update(_pixels(raster).join(area, "p"), raster.select("p", F.col("sp").alias("c"))).collect()
-    near: dict[int, set[int]] = {}
-    for r in neighbourhood.adjacency(raster).collect():
-        near.setdefault(r["src"], set()).add(r["dst"])
-    lsr = 5.5 * sum(r["area"] for r in rows) / len(rows) * 2
-    merged = segment.merge([segment.Cluster(r["c"], r["i"], r["j"], r["area"], 1.0, np.array(r["v"]), np.array(r["lcmr"])) for r in rows], near, lsr)
-    return spark.createDataFrame([(x.c, x.i, x.j, float(x.area)) for x in merged], "c int, i int, j int, area double")
+    blocks = segment.update(_pixels(raster).join(area, "p"), raster.select("p", F.col("sp").alias("c")))
+    clusters = stored(blocks.withColumn("scale", 0.4 + F.col("c") % 10 / 10), "blocks")
+    mean = clusters.agg(F.avg("area")).first()[0]
+    merged = merging.merge(clusters, neighbourhood.adjacency(raster), 11 * mean, side=10)
+    return merged.select("c", "i", "j", r6("area"), r6("scale"), F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
-@query("connectivity")
+@query(
+    "connectivity",  # no region here is as large as the limit of a search
+    """WITH RECURSIVE lab AS MATERIALIZED (SELECT p, i, j, (sp * 7 + p % 3) % 4 c FROM raster), dirs AS (SELECT * FROM (VALUES (0, 0, 1), (1, 0, -1), (2, 1, 0), (3, -1, 0)) t(o, a, b)),
+    side AS MATERIALIZED (SELECT x.p, o, y.p q, x.c = y.c same FROM lab x, dirs JOIN lab y ON y.i = x.i + a AND y.j = x.j + b),
+    reach AS (SELECT p, p r FROM lab UNION SELECT q, r FROM reach JOIN side USING (p) WHERE same),
+    piece AS MATERIALIZED (SELECT p, min(r) piece FROM reach GROUP BY p), size AS MATERIALIZED (SELECT piece, count(*) n FROM piece GROUP BY piece),
+    num AS MATERIALIZED (SELECT piece, row_number() OVER (ORDER BY piece) - 1 no FROM size WHERE n >= 8),
+    walk AS (SELECT piece, piece p, '' AS path, [piece] seen FROM size WHERE n < 8 UNION ALL SELECT piece, q, path || o, list_append(seen, q) FROM walk JOIN side USING (p) WHERE same AND NOT list_contains(seen, q)),
+    turn AS MATERIALIZED (SELECT piece, p, min((strlen(path), path)) t FROM walk GROUP BY piece, p),
+    met AS (SELECT t.piece, b.piece AS other, row_number() OVER (PARTITION BY t.piece ORDER BY t.t DESC, o DESC) r FROM turn t JOIN side USING (p) JOIN piece b ON b.p = q WHERE b.piece < t.piece),
+    joins AS MATERIALIZED (SELECT size.piece, other AS dest FROM size LEFT JOIN met ON met.piece = size.piece AND r = 1 WHERE n < 8),
+    chain AS (SELECT piece, dest FROM joins UNION ALL SELECT c.piece, j.dest FROM chain c JOIN joins j ON j.piece = c.dest),
+    fin AS (SELECT piece, no FROM num UNION ALL SELECT joins.piece, coalesce(max(no), 0) FROM joins LEFT JOIN chain USING (piece) LEFT JOIN num ON num.piece = chain.dest GROUP BY joins.piece)
+    SELECT p, i, j, cast(no AS int) sp FROM lab JOIN piece USING (p) JOIN fin USING (piece)""",
+)
 def _(spark, raster):
     h, w = neighbourhood.extent(raster)
     scattered = raster.select("p", "i", "j", ((F.col("sp") * 7 + F.col("p") % 3) % 4).alias("c"))

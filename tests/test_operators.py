@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgrid.functions import vectors as V
-from loomgrid.operators import evaluate, features, graph, lcmr, neighbourhood, reduce, render, segment, stats
+from loomgrid.operators import evaluate, features, graph, lcmr, metric, neighbourhood, reduce, render, segment, stats
 from loomgrid.plans import catalog
 from loomgrid.plans.pipeline import Config
 from loomgrid.sources import raster as source
@@ -113,7 +113,7 @@ def test_nearest_of_many_equal_vectors(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     for block in (2048, 50):
         got = {}
-        for e in graph.nearest(df, 8, block=block).collect():
+        for e in metric.nearest(df, 8, block=block).collect():
             got.setdefault(e["s"], set()).add(e["t"])
         for i, v in enumerate(x):
             d = ((v - x) ** 2).sum(1)
@@ -126,7 +126,7 @@ def test_nearest_is_exact_with_several_blocks(spark):
     x = rng.integers(0, 3, (60, 4)).astype(float)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {}
-    for r in graph.nearest(df, 5, block=16).collect():
+    for r in metric.nearest(df, 5, block=16).collect():
         got.setdefault(r["s"], []).append((r["d2"], r["t"]))
     d2 = ((x[:, None] - x) ** 2).sum(2)
     for s in range(60):
@@ -174,24 +174,6 @@ def test_zero_vectors(spark):
     assert all(np.isnan(got[0]["u"])) and got[1]["u"] == [0.6, 0.8] and all(np.isnan(got[0]["m"])) and got[1]["m"] == [0.0, 1.0]
 
 
-def test_connectivity_by_hand():
-    labels = np.array([[0, 0, 0, 1, 1, 1], [0, 0, 0, 1, 1, 1], [0, 0, 2, 1, 1, 1], [0, 0, 2, 2, 1, 1]])
-    out = segment.connect(labels, least=4, most=100)
-    assert len(np.unique(out)) == 2 and (out[:2, :3] == out[0, 0]).all()
-    capped = segment.connect(np.zeros((4, 4), int), least=2, most=8)
-    assert sorted(np.bincount(capped.ravel()))[-1] == 8
-    assert segment.connect(np.array([[5, 5, 7, 7]]), 1, 9).tolist() == [[0, 0, 1, 1]]
-
-
-def test_merge_by_hand():
-    c = lambda n, area, v: segment.Cluster(n, 0, n, area, 1.0, np.array([float(v)]), np.zeros(1))
-    edges = {0: {1, 2}, 1: {0, 2}, 2: {0, 1}}
-    got = segment.merge([c(0, 1.0, 0), c(1, 90.0, 10), c(2, 80.0, 1)], edges, 100.0)
-    assert [(x.c, x.area) for x in got] == [(0, 81.0), (1, 90.0)]
-    assert len(segment.merge([c(0, 15.0, 0), c(1, 16.0, 9)], {0: {1}, 1: {0}}, 100.0)) == 2
-    assert len(segment.merge([c(0, 5.0, 0), c(1, 6.0, 9)], {0: {1}, 1: {0}}, 100.0)) == 1
-
-
 def test_assignment_ties_and_reach(spark):
     px = spark.createDataFrame([(0, 0, 0, [0.0], [0.0]), (1, 0, 2, [0.0], [0.0]), (2, 0, 9, [0.0], [0.0])], "p int, i int, j int, v array<double>, lcmr array<double>")
     cl = spark.createDataFrame([(7, 0, 3, [0.0], [0.0], 1.0), (3, 0, 1, [0.0], [0.0], 1.0)], "c int, i int, j int, v array<double>, lcmr array<double>, scale double")
@@ -356,3 +338,23 @@ def test_log_matrices_around_the_pixel_above():
     cov = np.cov(held.T)
     values, vectors = np.linalg.eigh(cov + 0.001 * np.trace(cov) * np.eye(3))
     assert np.allclose(got[1, 2], vectors @ np.diag(np.log(values)) @ vectors.T)
+
+
+def test_nearest_skips_chunks_of_clustered_vectors(spark, monkeypatch):
+    """Far clusters: most pairs of chunks are never sent, and the rows are those of all pairs; copies and lone vectors too."""
+    r = np.random.default_rng(11)
+    x = np.concatenate([c * 50 + r.normal(size=(60, 5)) for c in r.normal(size=(12, 5))] + [np.ones((30, 5)), r.normal(size=(3, 5)) * 1e3])
+    keys = r.permutation(len(x)) * 3
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(keys, x, strict=True)], "vec_id long, embedding array<double>").repartition(4)
+    sent = []
+    stored = metric.stored
+    monkeypatch.setattr(metric, "stored", lambda d, label: sent.append((label, out := stored(d, label))) or out)
+    got = {}
+    for e in metric.nearest(df, 4, block=20).collect():
+        got.setdefault(e["s"], []).append((e["d2"], e["t"]))
+    for n, i in enumerate(keys):
+        d = sorted((float(((x[n] - x[m]) ** 2).sum()), int(j)) for m, j in enumerate(keys) if m != n)[:4]
+        assert [t for _, t in sorted(got[int(i)])] == [t for _, t in d]
+    tables = dict(sent)
+    chunks = tables["chunks"].select("chunk").distinct().count()
+    assert chunks > 30 and tables["chunk-pairs"].count() < chunks * chunks / 2
