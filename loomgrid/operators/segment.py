@@ -221,6 +221,7 @@ def segment(pixels: DataFrame, k: int, compactness: float = 4.0, merging_on: boo
     Tiles of ``tile`` pixels share out the pixels; clusters merge in tiles of ``merge_side`` pixels, or in one task while one can number
     them. The result doesn't hang on either.
     """
+    pixels = stored(pixels.select("p", "i", "j", "v", "lcmr"), "raster")  # read by areas, seeds and tiles
     h, w = neighbourhood.extent(pixels)
     step = grid_step(h, w, k)
     side = tile or tile_side(step)
