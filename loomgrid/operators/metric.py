@@ -19,6 +19,8 @@ from loomgrid.sources.stored import ranked, stored
 
 #: Pivots at most: distances of all pairs are sent to the tasks, 8 MB.
 PIVOTS = 1024
+#: Chunks that a task goes through one after the other, the nearest first, for the vectors of one.
+TOGETHER = 8
 #: Room for rounding in bounds of distances, as a share.
 SLACK = 1e-9
 
@@ -80,12 +82,13 @@ def index(vectors: DataFrame, block: int) -> tuple[DataFrame, np.ndarray, list]:
 
 def near_chunks(shells: list, pivots: np.ndarray, reach: dict[int, float], a: int) -> np.ndarray:
     """Chunks, but a's own, that can hold a vector within ``reach`` of one of chunk a's: between shells around p and q, with radii from low to
-    high, vectors are at least |p q| - high - high apart, and at least a low radius less |p q| and the other high one."""
+    high, vectors are at least |p q| - high - high apart, and at least a low radius less |p q| and the other high one. The nearest come first."""
     chunk, cell, low, high = (np.array(v) for v in zip(*shells, strict=True))
     n = int(np.flatnonzero(chunk == a)[0])
     apart = np.sqrt(((pivots[cell] - pivots[cell[n]]) ** 2).sum(1))
     least = np.maximum.reduce([apart - high - high[n], low - apart - high[n], low[n] - apart - high, np.zeros(len(low))])
-    return chunk[(least * (1 - SLACK) <= reach[a] * (1 + SLACK) + SLACK * (apart + high + high[n])) & (chunk != a)]
+    near = np.flatnonzero((least * (1 - SLACK) <= reach[a] * (1 + SLACK) + SLACK * (apart + high + high[n])) & (chunk != a))
+    return chunk[near[np.argsort(least[near], kind="stable")]]
 
 
 def nearest(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 8192) -> DataFrame:
@@ -130,23 +133,33 @@ def _searched(vectors: DataFrame, k: int, kind: str, block: int) -> DataFrame:
         for batch in batches:
             for a in batch.column(0).to_pylist():
                 b = near_chunks(shells, pivots, reach, a)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), a)), pa.array(b)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), a)), pa.array(b), pa.array(np.arange(len(b)))], names=["a", "b", "turn"])
 
-    pairs = stored(spark.createDataFrame([(x[0],) for x in shells], "a long").repartition(8).mapInArrow(pair, "a long, b long"), "chunk-pairs")
+    pairs = stored(spark.createDataFrame([(x[0],) for x in shells], "a long").repartition(8).mapInArrow(pair, "a long, b long, turn long"), "chunk-pairs")
+    pairs = pairs.withColumn("part", F.floor(F.col("turn") / TOGETHER))
     around = {x[0]: (pivots[x[1]], x[2], x[3]) for x in shells}
-    left = held.withColumnRenamed("chunk", "a").join(pairs, "a").select(F.col("a").alias("a1"), F.col("b").alias("b1"), "key", "x", "limit")
-    right = chunks.withColumnRenamed("chunk", "b").join(pairs, "b").select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("key").alias("key"), F.col("x").alias("x"))
+    left = held.withColumnRenamed("chunk", "a").join(pairs.select("a", "part").distinct(), "a").select(F.col("a").alias("a1"), F.col("part").alias("part1"), "key", "x", "limit")
+    right = chunks.withColumnRenamed("chunk", "b").join(pairs, "b").select(F.col("a").alias("a2"), F.col("part").alias("part2"), "b", "turn", F.col("key").alias("key"), F.col("x").alias("x"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("key")
-        x, limit = _vectors(left), left["limit"].to_numpy()
-        pivot, low, high = around[right["b2"][0].as_py()]
-        far = np.sqrt(((x - pivot) ** 2).sum(1))
-        able = np.flatnonzero(np.maximum(far - high, low - far) * (1 - SLACK) <= np.sqrt(limit) * (1 + SLACK) + SLACK * (far + high))
-        if not len(able):
-            return table(left["key"], right["key"], (np.zeros(0, int), np.zeros(0, int), np.zeros(0)))
-        row, pick, d2 = closest(left["key"].to_numpy()[able], x[able], limit[able], right["key"].to_numpy(), _vectors(right), k)
-        return table(left["key"], right["key"], (able[row], pick, d2))
-
-    found = left.groupBy("a1", "b1").cogroup(right.groupBy("a2", "b2")).applyInArrow(meet, schema)
+        right = right.sort_by([("turn", "ascending"), ("key", "ascending")])
+        keys, x, limit = left["key"].to_numpy(), _vectors(left), left["limit"].to_numpy().copy()
+        turns, y, others = right["turn"].to_numpy(), _vectors(right), right["key"].to_numpy()
+        found = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        for begin, end in zip(*(np.searchsorted(turns, np.unique(turns), side) for side in ("left", "right")), strict=True):
+            pivot, low, high = around[right["b"][int(begin)].as_py()]
+            far = np.sqrt(((x - pivot) ** 2).sum(1))
+            able = np.flatnonzero(np.maximum(far - high, low - far) * (1 - SLACK) <= np.sqrt(limit) * (1 + SLACK) + SLACK * (far + high))
+            if not len(able):
+                continue
+            row, pick, d2 = closest(keys[able], x[able], limit[able], others[begin:end], y[begin:end], k)
+            row, pick, d2 = (np.concatenate(v) for v in zip(found, (able[row], begin + pick, d2), strict=True))
+            order = np.lexsort((others[pick], d2, row))
+            row, pick, d2 = row[order], pick[order], d2[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            limit[row[place == k - 1]] = np.minimum(limit[row[place == k - 1]], d2[place == k - 1])
+            found = row[place < k], pick[place < k], d2[place < k]
+        return table(left["key"], right["key"], found)
+
+    found = left.groupBy("a1", "part1").cogroup(right.groupBy("a2", "part2")).applyInArrow(meet, schema)
     return cut(first.unionByName(found))
