@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions import vectors as V
 from loomgrid.operators import metric
-from loomgrid.sources.stored import shared_dir, stored
+from loomgrid.sources.stored import stored
 
 #: Nodes up to which a solver may run on the driver; beyond, fixed-point rounds over the edge table.
 DRIVER_NODES = 2_000
@@ -180,35 +180,56 @@ def _long(spark, nodes: list, classes: list[int], f: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(n, c, float(f[i, j])) for i, n in enumerate(nodes) for j, c in enumerate(classes)], "node long, cls int, f double")
 
 
-def lgc(edges: DataFrame, labels: DataFrame, mu: float, tolerance: float = 1e-8, most_rounds: int = 400, every: int = 10) -> DataFrame:
+def _by_class(spread: DataFrame, state: DataFrame, alpha: float, width: int) -> DataFrame:
+    """``state`` (node, x, r, p) with q = p - alpha S p; ``spread`` are the edges (s, t, w) of S."""
+    moved = spread.join(state.select(F.col("node").alias("t"), *(F.get("p", c).alias(f"p{c}") for c in range(width))), "t")
+    sums = moved.groupBy(F.col("s").alias("node")).agg(*(F.sum(F.col("w") * F.col(f"p{c}")).alias(f"p{c}") for c in range(width)))
+    q = F.array(*(F.get("p", c) - alpha * F.coalesce(F.col(f"p{c}"), F.lit(0.0)) for c in range(width)))
+    return state.join(sums, "node", "left").select("node", "x", "r", "p", q.alias("q"))
+
+
+def conjugate_gradients(s: DataFrame, y: DataFrame, alpha: float, tolerance: float, most_rounds: int) -> DataFrame:
+    """(node, cls, f) with (1 - alpha S) f = (1 - alpha) y, of every node and class, for symmetric edges ``s`` (s, t, w) of norm 1 at most.
+
+    Conjugate gradients for all classes at once. A round is one join with the edges, written to the shared folder; the products of vectors
+    that its step needs, a few numbers a class, are observed as it is written. Ends when the residual proves every value right to the
+    tolerance; an error if that takes more than ``most_rounds``."""
+    classes = sorted(r[0] for r in y.select("cls").distinct().collect())
+    nodes = s.select(F.explode(F.array("s", "t")).alias("node")).unionByName(y.select("node")).distinct()
+    if not classes:
+        return nodes.limit(0).select("node", F.lit(0).alias("cls"), F.lit(0.0).alias("f"))
+    start = y.groupBy("node").agg(F.array(*(F.coalesce(F.sum(F.when(F.col("cls") == c, (1 - alpha) * F.col("y"))), F.lit(0.0)) for c in classes)).alias("b"))
+    b = F.coalesce("b", F.array(*[F.lit(0.0)] * len(classes)))
+    state = nodes.join(start, "node", "left").select("node", F.transform(b, lambda x: F.lit(0.0)).alias("x"), b.alias("r"), b.alias("p"))
+    state = stored(state, "solver-start")
+    for _ in range(most_rounds):
+        seen = Observation()
+        dot = lambda a, b, c: F.sum(F.get(a, c) * F.get(b, c))
+        observed = [dot(a, b, c).alias(f"{a}{b}{c}") for a, b in ("rr", "rq", "qq", "pq") for c in range(len(classes))]
+        state = stored(_by_class(s, state, alpha, len(classes)).observe(seen, *observed), "solver-step")
+        rr, rq, qq, pq = (np.array([seen.get[f"{n}{c}"] or 0.0 for c in range(len(classes))]) for n in ("rr", "rq", "qq", "pq"))
+        step = np.where(pq > 0, rr / np.where(pq > 0, pq, 1), 0)
+        left = np.maximum(rr - 2 * step * rq + step * step * qq, 0)
+        turn = np.where(rr > 0, left / np.where(rr > 0, rr, 1), 0)
+        fixed = lambda v: F.array(*map(F.lit, v.tolist()))
+        along = lambda name, other, v: F.transform(name, lambda x, c: x + F.get(fixed(v), c) * F.get(other, c))
+        state = state.withColumn("r2", along("r", "q", -step)).select("node", along("x", "p", step).alias("x"), F.col("r2").alias("r"), along("r2", "p", turn).alias("p"))
+        if np.sqrt(left.max()) <= tolerance * (1 - alpha):
+            return state.select("node", F.posexplode("x").alias("c", "f")).select("node", F.get(F.array(*map(F.lit, classes)), F.col("c")).alias("cls"), "f")
+    raise RuntimeError(f"the residual was still {np.sqrt(left.max()):.3g} after {most_rounds} rounds")
+
+
+def lgc(edges: DataFrame, labels: DataFrame, mu: float, tolerance: float = 1e-8, most_rounds: int = 400) -> DataFrame:
     """(node, cls, f) of local and global consistency: f = a S f + (1 - a) y with a = 1 / (1 + mu), of every node and class, solved
-    on the driver for a small graph, else in rounds, checkpointed, until no value moves by more than the tolerance; an error if they don't get there."""
+    on the driver for a small graph, else by :func:`conjugate_gradients`."""
     check_weights(edges)
     alpha = 1 / (1 + mu)
     s = normalized(edges)
     if edges.select("s").distinct().count() <= DRIVER_NODES:
         m, nodes, y, classes = _dense(s, labels)
         return _long(edges.sparkSession, nodes, classes, (1 - alpha) * np.linalg.solve(np.eye(len(nodes)) - alpha * m, y) if nodes else y)
-    shared_dir(edges.sparkSession)
-    s = stored(s, "affinities")
     y = stored(labels.select("node", "cls", F.col("y").cast("double").alias("y")), "labels")
-    own = y.select("node", "cls", ((1 - alpha) * F.col("y")).alias("f"))
-    f = y.select("node", "cls", F.col("y").alias("f"))
-    for n in range(most_rounds):
-        spread = s.join(f.withColumnRenamed("node", "t"), "t").select(F.col("s").alias("node"), "cls", (alpha * F.col("w") * F.col("f")).alias("f"))
-        new = spread.unionByName(own).groupBy("node", "cls").agg(F.sum("f").alias("f"))
-        if n % every == every - 1 or n == most_rounds - 1:
-            new = new.checkpoint()
-            moved = new.join(f.withColumnRenamed("f", "g"), ["node", "cls"], "left").agg(F.max(F.abs(F.col("f") - F.coalesce("g", F.lit(0.0))))).first()[0]
-            f = new
-            if moved is None or moved <= tolerance:
-                break
-        f = new
-    else:
-        raise RuntimeError(f"values still moved by more than {tolerance} after {most_rounds} rounds")
-    nodes = s.select(F.col("s").alias("node")).unionByName(s.select(F.col("t").alias("node"))).unionByName(y.select("node")).distinct()
-    pairs = nodes.crossJoin(F.broadcast(y.select("cls").distinct()))
-    return pairs.join(f, ["node", "cls"], "left").select("node", "cls", F.coalesce("f", F.lit(0.0)).alias("f"))
+    return conjugate_gradients(stored(s, "affinities"), y, alpha, tolerance, most_rounds)
 
 
 def label_solve(edges: DataFrame, labels: DataFrame, alpha: float) -> DataFrame:
@@ -229,27 +250,41 @@ def class_probabilities(scores: DataFrame) -> DataFrame:
     return scores.select("node", "cls", F.when(s == 0, F.lit(float("nan"))).otherwise(F.col("f") / s).alias("prob"))
 
 
-def graph_mbo(edges: DataFrame, labels: DataFrame, mu: float, steps: int = 20, dt: float = 0.01, by_class: bool = False, most_nodes: int = 5_000) -> DataFrame:
-    """(node, cls): an explicit step of diffusion in the Laplacian's eigenbasis, less the pull towards the labels found in the
-    step before, and a threshold, in turn. For graphs of up to ``most_nodes`` nodes, whose full eigenbasis the driver holds.
-    ``by_class``: the pull is indexed by class instead of by node."""
-    count = edges.select("s").unionByName(edges.select(F.col("t").alias("s"))).unionByName(labels.select(F.col("node").alias("s"))).distinct().count()
-    if count > most_nodes:
-        raise ValueError(f"{count} nodes are more than the {most_nodes} of a full eigenbasis")
-    w, nodes, y, classes = _dense(edges, labels)
-    if not nodes:
-        return edges.sparkSession.createDataFrame([], "node long, cls int")
-    deg = w.sum(1)
-    root = np.where(deg > 0, 1 / np.sqrt(np.where(deg > 0, deg, 1)), 0)
-    values, basis = np.linalg.eigh(np.eye(len(w)) - root[:, None] * w * root)
-    held = (y.max(1) > 0).astype(float)
-    pull = np.tile(held[: len(classes)], (len(w), 1)) if by_class else held[:, None]
-    hot, u, shift = np.eye(len(classes)), y, np.zeros_like(y)
+def graph_mbo(edges: DataFrame, labels: DataFrame, mu: float, steps: int = 20, dt: float = 0.01, by_class: bool = False) -> DataFrame:
+    """(node, cls): an explicit step of diffusion by the Laplacian L, less the pull towards the labels found in the step before, and a
+    threshold, in turn.
+
+    In the whole eigenbasis Q of L, with eigenvalues e, the step is Q (1 - dt e) Q' u, which is u - dt L u; so no basis is needed, and a step
+    is a join with the edges, for graphs of any size. ``by_class``: the pull is indexed by class instead of by node."""
+    y = stored(labels.groupBy("node", "cls").agg(F.sum("y").cast("double").alias("y")), "labels")
+    classes = sorted(r[0] for r in y.select("cls").distinct().collect())
+    s = stored(normalized(edges), "affinities")
+    nodes = edges.select(F.explode(F.array("s", "t")).alias("node")).unionByName(y.select("node")).distinct()
+    if not classes:
+        return nodes.limit(0).select(F.col("node").cast("long").alias("node"), F.lit(0).alias("cls"))
+    width, zeros = len(classes), F.array(*[F.lit(0.0)] * len(classes))
+    given = y.groupBy("node").agg(F.array(*(F.coalesce(F.sum(F.when(F.col("cls") == c, F.col("y"))), F.lit(0.0)) for c in classes)).alias("y"))
+    state = nodes.join(given, "node", "left").select("node", F.coalesce("y", zeros).alias("y")).select("node", "y", F.col("y").alias("u"), zeros.alias("d"))
+    held = F.when(F.array_max("y") > 0, float(mu)).otherwise(0.0)
+    pull = lambda c: held
+    if by_class:  # the c-th node's mark in place of the node's own
+        order = [r["node"] for r in nodes.orderBy("node").limit(width).collect()]
+        marked = {r["node"] for r in y.where((F.col("y") > 0) & F.col("node").isin(order)).collect()}
+        marks = F.array(*(F.lit(float(mu) if n in marked else 0.0) for n in order + [None] * (width - len(order))))
+        pull = lambda c: F.get(marks, c)
     for _ in range(steps):
-        spread = basis @ ((1 - dt * values[:, None]) * (basis.T @ u) - dt * shift)
-        shift = basis.T @ (mu * pull * (spread - y))
-        u = hot[spread.round(12).argmax(1)]  # nodes that nothing reaches yet hold rounding errors only: the lowest class
-    return edges.sparkSession.createDataFrame([(n, classes[int(c)]) for n, c in zip(nodes, u.argmax(1), strict=True)], "node long, cls int")
+        state = stored(state, "mbo-step")
+        moved = s.join(state.select(F.col("node").alias("t"), *(F.get("u", c).alias(f"u{c}") for c in range(width))), "t")
+        sums = moved.groupBy(F.col("s").alias("node")).agg(*(F.sum(F.col("w") * F.col(f"u{c}")).alias(f"u{c}") for c in range(width)))
+        # L is 1 - S, on nodes without edges too
+        each = F.array(*((1 - dt) * F.get("u", c) + dt * F.coalesce(F.col(f"u{c}"), F.lit(0.0)) - dt * F.get("d", c) for c in range(width)))
+        spread = state.join(sums, "node", "left").select("node", "y", each.alias("spread"))
+        rounded = F.transform("spread", lambda x: F.round(x, 12))  # nodes that nothing reaches yet hold rounding errors only: the lowest class
+        at = F.array_position(rounded, F.array_max(rounded)) - 1
+        hot = F.transform("spread", lambda x, c: (c == at).cast("double"))
+        d = F.transform("spread", lambda x, c: pull(c) * (x - F.get("y", c)))
+        state = spread.select("node", "y", hot.alias("u"), d.alias("d"))
+    return state.select(F.col("node").cast("long").alias("node"), F.get(F.array(*map(F.lit, classes)), F.array_position("u", 1.0).cast("int") - 1).alias("cls"))
 
 
 def label_spreading(pixels: DataFrame, gamma: float = 1e-6, alpha: float = 0.2, rounds: int = 30, tolerance: float = 1e-3) -> DataFrame:

@@ -15,28 +15,34 @@ from loomgrid.operators.neighbourhood import extent
 
 
 def window_logm(cube: np.ndarray, own: tuple[slice, slice], size: int, keep: int, shrink: float = 0.001, above: int = 0) -> np.ndarray:
-    """Log-matrices of the ``own`` cells of a cube that holds their whole windows; neighbours are those of the pixel ``above`` rows higher."""
+    """Log-matrices of the ``own`` cells of a cube that holds their whole windows; neighbours are those of the pixel ``above`` rows higher.
+
+    A row of windows is solved at once: cosines are one batch of products, the ``keep`` largest of each window are marked (of equal ones
+    those that come first column by column), and the covariance is a product of the marked vectors."""
     half, d = size // 2, cube.shape[2]
     rows, columns = range(own[0].start, own[0].stop), range(own[1].start, own[1].stop)
-    norm = np.linalg.norm(cube, axis=2, keepdims=True)
+    keep = min(keep, size * size)
     with np.errstate(invalid="ignore", divide="ignore"):
-        unit = cube / norm
+        unit = cube / np.linalg.norm(cube, axis=2, keepdims=True)
+        low, high = cube.min(2, keepdims=True), cube.max(2, keepdims=True)
+        scaled = np.nan_to_num((cube - low) / (high - low))
+
+    def windows(x: np.ndarray, i: int) -> np.ndarray:
+        strip = x[i - half : i + half + 1, columns.start - half : columns.stop + half]
+        # (column, band, row in the window, column in the window): the offset of (row, column) is row + size * column
+        view = np.lib.stride_tricks.sliding_window_view(strip, (size, size), axis=(0, 1))[0]
+        return np.ascontiguousarray(view.transpose(0, 3, 2, 1)).reshape(len(columns), size * size, d)
+
     out = np.empty((len(rows), len(columns), d, d))
-    keep = min(keep, size * size)
     for a, i in enumerate(rows):
-        held = np.empty((len(columns), keep, d))
-        for b, j in enumerate(columns):
-            window = np.s_[i - half : i + half + 1, j - half : j + half + 1]
-            # column by column, so that the offset of (row, column) is row + size * column
-            u = unit[window].transpose(1, 0, 2).reshape(-1, d)
-            cor = np.round(u @ unit[i - above, j], 10)
-            top = np.argsort(-cor, kind="stable")[:keep]
-            held[b] = cube[window].transpose(1, 0, 2).reshape(-1, d)[top]
-        low, high = held.min(2, keepdims=True), held.max(2, keepdims=True)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            held = (held - low) / (high - low)
-        held = np.nan_to_num(held)
-        held -= held.mean(1, keepdims=True)
+        cor = np.round((windows(unit, i) @ unit[i - above, columns.start : columns.stop, :, None])[:, :, 0], 10)
+        cor[np.isnan(cor)] = -np.inf
+        least = np.partition(cor, -keep, axis=1)[:, -keep, None]
+        tied = cor == least
+        marked = (cor > least) | tied & (np.cumsum(tied, axis=1) <= keep - (cor > least).sum(1, keepdims=True))
+        held = windows(scaled, i)
+        mean = (marked[:, None, :].astype(float) @ held) / keep
+        held = (held - mean) * marked[:, :, None]
         cov = held.transpose(0, 2, 1) @ held / max(keep - 1, 1)
         trace = np.trace(cov, axis1=1, axis2=2)
         cov += (shrink * np.maximum(trace, 1e-12))[:, None, None] * np.eye(d)
@@ -46,14 +52,18 @@ def window_logm(cube: np.ndarray, own: tuple[slice, slice], size: int, keep: int
 
 
 def log_matrices(raster: DataFrame, vector: str = "mnf", size: int = 25, keep: int = 400, tile: int = 32, out: str = "lcmr", above: int = 0) -> DataFrame:
-    """(p, out): the row-major d x d log-matrix of each pixel's window. ``above=1`` takes the window's centre one place early, column by column."""
+    """(p, out): the row-major d x d log-matrix of each pixel's window, of odd ``size``; beyond the raster it is mirrored, again and again where
+    the window is larger. ``above=1`` takes the window's centre one place early, column by column."""
+    if size % 2 == 0:
+        raise ValueError("a window of even size has no centre")
     h, w = extent(raster)
     half = size // 2
 
     def copies(x: str, n: int):
         """Places along one axis that show index x in the padded raster."""
-        c = F.col(x)
-        return F.array_compact(F.array(c, F.when(-1 - c >= -half, -1 - c), F.when(2 * n - 1 - c < n + half, 2 * n - 1 - c)))
+        c, turns = F.col(x), range(-half // (2 * n) - 1, half // (2 * n) + 2)
+        places = F.array(*(y for m in turns for y in (c + 2 * n * m, 2 * n * m - 1 - c)))
+        return F.filter(places, lambda y: (y >= -half) & (y < n + half))
 
     def tiles(x: str, n: int):
         return F.sequence(F.greatest(F.floor((F.col(x) - half) / tile), F.lit(0)).cast("int"), F.least(F.floor((F.col(x) + half) / tile), F.lit((n - 1) // tile)).cast("int"))

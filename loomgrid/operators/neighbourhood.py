@@ -28,8 +28,10 @@ def offsets(raster: DataFrame, places: list[tuple[int, int]]) -> DataFrame:
 
 
 def mirror(x: Column, n: int) -> Column:
-    """Index of the pixel that an index beyond the edge shows: the edge pixel itself is repeated first."""
-    return F.when(x < 0, -1 - x).when(x >= n, 2 * n - 1 - x).otherwise(x)
+    """Index of the pixel that an index beyond the edge shows: the edge pixel itself is repeated first; further out the raster is mirrored
+    again and again."""
+    turned = F.pmod(x, F.lit(2 * n))
+    return F.when(turned >= n, 2 * n - 1 - turned).otherwise(turned)
 
 
 def mirror_pad(raster: DataFrame, width: int) -> DataFrame:

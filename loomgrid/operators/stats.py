@@ -17,30 +17,34 @@ def standardize(bands: DataFrame, key: str = "p") -> DataFrame:
     return bands.join(F.broadcast(stat), "k").select(key, "k", z.alias("z"))
 
 
-def moments(vectors: DataFrame, vector: str = "v", centre: np.ndarray | None = None, products: bool = True) -> tuple[int, np.ndarray, np.ndarray]:
-    """(rows, sums, Gram matrix) of the vectors less ``centre``: one pass, a partial of d x d numbers a partition, summed
-    before the driver gets one. Without ``products`` the matrix is 0 x 0."""
+def _joined(x: tuple[int, np.ndarray, np.ndarray], y: tuple[int, np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, means, Gram matrix of the rows less their means) of two sets together."""
+    if not x[0] or not y[0]:
+        return x if x[0] else y
+    n, step = x[0] + y[0], y[1] - x[1]
+    return n, x[1] + step * (y[0] / n), x[2] + y[2] + np.outer(step, step) * (x[0] * y[0] / n)
+
+
+def centred_moments(vectors: DataFrame, vector: str = "v") -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, means, Gram matrix of the vectors less their means) in one pass: each task centres its batches on their own means and joins
+    them, and the tasks' results, d x d numbers each, meet by twos in a tree, so bands of large values and small variance don't cancel."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s, g = 0, 0.0, 0.0
+        held = 0, np.zeros(0), np.zeros((0, 0))
         for b in batches:
-            x = np.array(b.column(0).to_pylist(), float)
-            if len(x):
-                x = x if centre is None else x - centre
-                n, s, g = n + len(x), s + x.sum(0), g + (x.T @ x if products else 0.0)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([n]), pa.array([s.tolist()]), pa.array([np.ravel(g).tolist() if products else []], pa.list_(pa.float64()))], names=["one", "n", "s", "g"])
-
-    parts = vectors.select(vector).mapInArrow(part, "one long, n long, s array<double>, g array<double>")
-    add = lambda c: parts.select(F.posexplode(c).alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at")
-    parts = parts.persist()
-    try:
-        n = parts.agg(F.sum("n")).first()[0] or 0
-        s = np.array([r["x"] for r in add("s").collect()])
-        g = np.array([r["x"] for r in add("g").collect()]).reshape((len(s), len(s)) if products else (0, 0))
-    finally:
-        parts.unpersist()
-    return n, s, g
+            if b.num_rows:
+                x = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+                mean = x.mean(0)
+                x = x - mean
+                held = _joined(held, (len(x), mean, x.T @ x))
+        yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1].tobytes()], pa.binary()), pa.array([held[2].tobytes()], pa.binary())], names=["n", "mean", "gram"])
+
+    def read(r) -> tuple[int, np.ndarray, np.ndarray]:
+        mean = np.frombuffer(r["mean"])
+        return r["n"], mean, np.frombuffer(r["gram"]).reshape(len(mean), len(mean))
+
+    parts = vectors.select(vector).mapInArrow(part, "n long, mean binary, gram binary").rdd.map(read)
+    return parts.treeReduce(_joined) if parts.getNumPartitions() else (0, np.zeros(0), np.zeros((0, 0)))
 
 
 def covariance_matrix(vectors: DataFrame, vector: str = "v") -> np.ndarray:
@@ -49,15 +53,6 @@ def covariance_matrix(vectors: DataFrame, vector: str = "v") -> np.ndarray:
     return g / (n - 1)
 
 
-def centred_moments(vectors: DataFrame, vector: str = "v") -> tuple[int, np.ndarray, np.ndarray]:
-    """(rows, means, Gram matrix of the vectors less their means), in two passes: sums first, then products of what is left
-    once the mean is taken off, so bands of large values and small variance don't cancel."""
-    n, s, _ = moments(vectors, vector, products=False)
-    mean = s / max(n, 1)
-    _, rest, g = moments(vectors, vector, centre=mean)
-    return n, mean + rest / max(n, 1), g - np.outer(rest, rest) / max(n, 1)
-
-
 def covariance_pairs(bands: DataFrame, key: str = "p", value: str = "x") -> DataFrame:
     """(k1, k2, c) for k1 <= k2, relationally: for few bands, or where the result stays a table."""
     a = bands.select(key, F.col("k").alias("k1"), F.col(value).alias("x1"))

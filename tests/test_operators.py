@@ -72,6 +72,22 @@ def test_log_matrices_match_a_plain_loop(raster, cube):
         np.testing.assert_allclose(got[i * w + j], vectors @ np.diag(np.log(values)) @ vectors.T, atol=1e-8)
 
 
+def test_windows_larger_than_the_raster(spark):
+    r = np.random.default_rng(4)
+    c = r.random((3, 4, 2)) + 0.1
+    df = spark.createDataFrame([(i * 4 + j, i, j, c[i, j].tolist()) for i in range(3) for j in range(4)], "p int, i int, j int, v array<double>")
+    pad = np.pad(c, ((9, 9), (9, 9), (0, 0)), mode="symmetric")
+    want = lcmr.window_logm(pad, (slice(9, 12), slice(9, 13)), 19, 100).reshape(12, 4)
+    got = {r["p"]: r["lcmr"] for r in lcmr.log_matrices(df, "v", size=19, keep=100, tile=2).collect()}
+    np.testing.assert_allclose([got[p] for p in range(12)], want)
+    cells = {(x["pi"], x["pj"]): x["p"] for x in neighbourhood.mirror_pad(df, 9).collect()}
+    at = np.pad(np.arange(12).reshape(3, 4), 9, mode="symmetric")
+    assert cells == {(i, j): at[i, j] for i in range(21) for j in range(22)}
+    assert neighbourhood.window_vectors(df, 19).count() == 12 * 19 * 19
+    with pytest.raises(ValueError, match="even"):
+        lcmr.log_matrices(df, "v", size=4)
+
+
 def test_lgc_solves_its_equation_both_ways(spark, raster, monkeypatch):
     edges, labels = catalog._fcf(raster).persist(), catalog._labels(raster).persist()
     near = {(r["node"], r["cls"]): r["f"] for r in graph.lgc(edges, labels, 0.125).collect()}
@@ -90,7 +106,7 @@ def test_lgc_rows_and_rounds_do_not_hang_on_size(spark, monkeypatch):
     far = {(r["node"], r["cls"]): r["f"] for r in graph.lgc(edges, labels, 0.125, tolerance=1e-3).collect()}
     assert far.keys() == near.keys() and len(near) == 10 and all(abs(near[k] - far[k]) < 0.05 for k in near)
     with pytest.raises(RuntimeError):
-        graph.lgc(edges, labels, 1e-6, most_rounds=3)
+        graph.lgc(edges, labels, 1e-6, most_rounds=1)
 
 
 def test_negative_weights_are_an_error(spark):
@@ -304,8 +320,35 @@ def test_mbo_against_a_plain_loop(spark):
         d = basis.T @ (30.0 * (y.max(1) > 0)[:, None] * (u - y))
         u = np.eye(3)[u.round(12).argmax(1)]
     assert got == {i: int(u[i].argmax()) + 1 for i in range(n)}
-    with pytest.raises(ValueError, match="more than the 5"):
-        graph.graph_mbo(edges, labels, 30.0, most_nodes=5)
+    by_class = dict(map(tuple, graph.graph_mbo(edges, labels, 30.0, by_class=True).collect()))
+    u, d = y.copy(), np.zeros((n, 3))
+    for _ in range(20):
+        u = basis @ ((1 - 0.01 * values[:, None]) * (basis.T @ u)) - 0.01 * d
+        d = 30.0 * (y.max(1) > 0)[None, :3] * (u - y)
+        u = np.eye(3)[u.round(12).argmax(1)]
+    assert by_class == {i: int(u[i].argmax()) + 1 for i in range(n)}
+
+
+def test_conjugate_gradients_at_a_small_mu(spark, monkeypatch):
+    """Condition 200, an unconnected part, a node without edges."""
+    r = np.random.default_rng(8)
+    n = 300
+    w = np.zeros((n, n))
+    for i in range(n - 1):
+        for j in r.integers(0, n - 1, 3):
+            if (i < 40) == (j < 40) and i != j:
+                w[i, j] = w[j, i] = r.random() + 0.1
+    edges = spark.createDataFrame([(int(i), int(j), float(w[i, j])) for i, j in np.argwhere(w)], "s long, t long, w double")
+    labels = spark.createDataFrame([(50, 2, 1), (51, 7, 3), (60, 2, 2), (n - 1, 7, 1)], "node long, cls int, y int")
+    monkeypatch.setattr(graph, "DRIVER_NODES", 0)
+    got = {(r["node"], r["cls"]): r["f"] for r in graph.lgc(edges, labels, 0.01).collect()}
+    deg = np.where(w.sum(1) > 0, w.sum(1), 1)
+    y = np.zeros((n, 2))
+    y[[50, 60, 51, n - 1], [0, 0, 1, 1]] = [1, 2, 3, 1]
+    a = 1 / 1.01
+    f = (1 - a) * np.linalg.solve(np.eye(n) - a * w / np.sqrt(np.outer(deg, deg)), y)
+    assert len(got) == 2 * len(np.flatnonzero((w.sum(1) > 0) | (y.max(1) > 0)))
+    assert max(abs(v - f[i, 0 if c == 2 else 1]) for (i, c), v in got.items()) < 1e-8
 
 
 def test_rounds_without_bound_and_a_warning_at_one(raster, spark):
