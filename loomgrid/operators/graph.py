@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions import vectors as V
 from loomgrid.operators import metric
-from loomgrid.sources.stored import stored
+from loomgrid.sources.stored import ranked, stored
 
 #: Nodes up to which a solver may run on the driver; beyond, fixed-point rounds over the edge table.
 DRIVER_NODES = 2_000
@@ -115,17 +115,103 @@ def affinity_knn(distances: DataFrame, sigma: float, neighbours: int) -> DataFra
     return affinity(near, sigma).where("w <> 1")
 
 
-def fcf_graph(mean: DataFrame, weighted: DataFrame, centroids: DataFrame, sigma: float, sigma_l: float, b: float, k: int = 8) -> DataFrame:
-    """Feature affinity times spatial decay, each node's k largest, made symmetric. Pairs of equal features have no edge."""
-    places = centroids.select("sp", F.array("ci", "cj").alias("at"))
-    nodes = _both(mean, weighted).join(places, "sp").select("sp", F.concat("x", "at").alias("x"))
-
-    def cost(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _largest(s: np.ndarray, x: np.ndarray, t: np.ndarray, y: np.ndarray, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray], least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, weight): of each x the k largest weights with y of another key that are at least ``least`` and not zero, all equal to the k-th too."""
+    out, step = [], max(1, (1 << 21) // max(y.size, 1))
+    for i in range(0, len(x), step):
+        w = weigh(x[i : i + step], y)
+        w[s[i : i + step, None] == t] = 0
+        ok = (w > 0) & (w >= least[i : i + step, None])
+        if k < len(t):
+            ok &= w >= np.partition(w, -k, axis=1)[:, -k, None]
+        row, pick = np.nonzero(ok)
+        out.append((i + row, pick, w[row, pick]))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _places(nodes: DataFrame, block: int) -> tuple[DataFrame, list]:
+    """(nodes with chunk, [(chunk, least i, largest i, least j, largest j)]): nodes (sp, x, ci, cj) by bands of rows and, in a band, by column, cut
+    into chunks of ``block``."""
+    n, i0, i1, j0, j1 = nodes.agg(F.count(F.lit(1)), F.min("ci"), F.max("ci"), F.min("cj"), F.max("cj")).first()
+    band = max(((i1 - i0 + 1) * (j1 - j0 + 1) * block / n) ** 0.5, 1.0) if n else 1.0
+    dealt = ranked(nodes, [F.floor(F.col("ci") / band), "cj", "sp"], "by-place").withColumn("chunk", F.floor(F.col("place") / block)).drop("place")
+    dealt = stored(dealt, "placed")
+    return dealt, [tuple(r) for r in dealt.groupBy("chunk").agg(F.min("ci"), F.max("ci"), F.min("cj"), F.max("cj")).orderBy("chunk").collect()]
+
+
+def _gap(i: np.ndarray, j: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """Distance of points, or of boxes given as (least, largest), from boxes."""
+    low_i, high_i, low_j, high_j = np.moveaxis(box, -1, 0)
+    return np.hypot(np.maximum(np.maximum(low_i - i[..., 1], i[..., 0] - high_i), 0), np.maximum(np.maximum(low_j - j[..., 1], j[..., 0] - high_j), 0))
+
+
+def fcf_graph(mean: DataFrame, weighted: DataFrame, centroids: DataFrame, sigma: float, sigma_l: float, b: float, k: int = 8, block: int = 2048) -> DataFrame:
+    """Feature affinity times spatial decay, each node's k largest, made symmetric. Pairs of equal features have no edge.
+
+    A weight is at most exp(-distance / sigma_l). So the k-th largest weight within a node's own chunk of the plane bounds how far away a
+    larger one can be: only chunks that near are sent to it, the nearest first, and the bound falls as they are met."""
+    places = centroids.select("sp", "ci", "cj")
+    nodes = _both(mean, weighted).join(places, "sp").select("sp", "x", "ci", "cj")
+    chunks, boxes = _places(stored(nodes, "nodes"), block)
+    kind = dict(nodes.dtypes)["sp"]
+    schema = f"s {kind}, t {kind}, w double"
+
+    def weigh(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         w = np.exp(-_mixed(x[:, :-2], y[:, :-2], b) / (sigma * sigma))
-        return np.where(w == 1, np.inf, -w * np.exp(-np.sqrt(_squared(x[:, -2:], y[:, -2:])) / sigma_l))
-
-    near = block_pairs(nodes, cost, k, "sp", "x", "c")
-    return symmetric(near.select("s", "t", (-F.col("c")).alias("w")))
+        return np.where(w == 1, 0, w * np.exp(-np.sqrt(_squared(x[:, -2:], y[:, -2:])) / sigma_l))
+
+    def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        places = [t[n].to_numpy()[:, None] for n in ("ci", "cj")]
+        return t["sp"].to_numpy(), np.concatenate([np.array(t["x"].to_pylist(), float), *places], 1)
+
+    def table(s: pa.ChunkedArray, t: pa.ChunkedArray, found: tuple) -> pa.Table:
+        return pa.table({"s": s.take(pa.array(found[0])), "t": t.take(pa.array(found[1])), "w": pa.array(found[2])})
+
+    def own(t: pa.Table) -> pa.Table:
+        s, x = arrays(t)
+        return table(t["sp"], t["sp"], _largest(s, x, s, x, weigh, np.zeros(len(x)), k))
+
+    first = chunks.groupBy("chunk").applyInArrow(own, schema)
+    if len(boxes) < 2:
+        return symmetric(first)
+    first = stored(first, "own-chunk")
+    kth = top(first, k, F.col("w").desc()).groupBy(F.col("s").alias("sp")).agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("least")).where(F.col("n") >= k).drop("n")
+    held = stored(chunks.join(kth, "sp", "left").withColumn("least", F.coalesce("least", F.lit(0.0))), "bounded")
+    reach = {r[0]: float("inf") if r[1] == 0 else -sigma_l * float(np.log(r[1])) for r in held.groupBy("chunk").agg(F.min("least")).collect()}
+    ids, edges_of = np.array([r[0] for r in boxes]), np.array([r[1:] for r in boxes], float)
+    pairs = []
+    for n, a in enumerate(ids.tolist()):  # a few numbers for each chunk that is near enough
+        gap = _gap(edges_of[n, None, :2], edges_of[n, None, 2:], edges_of)
+        near = np.flatnonzero((gap <= reach[a] * (1 + 1e-9)) & (ids != a))
+        pairs += [(a, int(ids[m]), turn) for turn, m in enumerate(near[np.argsort(gap[near], kind="stable")].tolist())]
+    if not pairs:
+        return symmetric(top(first, k, F.col("w").desc()))
+    pairs = stored(mean.sparkSession.createDataFrame(pairs, "a long, b long, turn int").withColumn("part", F.floor(F.col("turn") / 8)), "chunk-pairs")
+    left = held.withColumnRenamed("chunk", "a").join(pairs.select("a", "part").distinct(), "a").select(F.col("a").alias("a1"), F.col("part").alias("part1"), "sp", "x", "ci", "cj", "least")
+    right = chunks.withColumnRenamed("chunk", "b").join(pairs, "b").select(F.col("a").alias("a2"), F.col("part").alias("part2"), "turn", *(F.col(c).alias(c) for c in ("sp", "x", "ci", "cj")))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("turn")
+        (s, x), (t, y), least, turns = arrays(left), arrays(right), left["least"].to_numpy().copy(), right["turn"].to_numpy()
+        found = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        for begin, end in zip(*(np.searchsorted(turns, np.unique(turns), side) for side in ("left", "right")), strict=True):
+            low, high = y[begin:end, -2:].min(0), y[begin:end, -2:].max(0)
+            gap = _gap(x[:, -2, None].repeat(2, 1), x[:, -1, None].repeat(2, 1), np.array([low[0], high[0], low[1], high[1]]))
+            able = np.flatnonzero(np.exp(-gap * (1 - 1e-9) / sigma_l) >= least)
+            if not len(able):
+                continue
+            row, pick, w = _largest(s[able], x[able], t[begin:end], y[begin:end], weigh, least[able], k)
+            row, pick, w = (np.concatenate(v) for v in zip(found, (able[row], begin + pick, w), strict=True))
+            order = np.lexsort((-w, row))
+            row, pick, w = row[order], pick[order], w[order]
+            full = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == k - 1)
+            least[row[full]] = np.maximum(least[row[full]], w[full])
+            kept = w >= least[row]
+            found = row[kept], pick[kept], w[kept]
+        return table(left["sp"], right["sp"], found)
+
+    found = left.groupBy("a1", "part1").cogroup(right.groupBy("a2", "part2")).applyInArrow(meet, schema)
+    return symmetric(top(first.unionByName(found), k, F.col("w").desc()))
 
 
 def fcf_m_graph(vectors: DataFrame, sigma: float, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -288,17 +374,22 @@ def graph_mbo(edges: DataFrame, labels: DataFrame, mu: float, steps: int = 20, d
 
 
 def label_spreading(pixels: DataFrame, gamma: float = 1e-6, alpha: float = 0.2, rounds: int = 30, tolerance: float = 1e-3) -> DataFrame:
-    """(p, sp, part) of (p, sp, v, cls): within each superpixel, classes spread from labelled pixels over a dense Gaussian
-    graph. part: 0 where a superpixel has at most one class, else 1, 2, ... for its classes in ascending order. Groups are
-    superpixels, whose size the segmentation bounds."""
+    """(p, sp, part, new) of (p, sp, v, cls): within each superpixel, classes spread from labelled pixels over a dense Gaussian
+    graph. part: 0 where a superpixel has at most one class, else 1, 2, ... for its classes in the order in which a scan by p first sees them.
+    new: the superpixel's number for its parts 0 and 1; other parts are superpixels of their own, numbered on from the largest number
+    in the order of superpixels and, within one, of first pixels. Groups are superpixels, whose size the segmentation bounds."""
 
     def solve(group: pa.Table) -> pa.Table:
+        group = group.sort_by("p")
         cls = np.array([c or 0 for c in group["cls"].to_pylist()])
-        kinds = np.unique(cls[cls > 0])
+        kinds, seen = np.unique(cls[cls > 0], return_index=True)
+        kinds = kinds[np.argsort(seen)]
         part = np.zeros(len(cls), int)
         if len(kinds) > 1:
             x = np.array(group["v"].to_pylist(), float)
-            w = np.exp(-gamma * ((x[:, None] - x) ** 2).sum(2))
+            x -= x.mean(0)
+            size = (x * x).sum(1)
+            w = np.exp(-gamma * np.maximum(size[:, None] + size - 2 * x @ x.T, 0))
             np.fill_diagonal(w, 0)
             root = 1 / np.sqrt(np.maximum(w.sum(1), 1e-300))
             s = root[:, None] * w * root
@@ -313,4 +404,9 @@ def label_spreading(pixels: DataFrame, gamma: float = 1e-6, alpha: float = 0.2,
             part = f.argmax(1) + 1
         return pa.table({"p": group["p"], "sp": group["sp"], "part": pa.array(part.astype(np.int32))})
 
-    return pixels.select("p", "sp", "v", "cls").groupBy("sp").applyInArrow(solve, "p int, sp int, part int")
+    parts = stored(pixels.select("p", "sp", "v", "cls").groupBy("sp").applyInArrow(solve, "p int, sp int, part int"), "parts")
+    fresh = parts.where("part > 1").groupBy("sp", "part").agg(F.min("p").alias("first"))
+    numbers = ranked(fresh, ["sp", "first"], "new-superpixels").select("sp", "part", "place")
+    last = parts.agg(F.max("sp")).first()[0]
+    new = F.coalesce(F.col("place") + 1 + (last or 0), F.col("sp")).cast("int")
+    return parts.join(numbers, ["sp", "part"], "left").select("p", "sp", "part", new.alias("new"))

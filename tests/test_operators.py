@@ -165,9 +165,32 @@ def test_mbo_keeps_labelled_nodes_apart(spark):
 
 
 def test_label_spreading_splits_mixed_superpixels(spark):
-    rows = [(0, 0, [0.0], 1), (1, 0, [0.1], None), (2, 0, [9.0], 3), (3, 0, [9.1], None), (4, 1, [0.0], 2), (5, 1, [5.0], None)]
-    df = spark.createDataFrame(rows, "p int, sp int, v array<double>, cls int")
-    assert {r["p"]: r["part"] for r in graph.label_spreading(df, gamma=1.0).collect()} == {0: 1, 1: 1, 2: 2, 3: 2, 4: 0, 5: 0}
+    rows = [(0, 0, [9.0], 3), (1, 0, [0.1], None), (2, 0, [0.0], 1), (3, 0, [9.1], None), (4, 1, [0.0], 2), (5, 1, [5.0], None), (6, 2, [70.1], None), (7, 2, [40.0], 5), (8, 2, [70.0], 4), (9, 2, [-9.0], 7), (10, 2, [-9.1], None)]
+    df = spark.createDataFrame(rows, "p int, sp int, v array<double>, cls int").repartition(3)
+    got = {r["p"]: (r["part"], r["new"]) for r in graph.label_spreading(df, gamma=1.0).collect()}
+    assert got == {0: (1, 0), 1: (2, 3), 2: (2, 3), 3: (1, 0), 4: (0, 1), 5: (0, 1), 6: (2, 4), 7: (1, 2), 8: (2, 4), 9: (3, 5), 10: (3, 5)}
+
+
+@pytest.mark.parametrize("sigma_l,part", [(2.0, 0.5), (1e6, 1.0)])
+def test_graph_in_the_plane_is_that_of_all_pairs(spark, monkeypatch, sigma_l, part):
+    """Chunks beyond the bound are never sent; with little decay all are."""
+    r = np.random.default_rng(9)
+    n = 300
+    at, m, wm = r.random((n, 2)) * 60, r.integers(0, 3, (n, 3)) * 0.3, r.normal(size=(n, 3)) * 0.3
+    m[7], wm[7] = m[8], wm[8]
+    tables = [spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "sp int, x array<double>") for x in (m, wm)]
+    places = spark.createDataFrame([(i, *v) for i, v in enumerate(at.tolist())], "sp int, ci double, cj double")
+    sent, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda d, label: sent.append((label, out := stored(d, label))) or out)
+    got = {(x["s"], x["t"]): x["w"] for x in graph.fcf_graph(*tables, places, 1.0, sigma_l, 0.7, 5, block=12).collect()}
+    d = 0.7 * ((wm[:, None] - wm) ** 2).sum(2) + 0.3 * ((m[:, None] - m) ** 2).sum(2)
+    f = np.exp(-d)
+    w = np.where(f == 1, 0, f * np.exp(-np.sqrt(((at[:, None] - at) ** 2).sum(2)) / sigma_l))
+    near = np.where((w >= np.sort(w, 1)[:, -5, None]) & (w > 0), w, 0)
+    near = np.maximum(near, near.T)
+    assert got.keys() == {(int(i), int(j)) for i, j in np.argwhere(near)}
+    np.testing.assert_allclose([got[k] for k in got], [near[k] for k in got])
+    assert dict(sent)["chunk-pairs"].count() <= part * 25 * 24
 
 
 def test_sample_drops_small_classes(spark):
