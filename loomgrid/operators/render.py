@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgrid.sources.files import write_pieces
+from loomgrid.sources.stored import stored
+
 # Colours of the classes of the known scenes, background first.
 PALETTE_17 = [
     (0, 0, 0), (140, 67, 46), (0, 0, 255), (255, 100, 0), (0, 255, 123), (164, 75, 155), (101, 174, 255), (118, 254, 172), (60, 91, 112),
@@ -51,13 +56,44 @@ def boundary_overlay(image: DataFrame, edges: DataFrame) -> DataFrame:
     return both.select("i", "j", *(F.when(F.col("edge"), red).otherwise(F.col(c)).cast("int").alias(c) for c, red in zip("rgb", (255, 0, 0), strict=True)))
 
 
+def joined_adler(first: int, second: int, size: int) -> int:
+    """Adler-32 of two pieces together, from those of each and the size of the second."""
+    a1, b1, a2, b2 = first & 0xFFFF, first >> 16, second & 0xFFFF, second >> 16
+    return (b1 + b2 + size * (a1 - 1)) % 65521 << 16 | (a1 + a2 - 1) % 65521
+
+
+def strips(image: DataFrame, width: int, rows: int = 64) -> DataFrame:
+    """(strip, body, adler, size): each ``rows`` lines of a table (i, j, r, g, b), deflated so that strips go on from one another, with
+    checksum and size of what was deflated. Pixels that are missing are black."""
+
+    def deflate(t: pa.Table) -> pa.Table:
+        i = t["i"].to_numpy()
+        strip = int(i[0]) // rows
+        low = strip * rows
+        raw = np.zeros((int(i.max()) - low + 1, 1 + 3 * width), np.uint8)
+        for n, c in enumerate("rgb"):
+            raw[i - low, 1 + 3 * t["j"].to_numpy() + n] = t[c].to_numpy()
+        z = zlib.compressobj(wbits=-15)
+        body = z.compress(raw.tobytes()) + z.flush(zlib.Z_FULL_FLUSH)
+        return pa.table({"strip": [strip], "body": pa.array([body], pa.binary()), "adler": [zlib.adler32(raw.tobytes())], "size": [raw.size]})
+
+    px = image.select(*(F.col(c).cast("int").alias(c) for c in ("i", "j", "r", "g", "b")), F.floor(F.col("i") / rows).alias("strip"))
+    return px.groupBy("strip").applyInArrow(deflate, "strip long, body binary, adler long, size long")
+
+
 def write_png(image: DataFrame, path: str) -> None:
-    """A picture of a table (i, j, r, g, b); the driver holds its pixels, three bytes each."""
-    rows = image.select("i", "j", "r", "g", "b").toPandas()
-    pixels = np.zeros((rows["i"].max() + 1, rows["j"].max() + 1, 3), np.uint8)
-    pixels[rows["i"], rows["j"]] = rows[["r", "g", "b"]].to_numpy(np.uint8)
-    h, w, _ = pixels.shape
-    body = zlib.compress(np.concatenate([np.zeros((h, 1), np.uint8), pixels.reshape(h, -1)], axis=1).tobytes())
+    """A picture of a table (i, j, r, g, b), with no line missing, as a file in any store Spark knows. Tasks deflate strips of lines; the
+    driver passes them on, one at a time."""
+    h, w = image.agg(F.max("i") + 1, F.max("j") + 1).first()
+    made = stored(strips(image, w), "strips").orderBy("strip")
     part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    with open(path, "wb") as f:
-        f.write(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", body) + part(b"IEND", b""))
+
+    def pieces() -> Iterator[bytes]:
+        yield b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", b"\x78\x01")
+        adler = 1
+        for r in made.toLocalIterator():
+            adler = joined_adler(adler, r["adler"], r["size"])
+            yield part(b"IDAT", bytes(r["body"]))
+        yield part(b"IDAT", b"\x03\x00" + struct.pack(">I", adler)) + part(b"IEND", b"")
+
+    write_pieces(image.sparkSession, path, pieces())

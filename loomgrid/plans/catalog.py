@@ -7,6 +7,7 @@ so that operators on nodes can be tested apart from the segmentation.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from loomgrid.functions import vectors as V
 from loomgrid.operators import evaluate, features, graph, lcmr, merging, neighbourhood, reduce, render, segment, stats
 from loomgrid.plans.pipeline import Config, classify, run_pipeline
-from loomgrid.sources.raster import bands, from_embeddings
-from loomgrid.sources.stored import stored
+from loomgrid.sources import mat
+from loomgrid.sources.raster import bands, from_embeddings, from_files
+from loomgrid.sources.stored import shared_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -154,6 +156,16 @@ def _(spark, raster):
     return raster.select("p", "i", "j", "gt", "sp", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
+@query("load_scene", "SELECT p, i, j, gt, list_transform(v, lambda x: round(x, 6)) v FROM raster")
+def _(spark, raster):
+    """The raster as MAT-files, like those of the known scenes, and read back."""
+    raster = stored(raster.select("i", "j", "gt", "v"), "raster")
+    paths = [f"{shared_dir(spark)}/loomgrid/{kind}-{uuid.uuid4().hex}.mat" for kind in ("cube", "truth")]
+    mat.write(raster, paths[0], "cube")
+    mat.write(raster, paths[1], "cube_gt", "gt")
+    return from_files(spark, (paths[0], "cube"), (paths[1], "cube_gt")).select("p", "i", "j", "gt", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+
+
 @query("standardize_bands", "SELECT p, k, round((x - avg(x) OVER (PARTITION BY k)) / stddev_pop(x) OVER (PARTITION BY k), 6) z FROM bands")
 def _(spark, raster):
     return stats.standardize(bands(raster)).select("p", "k", r6("z"))

@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.operators import evaluate, features, graph, lcmr, neighbourhood, reduce, segment, stats
+from loomgrid.operators import evaluate, features, graph, lcmr, neighbourhood, reduce, render, segment, stats
 from loomgrid.sources.raster import bands, from_scene
 from loomgrid.sources.stored import stored
 
@@ -69,8 +69,9 @@ def describe(raster: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, D
     return graph.packed(stats.scale_features(mean, "mu"), "f"), graph.packed(stats.scale_features(weighted, "wmu"), "f"), features.centroids(raster)
 
 
-def classify(raster: DataFrame, config: Config) -> DataFrame:
-    """(run, metric, cls, value): oa, kappa and recall by class of each run on a raster with ``gt`` and superpixels ``sp``."""
+def classify(raster: DataFrame, config: Config, maps: dict[int, DataFrame] | None = None) -> DataFrame:
+    """(run, metric, cls, value): oa, kappa and recall by class of each run on a raster with ``gt`` and superpixels ``sp``. ``maps`` gets the
+    pixels (i, j, gt, pred) of each run."""
     raster = stored(raster, "raster")
     mean, weighted, centroids = (stored(x, "features") for x in describe(raster, config))
     edges, built = None, None
@@ -83,6 +84,8 @@ def classify(raster: DataFrame, config: Config) -> DataFrame:
         sample = features.stratified_sample(raster, config.labelled, config.seed + run, keep_small=config.keep_small)
         labels = features.node_labels(raster, sample).select(F.col("sp").alias("node"), "cls", F.col("n").alias("y"))
         cls = graph.classify(graph.lgc(edges, labels, mu), nodes).withColumnRenamed("node", "sp")
+        if maps is not None:
+            maps[run] = stored(evaluate.back_project(raster.select("i", "j", "gt", "sp"), cls).select("i", "j", "gt", "pred"), "map")
         pixels = evaluate.tested(evaluate.back_project(raster.select("p", "gt", "sp"), cls), sample)
         none = F.lit(None).cast("int")
         rows = evaluate.overall_accuracy(pixels).select(F.lit("oa").alias("metric"), none.alias("cls"), F.col("oa").alias("value"))
@@ -93,8 +96,8 @@ def classify(raster: DataFrame, config: Config) -> DataFrame:
     return out
 
 
-def run_pipeline(raster: DataFrame, config: Config) -> DataFrame:
-    """From a raster (p, i, j, gt, v) to the runs' metrics. The seconds of each step go to this module's log."""
+def run_pipeline(raster: DataFrame, config: Config, maps: dict[int, DataFrame] | None = None) -> DataFrame:
+    """From a raster (p, i, j, gt, v) to the runs' metrics, and their ``maps`` if asked for. The seconds of each step go to this module's log."""
     began = [time.time()]
 
     def log(step: str) -> None:
@@ -109,11 +112,22 @@ def run_pipeline(raster: DataFrame, config: Config) -> DataFrame:
     superpixels = segment.segment(pixels, config.superpixels, config.compactness, config.merging)
     log("segmentation")
     labelled = pc.select("p", "i", "j", "gt", F.col("pc").alias("v")).join(superpixels.select("p", "sp"), "p")
-    metrics = stored(classify(labelled, config), "metrics")
+    metrics = stored(classify(labelled, config, maps), "metrics")
     log("graph and classification")
     return metrics
 
 
+def write_maps(metrics: DataFrame, maps: dict[int, DataFrame], folder: str, name: str) -> list[str]:
+    """Pictures of the run of largest overall accuracy, the whole map and that with the background masked; their paths."""
+    spark = metrics.sparkSession
+    best = evaluate.best_run(metrics).first()
+    out = []
+    for kind, masked in (("full", False), ("masked", True)):
+        out.append(f"{folder}/{name}_{kind}_{100 * best['oa']:.2f}.png")
+        render.write_png(render.class_map(maps[best["run"]], render.palette(spark, name), masked), out[-1])
+    return out
+
+
 def main(argv: list[str] | None = None) -> DataFrame:
     """Command line: a scene's files to printed accuracy."""
     a = argparse.ArgumentParser(description=__doc__)
@@ -127,12 +141,18 @@ def main(argv: list[str] | None = None) -> DataFrame:
     a.add_argument("--num-labeled", dest="labelled", type=int, default=15)
     a.add_argument("--draw", action="store_true", help="draw the parameters from their ranges by the seed, instead of the midpoints")
     a.add_argument("--seed", type=int, default=7)
+    a.add_argument("--maps", help="folder for pictures of the best run")
     args = vars(a.parse_args(argv))
     logging.basicConfig(level=logging.WARNING)
     logging.getLogger(__name__).setLevel(logging.INFO)
-    name, folder, draw, seed = (args.pop(x) for x in ("dataset", "folder", "draw", "seed"))
+    name, folder, draw, seed, pictures = (args.pop(x) for x in ("dataset", "folder", "draw", "seed", "maps"))
     spark = SparkSession.builder.getOrCreate()
-    summary = evaluate.run_summary(run_pipeline(from_scene(spark, folder, name), replace(Config.of_scene(name, seed, draw), **args)))
+    maps: dict[int, DataFrame] | None = {} if pictures else None
+    metrics = run_pipeline(from_scene(spark, folder, name), replace(Config.of_scene(name, seed, draw), **args), maps)
+    if maps:
+        for path in write_maps(metrics, maps, pictures, name):
+            print(path)
+    summary = evaluate.run_summary(metrics)
     for r in summary.orderBy("metric").collect():
         print(f"{r['metric']}: {r['mean']:,.2f} ± {r['std']:,.2f}")
     return summary

@@ -6,13 +6,12 @@ of an embeddings table as a raster of 25 columns.
 
 from __future__ import annotations
 
-import struct
-import zlib
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgrid.sources import mat
+
 WIDTH = 25
 SHIFT = 0.5
 
@@ -58,51 +57,17 @@ def from_arrays(spark: SparkSession, cube: np.ndarray, truth: np.ndarray | None
     return spark.createDataFrame(rows, "p int, i int, j int, gt int, v array<double>")
 
 
+def from_files(spark: SparkSession, cube: tuple[str, str], truth: tuple[str, str]) -> DataFrame:
+    """A raster table of the arrays (path, key) of two MAT-files, bands and ground truth; a pixel that the latter lacks is background."""
+    v = mat.pixels(spark, *cube)
+    gt = mat.pixels(spark, *truth, "g").select("i", "j", F.get("g", 0).cast("int").alias("gt"))
+    width = v.agg(F.max("j")).first()[0] + 1
+    return v.join(gt, ["i", "j"], "left").select((F.col("i") * width + F.col("j")).cast("int").alias("p"), "i", "j", F.coalesce("gt", F.lit(0)).alias("gt"), "v")
+
+
 def from_scene(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A known scene's MAT-files under ``folder``; an unknown name is an error."""
     if name not in SCENES:
         raise ValueError(f"unknown scene {name!r}; known: {', '.join(SCENES)}")
     cube, cube_key, truth, truth_key = SCENES[name]
-    read = lambda f: bytes(spark.read.format("binaryFile").load(f"{folder}/{f}").select("content").first()[0])
-    return from_arrays(spark, read_mat(read(cube))[cube_key], read_mat(read(truth))[truth_key])
-
-
-#: Fixed values of the format: numpy type of each MAT-file data type.
-_TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8", 16: "u1"}
-
-
-def read_mat(content: bytes) -> dict[str, np.ndarray]:
-    """Numeric arrays of a version 5 MAT-file by name."""
-    order = "<" if content[126:128] == b"IM" else ">"
-    out: dict[str, np.ndarray] = {}
-    _elements(content, 128, len(content), order, out)
-    return out
-
-
-def _tag(data: bytes, at: int, order: str) -> tuple[int, int, int, int]:
-    """(type, size, start of the content, start of the next element)."""
-    first, second = struct.unpack(order + "II", data[at : at + 8])
-    if first >> 16:
-        return first & 0xFFFF, first >> 16, at + 4, at + 8
-    return first, second, at + 8, at + 8 + (second if first == 15 else -(-second // 8) * 8)
-
-
-def _elements(data: bytes, at: int, end: int, order: str, out: dict[str, np.ndarray]) -> None:
-    while at + 8 <= end:
-        kind, size, start, at = _tag(data, at, order)
-        if kind == 15:
-            inner = zlib.decompress(data[start : start + size])
-            _elements(inner, 0, len(inner), order, out)
-        elif kind == 14 and size:
-            _matrix(data[start : start + size], order, out)
-
-
-def _matrix(data: bytes, order: str, out: dict[str, np.ndarray]) -> None:
-    _, _, _, at = _tag(data, 0, order)
-    _, size, start, at = _tag(data, at, order)
-    shape = struct.unpack(f"{order}{size // 4}i", data[start : start + size])
-    _, size, start, at = _tag(data, at, order)
-    name = data[start : start + size].decode()
-    kind, size, start, _ = _tag(data, at, order)
-    if kind in _TYPES:
-        out[name] = np.frombuffer(data[start : start + size], order + _TYPES[kind]).reshape(shape, order="F")
+    return from_files(spark, (f"{folder}/{cube}", cube_key), (f"{folder}/{truth}", truth_key))

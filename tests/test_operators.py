@@ -11,6 +11,7 @@ from loomgrid.functions import vectors as V
 from loomgrid.operators import evaluate, features, graph, lcmr, metric, neighbourhood, reduce, render, segment, stats
 from loomgrid.plans import catalog
 from loomgrid.plans.pipeline import Config
+from loomgrid.sources import mat
 from loomgrid.sources import raster as source
 
 
@@ -257,7 +258,7 @@ def _element(kind, body):
 
 
 def test_scenes_from_mat_files(spark, tmp_path):
-    def mat(name, array, packed):
+    def element(name, array, packed):
         body = _element(6, struct.pack("<II", 6, 0)) + _element(5, struct.pack(f"<{array.ndim}i", *array.shape)) + _element(1, name.encode()) + _element(9, array.astype("<f8").tobytes(order="F"))
         element = _element(14, body)
         if packed:
@@ -267,18 +268,68 @@ def test_scenes_from_mat_files(spark, tmp_path):
 
     cube, truth = np.arange(24.0).reshape(2, 3, 4), np.array([[0, 1, 2], [2, 1, 0]])
     (tmp_path / "KSC").mkdir()
-    (tmp_path / "KSC/KSC.mat").write_bytes(mat("KSC", cube, True))
-    (tmp_path / "KSC/KSC_gt.mat").write_bytes(mat("KSC_gt", truth, False))
+    (tmp_path / "KSC/KSC.mat").write_bytes(element("KSC", cube, True))
+    (tmp_path / "KSC/KSC_gt.mat").write_bytes(element("KSC_gt", truth, False))
     rows = source.from_scene(spark, str(tmp_path), "KSC").orderBy("p").collect()
     assert [r["v"] for r in rows] == cube.reshape(-1, 4).tolist() and [r["gt"] for r in rows] == truth.ravel().tolist()
     with pytest.raises(ValueError):
         source.from_scene(spark, str(tmp_path), "Elsewhere")
 
 
-def test_png(spark, raster, tmp_path):
-    image = render.boundary_overlay(render.stretch(raster, (19, 15, 12)), neighbourhood.boundary(raster))
-    render.write_png(image, str(tmp_path / "x.png"))
-    assert (tmp_path / "x.png").read_bytes()[:8] == b"\x89PNG\r\n\x1a\n"
+def test_mat_files_round_trip(spark, tmp_path, monkeypatch):
+    """Written by tasks and read back in small pieces; names, small tags and other arrays before the one wanted."""
+    monkeypatch.setattr(mat, "PIECE", 37)
+    r = np.random.default_rng(12)
+    cube, truth = r.normal(size=(7, 5, 3)), r.integers(0, 4, (7, 5))
+    rows = [(i, j, cube[i, j].tolist(), int(truth[i, j])) for i in range(7) for j in range(5)]
+    df = spark.createDataFrame(rows, "i int, j int, v array<double>, gt int").repartition(4)
+    mat.write(df, str(tmp_path / "a.mat"), "scene")
+    mat.write(df, str(tmp_path / "b.mat"), "gt", "gt")
+    got = source.from_files(spark, (str(tmp_path / "a.mat"), "scene"), (str(tmp_path / "b.mat"), "gt")).orderBy("p").collect()
+    assert [(x["i"], x["j"], x["v"], x["gt"]) for x in got] == rows
+    a, b = (tmp_path / "a.mat").read_bytes(), (tmp_path / "b.mat").read_bytes()
+    (tmp_path / "both.mat").write_bytes(b + a[128:])
+    assert mat.pixels(spark, str(tmp_path / "both.mat"), "scene").count() == 35
+    with pytest.raises(Exception, match="no array named other"):
+        mat.pixels(spark, str(tmp_path / "both.mat"), "other").count()
+
+
+def read_png(data):
+    at, body, size = 8, b"", None
+    while at < len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        part = data[at + 8 : at + 8 + n]
+        assert struct.unpack(">I", data[at + 8 + n : at + 12 + n])[0] == zlib.crc32(kind + part)
+        size = struct.unpack(">II", part[:8]) if kind == b"IHDR" else size
+        body += part if kind == b"IDAT" else b""
+        at += 12 + n
+    lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(size[1], 1 + 3 * size[0])
+    assert not lines[:, 0].any()
+    return lines[:, 1:].reshape(size[1], size[0], 3)
+
+
+def test_png_holds_the_table(spark, tmp_path):
+    r = np.random.default_rng(13)
+    picture = r.integers(0, 256, (150, 9, 3))
+    picture[3, 4] = 0
+    df = spark.createDataFrame([(i, j, *picture[i, j].tolist()) for i in range(150) for j in range(9) if (i, j) != (3, 4)], "i int, j int, r int, g int, b int").repartition(5)
+    render.write_png(df, str(tmp_path / "x.png"))
+    np.testing.assert_array_equal(read_png((tmp_path / "x.png").read_bytes()), picture)
+    for a, b in ((b"", b"x"), (b"abc" * 9999, b"zz" * 40_000), (b"q", b"")):
+        assert render.joined_adler(zlib.adler32(a), zlib.adler32(b), len(b)) == zlib.adler32(a + b)
+
+
+def test_maps_of_the_best_run(spark, raster, tmp_path):
+    from loomgrid.plans import pipeline
+
+    maps = {}
+    metrics = pipeline.classify(raster, Config(labelled=5, runs=2, sigma=2.0, sigma_l=10.0), maps)
+    paths = pipeline.write_maps(metrics, maps, str(tmp_path), "Salinas")
+    best = max((x["value"], -x["run"]) for x in metrics.where("metric = 'oa'").collect())
+    px = {(x["i"], x["j"]): x for x in maps[-best[1]].collect()}
+    for path, masked in zip(paths, (False, True), strict=True):
+        for (i, j), x in px.items():
+            assert tuple(read_png(open(path, "rb").read())[i, j]) == render.PALETTE_17[0 if masked and x["gt"] == 0 else x["pred"]]
 
 
 def test_draws_of_two_seeds_are_independent(spark):
