@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgrid.operators import sums
+
 
 def class_counts(raster: DataFrame, label: str = "sp", truth: str = "gt") -> DataFrame:
     """(sp, cls, n): pixels of each class in each superpixel, background included."""
@@ -22,9 +24,11 @@ def purity(counts: DataFrame) -> DataFrame:
     return counts.groupBy("sp").agg(F.sum("n").alias("size"), (F.max("n") / F.sum("n")).alias("purity"))
 
 
-def mean_feature(bands: DataFrame, label: str = "sp") -> DataFrame:
-    """(sp, k, mu)."""
-    return bands.groupBy(F.col(label).alias("sp"), "k").agg(F.avg("x").alias("mu"))
+def mean_feature(raster: DataFrame, label: str = "sp", vector: str = "v") -> DataFrame:
+    """(sp, k, mu): means of the vectors of each superpixel, added up as whole vectors. Pixels without a superpixel take no part."""
+    rows = raster.where(F.col(label).isNotNull()).select(F.col(label).alias("sp"), F.lit(1).cast("long").alias("n"), F.col(vector).alias("v"))
+    total = sums.by_key(rows, "sp", ["n"], ["v"])
+    return total.select("sp", F.posexplode(F.transform("v", lambda x: x / F.col("n"))).alias("k", "mu"))
 
 
 def neighbour_weights(means: DataFrame, edges: DataFrame, h: float = 15.0) -> DataFrame:

@@ -69,11 +69,9 @@ def pairwise(nodes: DataFrame, key: str = "sp", value: str = "x") -> DataFrame:
 
 
 def pairwise_centroids(centroids: DataFrame) -> DataFrame:
-    """(s, t, d) for s < t."""
-    a = centroids.select(F.col("sp").alias("s"), F.col("ci").alias("ai"), F.col("cj").alias("aj"))
-    b = centroids.select(F.col("sp").alias("t"), F.col("ci").alias("bi"), F.col("cj").alias("bj"))
-    d = F.sqrt(F.pow(F.col("ai") - F.col("bi"), 2) + F.pow(F.col("aj") - F.col("bj"), 2))
-    return a.join(b, F.col("s") < F.col("t")).select("s", "t", d.alias("d"))
+    """(s, t, d) for s < t. All pairs are the result; :func:`fcf_graph` needs only those that are near enough."""
+    places = centroids.select("sp", F.array("ci", "cj").alias("x"))
+    return block_pairs(places, lambda x, y: np.sqrt(_squared(x, y)), None, "sp", "x", "d").where("s < t")
 
 
 def _mixed(x: np.ndarray, y: np.ndarray, b: float) -> np.ndarray:

@@ -6,8 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from loomgrid.operators import stats
 
@@ -56,19 +55,9 @@ def mnf(raster: DataFrame, count: int = 20, out: str = "mnf", order: str = "desc
     """``raster`` with its noise-adjusted components: eigenvectors of inverse noise covariance times covariance,
     applied to the vectors as they are. ``order``: by eigenvalue, or ``lapack``, as the solver gives them."""
     cov = stats.covariance_matrix(raster)
-    noise = noise_vectors(raster)
+    noise = stats.shift_noise(raster)
     values, basis = np.linalg.eig(np.linalg.inv(stats.covariance_matrix(noise, "d")) @ cov)
     values, basis = values.real, basis.real
     if order == "descending":
         basis = basis[:, np.argsort(-values, kind="stable")]
     return project(raster, _signed(basis / np.linalg.norm(basis, axis=0))[:, :count], out)
-
-
-def noise_vectors(raster: DataFrame) -> DataFrame:
-    """(p, d): the shift-difference field as a vector a pixel, from whole vectors of the pixel above and the one on the right."""
-    half = lambda y: F.zip_with("v", y, lambda a, b: (a - b) / 2)  # noqa: E731  # null beyond the border
-    up = raster.select("p", "i", "j", "v", F.lag("v").over(Window.partitionBy("j").orderBy("i")).alias("up"))
-    both = up.withColumn("right", F.lead("v").over(Window.partitionBy("i").orderBy("j")))
-    none = F.transform("v", lambda x: F.lit(0.0))
-    d = F.zip_with(F.coalesce(half("up"), none), F.coalesce(half("right"), none), lambda x, y: x + y)
-    return both.select("p", d.alias("d"))

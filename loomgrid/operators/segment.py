@@ -163,7 +163,7 @@ def updated(rows: DataFrame, unassigned: int | None = None) -> DataFrame:
     """(c, i, j, n, area, v, lcmr) of :func:`gathered`: rounded mean places (halves away from zero), mean vectors, summed areas. Pixels without a
     cluster take no part, or count for the cluster ``unassigned``."""
     held = rows.select(F.coalesce("c", F.lit(unassigned).cast("int")).alias("c"), "n", "si", "sj", "area", "v", "lcmr").where("c IS NOT NULL")
-    total = sums.by_key(held, "c", {"n": "sum", "si": "sum", "sj": "sum", "area": "sum"}, ["v", "lcmr"])
+    total = sums.by_key(held, "c", ["n", "si", "sj", "area"], ["v", "lcmr"])
     mean = lambda x: F.transform(x, lambda y: y / F.col("n")).alias(x)
     return total.select("c", F.round(F.col("si") / F.col("n")).cast("int").alias("i"), F.round(F.col("sj") / F.col("n")).cast("int").alias("j"), "n", "area", mean("v"), mean("lcmr"))
 

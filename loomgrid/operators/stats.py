@@ -53,19 +53,21 @@ def covariance_matrix(vectors: DataFrame, vector: str = "v") -> np.ndarray:
     return g / (n - 1)
 
 
-def covariance_pairs(bands: DataFrame, key: str = "p", value: str = "x") -> DataFrame:
-    """(k1, k2, c) for k1 <= k2, relationally: for few bands, or where the result stays a table."""
-    a = bands.select(key, F.col("k").alias("k1"), F.col(value).alias("x1"))
-    b = bands.select(key, F.col("k").alias("k2"), F.col(value).alias("x2"))
-    return a.join(b, key).where("k1 <= k2").groupBy("k1", "k2").agg(F.covar_samp("x1", "x2").alias("c"))
-
-
-def shift_noise(bands: DataFrame) -> DataFrame:
-    """(p, i, j, k, d): half the step from the pixel above plus half the step to the pixel on the right; none at the border."""
-    up = F.lag("x").over(Window.partitionBy("k", "j").orderBy("i"))
-    right = F.lead("x").over(Window.partitionBy("k", "i").orderBy("j"))
-    d = F.coalesce((F.col("x") - up) / 2, F.lit(0.0)) + F.coalesce((F.col("x") - right) / 2, F.lit(0.0))
-    return bands.select("p", "i", "j", "k", d.alias("d"))
+def covariance_pairs(vectors: DataFrame, vector: str = "v") -> DataFrame:
+    """(k1, k2, c) for k1 <= k2: the covariance matrix as a table, d x d numbers whatever the rows."""
+    c = covariance_matrix(vectors, vector)
+    return vectors.sparkSession.createDataFrame([(a, b, float(c[a, b])) for a in range(len(c)) for b in range(a, len(c))], "k1 int, k2 int, c double")
+
+
+def shift_noise(raster: DataFrame) -> DataFrame:
+    """(p, d) of (p, i, j, v): half the step from the pixel above plus half the step to the pixel on the right, band by band; none at the
+    border. Windows pass whole vectors."""
+    half = lambda y: F.zip_with("v", y, lambda a, b: (a - b) / 2)  # noqa: E731  # null beyond the border
+    up = raster.select("p", "i", "j", "v", F.lag("v").over(Window.partitionBy("j").orderBy("i")).alias("up"))
+    both = up.withColumn("right", F.lead("v").over(Window.partitionBy("i").orderBy("j")))
+    none = F.transform("v", lambda x: F.lit(0.0))
+    d = F.zip_with(F.coalesce(half("up"), none), F.coalesce(half("right"), none), lambda x, y: x + y)
+    return both.select("p", d.alias("d"))
 
 
 def explained(variances: DataFrame, target: float) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 HELD = 4096
 
 
-def by_key(df: DataFrame, key: str, scalars: dict[str, str], vectors: list[str]) -> DataFrame:
+def by_key(df: DataFrame, key: str, scalars: list[str], vectors: list[str]) -> DataFrame:
     """(key, scalars, vectors): sums of numbers and, element by element, of arrays of equal length. Each task adds up its rows as
     matrices and hands on a row a key; these are dealt and sorted by key and added as they pass."""
     kinds = dict(df.dtypes)

@@ -173,17 +173,17 @@ def _(spark, raster):
 
 @query("covariance_pairs", "SELECT a.k k1, b.k k2, round(covar_samp(a.x, b.x), 6) c FROM bands a JOIN bands b ON a.p = b.p AND a.k <= b.k GROUP BY a.k, b.k")
 def _(spark, raster):
-    return stats.covariance_pairs(bands(raster)).select("k1", "k2", r6("c"))
+    return stats.covariance_pairs(raster).select("k1", "k2", r6("c"))
 
 
 @query("shift_noise", "SELECT p, k, round(d, 6) d FROM noise")
 def _(spark, raster):
-    return stats.shift_noise(bands(raster)).select("p", "k", r6("d"))
+    return stats.shift_noise(raster).select("p", F.posexplode("d").alias("k", "d")).select("p", "k", r6("d"))
 
 
 @query("noise_covariance", "SELECT a.k k1, b.k k2, round(covar_samp(a.d, b.d), 6) c FROM noise a JOIN noise b ON a.p = b.p AND a.k <= b.k GROUP BY a.k, b.k")
 def _(spark, raster):
-    return stats.covariance_pairs(stats.shift_noise(bands(raster)), value="d").select("k1", "k2", r6("c"))
+    return stats.covariance_pairs(stats.shift_noise(raster), "d").select("k1", "k2", r6("c"))
 
 
 @query(
@@ -220,7 +220,7 @@ def _(spark, raster):
 
 @query("feature_minmax", "SELECT sp, k, round(2 * (mu - min(mu) OVER w) / (max(mu) OVER w - min(mu) OVER w) - 1, 6) f FROM mean WINDOW w AS (PARTITION BY k)")
 def _(spark, raster):
-    return stats.scale_features(features.mean_feature(bands(raster)), "mu").select("sp", "k", r6("f"))
+    return stats.scale_features(features.mean_feature(raster), "mu").select("sp", "k", r6("f"))
 
 
 @query("natural_log", "SELECT p, k, round(ln(abs(x) + 1), 6) y FROM bands")
@@ -417,7 +417,7 @@ def _(spark, raster):
 
 
 def _mean(raster):
-    return features.mean_feature(bands(raster))
+    return features.mean_feature(raster)
 
 
 def _weighted(raster):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.operators import evaluate, features, graph, lcmr, neighbourhood, reduce, render, segment, stats
-from loomgrid.sources.raster import bands, from_scene
+from loomgrid.sources.raster import from_scene
 from loomgrid.sources.stored import stored
 
 #: Superpixels asked for, and the ranges of the feature mix and of the log10 spatial decay, by scene.
@@ -63,7 +63,7 @@ class Config:
 
 def describe(raster: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(means, weighted features, centroids) of the superpixels ``sp`` of a raster with bands ``v``, both scaled to [-1, 1]."""
-    mean = features.mean_feature(bands(raster.select("p", "sp", "v")))
+    mean = features.mean_feature(raster)
     weights = features.neighbour_weights(mean, neighbourhood.adjacency(raster), config.h)
     weighted = features.weighted_feature(mean, weights)
     return graph.packed(stats.scale_features(mean, "mu"), "f"), graph.packed(stats.scale_features(weighted, "wmu"), "f"), features.centroids(raster)

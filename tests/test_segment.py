@@ -196,7 +196,7 @@ def test_boxes_are_summed_at_any_step(spark):
 def test_sums_of_vectors(spark):
     r = np.random.default_rng(3)
     rows = [(int(k), float(a), r.normal(size=3).tolist()) for k, a in zip(r.integers(0, 500, 3000), r.normal(size=3000), strict=True)]
-    got = {x["k"]: x for x in sums.by_key(spark.createDataFrame(rows, "k int, a double, v array<double>").repartition(6), "k", {"a": "sum"}, ["v"]).collect()}
+    got = {x["k"]: x for x in sums.by_key(spark.createDataFrame(rows, "k int, a double, v array<double>").repartition(6), "k", ["a"], ["v"]).collect()}
     assert len(got) == len({x[0] for x in rows})
     for k in got:
         own = [x for x in rows if x[0] == k]
