@@ -55,8 +55,7 @@ def walk(wishes: dict[int, list[int]], outside: dict[int, int]) -> list[tuple[in
 def partners(wishes: DataFrame, places: DataFrame, side: int | None) -> DataFrame:
     """(a, n): the merges of ``wishes`` (a, n, turn), as one after the other in the order of a. ``places`` (c, i, j) deals clusters into
     tiles of ``side`` pixels, or all into one if None."""
-    tile = F.struct(*(F.floor(F.col(x) / side).cast("int").alias(x) for x in "ij")) if side else F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))
-    undecided = stored(wishes.join(places.select(F.col("c").alias("a"), tile.alias("tile")), "a"), "wishes")
+    tile = F.struct(*(F.floor(F.col(x) / (side or 1)).cast("int").alias(x) for x in "ij"))
     made = None
 
     def decide(own: pa.Table, other: pa.Table) -> pa.Table:
@@ -67,6 +66,10 @@ def partners(wishes: DataFrame, places: DataFrame, side: int | None) -> DataFram
         sure = np.array(walk({a: [n for _, n in sorted(x)] for a, x in wishes.items()}, outside), np.int64).reshape(-1, 2)
         return pa.table({"a": sure[:, 0], "n": sure[:, 1]})
 
+    if not side:  # nothing is outside, so one walk decides all
+        own = wishes.select(F.lit(0).alias("own"), F.col("a").cast("long").alias("a"), F.col("n").cast("long").alias("n"), "turn").groupBy("own")
+        return own.applyInArrow(lambda t: decide(t, pa.table({"node": pa.array([], pa.int64()), "least": pa.array([], pa.int64())})), "a long, n long")
+    undecided = stored(wishes.join(places.select(F.col("c").alias("a"), tile.alias("tile")), "a"), "wishes")
     while not undecided.isEmpty():
         wanted = undecided.groupBy(F.col("n").alias("node"), F.col("tile").alias("from")).agg(F.min("a").alias("least"))
         nodes = undecided.select(F.col("tile").alias("to"), F.explode(F.array("a", "n")).alias("node")).distinct()

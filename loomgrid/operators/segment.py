@@ -245,7 +245,6 @@ def segment(pixels: DataFrame, k: int, compactness: float = 4.0, merging_on: boo
             break
         clusters = there(clusters, "box").withColumn("scale", F.sqrt(F.lit(lsr) / F.col("box"))).drop("box")
         if turn and merging_on:
-            clusters = stored(clusters, "scaled")
             parts = stored(split(clusters.select("c", "i", "j", "area", "scale"), step, lsr, h, w, many=count), "parts")
             own = clusters.select(F.col("c").alias("old"), "v", "lcmr")
             four = parts.select("old").where("child = 1")
