@@ -176,7 +176,8 @@ def identify(pages: DataFrame, docs: DataFrame, page_id: str = "page_id", url: s
     joined = join_spread(rows.drop("suffix"), hosts.drop("suffix"), "host", "pages").join(F.broadcast(confusion), "declared", "left")
     at_suffix = _smoothed(F.col("of_suffix"), F.col("post"), literal(parent), suffix_weight)
     at_host = _smoothed(F.col("of_host"), F.col("post"), at_suffix, host_weight)
-    says = F.zip_with(F.zip_with("of_declared", "post", lambda d, p: F.greatest(d - p, F.lit(0.0)) + 0.5), literal(seen + 0.5 * kinds), lambda d, t: F.log(d / t))
+    told = F.zip_with("of_declared", "post", lambda d, p: F.greatest(d - p, F.lit(0.0)) + 0.5)
+    says = F.zip_with(told, F.zip_with(literal(seen), "post", lambda t, p: F.greatest(t - p, F.lit(0.0)) + 0.5 * kinds), lambda d, t: F.log(d / t))
     prior = F.zip_with("ll", at_host, lambda x, p: x + F.log(p))
     fused = _softmax(F.when(F.col("declared").isNotNull(), F.zip_with(prior, says, lambda x, y: x + y)).otherwise(prior))
     names = F.array(*map(F.lit, langs))

@@ -462,7 +462,7 @@ def test_posteriors_against_a_plain_fusion(spark):
         s = (suffix[x["suffix"]] - p + 20 * whole) / ((suffix[x["suffix"]] - p).sum() + 20)
         z = np.array(x["ll"]) + np.log((np.maximum(host[x["host"]] - p, 0) + 5 * s) / (np.maximum(host[x["host"]] - p, 0).sum() + 5))
         if x["declared"]:
-            z += np.log((np.maximum(declared[x["declared"]] - p, 0) + 0.5) / (sum(declared.values()) + 0.5 * (len(declared) + 1)))
+            z += np.log((np.maximum(declared[x["declared"]] - p, 0) + 0.5) / (np.maximum(sum(declared.values()) - p, 0) + 0.5 * (len(declared) + 1)))
         e = np.exp(z - z.max())
         want.append((x["page_id"], x["host"], tuple(np.round(e / e.sum(), 9))))
     got = [(x["page_id"], x["host"], tuple(np.round(x["posterior"], 9))) for x in lang_id.identify(df, docs).collect()]
