@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -177,14 +177,18 @@ def fcf_graph(mean: DataFrame, weighted: DataFrame, centroids: DataFrame, sigma:
     held = stored(chunks.join(kth, "sp", "left").withColumn("least", F.coalesce("least", F.lit(0.0))), "bounded")
     reach = {r[0]: float("inf") if r[1] == 0 else -sigma_l * float(np.log(r[1])) for r in held.groupBy("chunk").agg(F.min("least")).collect()}
     ids, edges_of = np.array([r[0] for r in boxes]), np.array([r[1:] for r in boxes], float)
-    pairs = []
-    for n, a in enumerate(ids.tolist()):  # a few numbers for each chunk that is near enough
-        gap = _gap(edges_of[n, None, :2], edges_of[n, None, 2:], edges_of)
-        near = np.flatnonzero((gap <= reach[a] * (1 + 1e-9)) & (ids != a))
-        pairs += [(a, int(ids[m]), turn) for turn, m in enumerate(near[np.argsort(gap[near], kind="stable")].tolist())]
-    if not pairs:
-        return symmetric(top(first, k, F.col("w").desc()))
-    pairs = stored(mean.sparkSession.createDataFrame(pairs, "a long, b long, turn int").withColumn("part", F.floor(F.col("turn") / 8)), "chunk-pairs")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in batch.column(0).to_pylist():
+                n = int(np.flatnonzero(ids == a)[0])
+                gap = _gap(edges_of[n, None, :2], edges_of[n, None, 2:], edges_of)
+                close = np.flatnonzero((gap <= reach[a] * (1 + 1e-9)) & (ids != a))
+                b = ids[close[np.argsort(gap[close], kind="stable")]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), a)), pa.array(b), pa.array(np.arange(len(b)))], names=["a", "b", "turn"])
+
+    starts = mean.sparkSession.createDataFrame([(a,) for a in ids.tolist()], "a long").repartition(8)
+    pairs = stored(starts.mapInArrow(near, "a long, b long, turn long"), "chunk-pairs").withColumn("part", F.floor(F.col("turn") / 8))
     left = held.withColumnRenamed("chunk", "a").join(pairs.select("a", "part").distinct(), "a").select(F.col("a").alias("a1"), F.col("part").alias("part1"), "sp", "x", "ci", "cj", "least")
     right = chunks.withColumnRenamed("chunk", "b").join(pairs, "b").select(F.col("a").alias("a2"), F.col("part").alias("part2"), "turn", *(F.col(c).alias(c) for c in ("sp", "x", "ci", "cj")))
 
