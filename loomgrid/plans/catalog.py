@@ -74,6 +74,24 @@ _VIEWS = {
     **{f"lf{j + 1}": f"""SELECT node, cls, sum(f) f FROM (SELECT node, cls, f FROM lf{j} UNION ALL SELECT p.s, q.cls, p.w * q.f FROM lp{j} p JOIN lf{j} q ON q.node = p.t)
         GROUP BY node, cls""" for j in range(9)},
     **{f"lp{j + 1}": f"SELECT a.s, b.t, sum(a.w * b.w) w FROM lp{j} a JOIN lp{j} b ON b.s = a.t GROUP BY a.s, b.t" for j in range(8)},
+    # diffusion, pull and threshold, step by step
+    "mbhold": "SELECT node FROM y GROUP BY node HAVING max(y) > 0",
+    "mb0": """SELECT n.node, c.cls, coalesce(y.y, 0) y, coalesce(y.y, 0) u, 0.0::DOUBLE d FROM (SELECT s node FROM fcf UNION SELECT node FROM y) n, (SELECT DISTINCT cls FROM y) c
+        LEFT JOIN y ON y.node = n.node AND y.cls = c.cls""",
+    **{f"mb{j + 1}": f"""SELECT node, cls, y, CASE WHEN row_number() OVER (PARTITION BY node ORDER BY round(x, 12) DESC, cls) = 1 THEN 1.0 ELSE 0.0 END u,
+        CASE WHEN node IN (SELECT node FROM mbhold) THEN 0.125 * (x - y) ELSE 0 END d FROM (SELECT m.node, m.cls, m.y, 0.99 * m.u + 0.01 * coalesce(q.x, 0) - 0.01 * m.d x
+        FROM mb{j} m LEFT JOIN (SELECT s node, cls, sum(w * u) x FROM norm JOIN mb{j} ON node = t GROUP BY s, cls) q ON q.node = m.node AND q.cls = m.cls)""" for j in range(20)},
+    # labels spread within a superpixel until they move by less than the tolerance
+    "spk": """SELECT sp, cls, row_number() OVER (PARTITION BY sp ORDER BY seen) k FROM (SELECT sp, gt cls, min(p) seen FROM raster WHERE p IN (SELECT p FROM sample) GROUP BY sp, gt
+        ) QUALIFY count(*) OVER (PARTITION BY sp) > 1""",
+    "spw": """SELECT a.sp, a.p, b.p q, exp(-0.1 * pow(list_distance(a.v, b.v), 2)) w FROM raster a JOIN raster b ON a.sp = b.sp AND a.p <> b.p WHERE a.sp IN (SELECT sp FROM spk)""",
+    "spd": "SELECT p, sum(w) d FROM spw GROUP BY p",
+    "sps": "SELECT sp, spw.p, q, w / sqrt(greatest(a.d, 1e-300) * greatest(b.d, 1e-300)) w FROM spw JOIN spd a ON a.p = spw.p JOIN spd b ON b.p = q",
+    "ls0": """SELECT r.sp, r.p, k.k, CASE WHEN k.cls = r.gt AND r.p IN (SELECT p FROM sample) THEN 1.0 ELSE 0.0 END y, CASE WHEN k.cls = r.gt AND r.p IN (SELECT p FROM sample) THEN 1.0 ELSE 0.0 END f,
+        false fin FROM raster r JOIN spk k USING (sp)""",
+    **{f"ls{j + 1}": f"""SELECT sp, p, k, y, g f, fin OR sum(abs(g - f)) OVER (PARTITION BY sp) < 0.001 fin FROM (SELECT l.sp, l.p, l.k, l.y, l.f, l.fin,
+        CASE WHEN l.fin THEN l.f ELSE 0.2 * coalesce(q.x, 0) + 0.8 * l.y END g FROM ls{j} l LEFT JOIN (SELECT sps.p, k, sum(w * f) x FROM sps JOIN ls{j} ON ls{j}.p = q GROUP BY sps.p, k) q
+        ON q.p = l.p AND q.k = l.k)""" for j in range(30)},
     "seeds": "SELECT cast(row_number() OVER (ORDER BY i, j) - 1 AS int) c, p, i, j, v FROM raster WHERE i >= 2 AND j >= 2 AND (i - 2) % 5 = 0 AND (j - 2) % 5 = 0",
     "grad": """SELECT r.p, r.i, r.j, sqrt(pow(list_distance(d.v, u.v), 2) + pow(list_distance(e.v, l.v), 2)) g FROM raster r, dim
         JOIN raster d ON d.i = CASE WHEN r.i + 1 >= h THEN h - 2 ELSE r.i + 1 END AND d.j = r.j
@@ -123,7 +141,7 @@ def _needs(text: str, seen: dict[str, None]) -> None:
 def _sql(text: str) -> str:
     seen: dict[str, None] = {}
     _needs(text, seen)
-    kept = lambda n: " MATERIALIZED" if n[:2] in ("lp", "lf") else ""  # noqa: E731  # else each step would repeat all before it twice
+    kept = lambda n: " MATERIALIZED" if n[:2] in ("lp", "lf", "ls", "mb") or n[:3] in ("sps", "spk") else ""  # noqa: E731  # else each step would repeat all before it twice
     views = ", ".join(f"{n} AS{kept(n)} ({_VIEWS[n]})" for n in seen)
     if text.startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {views}, {text[15:]}"
@@ -819,12 +837,18 @@ def _(spark, raster):
     return segment.segment(pixels, 20)
 
 
-@query("graph_mbo")
+@query("graph_mbo", "SELECT node, cls FROM mb20 WHERE u = 1")
 def _(spark, raster):
     return graph.graph_mbo(_fcf(raster), _labels(raster), 0.125)
 
 
-@query("label_spreading")
+@query(
+    "label_spreading",
+    """WITH best AS (SELECT sp, p, cast(k AS int) part FROM ls30 QUALIFY row_number() OVER (PARTITION BY p ORDER BY f DESC, k) = 1),
+    fresh AS (SELECT sp, part, row_number() OVER (ORDER BY sp, first) n FROM (SELECT sp, part, min(p) AS first FROM best WHERE part > 1 GROUP BY sp, part))
+    SELECT r.p, r.sp, coalesce(b.part, 0) part, cast(coalesce(f.n + (SELECT max(sp) FROM raster), r.sp) AS int) new
+    FROM raster r LEFT JOIN best b ON b.p = r.p LEFT JOIN fresh f ON f.sp = b.sp AND f.part = b.part""",
+)
 def _(spark, raster):
     marked = raster.join(_sample(raster), "p", "left")
     return graph.label_spreading(marked.select("p", "sp", "v", "cls"), gamma=0.1)
