@@ -243,9 +243,9 @@ def segment(pixels: DataFrame, k: int, compactness: float = 4.0, merging_on: boo
         if turn == most_rounds:
             warnings.warn(f"the residual still fell, to {ratio:.4f} of itself, after {most_rounds} rounds", stacklevel=2)
             break
-        clusters = there(clusters, "box").withColumn("scale", F.sqrt(F.lit(lsr) / F.col("box"))).drop("box")
+        scaled = there(clusters, "box").withColumn("scale", F.sqrt(F.lit(lsr) / F.col("box"))).drop("box")
         if turn and merging_on:
-            parts = stored(split(clusters.select("c", "i", "j", "area", "scale"), step, lsr, h, w, many=count), "parts")
+            parts = split(scaled.select("c", "i", "j", "area", "scale"), step, lsr, h, w, many=count)
             own = clusters.select(F.col("c").alias("old"), "v", "lcmr")
             four = parts.select("old").where("child = 1")
             new = there(parts.join(four, "old"), "v", "lcmr")
@@ -254,17 +254,20 @@ def segment(pixels: DataFrame, k: int, compactness: float = 4.0, merging_on: boo
             touching = neighbourhood.adjacency(labelled(rows).join(held.select("p", "i", "j"), "p"), "c")
             touching = touching.join(first.select(F.col("old").alias("src"), F.col("c").alias("a")), "src").join(first.select(F.col("old").alias("dst"), F.col("c").alias("b")), "dst")
             merged = merging.merge(filled, touching.select(F.col("a").alias("src"), F.col("b").alias("dst")), lsr, merge_side or (None if count <= ONE_TASK else 64 * side))
-            clusters = ranked(merged, ["c"], "merged", 4 * count).drop("c").withColumn("c", F.col("place").cast("int")).drop("place")
-        clusters = stored(clusters.select("c", "i", "j", "area", "scale", "v", "lcmr"), "clusters")
+            scaled = ranked(merged, ["c"], "merged", 4 * count).drop("c").withColumn("c", F.col("place").cast("int")).drop("place")
+        clusters = stored(scaled.select("c", "i", "j", "area", "scale", "v", "lcmr"), "clusters")
         count = clusters.count()
         rows = stored(gathered(held, clusters, step, compactness, side), "assigned")
         new = updated(rows, count - 1 if wrap_unassigned else None)
         met = stored(_before(clusters).join(clusters.select("c", "scale"), "c").join(new, "c", "left").withColumn("moved", _moved()), "updated")
-        err = met.agg(F.coalesce(F.sum("moved"), F.lit(0.0))).first()[0]
+        err, full = met.agg(F.coalesce(F.sum("moved"), F.lit(0.0)), F.count("n")).first()
         ratio = 1.0 if err == 0 else 0.0 if math.isinf(last) else err / last
         last = err
-        empty = reseeded(met.where("n IS NULL").select("c", F.col("i0").alias("i"), F.col("j0").alias("j"), "scale"), step, h, w)
-        empty = there(empty, "v", "lcmr").withColumn("area", F.lit(lsr / 4.5))
-        clusters = stored(met.where("n IS NOT NULL").select("c", "i", "j", "area", "scale", "v", "lcmr").unionByName(empty.select("c", "i", "j", "area", "scale", "v", "lcmr")), "clusters")
+        columns = ["c", "i", "j", "area", "scale", "v", "lcmr"]
+        clusters = met.where("n IS NOT NULL").select(*columns)
+        if full < count:
+            empty = reseeded(met.where("n IS NULL").select("c", F.col("i0").alias("i"), F.col("j0").alias("j"), "scale"), step, h, w)
+            empty = there(empty, "v", "lcmr").withColumn("area", F.lit(lsr / 4.5))
+            clusters = stored(clusters.unionByName(empty.select(*columns)), "clusters")
     labels = labelled(rows).join(held.select("p", "i", "j"), "p").select("p", "i", "j", "c")
     return stored(enforce_connectivity(labels, h, w, started, least), "superpixels")
