@@ -128,13 +128,14 @@ def _batch(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
 
 
 def write(rows: DataFrame, path: str, key: str, value: str = "v") -> None:
-    """A raster (i, j, value), a number or an array a pixel and no pixel missing, as an array ``key`` of doubles. Tasks lay out the
-    bytes of a raster column and band; the driver passes them on in order."""
+    """A raster (i, j, value), a number or an array a pixel, as an array ``key`` of doubles; pixels that it lacks are NaN there. Tasks lay
+    out the bytes of a raster column and band; the driver passes them on in order."""
     whole = rows.select("i", "j", (F.col(value) if "array" in dict(rows.dtypes)[value] else F.array(value)).cast("array<double>").alias("v"))
     h, w, d = whole.agg(F.max("i") + 1, F.max("j") + 1, F.max(F.size("v"))).first()
 
     def line(t: pa.Table) -> pa.Table:
-        x = np.stack(t.sort_by("i")["v"].to_numpy()).astype("<f8")
+        x = np.full((h, d), np.nan, "<f8")
+        x[t["i"].to_numpy()] = np.stack(t["v"].to_numpy())
         return pa.table({"k": pa.array(np.arange(d, dtype=np.int32)), "j": pa.array(np.full(d, t["j"][0].as_py(), np.int32)), "x": pa.array([x[:, k].tobytes() for k in range(d)], pa.binary())})
 
     name, dims = key.encode(), struct.pack("<3i", h, w, d) if "array" in dict(rows.dtypes)[value] else struct.pack("<2i", h, w)
@@ -145,7 +146,11 @@ def write(rows: DataFrame, path: str, key: str, value: str = "v") -> None:
 
     def pieces() -> Iterator[bytes]:
         yield start + struct.pack("<II", MATRIX, len(head) + h * w * d * 8) + head
+        blank, at = np.full(h, np.nan, "<f8").tobytes(), 0
         for r in made.toLocalIterator():
+            for _ in range(r["k"] * w + r["j"] - at):  # raster columns without a pixel
+                yield blank
             yield bytes(r["x"])
+            at = r["k"] * w + r["j"] + 1
 
     write_pieces(rows.sparkSession, path, pieces())
