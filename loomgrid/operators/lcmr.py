@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.operators.neighbourhood import extent
+from loomgrid.operators.neighbourhood import extent, haloed
 
 
 def window_logm(cube: np.ndarray, own: tuple[slice, slice], size: int, keep: int, shrink: float = 0.001, above: int = 0) -> np.ndarray:
@@ -59,18 +59,7 @@ def log_matrices(raster: DataFrame, vector: str = "mnf", size: int = 25, keep: i
     h, w = extent(raster)
     half = size // 2
 
-    def copies(x: str, n: int):
-        """Places along one axis that show index x in the padded raster."""
-        c, turns = F.col(x), range(-half // (2 * n) - 1, half // (2 * n) + 2)
-        places = F.array(*(y for m in turns for y in (c + 2 * n * m, 2 * n * m - 1 - c)))
-        return F.filter(places, lambda y: (y >= -half) & (y < n + half))
-
-    def tiles(x: str, n: int):
-        return F.sequence(F.greatest(F.floor((F.col(x) - half) / tile), F.lit(0)).cast("int"), F.least(F.floor((F.col(x) + half) / tile), F.lit((n - 1) // tile)).cast("int"))
-
-    px = raster.select("p", "i", "j", F.col(vector).alias("v"))
-    px = px.withColumn("pi", F.explode(copies("i", h))).withColumn("pj", F.explode(copies("j", w)))
-    px = px.withColumn("ti", F.explode(tiles("pi", h))).withColumn("tj", F.explode(tiles("pj", w)))
+    px = haloed(raster.select("p", "i", "j", F.col(vector).alias("v")), half, tile, h, w)
 
     def solve(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         i0, j0 = key[0] * tile, key[1] * tile
@@ -84,6 +73,7 @@ def log_matrices(raster: DataFrame, vector: str = "mnf", size: int = 25, keep: i
         where[a[own], b[own]] = t["p"].to_numpy()[own]
         m = window_logm(cube, (slice(half, half + i1 - i0), slice(half, half + j1 - j0)), size, keep, above=above)
         p = where[half : half + i1 - i0, half : half + j1 - j0]
-        return pd.DataFrame({"p": p.ravel(), out: list(m.reshape(p.size, d * d))})
+        kept = p.ravel() >= 0  # others the raster lacks
+        return pd.DataFrame({"p": p.ravel()[kept], out: list(m.reshape(p.size, d * d)[kept])})
 
     return px.groupBy("ti", "tj").applyInPandas(solve, f"p int, {out} array<double>")
