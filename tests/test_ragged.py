@@ -44,3 +44,13 @@ def test_superpixels_of_a_ragged_raster(spark, ragged):
     got = segment.segment(px, 20, most_rounds=3).collect()
     assert sorted(r["p"] for r in got) == list(range(487))
     assert neighbourhood.manifold_area(raster, 4.0, 5).where("area IS NULL OR isnan(area)").isEmpty()
+
+
+@pytest.mark.filterwarnings("ignore:the residual still fell")
+def test_superpixels_of_a_narrow_raster(spark):
+    """Half a step is longer than the rows, so no grid point lies on the raster."""
+    px = spark.createDataFrame([(p, p // 5, p % 5, [p % 3 + p / 100, 1.0], [0.1 * (p % 7)]) for p in range(300)], "p int, i int, j int, v array<double>, lcmr array<double>")
+    step = segment.grid_step(60, 5, 2)
+    assert segment.seeds(px, step).isEmpty()
+    assert [(r["c"], r["i"], r["j"]) for r in segment.seeds(px, step, within=True).orderBy("c").collect()] == [(n, 6 + step * n, 2) for n in range(5)]
+    assert sorted(r["p"] for r in segment.segment(px, 2, most_rounds=1).collect()) == list(range(300))
