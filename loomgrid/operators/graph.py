@@ -22,7 +22,7 @@ def packed(features: DataFrame, value: str, key: str = "sp") -> DataFrame:
     return features.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", value))), lambda x: x[value]).alias("x"))
 
 
-def block_pairs(nodes: DataFrame, cost: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int | None, key: str, vector: str, out: str, block: int = 2048) -> DataFrame:
+def block_pairs(nodes: DataFrame, cost: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int | None, key: str, vector: str, out: str, block: int = 1024) -> DataFrame:
     """(s, t, out): of each node the k others of least cost, all equal to the k-th too; every other node if k is None. A pair of cost inf is none.
 
     Vectors are packed into blocks; each pair of blocks is one call of ``cost`` on slices of bounded size, and only what is
@@ -40,8 +40,8 @@ def block_pairs(nodes: DataFrame, cost: Callable[[np.ndarray, np.ndarray], np.nd
         empty = pa.table({"s": pa.array([], arrow), "t": pa.array([], arrow), out: pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return empty
-        s, t = (np.array(x["key"].to_pylist()) for x in (left, right))
-        x, y = (np.array(v["x"].to_pylist(), float) for v in (left, right))
+        s, t = (x["key"].to_numpy() for x in (left, right))
+        x, y = (np.stack(v["x"].to_numpy()) for v in (left, right))
         made, step = [empty], max(1, (1 << 22) // max(y.size, 1))
         for i in range(0, len(x), step):
             c = cost(x[i : i + step], y)
@@ -50,7 +50,7 @@ def block_pairs(nodes: DataFrame, cost: Callable[[np.ndarray, np.ndarray], np.nd
             if k is not None and k < len(t):
                 ok &= c <= np.partition(c, k - 1, axis=1)[:, k - 1 : k]
             row, pick = np.nonzero(ok)
-            made.append(pa.table({"s": pa.array(s[i + row].tolist(), arrow), "t": pa.array(t[pick].tolist(), arrow), out: pa.array(c[row, pick])}))
+            made.append(pa.table({"s": pa.array(s[i + row], arrow), "t": pa.array(t[pick], arrow), out: pa.array(c[row, pick])}))
         return pa.concat_tables(made)
 
     found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(solve, f"s {kind}, t {kind}, {out} double")
