@@ -8,7 +8,7 @@ part; none is left out for being rare or weak.
 
 The fit reads a bounded sample of labelled texts: at most ``max_positive`` + ``max_negative``, taken by
 the smallest hash of their id, and of these, in that order, as many as hold ``max_entries`` features together, which
-bounds what the driver holds however long the texts are. Class weights undo the choice, so scores stay
+bounds what the task that fits holds, however long the texts are; the driver gets one weight a feature. Class weights undo the choice, so scores stay
 probabilities. Scoring is map-only over whole texts. Labels, language, source and id are never inputs of a score.
 
 Null and empty texts hold no n-gram and get the model's base score. Very long texts are read in pieces
@@ -101,34 +101,63 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_neg
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "__label", F.xxhash64("doc_id").alias("__turn")), counts
 
 
+def _first(sample: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """The sample's rows, in the order of ``turn``, that hold ``most`` features together, and how many they hold."""
+    total = sample.agg(F.sum("size")).first()[0] or 0
+    if total <= most:
+        return sample, total
+    order, total = ["turn", "label", "digest", "row"], 0
+    for r in sample.select(*order, "size").orderBy(*order).toLocalIterator():  # five numbers a row
+        if total + r["size"] > most:
+            break
+        total += r["size"]
+    return sample.where(F.struct(*order) < F.struct(*(F.lit(r[c]).cast(sample.schema[c].dataType).alias(c) for c in order))), total
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 1_500, max_negative: int = 2_500, max_entries: int = 50_000_000, alpha: float = 0.5, doubt: float = 10.0, penalty: float = 0.02) -> Model:
-    """The model. What reaches the driver is bounded by ``max_entries`` features of three bytes. Ratios of weak evidence shrink
-    smoothly towards zero, by half where their square is about 2.4 times ``doubt`` squared standard errors."""
+    """The model. A task fits it, which holds at most ``max_entries`` features of three bytes; the driver gets the weights alone. Ratios of weak
+    evidence shrink smoothly towards zero, by half where their square is about 2.4 times ``doubt`` squared standard errors."""
     rows, counts = training_rows(docs, labels, max_positive, max_negative)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in grams(b.column(0))], pa.binary()), b.column(1), b.column(2)], names=["features", "label", "turn"])
-
-    sample = materialize(rows.mapInArrow(gather, "features binary, label int, turn long"), "toxicity-sample")
-    # three bytes a feature, in two columns; their pages are used as they fill
-    low, high, sizes, y, total = np.empty(max_entries, np.uint16), np.empty(max_entries, np.uint8), [], [], 0
-    # a part at a time, of a few MB; the order doesn't hang on the tasks
-    for r in sample.repartitionByRange(32, "turn").sortWithinPartitions("turn", "label", "features").toLocalIterator():
-        found = np.frombuffer(r["features"], np.int32)
-        if total + len(found) > max_entries:
-            break
-        low[total : total + len(found)] = found & 0xFFFF
-        high[total : total + len(found)] = found >> 16
-        sizes.append(len(found))
-        y.append(r["label"])
-        total += len(found)
-    y = np.array(y, float)
-    if not len(y) or y.min() == y.max():
+            found = [x.tobytes() for x in grams(b.column(0))]
+            sizes = pa.array([len(x) // 4 for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1), b.column(2), sizes], names=["features", "label", "turn", "size"])
+
+    sample = rows.mapInArrow(gather, "features binary, label int, turn long, size long")
+    sample = materialize(sample.select("*", F.xxhash64("features").alias("digest"), F.monotonically_increasing_id().alias("row")), "toxicity-sample")
+    sample, total = _first(sample, max_entries)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # three bytes a feature, in two columns
+        low, high, sizes, y, at = np.empty(total, np.uint16), np.empty(total, np.uint8), [], [], 0
+        for b in batches:
+            data, ends = text_buffer(b.column(0))
+            found = np.frombuffer(data, np.int32)
+            low[at : at + len(found)] = found & 0xFFFF
+            high[at : at + len(found)] = found >> 16
+            at += len(found)
+            sizes.append(np.diff(ends) // 4)
+            y.append(b.column(1).to_numpy(zero_copy_only=False))
+        model = _fitted(low, high, np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(y).astype(float), counts, alpha, doubt, penalty) if y else None
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.intercept])], names=["weights", "intercept"])
+
+    # the order, and so the sums, don't hang on the tasks
+    ordered = sample.select("features", "label", "turn", "digest", "row").repartition(1).sortWithinPartitions("turn", "label", "digest", "row").select("features", "label")
+    model = ordered.mapInArrow(train, "weights binary, intercept double").first()
+    if model is None:
         return Model(np.zeros(1 << BITS, np.float32), _logit(counts.get(1, 0) / max(sum(counts.values()), 1)))
+    return Model(np.frombuffer(model["weights"], np.float32), model["intercept"])
+
+
+def _fitted(low: np.ndarray, high: np.ndarray, ends: np.ndarray, y: np.ndarray, counts: dict[int, int], alpha: float, doubt: float, penalty: float) -> Model | None:
+    """The model of rows with labels y; row i holds the features ends[i] to ends[i + 1] of the columns. None if there is one label alone."""
+    if y.min() == y.max():
+        return None
     n = np.array([(y == k).sum() for k in (0, 1)], float)
     weight = np.array([max(1.0, counts[k] / n[k]) for k in (0, 1)])[y.astype(int)]
-    ends = np.concatenate([[0], np.cumsum(sizes)])
 
     def column(a: int, b: int) -> np.ndarray:
         return high[a:b].astype(np.int32) << 16 | low[a:b]

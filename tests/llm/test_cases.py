@@ -4,6 +4,7 @@ import itertools
 import os
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -231,6 +232,18 @@ def test_sample_bounds(spark):
         assert got[1] > got[2], bounds
 
 
+def test_sample_stays_in_tasks(spark):
+    docs = spark.createDataFrame([(i, ("vile words " if i % 4 == 0 else "kind words ") * 9 + str(i)) for i in range(80)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(80)], "doc_id long, quality int, toxic int")
+    tracemalloc.start()
+    whole = toxicity.fit(docs, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6  # the driver held 50 million features of three bytes, and the solver's vectors
+    dealt = toxicity.fit(docs.repartition(7), labels)
+    assert (whole.weights == dealt.weights).all() and whole.intercept == dealt.intercept and np.abs(whole.weights).max() > 0
+
+
 def test_license_cases(spark, odd, empty):
     more = odd.unionByName(spark.createDataFrame([(20, "Licensed under the Apache License, Version 2.0 -- All Rights\nReserved"), (21, "cc by cc-by CC BY"), (22, "apache license version"), (22, "GNU general public license")], SCHEMA))
     rows = license_scan.scan(more.withColumn("labels", F.lit(1)).withColumn("extra", F.lit(2))).collect()
