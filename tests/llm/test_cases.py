@@ -542,6 +542,19 @@ def test_media_copies_behind_an_unrelated_head(spark, monkeypatch):
         assert got == {1: (1, 0), 2: (2, 1), 3: (2, 1)}
 
 
+def test_media_writes_no_row_a_mark(spark, monkeypatch):
+    """Of corners that share buckets only pairs of images with enough of them are written, one row each."""
+    rng = np.random.default_rng(23)
+    images = [_texture(v) for v in rng.normal(size=(6, 64))]
+    images.append(np.clip(images[0] + rng.normal(0, 2, images[0].shape), 0, 255).astype(np.uint8))
+    df = spark.createDataFrame([(i, media.write_pgm(x)) for i, x in enumerate(images)], "image_id long, image binary")
+    rows, real = [], media.materialize
+    monkeypatch.setattr(media, "materialize", lambda df, label: rows.append(real(df, label)) or rows[-1])
+    got = {r["image_id"]: (r["n_corners"], r["class_id"], r["n_links"]) for r in media.copies(df).collect()}
+    assert [got[i][1] for i in range(7)] == [0, 1, 2, 3, 4, 5, 0] and got[6][2] == 1
+    assert sum(t.count() for t in rows) < sum(n for n, _, _ in got.values())
+
+
 def test_png_decoding():
     import struct
     import zlib
