@@ -5,6 +5,7 @@ import os
 import random
 import time
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -555,6 +556,46 @@ def test_media_writes_no_row_a_mark(spark, monkeypatch):
     assert sum(t.count() for t in rows) < sum(n for n, _, _ in got.values())
 
 
+def _copied(rng, groups, others):
+    """Textures with groups of edited copies of some of them."""
+    images = [_texture(v) for v in rng.normal(size=(others + len(groups), 64))]
+    return images + [np.clip(images[g] + rng.normal(0, 3, images[g].shape), 0, 255).astype(np.uint8) for g, n in enumerate(groups) for _ in range(n)]
+
+
+def test_media_meets_without_a_shuffle(spark, monkeypatch):
+    """Pairs of blocks are read where they are stored: neither corners that meet nor pairs of images are dealt anew, so disk follows the images."""
+    images = _copied(np.random.default_rng(31), [2], 3)
+    df = spark.createDataFrame([(i, media.write_pgm(x)) for i, x in enumerate(images)], "image_id long, image binary")
+    plans, real = {}, media.materialize
+    monkeypatch.setattr(media, "materialize", lambda df, label: plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString()) or real(df, label))
+    media.copies(df).collect()
+    assert all("CartesianProduct" in x and "Exchange" not in x for x in plans["links"])
+    assert "pairs" not in plans
+
+
+def test_media_meets_in_slices(monkeypatch):
+    """Corners of equal keys, some of which meet thousands of others, in slices of a few."""
+    rng = np.random.default_rng(37)
+    few = rng.integers(0, 1 << 60, (5, 4))
+
+    def block(sizes):
+        made = np.zeros(sum(sizes), media._CORNER)
+        made["x"], made["y"] = rng.integers(0, 60, (2, len(made)))
+        made["d"] = few[rng.choice(5, len(made), p=[0.6, 0.1, 0.1, 0.1, 0.1])]
+        return media._Block(pa.array(range(len(sizes))), np.full(len(sizes), 64), np.array(sizes), made)
+
+    one, two = block([30, 1, 0, 12, 25]), block([9, 40, 0, 7])
+    for other in (one, two):
+        want = {(n, m) for n in range(len(one.corners)) for m in range(len(other.corners)) if (one.corners["d"][n] == other.corners["d"][m]).all()}
+        want = {(n, m) for n, m in want if other is two or one.image[n] < one.image[m]}
+        many = Counter((one.image[n], other.image[m]) for n, m in want)
+        want = {(n, m) for n, m in want if media.TABLES * many[one.image[n], other.image[m]] >= 50}
+        for most in (1 << 20, 2000, 10):
+            monkeypatch.setattr(media, "_MET", most)
+            met = [(int(n), int(m)) for x in media._meeting(one, other, 50) for n, m in zip(*x, strict=True)]
+            assert len(met) == len(set(met)) and set(met) == want
+
+
 def test_png_decoding():
     import struct
     import zlib
