@@ -562,6 +562,35 @@ def _copied(rng, groups, others):
     return images + [np.clip(images[g] + rng.normal(0, 3, images[g].shape), 0, 255).astype(np.uint8) for g, n in enumerate(groups) for _ in range(n)]
 
 
+def _plain_links(images):
+    """All pairs, one after the other."""
+    out = set()
+    each = [media.corners(x) for x in images]
+    for a, b in itertools.combinations(range(len(images)), 2):
+        (p, x), (q, y) = each[a], each[b]
+        meet = np.any([(x[:, None, part] == y[None, :, part]).all(2) for part in media._PARTS], axis=0)
+        n, m = np.nonzero(meet & ((x[:, None] != y[None]).sum(2) <= media.DIFFERING))
+        if len(n):
+            sides = [dict(zip(("x", "y", "scale", "turn"), r.T, strict=True)) for r in (p[n], q[m])]
+            if media._agree(np.zeros(len(n), int), np.full(len(n), max(images[a].shape)), *sides, media.LEAST, 1)[0]:
+                out.add((a, b))
+    return out
+
+
+def test_media_links_are_all_pairs_of_copies(spark, monkeypatch):
+    """Members of a group of copies count one another, not only the one that leads them; the same with blocks of any size."""
+    images = _copied(np.random.default_rng(29), [3, 2, 1], 4)
+    images.append(images[0])  # equal pixels count as one image
+    links = _plain_links(images[:-1])
+    degree = [sum(i in x for x in links) for i in range(len(images) - 1)]
+    assert degree[7:10] == [3, 3, 3]
+    df = spark.createDataFrame([(f"i{i:02d}", media.write_pgm(x)) for i, x in enumerate(images)], "image_id string, image binary")
+    for block in (2048, 3, 1):
+        monkeypatch.setattr(media, "_BLOCK", block)
+        got = {r["image_id"]: r["n_links"] for r in media.copies(df).collect()}
+        assert [got[f"i{i:02d}"] for i in range(len(images))] == [*degree, degree[0]]
+
+
 def test_media_meets_without_a_shuffle(spark, monkeypatch):
     """Pairs of blocks are read where they are stored: neither corners that meet nor pairs of images are dealt anew, so disk follows the images."""
     images = _copied(np.random.default_rng(31), [2], 3)
