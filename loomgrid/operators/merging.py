@@ -3,7 +3,8 @@
 One after the other, a small cluster that nobody has taken takes the best of its higher neighbours that nobody has taken. So all
 that an earlier cluster can change for a later one is to take it, or one of those it would take; clusters further apart don't
 matter to each other. Each round every tile walks its own clusters in order and decides those that no undecided cluster before them,
-here or in another tile, can still change; the lowest undecided one always can be decided, so rounds end.
+here or in another tile, can still change; the lowest undecided one always can be decided, so rounds end. Chains of clusters that wait
+for one another can be as long as the raster, so from round to round tiles become larger, and what one task may hold it walks to the end.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.functions import vectors as V
-from loomgrid.sources.stored import stored
+from loomgrid.sources.stored import ONE_TASK, stored
+
+#: Wishes of a cluster, as a rule at most; a task walks those of ONE_TASK clusters.
+WISHES = 8
 
 
 def candidates(clusters: DataFrame, edges: DataFrame, lsr: float) -> DataFrame:
@@ -54,7 +58,7 @@ def walk(wishes: dict[int, list[int]], outside: dict[int, int]) -> list[tuple[in
 
 def partners(wishes: DataFrame, places: DataFrame, side: int | None) -> DataFrame:
     """(a, n): the merges of ``wishes`` (a, n, turn), as one after the other in the order of a. ``places`` (c, i, j) deals clusters into
-    tiles of ``side`` pixels, or all into one if None."""
+    tiles of ``side`` pixels at first, or all into one if None."""
     tile = F.struct(*(F.floor(F.col(x) / (side or 1)).cast("int").alias(x) for x in "ij"))
     made = None
 
@@ -70,7 +74,9 @@ def partners(wishes: DataFrame, places: DataFrame, side: int | None) -> DataFram
         own = wishes.select(F.lit(0).alias("own"), F.col("a").cast("long").alias("a"), F.col("n").cast("long").alias("n"), "turn").groupBy("own")
         return own.applyInArrow(lambda t: decide(t, pa.table({"node": pa.array([], pa.int64()), "least": pa.array([], pa.int64())})), "a long, n long")
     undecided = stored(wishes.join(places.select(F.col("c").alias("a"), tile.alias("tile")), "a"), "wishes")
-    while not undecided.isEmpty():
+    wider = F.struct(*(F.floor(F.col(f"tile.{x}") / 2).cast("int").alias(x) for x in "ij"))
+    left = undecided.count()
+    while left:
         wanted = undecided.groupBy(F.col("n").alias("node"), F.col("tile").alias("from")).agg(F.min("a").alias("least"))
         nodes = undecided.select(F.col("tile").alias("to"), F.explode(F.array("a", "n")).alias("node")).distinct()
         beyond = nodes.join(wanted, "node").where(F.col("to") != F.col("from")).groupBy("to", "node").agg(F.min("least").alias("least"))
@@ -79,6 +85,11 @@ def partners(wishes: DataFrame, places: DataFrame, side: int | None) -> DataFram
         made = sure if made is None else made.unionByName(sure)
         gone = sure.select(F.explode(F.array("a", "n")).alias("a"))
         undecided = stored(undecided.join(gone, "a", "left_anti").join(sure.select("n"), "n", "left_anti").select("a", "n", "turn", "tile"), "wishes")
+        left = undecided.count()
+        if left <= WISHES * ONE_TASK:
+            undecided = undecided.withColumn("tile", F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+        elif undecided.groupBy(wider.alias("tile")).count().agg(F.max("count")).first()[0] <= WISHES * ONE_TASK:
+            undecided = undecided.withColumn("tile", wider)
     return wishes.sparkSession.createDataFrame([], "a long, n long") if made is None else made
 
 

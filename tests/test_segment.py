@@ -139,6 +139,20 @@ def test_merging_is_that_of_the_order(spark, side, seed):
         np.testing.assert_allclose([x["area"], x["scale"], *x["v"], *x["lcmr"]], [area, scale, *v, *m])
 
 
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_merging_of_a_long_chain_takes_few_rounds(spark, monkeypatch, most):
+    """Each cluster would take the next: that of a tile's first waits for the tile before it, 40 tiles in a row."""
+    monkeypatch.setattr(merging, "ONE_TASK", most)
+    rounds, real = [], merging.stored
+    monkeypatch.setattr(merging, "stored", lambda df, label: rounds.append(label) or real(df, label))
+    n = 81
+    wishes = spark.createDataFrame([(c, c + 1, 0) for c in range(n - 1)], "a int, n int, turn int")
+    places = spark.createDataFrame([(c, 5 * c, 0) for c in range(n)], "c int, i int, j int")
+    got = sorted((x["a"], x["n"]) for x in merging.partners(wishes, places, 10).collect())
+    assert got == [(c, c + 1) for c in range(0, n - 1, 2)]
+    assert rounds.count("merges") <= {20_000: 2, 1: 12}[most]  # 40 of tiles that stay as they are
+
+
 def test_walks_in_tiles_are_those_of_the_order():
     """Hundreds of random wishes, dealt into tiles and decided in rounds, without Spark's share."""
     r = np.random.default_rng(7)
